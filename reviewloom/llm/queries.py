@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reviewloom.llm.common import table
 from reviewloom.llm.mixing import mix_sources
+from reviewloom.llm.pii import find_personal_data
+from reviewloom.llm.secrets import scan_secrets
 from reviewloom.llm.sharding import shard_by_bytes
 
 N_SHARDS = 40
 SOURCE_WEIGHTS = (5, 2, 1)
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), N_SHARDS)
 
@@ -22,8 +28,12 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_byte_shards, op8_source_mix)}
+    return {f.__name__: f for f in (op1_secrets, op7_byte_shards, op8_source_mix, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
