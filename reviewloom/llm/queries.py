@@ -11,6 +11,8 @@ from reviewloom.llm.mixing import mix_sources
 from reviewloom.llm.pii import find_personal_data
 from reviewloom.llm.secrets import scan_secrets
 from reviewloom.llm.sharding import shard_by_bytes
+from reviewloom.llm.topk_search import exact_topk
+from reviewloom.llm.toxicity import fit, score_toxicity
 
 N_SHARDS = 40
 SOURCE_WEIGHTS = (5, 2, 1)
@@ -20,6 +22,16 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_topk(vectors, vectors["vec_id"] % 50 == 0, k=5, scale=256)
+
+
 def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), N_SHARDS)
 
@@ -33,7 +45,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op7_byte_shards, op8_source_mix, op10_personal_data)}
+    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op5_exact_topk, op7_byte_shards, op8_source_mix, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -174,8 +174,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
                         len(added),
                     )
                 )
-            out = pd.DataFrame(rows, columns=SCHEMA.names[1:])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
-            yield out
+            out = pd.DataFrame(rows, columns=SCHEMA.names[1:], index=batch.index).astype({"base_sha256": object, "spans": object})
+            yield pd.concat([batch[["doc_id"]], out], axis=1)
 
     return docs.select("doc_id", "text").mapInPandas(scan, SCHEMA)
