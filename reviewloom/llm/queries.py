@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reviewloom.llm.common import table
+from reviewloom.llm.decontaminate import contamination
 from reviewloom.llm.mixing import mix_sources
+from reviewloom.llm.ngram_join import link_near_duplicates
 from reviewloom.llm.pii import find_personal_data
 from reviewloom.llm.secrets import scan_secrets
 from reviewloom.llm.sharding import shard_by_bytes
@@ -15,6 +18,31 @@ from reviewloom.llm.topk_search import exact_topk
 from reviewloom.llm.toxicity import fit, score_toxicity
 
 N_SHARDS = 40
+
+OP3_SQL = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark),
+windows as (
+  select item_id, array_to_string(w[s : s + 12], ' ') as win, least(len(w), 13) as n
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as s from b where len(w) > 0)),
+places as (
+  select doc_id, s, n, array_to_string(w[s : s + n - 1], ' ') as win
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as s from d, (select distinct n from windows) where len(w) >= n)),
+hits as (select p.doc_id, p.s, p.n, v.item_id from places p join windows v on p.win = v.win and p.n = v.n),
+covered as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(s, s + n)) as pos from hits) group by doc_id),
+listed as (select doc_id, list_sort(list(distinct cast(item_id as varchar))) as items from hits group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(c.n_hit, 0) as n_hit, cast(coalesce(len(l.items), 0) as bigint) as n_items,
+       sha256(coalesce(array_to_string(l.items, ','), '')) as items_sha256,
+       coalesce(c.n_hit, 0) > 0 and 20 * coalesce(c.n_hit, 0) >= len(d.w) as contaminated
+from d left join covered c using (doc_id) left join listed l using (doc_id)
+"""
+
 SOURCE_WEIGHTS = (5, 2, 1)
 
 
@@ -27,6 +55,22 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return exact_topk(vectors, vectors["vec_id"] % 50 == 0, k=5, scale=256)
@@ -45,8 +89,8 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op5_exact_topk, op7_byte_shards, op8_source_mix, op10_personal_data)}
+    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_decontamination, op4_ngram_join, op5_exact_topk, op7_byte_shards, op8_source_mix, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": OP3_SQL}
