@@ -14,6 +14,8 @@ from reviewloom.llm.ngram_join import link_near_duplicates
 from reviewloom.llm.pii import find_personal_data
 from reviewloom.llm.secrets import scan_secrets
 from reviewloom.llm.sharding import shard_by_bytes
+from reviewloom.llm.substring_dedup import remove_repeated_chunks
+from reviewloom.llm.suffix_dedup import remove_repeats
 from reviewloom.llm.topk_search import exact_topk
 from reviewloom.llm.toxicity import fit, score_toxicity
 
@@ -76,6 +78,11 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors, vectors["vec_id"] % 50 == 0, k=5, scale=256)
 
 
+def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_chunks(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept_sha256", F.sha2(F.col("kept_text").cast("binary"), 256)).drop("kept_text")
+
+
 def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), N_SHARDS)
 
@@ -84,12 +91,28 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_decontamination, op4_ngram_join, op5_exact_topk, op7_byte_shards, op8_source_mix, op10_personal_data)}
+    listed = (
+        op1_secrets,
+        op2_toxicity,
+        op3_decontamination,
+        op4_ngram_join,
+        op5_exact_topk,
+        op6_chunk_dedup,
+        op7_byte_shards,
+        op8_source_mix,
+        op9_suffix_dedup,
+        op10_personal_data,
+    )
+    return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:

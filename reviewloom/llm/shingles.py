@@ -79,7 +79,7 @@ def posting_blocks(owners: np.ndarray, sizes: np.ndarray, counts: np.ndarray, to
 BLOCK = "slot int, owners binary, sizes binary, counts binary, tokens binary, extra binary"
 
 
-def read_blocks(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def read_blocks(rows: pd.DataFrame, extra: type = np.uint8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """owner, size, token and extra of each posting of the rows."""
     join = lambda name, kind: np.frombuffer(b"".join(rows[name]), dtype=kind)
     counts = join("counts", np.uint32)
@@ -87,5 +87,5 @@ def read_blocks(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         np.repeat(join("owners", np.int64), counts),
         np.repeat(join("sizes", np.uint32), counts),
         join("tokens", np.uint64),
-        join("extra", np.uint8),
+        join("extra", extra),
     )
