@@ -102,6 +102,10 @@ def shard_quotas(quotas: DataFrame, n_shards: int) -> DataFrame:
     )
 
 
+def _draw(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(F.col("text").cast("binary")))
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), block_tokens: int = BLOCK_TOKENS, seed: int = 42) -> DataFrame:
     """Words that the mix takes of each document.
 
@@ -123,7 +127,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), block_token
             "doc_id",
             "source",
             token_count().alias("size"),
-            F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(F.col("text").cast("binary"))).alias("draw"),
+            _draw(seed).alias("draw"),
         )
     )
     buckets = balanced_buckets(rows.count())
@@ -170,4 +174,30 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), block_token
         "target",
         (F.col("rounds") * F.col("size") + run).cast("long").alias("taken"),
         "source",
+        "draw",
+    )
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), block_tokens: int = BLOCK_TOKENS, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, with all columns, as often as the mix takes them: none to EPOCHS
+    times, the taken words by the size, rounded. A document without words is not taken.
+
+    Rows that repeat a document share what it is taken.
+    """
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("long")
+    plan = (
+        mix_sources(docs.select("doc_id", "source", "text"), weights, block_tokens, seed)
+        .groupBy(F.col("doc_id").alias("mix_doc"), F.col("draw").alias("mix_draw"))
+        .agg(F.sum(copies).alias("mix_copies"), F.count("*").alias("mix_rows"))
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("mix_doc")) & (F.col("mix_key") == F.col("mix_draw"))
+    alike = Window.partitionBy("mix_doc", "mix_draw").orderBy("mix_doc")
+    return (
+        docs.withColumn("mix_key", _draw(seed))
+        .join(plan.filter("mix_copies > 0"), same)
+        .withColumn("mix_row", F.row_number().over(alike))
+        .withColumn("mix_own", F.expr("mix_copies div mix_rows + if(mix_row <= mix_copies % mix_rows, 1, 0)"))
+        .filter("mix_own > 0")
+        .withColumn("mix_copy", F.explode(F.expr("sequence(1, mix_own)")))
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

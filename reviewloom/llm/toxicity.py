@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -359,9 +360,9 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows of ``docs``, with all columns, whose text isn't toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value.scorer()
         for batch in batches:
-            yield batch[[of(x) < 0.5 for x in batch["text"]]]
+            yield batch.filter(pa.array([of(x) < 0.5 for x in batch.column("text").to_pylist()], type=pa.bool_()))
 
-    return docs.mapInPandas(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
