@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.operators.filters import SCRIPT_ENDINGS, any_of, extension, is_high_risk
+from reviewloom.operators.diff import trimmed
+from reviewloom.operators.filters import SCRIPT_ENDINGS, any_of, ascii_words, extension, is_high_risk
 
 KIND_FIELDS = (
     "kind string, signal_budget int, code_budget int, table_budget int, hunk_review boolean, dependency_cycles boolean, code_context boolean,"
@@ -86,16 +87,15 @@ def file_kind(path: Column, diff_text: Column) -> Column:
 
 
 def diff_text(hunk_rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, diff_text: the hunks of a file in order, lower-cased, each ending in a line break."""
+    """key, diff_text: the hunks of a file in order, lower-cased, joined by line breaks."""
     whole = F.array_sort(F.collect_list(F.struct("hunk_ix", "content")))
-    joined = F.array_join(F.transform(whole, lambda x: F.concat(x["content"], F.lit("\n"))), "\n")
-    return hunk_rows.groupBy(key).agg(F.lower(joined).alias("diff_text"))
+    return hunk_rows.groupBy(key).agg(F.lower(F.array_join(whole["content"], "\n")).alias("diff_text"))
 
 
 def impacts(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, impacts: up to three names of what the removal of lines may have changed."""
-    removed, bare = F.col("kind") == "-", F.trim(F.col("text"))
-    any_removed = lambda pattern: F.max(removed & (bare != "") & bare.rlike(pattern))
+    removed, bare = F.col("kind") == "-", trimmed(F.col("text"))
+    any_removed = lambda pattern: F.max(removed & (bare != "") & bare.rlike(ascii_words(pattern)))
     seen = line_rows.groupBy(key).agg(
         (F.max(removed) & ~F.max(F.col("kind") == "+")).alias("pure_removal"), *[any_removed(p).alias(n) for n, p in IMPACT]
     )
@@ -106,9 +106,9 @@ def impacts(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
 def removed_reason(text: Column) -> Column:
     """What a removed scope did, by the words of its lower-cased lines."""
     low = F.lower(text)
-    found = F.when(low.rlike(REMOVED_BEHAVIOUR[0][1]), REMOVED_BEHAVIOUR[0][0])
+    found = F.when(low.rlike(ascii_words(REMOVED_BEHAVIOUR[0][1])), REMOVED_BEHAVIOUR[0][0])
     for name, pattern in REMOVED_BEHAVIOUR[1:]:
-        found = found.when(low.rlike(pattern), name)
+        found = found.when(low.rlike(ascii_words(pattern)), name)
     return found.otherwise("default")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewloom.operators.diff import trimmed
+
 TOKEN_PREFIX = r"^Token 消耗:[^\n]*\n\n"
 MARKER, OUTDATED_MARKER = "<!-- ai-review:mr -->", "<!-- ai-review-outdated:mr -->"
 OUTDATED_NOTE = "> outdated by a newer review"
@@ -13,7 +15,7 @@ PREVIEW = 8
 
 def deduplicate(comments: DataFrame, by: str = "cr_id") -> DataFrame:
     """The first comment, by ord, at each place with each body, when token lines and outer blanks are left out."""
-    bare = F.trim(F.regexp_replace("body", TOKEN_PREFIX, ""))
+    bare = trimmed(F.regexp_replace("body", TOKEN_PREFIX, ""))
     first = Window.partitionBy(by, "path", "line", "side", "bare").orderBy("ord")
     return comments.withColumn("bare", bare).withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n", "bare")
 
@@ -75,10 +77,10 @@ def decorated(body: Column, marker: str = MARKER) -> Column:
 
 def outdated(body: Column, marker: str = MARKER, outdated_marker: str = OUTDATED_MARKER, note: str = OUTDATED_NOTE) -> Column:
     """The body marked as outdated, once; the first marker moves to the top."""
-    bare = F.trim(body)
+    bare = trimmed(body)
     at = F.instr(bare, F.lit(marker))
     rest = F.when(at > 0, F.concat(F.substr(bare, F.lit(1), at - 1), F.substr(bare, at + len(marker)))).otherwise(bare)
-    made = F.concat_ws("\n", F.lit(marker), F.lit(outdated_marker), F.lit(note), F.lit(""), F.trim(rest))
+    made = F.concat_ws("\n", F.lit(marker), F.lit(outdated_marker), F.lit(note), F.lit(""), trimmed(rest))
     return F.when(F.contains(body, F.lit(outdated_marker)), body).otherwise(made)
 
 

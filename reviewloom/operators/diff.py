@@ -11,6 +11,11 @@ _BEFORE_HEADER = r"(?m)(?=^@@ -[0-9]+,?[0-9]* \+[0-9]+,?[0-9]* @@)"
 BLANK = "\\x09-\\x0D\\x20\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
 
 
+def trimmed(text: Column) -> Column:
+    """``text`` without blanks at its ends."""
+    return F.regexp_replace(text, f"^[{BLANK}]+|[{BLANK}]+$", "")
+
+
 def normalized_status(status: Column) -> Column:
     """One of the four statuses; anything else is modified."""
     return F.when(status.isin("added", "modified", "deleted", "renamed"), status).otherwise("modified")
@@ -30,9 +35,9 @@ def hunks(file_diffs: DataFrame) -> DataFrame:
     """One row a hunk: hunk_ix and the header's ranges; a missing length is 1.
 
     A patch splits before its headers, so no line is exploded and nothing is shuffled; text
-    before the first header is dropped.
+    before the first header is dropped. Each line of a hunk's content ends in a line break.
     """
-    parts = file_diffs.withColumn("parts", F.filter(F.split("patch", _BEFORE_HEADER), lambda x: x.rlike(HUNK_HEADER)))
+    parts = file_diffs.withColumn("parts", F.filter(F.split(F.concat("patch", F.lit("\n")), _BEFORE_HEADER), lambda x: x.rlike(HUNK_HEADER)))
     rows = parts.select(*[c for c in file_diffs.columns if c != "patch"], F.posexplode("parts").alias("hunk_ix", "content"))
     number = lambda i: F.regexp_extract("content", HUNK_HEADER, i)
     length = lambda i: F.when(number(i) == "", 1).otherwise(number(i).cast("int"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.operators.diff import trimmed
+
 # Directories and endings of files that aren't reviewed.
 IGNORED_DIRECTORIES = ("node_modules", "dist", "build", "coverage", ".next", "storybook-static")
 IGNORED_LOCKFILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb")
@@ -33,6 +35,15 @@ SCRIPT_ENDINGS = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
 TRUTHY = ("1", "true", "yes", "on", "ndjson")
 
 
+_WORD = "[A-Za-z0-9_]"
+_BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+
+
+def ascii_words(pattern: str) -> str:
+    """``pattern`` with word boundaries that go by ASCII, whatever the engine's own do."""
+    return pattern.replace("\\b", _BOUNDARY)
+
+
 def any_of(patterns) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
@@ -84,7 +95,7 @@ LEGACY_BEGINNINGS = ("Token 消耗:", "💡 **[")
 
 def is_managed_comment(body: Column, author: Column, user: Column, marker: str, with_legacy: bool = True) -> Column:
     """Our own comments: marked, or with an old beginning, and by this user where that is known."""
-    bare = F.trim(body)
+    bare = trimmed(body)
     ours = F.contains(bare, F.lit(marker))
     if with_legacy:
         for beginning in LEGACY_BEGINNINGS:

@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.operators.diff import trimmed
+
 FENCED = r"(?is)```(?:json)?\s*(.*?)```"
 COMMENT = "array<struct<line:string,body:string,side:string>>"
 
 
+def is_json(text: Column) -> Column:
+    """Whether all of a text is one JSON value. The parser stops after a value, so it is asked
+    for the value inside an array and inside an object."""
+    inside = lambda a, b: F.try_parse_json(F.concat(F.lit(a), text, F.lit(b))).isNotNull()
+    return (text != "") & inside("[", "]") & inside('{"x":', "}")
+
+
 def top_level_objects(text: Column) -> Column:
     """The outermost {...} of a text, braces in JSON strings left out; one fold over its characters."""
     start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit("").alias("open"), F.expr("cast(array() as array<string>)").alias("found"))
@@ -33,13 +42,13 @@ def top_level_objects(text: Column) -> Column:
 def recovered_json(content: Column) -> Column:
     """The JSON in an answer, by the first of these that parses: all of it, a fenced block, from
     the first { to the last }, from the first [ to the last ], its outermost objects as an array."""
-    text = F.trim(content)
+    text = trimmed(content)
     between = lambda a, b: F.substr(text, F.instr(text, F.lit(a)), F.length(text) - F.instr(F.reverse(text), F.lit(b)) + 2 - F.instr(text, F.lit(a)))
     holds = lambda a, b: (F.instr(text, F.lit(a)) > 0) & (F.instr(F.reverse(text), F.lit(b)) > 0) & (F.length(text) - F.instr(F.reverse(text), F.lit(b)) + 1 > F.instr(text, F.lit(a)))
-    valid = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
+    valid = lambda x: F.when(is_json(x), x)
     objects = top_level_objects(text)
-    sequence = F.when((F.size(objects) > 0) & F.forall(objects, lambda x: F.try_parse_json(x).isNotNull()), F.concat(F.lit("["), F.array_join(objects, ","), F.lit("]")))
-    fenced = F.trim(F.regexp_extract(text, FENCED, 1))
+    sequence = F.when((F.size(objects) > 0) & F.forall(objects, is_json), F.concat(F.lit("["), F.array_join(objects, ","), F.lit("]")))
+    fenced = trimmed(F.regexp_extract(text, FENCED, 1))
     return F.coalesce(
         valid(text),
         F.when(text.rlike(FENCED), valid(fenced)),
@@ -55,11 +64,11 @@ def payload_comments(payloads: DataFrame, key: str = "payload_id") -> DataFrame:
     body = F.col("json")
     as_object = F.from_json(body, f"struct<comments:{COMMENT}>")["comments"]
     listed = F.when(F.ltrim(body).startswith("["), F.from_json(body, COMMENT)).otherwise(F.coalesce(as_object, F.expr(f"cast(array() as {COMMENT})")))
-    number = lambda x: F.try_cast(x["line"], "double") if hasattr(F, "try_cast") else x["line"].try_cast("double")
-    fits = lambda x: F.coalesce((number(x) > 0) & (number(x) == F.floor(number(x))) & (F.trim(x["body"]) != "") & F.coalesce(x["side"].isin("LEFT", "RIGHT"), F.lit(True)), F.lit(False))
+    number = lambda x: x["line"].try_cast("double")
+    fits = lambda x: F.coalesce((number(x) > 0) & (number(x) == F.floor(number(x))) & (trimmed(x["body"]) != "") & F.coalesce(x["side"].isin("LEFT", "RIGHT"), F.lit(True)), F.lit(False))
     rows = payloads.filter("json is not null").select(key, listed.alias("c")).filter(F.forall("c", fits))
     return rows.select(key, F.posexplode("c").alias("ord", "x")).select(
-        key, "ord", F.col("x.line").cast("double").cast("int").alias("line"), F.trim("x.body").alias("body"), F.coalesce("x.side", F.lit("RIGHT")).alias("side")
+        key, "ord", F.col("x.line").cast("double").cast("int").alias("line"), trimmed(F.col("x.body")).alias("body"), F.coalesce("x.side", F.lit("RIGHT")).alias("side")
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewloom.operators.filters import ascii_words
+
 # Words that are no identifiers worth a search.
 STOP_NAMES = (
     "if", "for", "while", "switch", "catch", "return", "await", "async", "const", "let", "var", "true", "false", "null",
@@ -41,7 +43,12 @@ def identifier_candidates(texts: DataFrame, key: str = "doc_id", column: str = "
     """
     text = signal_text(F.col(column))
     rows = texts.select(key, text.alias("t"))
-    plain = [F.transform(F.regexp_extract_all("t", F.lit(p), F.lit(1)), lambda x, n=n: F.struct(x.alias("name"), F.lit(n).alias("score"), F.lit(None).cast("string").alias("source"))) for p, n in NAME_SOURCES]
+
+    def names_at(pattern: str, score: int) -> Column:
+        found = F.regexp_extract_all("t", F.lit(pattern), F.lit(1))
+        return F.transform(found, lambda x: F.struct(x.alias("name"), F.lit(score).alias("score"), F.lit(None).cast("string").alias("source")))
+
+    plain = [names_at(ascii_words(p), n) for p, n in NAME_SOURCES]
 
     def imports(pattern: str, score: int) -> Column:
         pairs = F.arrays_zip(F.regexp_extract_all("t", F.lit(pattern), F.lit(1)).alias("names"), F.regexp_extract_all("t", F.lit(pattern), F.lit(2)).alias("source"))
