@@ -17,11 +17,10 @@ from reviewloom.llm.shingles import BLOCK, mixed, posting_blocks, read_blocks, s
 THRESHOLD = 80  # percent
 #: Tokens in more sets than this are indexed in pairs, others alone.
 RARE_SETS = 16
-#: Signature groups up to this size give their pairs at once, larger ones by rounds of pivots.
-SMALL_GROUP = 8
-PIVOT_ROUNDS = 6
+#: Sets of a block; a task compares two blocks.
+BLOCK_SETS = 256
 CHARS_PER_SLOT = 8_000_000
-_POSTINGS_PER_BLOCK = 2_000_000
+_POSTINGS_PER_BLOCK, _COLUMNS = 2_000_000, 8192
 
 
 def needed_overlap(size: int) -> int:
@@ -170,51 +169,75 @@ def indexed_sets(docs: DataFrame, slots: int) -> DataFrame:
     return shared_tokens(docs, slots).groupBy("slot").applyInPandas(index, "node long, size int, tokens array<long>, signatures array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by the exact size of their intersection."""
-    left = sets.select(F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("tokens").alias("a_tokens"))
-    right = sets.select(F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("tokens").alias("b_tokens"))
-    sizes = pairs.join(left.drop("a_tokens"), "a").join(right.drop("b_tokens"), "b")
-    near = sizes.filter(f"100 * least(a_size, b_size) >= {THRESHOLD} * greatest(a_size, b_size)").select("a", "b")
-    both = near.join(right, "b").join(left, "a").withColumn("shared", F.size(F.array_intersect("a_tokens", "b_tokens")))
-    return both.filter(f"100 * shared >= {THRESHOLD} * (a_size + b_size - shared)").select("a", "b")
-
+def linked_pairs(size: np.ndarray, tokens: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+    """Links between sets, by the exact sizes of all intersections, as a spanning forest of
+    them. With two sides, only sets of different sides are compared."""
+    n = len(size)
+    owner = np.repeat(np.arange(n), [len(x) for x in tokens])
+    _, column = np.unique(np.concatenate(tokens), return_inverse=True)
+    shared, order = np.zeros((n, n), dtype=np.float64), np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for low in range(0, int(column[-1]) + 1, _COLUMNS):
+        part = slice(*np.searchsorted(column, (low, low + _COLUMNS)))
+        x = np.zeros((n, _COLUMNS), dtype=np.float32)
+        x[owner[part], column[part] - low] = 1
+        shared += x @ x.T
+    total = size[:, None].astype(np.float64) + size[None, :]
+    links = 100 * shared >= THRESHOLD * (total - shared)
+    if side.min() != side.max():
+        links &= side[:, None] != side[None, :]
+    np.fill_diagonal(links, False)
+    forest, seen = [], np.zeros(n, dtype=bool)
+    for root in range(n):
+        if not seen[root]:
+            seen[root], waiting = True, [root]
+            while waiting:
+                at = waiting.pop()
+                new = np.flatnonzero(links[at] & ~seen)
+                seen[new] = True
+                forest += [(at, int(x)) for x in new]
+                waiting += new.tolist()
+    return forest
+
+
+def neighbourhoods(sets: DataFrame) -> DataFrame:
+    """node, label of the sets that signatures connect to others. A signature's sets hang on its
+    smallest, so it gives a row a set."""
+    members = sets.select(F.explode("signatures").alias("sign"), "node")
+    lowest = members.groupBy("sign").agg(F.min("node").alias("low"), F.count("*").alias("n")).filter("n > 1")
+    return connected_components(members.join(lowest, "sign").select(F.col("low").alias("a"), F.col("node").alias("b")))
+
+
+def set_links(sets: DataFrame, slots: int) -> DataFrame:
+    """node, label of the sets that link to another: components by verified links.
+
+    Sets that share a signature are in one neighbourhood, so every link is inside of one. A
+    neighbourhood is cut into blocks of BLOCK_SETS by hash, and each pair of its blocks is
+    compared in one task, which holds two blocks and gives a forest of the links it finds: a
+    row a set at most, whatever the number of links. Neighbourhoods of one block share tasks.
+    """
+    near = checkpointed(neighbourhoods(sets))
+    sizes = near.groupBy("label").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("blocks"))
+    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")), F.explode(F.expr("sequence(0L, blocks - 1)"))
+    placed = (
+        sets.select("node", "size", "tokens")
+        .join(near.join(sizes, "label"), "node")
+        .withColumn("own", own)
+        .withColumn("other", other)
+        .withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(slots))).otherwise(F.col("label")))
+        .select("task", "label", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "node", "size", "tokens")
+    )
 
-def set_links(sets: DataFrame) -> DataFrame:
-    """node, label of the sets that link to another: components by verified pairs.
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, part in rows.groupby("label", sort=False):
+            nodes = part["node"].to_numpy()
+            if len(nodes) > 1:
+                forest = linked_pairs(part["size"].to_numpy(), part["tokens"].tolist(), part["own"].to_numpy())
+                found += [(nodes[a], nodes[b]) for a, b in forest]
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    A group of a signature needs no pair of two sets that are known to be of one component.
-    So a large group is compared with one of its members, the pivot, a row a member; then
-    components are computed, and groups that are of one component now are done. What stays
-    goes on without the pivots. Small groups, and what is left after PIVOT_ROUNDS, give all
-    pairs of sets from different components. Every pair that shares a signature is
-    verified, or is of one component; so no component is cut.
-    """
-    members = checkpointed(sets.select(F.explode("signatures").alias("sign"), "node"))
-    sized = members.groupBy("sign").agg(F.count("*").alias("n")).filter("n > 1")
-    members = checkpointed(members.join(sized, "sign").withColumn("label", F.col("node")))
-    links = None
-    for round_ in range(PIVOT_ROUNDS + 1):
-        last = round_ == PIVOT_ROUNDS
-        small = members if last else members.filter(f"n <= {SMALL_GROUP}")
-        other = small.select("sign", F.col("node").alias("b"), F.col("label").alias("b_label"))
-        pairs = small.join(other, "sign").filter("node < b and label <> b_label").select(F.col("node").alias("a"), "b")
-        large = None if last else members.filter(f"n > {SMALL_GROUP}")
-        if large is not None:
-            pivots = large.groupBy("sign").agg(F.min_by(F.struct("node", "label"), "node").alias("pivot"))
-            aside = large.join(pivots, "sign").filter("node <> pivot.node").withColumn("new", F.col("label") != F.col("pivot.label"))
-            pairs = pairs.union(aside.filter("new").select(F.col("pivot.node"), "node"))
-        found = checkpointed(verified(pairs.distinct(), sets))
-        links = found if links is None else links.union(found)
-        labels = checkpointed(connected_components(links))
-        if last or large.isEmpty():
-            break
-        rest = aside.drop("label", "pivot", "new", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        apart = rest.groupBy("sign").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        members = checkpointed(rest.join(apart.select("sign", "n"), "sign"))
-        if members.isEmpty():
-            break
-    return labels
+    return connected_components(placed.groupBy("task", "first", "second").applyInPandas(compare, "a long, b long"))
 
 
 def link_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -233,7 +256,7 @@ def link_near_duplicates(docs: DataFrame) -> DataFrame:
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     slots = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // CHARS_PER_SLOT)
     rows = checkpointed(document_sets(docs))
-    labels = set_links(checkpointed(indexed_sets(docs, slots)))
+    labels = set_links(checkpointed(indexed_sets(docs, slots)), slots)
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
