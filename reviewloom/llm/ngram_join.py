@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,13 +81,14 @@ def log_frequency(n: np.ndarray) -> np.ndarray:
 def document_sets(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and node (a name of the set; null without words) of each row."""
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(x) for x in batch["text"]]
-            nodes = pd.array([set_key(x) if len(x) else None for x in found], dtype="Int64")
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [len(x) for x in found], "node": nodes})
+            found = [shingle_set(x) for x in batch.column("text").to_pylist()]
+            sizes = pa.array([len(x) for x in found], type=pa.int64())
+            nodes = pa.array([set_key(x) if len(x) else None for x in found], type=pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, nodes], names=["doc_id", "n_shingles", "node"])
 
-    return docs.select("doc_id", "text").mapInPandas(sets, "doc_id long, n_shingles long, node long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "doc_id long, n_shingles long, node long")
 
 
 def shared_tokens(docs: DataFrame, slots: int) -> DataFrame:
@@ -160,7 +162,7 @@ def indexed_sets(docs: DataFrame, slots: int) -> DataFrame:
         owner, size, token, frequency = owner[order], size[order], token[order], frequency[order]
         found = []
         starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.empty(0, dtype=np.int64)
-        for a, b in zip(starts, np.append(starts[1:], len(owner)), strict=True):
+        for a, b in zip(starts, [*starts[1:], len(owner)], strict=False):
             signs = signatures(int(size[a]), token[a:b], frequency[a:b])
             if len(signs):
                 found.append((int(owner[a]), int(size[a]), token[a:b].view(np.int64), signs.view(np.int64)))

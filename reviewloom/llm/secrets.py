@@ -9,9 +9,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 ASSIGN = re.compile(
     r"((?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?((?-i:[A-Za-z0-9+/_.=-]+))",
@@ -159,11 +161,11 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     repeated rows; an empty table gives none; other columns of ``docs`` are ignored.
     """
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = {k: i for i, k in enumerate((*BASE_KINDS, *(c.kind for c in ENTROPY_CLASSES)))}
         for batch in batches:
             rows = []
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 base, added = secret_spans(text) if text else ([], [])
                 kinds = [k for _, _, k in base]
                 rows.append(
@@ -174,7 +176,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
                         len(added),
                     )
                 )
-            out = pd.DataFrame(rows, columns=SCHEMA.names[1:], index=batch.index).astype({"base_sha256": object, "spans": object})
-            yield pd.concat([batch[["doc_id"]], out], axis=1)
+            columns = zip(*rows, strict=True) if rows else [[] for _ in SCHEMA.names[1:]]
+            arrays = [pa.array(list(c), type=to_arrow_type(f.dataType)) for c, f in zip(columns, SCHEMA.fields[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=SCHEMA.names)
 
-    return docs.select("doc_id", "text").mapInPandas(scan, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, SCHEMA)

@@ -347,12 +347,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value.scorer()
         for batch in batches:
-            yield batch.drop(columns="text").assign(score=[of(x) for x in batch["text"]])
+            scores = pa.array([of(x) for x in batch.column("text").to_pylist()], type=pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), scores], names=["doc_id", "held_out", "score"])
 
-    scored = docs.select("doc_id", held_out().alias("held_out"), "text").mapInPandas(score, "doc_id long, held_out boolean, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(score, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
