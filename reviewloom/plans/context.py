@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions import text
-from reviewloom.operators import comments, configs, diff, filters, payloads, prompts, segments, symbols
+from reviewloom.operators import code, comments, configs, diff, filters, payloads, prompts, segments, symbols
 from reviewloom.operators.classify import STRATEGIES
 from reviewloom.plans.oracles import FILES, LINES, _with
 from reviewloom.plans.review import _files, _lines
@@ -137,10 +137,21 @@ def scope_segments(spark, sf):
     return segments.run_segments(rows, "doc_id", "event_id", "event_type").select("doc_id", "event_id", "segment_ix")
 
 
+def source_contracts(spark, sf):
+    return code.export_contracts(bridge.source_files(spark, sf)).select("path", "name", "kind", "line", "required", "total", "rest")
+
+
+def source_calls(spark, sf):
+    """Calls of imported names with the module that they mean."""
+    files = bridge.source_files(spark, sf)
+    imports = code.import_bindings(files).withColumn("module", code.resolved_modules(F.col("path"), F.col("module")))
+    return code.usages(imports, code.call_sites(files)).select("path", "symbol", "module", "line", "is_new", "argc")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
         json_touched_keys, shell_commands, kv_config_keys, yaml_key_paths, prompt_budgets, signal_pack, context_pack, snippet_compact, name_parts, number_fields,
-        search_paged, file_contents, latest_versions, webhook_events, retry_delays, usage_lines, capped_context, scope_segments,
+        search_paged, file_contents, latest_versions, webhook_events, retry_delays, usage_lines, capped_context, scope_segments, source_contracts, source_calls,
     )
     return {f.__name__: f for f in listed}
 
@@ -149,6 +160,8 @@ def oracle_sql() -> dict[str, str]:
     strategy = ", ".join(f"({i}, {r[1]}, {r[2]})" for i, r in enumerate(STRATEGIES))
     first = lambda inner, keep: f"select doc_id, n, name from (select doc_id, name, row_number() over (partition by doc_id order by spot) as n from (select doc_id, name, min(spot) as spot from ({inner}) group by doc_id, name)) where n <= {keep}"
     return {
+        "source_contracts": """select 'src/m' || doc_id || '.ts' as path, 'f' || doc_id as name, 'function' as kind, 3 as line, cast(doc_id % 4 as int) as required, cast(doc_id % 4 as int) as total, false as rest from documents""",
+        "source_calls": """select 'src/m' || doc_id || '.ts' as path, 'f' || (doc_id * 3 % 100) as symbol, 'src/m' || (doc_id * 3 % 100) as module, 4 as line, false as is_new, case when doc_id % 3 = 0 then 2 else 0 end as argc from documents""",
         "json_touched_keys": first("select user_id as doc_id, event_id as spot, event_type || (event_id % 3) as name from events", 10),
         "shell_commands": _with(
             LINES,

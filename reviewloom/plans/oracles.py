@@ -228,8 +228,8 @@ def oracle_sql() -> dict[str, str]:
             case when comments > 0 then 'comments' when files % 2 > 0 then 'findings' when errors > 0 then 'error' else 'clean' end as outcome from c""",
         "findings_preview": _with(COMMENTS, select="select cr_id, n, path || ':' || line || ' ' || split_part(body, chr(10), 1) as preview from (select *, row_number() over (partition by cr_id order by ord) as n from comments) where n <= 8"),
         "token_rollup": "select l_orderkey as run_id, cast(sum(cast(floor(l_quantity) as bigint)) as bigint) as prompt_tokens, cast(sum(l_linenumber) as bigint) as completion_tokens, cast(sum(cast(floor(l_quantity) as bigint) + l_linenumber) as bigint) as total_tokens from lineitem group by l_orderkey",
-        "status_texts": """select doc_id, md5(case when length(t) > 140 then substr(t, 1, 137) || '...' else t end) as short_md5, least(length(t), 255) as short_length,
-            case when length(t) > 2000 then length(rtrim(substr(t, 1, 1984))) + 14 else length(t) end as cut_length from (select doc_id, coalesce(text, '') as t from documents)""",
+        "status_texts": """select doc_id, md5(case when length(t) > 140 then substr(t, 1, 137) || '...' else t end) as short_md5, cast(least(length(t), 255) as int) as short_length,
+            cast(case when length(t) > 2000 then length(rtrim(substr(t, 1, 1984))) + 14 else length(t) end as int) as cut_length from (select doc_id, coalesce(text, '') as t from documents)""",
         "comment_bodies": _with(
             NOTES, "bare as (select note_id, body, regexp_replace(body, '^\\s+|\\s+$', '', 'g') as b, '<!-- ai-review:mr -->' as m from notes)",
             select="""select note_id, md5(case when contains(body, m) then body else m || chr(10) || body end) as decorated_md5,

@@ -150,3 +150,18 @@ def export_contracts(spark: SparkSession, sf_dir: str, version: str) -> DataFram
         F.expr(f"cast(p_partkey % 3 + 1 + if({shift} = 1 and p_partkey % 5 = 0, 1, 0) as int)").alias("total"),
         (F.col("p_partkey") % 7 == 0).alias("rest"),
     )
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: a module for each document, that exports a function of doc_id % 4
+    parameters and calls another module's by name or through its namespace."""
+    return read(spark, sf_dir, "documents").select(
+        F.expr("concat('src/m', doc_id, '.ts')").alias("path"),
+        F.expr(
+            """concat('// module ', doc_id, '\n',
+              if(doc_id % 2 = 0, concat('import { f', doc_id * 3 % 100, ' as g } from \\'./m', doc_id * 3 % 100, '\\'\n'),
+                                 concat('import * as g from "./m', doc_id * 3 % 100, '"\n')),
+              'export function f', doc_id, '(', array_join(transform(filter(array(0, 1, 2), i -> i < doc_id % 4), i -> concat('p', i)), ', '), ') {\n',
+              if(doc_id % 2 = 0, '  g(', concat('  g.f', doc_id * 3 % 100, '(')), if(doc_id % 3 = 0, '1, "a, b"', ''), ')\n}\n')"""
+        ).alias("content"),
+    )
