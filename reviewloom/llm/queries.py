@@ -47,6 +47,27 @@ from d left join covered c using (doc_id) left join listed l using (doc_id)
 
 SOURCE_WEIGHTS = (5, 2, 1)
 
+OP4_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+links as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+reach(doc_id, seen) as (select doc_id, doc_id from documents union select b, seen from reach join links on a = doc_id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, min(seen) as component_id
+from documents d left join n using (doc_id) join reach r using (doc_id) group by d.doc_id, n.n
+"""
+
+OP5_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) as bigint) as score
+      from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)
+select query_id, cast(place as int) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from p) where place <= 5
+"""
+
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
@@ -116,4 +137,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL}
+    return {"op3_decontamination": OP3_SQL, "op4_ngram_join": OP4_SQL, "op5_exact_topk": OP5_SQL}
