@@ -142,13 +142,19 @@ _CANDIDATE = (
 )
 
 
+#: Matches that one fold goes over. Folds append to arrays, which copies them; so a text's
+#: matches are folded in blocks, and the blocks once more.
+MATCHES_PER_BLOCK = 256
+
+
 def _candidates(kind: SpanKind, rank: int) -> Column:
-    """Candidates of a kind, from the texts before (``p``) and after (``n``) its matches ``f``.
+    """Candidates of a kind, from ``z``: the texts before (p) and after (n) each match f.
 
-    A running length over both gives each match's start, in code points.
+    A running length over both gives each match's start, in code points: in its block first,
+    and then, with the lengths of the blocks before, in the text.
     """
-    return F.expr(
-        f"""aggregate(arrays_zip(p, f, n),
+    votes = ", ".join(f"'{x}', c.{x}" for x in ("rank", "kind", "base", *LABELERS))
+    block = f"""aggregate(slice(z, i * {MATCHES_PER_BLOCK} + 1, {MATCHES_PER_BLOCK}),
           named_struct('at', 0L, 'out', cast(array() as {_CANDIDATE})),
           (s, x) -> named_struct(
             'at', s.at + length(x.p) + coalesce(length(x.f), 0),
@@ -160,7 +166,12 @@ def _candidates(kind: SpanKind, rank: int) -> Column:
                 'gazetteer', case when lower(right(x.p, {CONTEXT_CHARS})) rlike r'{kind.cues}' then 1
                                   when lower(right(x.p, {CONTEXT_CHARS})) rlike r'{kind.against}' then -1 else 0 end,
                 'context', if(right(x.p, 1) rlike '[A-Za-z0-9]' or left(coalesce(x.n, ''), 1) rlike '[A-Za-z0-9]', -1, 1),
-                'checksum', {_on(kind.checksum)}))) end)).out"""
+                'checksum', {_on(kind.checksum)}))) end))"""
+    return F.expr(
+        f"""flatten(aggregate(transform(sequence(0, greatest(size(z) - 1, 0) div {MATCHES_PER_BLOCK}), i -> {block}),
+          named_struct('at', 0L, 'out', cast(array() as array<{_CANDIDATE}>)),
+          (s, b) -> named_struct('at', s.at + b.at, 'out', concat(s.out, array(
+            transform(b.out, c -> named_struct('start', c.start + s.at, 'end', c.end + s.at, {votes})))))).out)"""
     )
 
 
@@ -186,7 +197,8 @@ def label_candidates(docs: DataFrame) -> DataFrame:
         zipped = _candidates(kind, rank)
         rows = rows.withColumnsRenamed({f"p_{kind.name}": "p", f"f_{kind.name}": "f"})
         rows = rows.withColumn("n", F.expr("slice(p, 2, greatest(1, size(p)))"))
-        rows = rows.withColumn(f"c_{kind.name}", zipped).drop("p", "f", "n")
+        rows = rows.withColumn("z", F.arrays_zip("p", "f", "n")).drop("p", "f", "n")
+        rows = rows.withColumn(f"c_{kind.name}", zipped).drop("z")
     every = F.concat(*[F.col(f"c_{k.name}") for k in SPAN_KINDS])
     return rows.select("doc_id", every.alias("candidates"))
 

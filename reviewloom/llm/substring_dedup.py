@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm.common import checkpointed
 from reviewloom.llm.shingles import BLOCK, mixed, posting_blocks, read_blocks
-from reviewloom.llm.suffix_dedup import _LAST_ID, BYTES_PER_SLOT, _bytes, _ids, _slot_of, prime_from
+from reviewloom.llm.suffix_dedup import BYTES_PER_SLOT, _bytes, _slot_of, named, owned, prime_from
 
 SHORTEST, LONGEST = 32, 256
 #: Five bits of the gear hash, of which the highest depends on the last 26 bytes.
@@ -53,7 +53,7 @@ def cut_points(data: np.ndarray) -> list[int]:
 
 def chunk_digests(data: np.ndarray, ends: list[int]) -> np.ndarray:
     """128 bits of each chunk, as rows of two integers."""
-    raw, starts = data.tobytes(), [0, *ends[:-1]]
+    raw, starts = data.tobytes(), [0, *ends][:-1]
     joined = b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(starts, ends, strict=True))
     return np.frombuffer(joined, dtype=np.uint64).reshape(-1, 2)
 
@@ -72,7 +72,7 @@ def repeated_chunks(docs: DataFrame, slots: int) -> DataFrame:
 
         waiting = 0
         for batch in batches:
-            for doc, text in zip(_ids(batch["doc_id"]), batch["text"], strict=True):
+            for doc, text in zip(batch["owner"], batch["text"], strict=True):
                 data = _bytes(text)
                 held.append((doc, np.unique(chunk_digests(data, cut_points(data)), axis=0)))
                 waiting += len(data)
@@ -93,7 +93,7 @@ def repeated_chunks(docs: DataFrame, slots: int) -> DataFrame:
         owners, counts = np.unique(owner, return_counts=True)
         return next(posting_blocks(owners, np.zeros(len(owners)), counts, low[order], np.repeat(owners % slots, counts), slots, high[order]))
 
-    return docs.select("doc_id", "text").mapInPandas(postings, BLOCK).groupBy("slot").applyInPandas(judge, BLOCK)
+    return docs.mapInPandas(postings, BLOCK).groupBy("slot").applyInPandas(judge, BLOCK)
 
 
 def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
@@ -108,11 +108,11 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
     are cut whole; rows that repeat a doc_id lose nothing to each other; a null doc_id is
     above all others; an empty table gives no rows; other columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
+    docs = owned(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = prime_from(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BYTES_PER_SLOT))
     again = checkpointed(repeated_chunks(docs, slots))
-    texts = docs.withColumn("slot", F.pmod(F.coalesce("doc_id", F.lit(_LAST_ID)), F.lit(slots)).cast("int"))
+    texts = docs.withColumn("slot", F.pmod("owner", F.lit(slots)).cast("int"))
 
     def cut(blocks: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         owner, _, low, high = read_blocks(blocks, np.uint64)
@@ -120,7 +120,7 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
         for doc, a, b in zip(owner.tolist(), low.tolist(), high.tolist(), strict=True):
             gone_of.setdefault(doc, set()).add((a, b))
         rows = []
-        for doc, text in zip(_ids(texts["doc_id"]).tolist(), texts["text"], strict=True):
+        for doc, text in zip(texts["owner"].tolist(), texts["text"], strict=True):
             data = _bytes(text)
             ends = cut_points(data)
             seen = set(gone_of.get(doc, ()))
@@ -137,8 +137,7 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
             left = b"".join(x.tobytes() for x in kept).decode("utf-8", "surrogatepass")
             rows.append((len(data), len(ends), sum(b - a for a, b in spans), len(spans), ",".join(f"{a}:{b}" for a, b in spans), left))
         out = pd.DataFrame(rows, columns=["n_bytes", "n_chunks", "n_removed", "n_spans", "spans", "kept_text"], index=texts.index)
-        return pd.concat([texts[["doc_id"]], out.astype({"spans": object, "kept_text": object})], axis=1)
+        return pd.concat([texts[["owner", "known"]], out.astype({"spans": object, "kept_text": object})], axis=1)
 
-    return again.groupBy("slot").cogroup(texts.groupBy("slot")).applyInPandas(
-        cut, "doc_id long, n_bytes long, n_chunks long, n_removed long, n_spans long, spans string, kept_text string"
-    )
+    fields = "owner long, known boolean, n_bytes long, n_chunks long, n_removed long, n_spans long, spans string, kept_text string"
+    return named(again.groupBy("slot").cogroup(texts.groupBy("slot")).applyInPandas(cut, fields))

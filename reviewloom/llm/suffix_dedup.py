@@ -28,6 +28,7 @@ from reviewloom.llm.shingles import BLOCK, mixed, posting_blocks, read_blocks
 WIDTH, GRAM = 50, 16
 _GRAMS = WIDTH - GRAM + 1  # of a window, and windows of a phrase at most
 _SPAN = _GRAMS - 1 + WIDTH  # bytes of a phrase at most
+_PHRASES = 16_000  # that are sorted at once
 _PIECE = 1 << 21  # windows of a text that are parsed at once
 _BYTES_PER_BLOCK, BYTES_PER_SLOT = 16_000_000, 8_000_000
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -61,7 +62,7 @@ class _Powers:
         return cls.up, cls.down
 
 
-def _parsed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _parsed(data: np.ndarray) -> tuple[np.ndarray, ...]:
     values = _BYTE_VALUES[data]
     grams, step = values, 1
     while step < GRAM:
@@ -83,19 +84,19 @@ def _parsed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(values * up[: len(values)])))
     whole = (sums[last + WIDTH] - sums[first]) * down[first]
     shape = (last - first).astype(np.uint64) * np.uint64(1000) + (trigger - first).astype(np.uint64)
-    return first, last - first + 1, grams[trigger], mixed(whole ^ mixed(shape + np.uint64(1)))
+    return first, last - first + 1, grams[trigger], mixed(whole ^ mixed(shape + np.uint64(1))), trigger - first
 
 
-def parse(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def parse(data: np.ndarray) -> tuple[np.ndarray, ...]:
     """The phrases of a text: first window, number of windows, hash of the trigger, and of
-    the phrase. Long texts are parsed in pieces, so memory stays bounded; at a cut a phrase
+    the phrase, and where in it the trigger is. Long texts are parsed in pieces, so memory stays bounded; at a cut a phrase
     falls in two, each of which is compared by its windows like any other."""
     parts, n = [], len(data) - WIDTH + 1
     for at in range(0, n, _PIECE):
-        first, windows, trigger, phrase = _parsed(data[at : min(at + _PIECE, n) + WIDTH - 1])
-        parts.append((first + at, windows, trigger, phrase))
+        first, *rest = _parsed(data[at : min(at + _PIECE, n) + WIDTH - 1])
+        parts.append((first + at, *rest))
     if not parts:
-        parts = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64))]
+        parts = [tuple(np.empty(0, dtype=x) for x in (np.int64, np.int64, np.uint64, np.uint64, np.int64))]
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -103,8 +104,16 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
 
 
-def _ids(column: pd.Series) -> np.ndarray:
-    return column.astype("Int64").fillna(_LAST_ID).to_numpy(dtype=np.int64)
+def owned(docs: DataFrame) -> DataFrame:
+    """owner (the doc_id, or what stands for none, as pandas has no null among integers),
+    known (whether there is one) and text."""
+    owner = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID))
+    return docs.select(owner.alias("owner"), F.col("doc_id").isNotNull().alias("known"), "text")
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """``rows`` with doc_id for owner and known."""
+    return rows.select(F.when(F.col("known"), F.col("owner")).alias("doc_id"), *[c for c in rows.columns if c not in {"owner", "known"}])
 
 
 def _slot_of(tokens: np.ndarray, slots: int) -> np.ndarray:
@@ -144,9 +153,9 @@ def judged_phrases(docs: DataFrame, slots: int) -> DataFrame:
 
         waiting = 0
         for batch in batches:
-            for doc, text in zip(_ids(batch["doc_id"]), batch["text"], strict=True):
+            for doc, text in zip(batch["owner"], batch["text"], strict=True):
                 data = _bytes(text)
-                _, _, trigger, phrase = parse(data)
+                _, _, trigger, phrase, _ = parse(data)
                 phrase, at = np.unique(phrase, return_index=True)
                 held.append((doc, trigger[at], phrase))
                 waiting += len(data)
@@ -170,7 +179,7 @@ def judged_phrases(docs: DataFrame, slots: int) -> DataFrame:
         keep = repeated | unknown
         return _to_documents(owner[keep], phrase[keep], np.where(repeated[keep], _ALL, np.uint64(0)), slots)
 
-    return docs.select("doc_id", "text").mapInPandas(postings, BLOCK).groupBy("slot").applyInPandas(judge, BLOCK)
+    return docs.mapInPandas(postings, BLOCK).groupBy("slot").applyInPandas(judge, BLOCK)
 
 
 def _answers(rows: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -179,7 +188,7 @@ def _answers(rows: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     order = np.lexsort((phrase, owner))
     owner, phrase, mask = owner[order], phrase[order], mask[order]
     starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.empty(0, dtype=np.int64)
-    return {int(owner[a]): (phrase[a:b], mask[a:b]) for a, b in zip(starts, np.append(starts[1:], len(owner)), strict=True)}
+    return {int(owner[a]): (phrase[a:b], mask[a:b]) for a, b in zip(starts, [*starts[1:], len(owner)], strict=False)}
 
 
 def _found(phrase: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,17 +200,17 @@ def _found(phrase: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def dictionary_phrases(asked: pd.DataFrame, texts: pd.DataFrame, slots: int) -> pd.DataFrame:
     """The bytes of the phrases that a slot's documents were asked for, dealt by trigger."""
     wanted, held = _answers(asked), []
-    for doc, text in zip(_ids(texts["doc_id"]), texts["text"], strict=True):
+    for doc, text in zip(texts["owner"], texts["text"], strict=True):
         if int(doc) in wanted:
             data = _bytes(text)
-            first, windows, trigger, phrase = parse(data)
+            first, windows, trigger, phrase, inside = parse(data)
             _, is_asked = _found(phrase, wanted[int(doc)][0])
             phrase, at = np.unique(phrase[is_asked], return_index=True)
-            first, windows, trigger = first[is_asked][at], windows[is_asked][at], trigger[is_asked][at]
+            first, windows, trigger, inside = (x[is_asked][at] for x in (first, windows, trigger, inside))
             padded = np.append(data, np.zeros(_SPAN, dtype=np.uint8))
-            spans = np.zeros((len(first), _SPAN + 1), dtype=np.uint8)
-            spans[:, :_SPAN] = padded[first[:, None] + np.arange(_SPAN)] * (np.arange(_SPAN) < (windows + WIDTH - 1)[:, None])
-            spans[:, _SPAN] = windows
+            spans = np.zeros(len(first), dtype=_ENTRY)
+            spans["bytes"] = padded[first[:, None] + np.arange(_SPAN)] * (np.arange(_SPAN) < (windows + WIDTH - 1)[:, None])
+            spans["windows"], spans["inside"], spans["trigger"] = windows, inside, trigger
             held.append((doc, phrase, trigger, spans))
     if not held:
         return pd.DataFrame({x.split()[0]: [] for x in BLOCK.split(", ")})
@@ -210,32 +219,59 @@ def dictionary_phrases(asked: pd.DataFrame, texts: pd.DataFrame, slots: int) ->
     return next(posting_blocks(owners, np.zeros(len(owners)), counts, phrase, _slot_of(trigger, slots), slots, spans))
 
 
-def shared_windows(rows: pd.DataFrame, slots: int) -> pd.DataFrame:
-    """Masks of the windows that a smaller document's dictionary phrase has too.
+#: A phrase of the dictionary: its bytes, its windows, where its trigger is, and the trigger's hash.
+_ENTRY = np.dtype([("bytes", np.uint8, _SPAN), ("windows", np.uint8), ("inside", np.uint8), ("trigger", np.uint64)])
 
-    The suffix array of the phrases to the depth of a window brings equal windows together.
-    """
-    owner, _, phrase, spans = read_blocks(rows, np.uint8)
-    spans = spans.reshape(-1, _SPAN + 1)
-    windows = spans[:, _SPAN].astype(np.int64)
-    of = np.repeat(np.arange(len(owner)), windows)
-    offset = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+
+def _repeated(owner: np.ndarray, spans: np.ndarray, of: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Which windows (``offset`` in phrase ``of``) a smaller owner's phrase has too: a suffix
+    array of the phrases, to the depth of a window, brings equal windows together."""
     suffixes = np.zeros((len(of), 56), dtype=np.uint8)
-    suffixes[:, :WIDTH] = np.lib.stride_tricks.sliding_window_view(spans[:, :_SPAN], WIDTH, axis=1)[of, offset]
+    suffixes[:, :WIDTH] = np.lib.stride_tricks.sliding_window_view(spans["bytes"], WIDTH, axis=1)[of, offset]
     keys = suffixes.view(">u8").astype(np.uint64)
     order = np.lexsort(keys.T[::-1])
     new = np.append(True, (keys[order[1:]] != keys[order[:-1]]).any(axis=1))
     lowest = np.minimum.reduceat(owner[of[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
-    repeated = np.zeros(len(of), dtype=np.uint64)
-    repeated[order] = owner[of[order]] > lowest
-    mask = np.bitwise_or.reduceat(repeated << offset.astype(np.uint64), np.cumsum(windows) - windows)
+    found = np.zeros(len(of), dtype=bool)
+    found[order] = owner[of[order]] > lowest
+    return found
+
+
+def _masks(owner: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Masks of the phrases' windows that a smaller owner's phrase has too. Equal windows have
+    their trigger at one place, so many phrases are compared place by place."""
+    windows = spans["windows"].astype(np.int64)
+    of = np.repeat(np.arange(len(owner)), windows)
+    offset = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+    mask = np.zeros(len(owner), dtype=np.uint64)
+    place = spans["inside"].astype(np.int64)[of] - offset
+    for part in [slice(None)] if len(owner) <= 2 * _PHRASES else [place == x for x in range(_GRAMS)]:
+        if len(of[part]):
+            found = _repeated(owner, spans, of[part], offset[part])
+            np.bitwise_or.at(mask, of[part][found], np.uint64(1) << offset[part][found].astype(np.uint64))
+    return mask
+
+
+def shared_windows(rows: pd.DataFrame, slots: int) -> pd.DataFrame:
+    """Masks of the windows that a smaller document's dictionary phrase has too, for the
+    phrases of a slot's triggers, some triggers at a time."""
+    owner, _, phrase, spans = read_blocks(rows, _ENTRY)
+    order = np.argsort(spans["trigger"], kind="stable")
+    trigger = spans["trigger"][order]
+    cuts, starts = [0], np.flatnonzero(np.append(True, trigger[1:] != trigger[:-1]))
+    for a in [*starts.tolist(), len(order)]:
+        if a - cuts[-1] >= _PHRASES or a == len(order) > cuts[-1]:
+            cuts.append(a)
+    mask = np.zeros(len(owner), dtype=np.uint64)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        mask[order[a:b]] = _masks(owner[order[a:b]], spans[order[a:b]])
     keep = mask > 0
     return _to_documents(owner[keep], phrase[keep], mask[keep], slots)
 
 
 def removed_bytes(data: np.ndarray, phrases: np.ndarray, masks: np.ndarray) -> np.ndarray:
     """Which bytes of a text its phrases' masks cover."""
-    first, windows, _, phrase = parse(data)
+    first, windows, _, phrase, _ = parse(data)
     at, known = _found(phrase, phrases)
     mask = np.where(known, masks[at], np.uint64(0))
     of = np.repeat(np.arange(len(first)), windows)
@@ -258,12 +294,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     pieces; rows that repeat a doc_id lose nothing to each other; a null doc_id is above all
     others; an empty table gives no rows; other columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
+    docs = owned(docs)
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = prime_from(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // BYTES_PER_SLOT))
     judged = checkpointed(judged_phrases(docs, slots))
 
-    texts = docs.withColumn("slot", F.pmod(F.coalesce("doc_id", F.lit(_LAST_ID)), F.lit(slots)).cast("int"))
+    texts = docs.withColumn("slot", F.pmod("owner", F.lit(slots)).cast("int"))
     by_slot = texts.groupBy("slot")
     asked = (
         judged.groupBy("slot")
@@ -274,7 +310,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def cut(masks: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         known, rows = _answers(masks), []
-        for doc, text in zip(_ids(texts["doc_id"]), texts["text"], strict=True):
+        for doc, text in zip(texts["owner"], texts["text"], strict=True):
             data = _bytes(text)
             gone = np.zeros(len(data), dtype=bool)
             if int(doc) in known and len(data) >= WIDTH:
@@ -283,11 +319,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             spans = ",".join(f"{a}:{b}" for a, b in zip(edges[::2], edges[1::2], strict=True))
             rows.append((len(data), int(gone.sum()), len(edges) // 2, hashlib.sha256(data[~gone].tobytes()).hexdigest(), spans))
         out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"], index=texts.index)
-        return pd.concat([texts[["doc_id"]], out.astype({"kept_sha256": object, "spans": object})], axis=1)
+        return pd.concat([texts[["owner", "known"]], out.astype({"kept_sha256": object, "spans": object})], axis=1)
 
-    return masks.groupBy("slot").cogroup(by_slot).applyInPandas(
-        cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"
-    )
+    fields = "owner long, known boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"
+    return named(masks.groupBy("slot").cogroup(by_slot).applyInPandas(cut, fields))
 
 
 def _unknown(judged: pd.DataFrame) -> pd.DataFrame:
