@@ -255,12 +255,8 @@ def link_near_duplicates(docs: DataFrame) -> DataFrame:
     are read whole; repeated rows share a set; an empty table gives no rows; other columns
     are ignored; a null doc_id is never a component_id unless it stands alone.
     """
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    slots = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // CHARS_PER_SLOT)
     rows = checkpointed(document_sets(docs))
-    labels = set_links(checkpointed(indexed_sets(docs, slots)), slots)
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-    named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = labelled_sets(docs, rows)
     lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     of_node = named.join(lowest, "label").select("node", "component_id")
     return rows.join(of_node, "node", "left").select(
@@ -268,12 +264,36 @@ def link_near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def labelled_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, first (its smallest doc_id) and label (of its component) of each set of ``rows``,
+    which are the document_sets of ``docs``."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    slots = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // CHARS_PER_SLOT)
+    labels = set_links(checkpointed(indexed_sets(docs, slots)), slots)
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
+    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
 def first_of_groups(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, but one of each component: that of the smallest doc_id.
+    """The rows of ``docs``, with all columns, but one of each component: that of the smallest
+    doc_id, null last, and then of the smallest node. Rows without a set all stay.
 
-    Rows that repeat that doc_id are one document more than once; one of them stays.
+    Rows are told apart by doc_id and set, so different texts under one doc_id, or under none,
+    don't stand for each other. Rows that repeat both are copies; one of them stays.
     """
-    groups = link_near_duplicates(docs.select("doc_id", "text"))
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    once = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id"))).drop("kept_id")
-    return once.dropDuplicates(["doc_id"])
+    named = labelled_sets(docs, checkpointed(document_sets(docs)))
+    best = named.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("last"), "first", "node")).alias("best"))
+
+    def with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(x) for x in batch.column("text").to_pylist()]
+            nodes = pa.array([set_key(x) if len(x) else None for x in found], type=pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), nodes], names=["row", "node"])
+
+    whole = docs.select(F.struct("*").alias("row"), "text")
+    rows = whole.mapInArrow(with_node, whole.select("row", F.lit(None).cast("long").alias("node")).schema)
+    # null fields of structs are equal; a row without a set has a number of its own
+    alone = F.when(F.col("node").isNull(), F.monotonically_increasing_id())
+    rows = rows.withColumn("key", F.struct(F.col("row.doc_id").cast("long").alias("doc_id"), "node", alone.alias("alone")))
+    chosen = best.select(F.struct(F.col("best.first").alias("doc_id"), F.col("best.node").alias("node"), F.lit(None).cast("long").alias("alone")).alias("key"), F.lit(True).alias("chosen"))
+    return rows.join(chosen, "key", "left").filter("chosen or node is null").dropDuplicates(["key"]).select("row.*")

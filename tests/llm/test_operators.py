@@ -256,6 +256,16 @@ def test_repeated_and_null_rows(name, odd_docs):
     assert ids == [0, 0, 0, *[2**60 + 1] * 4]
 
 
+def test_first_of_groups_by_text_not_id(spark):
+    """Different texts under a null or repeated id all stay; near copies and copies among them don't."""
+    words = [" ".join(f"{x}{i}" for i in range(30)) for x in "abcd"]
+    near = words[0].replace("a29", "other")
+    rows = [(None, words[0]), (None, words[1]), (None, words[1]), (5, near), (9, words[2]), (9, words[3]), (9, words[3]), (None, None), (None, None), (9, ""), (9, "")]
+    kept = ngram_join.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    wanted = [(None, words[1]), (5, near), (9, words[2]), (9, words[3]), (None, None), (None, None), (9, ""), (9, "")]
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, wanted))
+
+
 def test_decontamination_edges(spark, empty_docs, odd_docs):
     items = spark.createDataFrame([(1, "some text of a few words here"), (1, "some text of a few words here"), (None, "few words")], "item_id long, text string")
     assert decontaminate.contamination(empty_docs, items).count() == 0
