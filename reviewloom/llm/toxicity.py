@@ -27,12 +27,15 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "€": "e", "£": "l", "¡": "i", "#": "h", "&": "a", "*": "aeiou",
 }
-#: Costs of the channel, in nats: a sign for a letter, a sign that means nothing, a repeated letter.
-SIGN_COST, DROP_COST, REPEAT_COST = 1.0, 3.0, 0.7
+#: Costs of the channel, in nats: a sign for a letter, a sign that means nothing, a letter repeated
+#: twice or more, or once, a gap inside a word, one between single characters, a sign that is meant as it is.
+SIGN_COST, DROP_COST, REPEAT_COST, DOUBLE_COST, GAP_COST, SPACED_COST, LITERAL_COST = 1.0, 3.0, 0.7, 5.0, 5.0, 1.0, 3.8
 BEAM = 24
 
-SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[ ._*-](?:[^\W_]|[@$!|+])){2,}(?!\S)")
-REPEATED = re.compile(r"(.)\1\1")
+DOUBLED = re.compile(r"(.)\1")
+EDGES = ".,;:?!\"'()[]{}<>*#%&$|~^`_-+=/\\«»¿¡…–—"
+#: Edges of tokens without a letter, whose signs may be letters.
+BARE_EDGES = ".,;:?\"'()[]{}<>%~^`_-=/\\«»¿…–—"
 MEMO_SIZE = 300_000
 
 
@@ -97,70 +100,137 @@ class Decoder:
 
     logp: np.ndarray
 
+    def __post_init__(self):
+        self.costs = (-self.logp.astype(np.float64)).tolist()
+        self.sides = Memo(_sides)
+
     def decode(self, token: str) -> str:
-        """The likeliest word: each character stands for itself, for a letter that its sign
-        looks like, for nothing (signs between letters), or repeats the letter before it.
+        """The likeliest words: each character stands for itself, for a letter that its sign
+        looks like, for nothing (signs between letters), or repeats the letter before it; a
+        gap is kept, as a boundary, or dropped. Without any letter in it, a token may also
+        mean its signs, all of them; then '' is returned.
 
         States are the last ORDER - 1 letters; of each only the best path is kept.
         """
-        states = {(0, 0, 0): (0.0, "")}
-        text = fold(token)
+        text, costs = fold(token), self.costs
+        bare = not any(c.isalpha() for c in text)
+        states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
         for i, c in enumerate(text):
             options: list[tuple[str, float]] = []
-            if c.isalpha():
+            if c == " ":
+                spaced = text[max(0, i - 2) : i - 1] in ("", " ") and text[i + 2 : i + 3] in ("", " ")
+                options += [(" ", 0.0), ("", SPACED_COST if spaced else GAP_COST)]
+            elif c.isalpha():
                 options.append((c, 0.0))
                 if i and text[i - 1] == c:
-                    options.append(("", REPEAT_COST))
+                    long = text[i - 2 : i - 1] == c or text[i + 1 : i + 2] == c
+                    options.append(("", REPEAT_COST if long else DOUBLE_COST))
             else:
                 options += [(x, SIGN_COST) for x in LEET.get(c, "")]
-                options.append(("", DROP_COST if c in LEET else 0.1))
-            new: dict[tuple[int, int, int], tuple[float, str]] = {}
-            for (a, b, d), (cost, word) in states.items():
+                if not bare:
+                    options.append(("", DROP_COST if c in LEET else 0.1))
+            new: dict[int, tuple[float, tuple]] = {}
+            for key, (cost, made) in states.items():
                 for letter, channel in options:
                     if letter:
-                        code = ord(letter) - 96 if "a" <= letter <= "z" else 27
-                        step = cost + channel - float(self.logp[((a * LETTERS + b) * LETTERS + d) * LETTERS + code])
-                        key, made = (b, d, code), word + letter
+                        code = ord(letter) - 96 if "a" <= letter <= "z" else 0 if letter == " " else 27
+                        at = key * LETTERS + code
+                        step, to, word = cost + channel + costs[at], at % LETTERS**3, (made, letter)
                     else:
-                        step, key, made = cost + channel, (a, b, d), word
-                    if key not in new or step < new[key][0]:
-                        new[key] = (step, made)
+                        step, to, word = cost + channel, key, made
+                    if to not in new or step < new[to][0]:
+                        new[to] = (step, word)
             if len(new) > BEAM:
                 new = dict(sorted(new.items(), key=lambda x: x[1][0])[:BEAM])
             states = new
-        ends = ((cost - float(self.logp[((a * LETTERS + b) * LETTERS + d) * LETTERS]), word) for (a, b, d), (cost, word) in states.items())
-        return min(ends)[1]
+        ends = [(cost + costs[key * LETTERS], made) for key, (cost, made) in states.items()]
+        if not ends:
+            return ""
+        best, made = min(ends, key=lambda x: x[0])
+        if bare and best >= LITERAL_COST * sum(c != " " for c in text):
+            return ""
+        letters = []
+        while made:
+            made, letter = made
+            letters.append(letter)
+        return "".join(reversed(letters))
 
     def restore(self, token: str) -> str:
         """The word a token means, '' if none: plain words as they are, others decoded."""
-        core = token.strip(".,;:?!\"'()[]{}<>*#%&$|~^`_-+=/\\«»¿¡…–—")
+        core = token.strip(EDGES)
         at = token.find(core) if core else -1
         if at == 1 and token[0] in "@$!|+":
             core = token[0] + core  # one sign may stand for the first letter, or the last
         if core and len(token) - len(core) - max(at - 1, 0) == 1 and token[-1] in "@$|":
             core = core + token[-1]
-        if core.isalpha() and not REPEATED.search(core):
+        if core.isalpha() and not DOUBLED.search(core):
             return fold(core)
-        if not core:
-            return ""
         letters = sum(c.isalpha() for c in core)
-        if not letters or 3 * letters < len(core):
-            core = token if letters else ""  # signs at the ends may be letters too
-        return self.decode(core) if core and any(c.isalpha() for c in core) else ""
+        if not letters:
+            core = token.strip(BARE_EDGES)
+            return self.decode(core) if len(core) > 1 and all(c in LEET for c in core) else ""
+        return self.decode(token if 3 * letters < len(core) else core)  # signs at the ends may be letters too
 
+    def runs(self, tokens: list[str]) -> list[tuple[int, int]]:
+        """(from, to) of the runs of neighbouring tokens that may hold a word with gaps in it.
 
-def tokens_of(text: str) -> Counter[str]:
-    """Lower-cased tokens, and runs of single characters joined, with their numbers."""
-    low = text.lower()
-    found = Counter(low.split())
-    found.update(re.sub(r"[ ._*-]", "", m[0]) for m in SPACED.finditer(low))
+        A gap may be inside a word if both its sides are single characters, or if the
+        letters next to it are likelier without it, by GAP_COST at least.
+        """
+        if len(tokens) < 2:
+            return []
+        sides = self.sides
+        packed = np.fromiter(map(sides.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        known, single = (packed[:-1] >= 0) & (packed[1:] >= 0), packed & 1
+        packed = np.maximum(packed, 0) >> 1
+        t, h = packed[:-1] // LETTERS**3, packed[1:] % LETTERS**3
+        last = t % LETTERS * LETTERS**3
+        p, two = self.logp, t % LETTERS**2 * LETTERS**2
+        kept = p[t * LETTERS] + p[two + h // LETTERS**2] + p[last + h // LETTERS] + p[h]
+        dropped = p[t * LETTERS + h // LETTERS**2] + p[two + h // LETTERS] + p[last + h]
+        inside = known & ((dropped - kept > GAP_COST) | ((single[:-1] > 0) & (single[1:] > 0)))
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], inside.astype(np.int8), [0]))))
+        return [(int(a), int(b) + 1) for a, b in edges.reshape(-1, 2)]
+
+    def words(self, token: str) -> list[str]:
+        """What a token means; for a run, the words that its tokens don't mean alone."""
+        if " " not in token:
+            return [self.restore(token)]
+        return list((Counter(self.decode(token).split()) - Counter(map(self.restore, token.split()))).elements())
+
+
+def _core(token: str) -> str:
+    """A token of a run without punctuation at its edges."""
+    return token.strip(EDGES) or token
+
+
+def _sides(token: str) -> int:
+    """Codes of a token's last and first three letters, and whether it is a single one, in one number; -1 if it can't be part of a word."""
+    core = _core(token)
+    single = len(core) == 1 and (core.isalnum() or core in LEET)
+    if not single and not core.isalpha() and not any(c.isalpha() for c in core):
+        return -1
+    a, b, c = (0, 0, 0, *map(_SIGN_CODES.__getitem__, fold(core[-3:])))[-3:]
+    x, y, z = (*map(_SIGN_CODES.__getitem__, fold(core[:3])), 0, 0, 0)[:3]
+    return (((a * LETTERS + b) * LETTERS + c) * LETTERS**3 + (x * LETTERS + y) * LETTERS + z) * 2 + single
+
+
+def tokens_of(text: str, decoder: Decoder) -> Counter[str]:
+    """Lower-cased tokens, and the runs of them that may hold gaps, with their numbers."""
+    tokens = text.lower().split()
+    found = Counter(tokens)
+    found.update(" ".join(map(_core, tokens[a:b])) for a, b in decoder.runs(tokens))
     return found
 
 
 def restore_text(text: str, decoder: Decoder) -> str:
     """The text with every token restored."""
-    joined = SPACED.sub(lambda m: re.sub(r"[ ._*-]", "", m[0]), (text or "").lower())
-    return " ".join(x for x in map(decoder.restore, joined.split()) if x)
+    tokens, words, at = (text or "").lower().split(), [], 0
+    for a, b in [*decoder.runs(tokens), (len(tokens), len(tokens))]:
+        words += map(decoder.restore, tokens[at:a])
+        words.append(decoder.decode(" ".join(map(_core, tokens[a:b]))))
+        at = b
+    return " ".join(x for x in words if x)
 
 
 def stems_of(word: str) -> tuple[str, ...]:
@@ -178,9 +248,9 @@ def features_of(stems: Counter[str]) -> Iterator[str]:
             yield f"{x}4"
 
 
-def stem_counts(text: str, stems: Memo) -> Counter[str]:
+def stem_counts(text: str, decoder: Decoder, stems: Memo) -> Counter[str]:
     found: Counter[str] = Counter()
-    for token, n in tokens_of(text).items():
+    for token, n in tokens_of(text, decoder).items():
         for x in stems[token]:
             found[x] += n
     return found
@@ -200,6 +270,15 @@ class Memo(dict):
         return value
 
 
+def _sign_code(c: str) -> int:
+    c = LEET.get(c, c)[0]
+    return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
+
+
+#: Letter codes of characters, a sign's by the first letter that it looks like.
+_SIGN_CODES = Memo(_sign_code)
+
+
 @dataclass
 class ToxicityModel:
     """Log-probabilities of the decoder's language model, and the classifier's weights."""
@@ -211,10 +290,10 @@ class ToxicityModel:
     def scorer(self):
         decoder = Decoder(self.logp)
         used = {x.rstrip("24") for x in self.weights}
-        known = Memo(lambda token: tuple(x for x in stems_of(decoder.restore(token)) if x in used))
+        known = Memo(lambda token: tuple(x for word in decoder.words(token) for x in stems_of(word) if x in used))
 
         def score(text: str | None) -> float:
-            found = sorted(features_of(stem_counts(text or "", known)))
+            found = sorted(features_of(stem_counts(text or "", decoder, known)))
             z = self.bias + sum(self.weights.get(x, 0.0) for x in found)
             return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
@@ -256,11 +335,11 @@ def _choose_features(sample: DataFrame, logp, n_toxic: int, n_clean: int) -> lis
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder = Decoder(logp.value)
-        stems = Memo(lambda token: stems_of(decoder.restore(token)))
+        stems = Memo(lambda token: tuple(x for word in decoder.words(token) for x in stems_of(word)))
         seen: dict[str, list[int]] = {}
         for batch in batches:
             for text, y in zip(batch["text"], batch["toxic"], strict=True):
-                for x in features_of(stem_counts(text, stems)):
+                for x in features_of(stem_counts(text, decoder, stems)):
                     seen.setdefault(x, [0, 0])[int(y)] += 1
         names = np.array(list(seen), dtype=object)
         counts = np.array(list(seen.values()), dtype=np.int64).reshape(-1, 2)
@@ -306,9 +385,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder = Decoder(shared.value)
-        stems = Memo(lambda token: stems_of(decoder.restore(token)))
+        stems = Memo(lambda token: tuple(x for word in decoder.words(token) for x in stems_of(word)))
         for batch in batches:
-            found = [sorted(place[x] for x in features_of(stem_counts(text, stems)) if x in place) for text in batch["text"]]
+            found = [sorted(place[x] for x in features_of(stem_counts(text, decoder, stems)) if x in place) for text in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "hits": found})
 
     # 2 * per_class rows at most, each with the few features it has

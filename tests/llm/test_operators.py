@@ -212,6 +212,19 @@ def test_decoder_restores_words():
     assert decoder.restore("12345") == ""
 
 
+def test_decoder_restores_gaps_doubles_and_signs():
+    words = ["you", "are", "an", "idiot", "a", "stupid", "ass", "is", "there", "good", "not", "will"] * 50
+    decoder = toxicity.Decoder(toxicity.log_probabilities(toxicity.gram_counts([" ".join(words)])))
+    for text in ("you are an i d i o t.", "you are an (i d i o t)", "you are an id iot", "you are an 1 d i 0 t"):
+        assert toxicity.restore_text(text, decoder) == "you are an idiot"
+    assert toxicity.restore_text("a i d i o t", decoder) == "a idiot"
+    assert toxicity.restore_text("a st upid ass.", decoder) == "a stupid ass"
+    assert toxicity.restore_text("you are not a good ass", decoder) == "you are not a good ass"
+    for token, word in {"stuupid": "stupid", "idioot": "idiot", "@$$": "ass", "455": "ass", "ass": "ass", "will": "will", "2019": "", "!!!": "", "***": ""}.items():
+        assert decoder.restore(token) == word
+    assert "idiot" in toxicity.stem_counts("an i d i o t.", decoder, toxicity.Memo(lambda x: tuple(decoder.words(x))))
+
+
 def test_toxicity_learns_from_training_rows_only(spark):
     import zlib
 
