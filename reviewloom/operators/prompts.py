@@ -48,10 +48,24 @@ def compacted(content: Column, most: Column) -> Column:
     One fold over the lines: it stops at the first that doesn't fit, and after twelve lines at
     one that opens a block.
     """
+    whole = _snippet(content)
+    return _compacted(F.length(whole), whole, _line_ends_trimmed(whole), most)
+
+
+def _snippet(content: Column) -> Column:
     from reviewloom.operators.diff import trimmed
 
-    whole = trimmed(F.regexp_replace(F.replace(content, F.lit("\r\n"), F.lit("\n")), "\n{3,}", "\n\n"))
-    lines = F.transform(F.split(whole, "\n"), lambda x: F.regexp_replace(x, r"\s+$", ""))
+    return trimmed(F.regexp_replace(F.replace(content, F.lit("\r\n"), F.lit("\n")), "\n{3,}", "\n\n"))
+
+
+def _line_ends_trimmed(whole: Column) -> Column:
+    return F.array_join(F.transform(F.split(whole, "\n"), lambda x: F.regexp_replace(x, r"\s+$", "")), "\n")
+
+
+def _compacted(size: Column, whole: Column, bare: Column, most: Column) -> Column:
+    """compacted() of a snippet of ``size`` characters. ``whole`` is read only if all of it fits;
+    of ``bare`` (it without spaces at the ends of lines) no more than ``most`` + 1 characters count."""
+    lines = F.split(bare, "\n")
     start = F.expr("named_struct('used', 0, 'n', 0, 'done', false, 'out', cast(array() as array<string>))")
 
     def step(s: Column, line: Column) -> Column:
@@ -65,8 +79,20 @@ def compacted(content: Column, most: Column) -> Column:
         )
 
     kept = F.aggregate(lines, start, step, lambda s: s["out"])
-    cut = F.when(F.size(kept) == 0, F.rtrim(F.substring(whole, F.lit(1), (most - 18).cast("int")))).otherwise(F.array_join(kept, "\n"))
-    return F.when(F.length(whole) <= most, whole).otherwise(F.concat(cut, F.lit(TRUNCATED)))
+    cut = F.when(F.size(kept) == 0, F.rtrim(F.substring(bare, F.lit(1), (most - 18).cast("int")))).otherwise(F.array_join(kept, "\n"))
+    return F.when(size <= most, whole).otherwise(F.concat(cut, F.lit(TRUNCATED)))
+
+
+def reduced_blocks(blocks: DataFrame, key: str, budget: int) -> DataFrame:
+    """key, ord, label, preferred, and of body what a block of its greatest budget can use: its
+    size, whole (if it fits) and bare, cut where the first line that doesn't fit is decided."""
+    most = F.greatest(F.lit(220), F.least("preferred", F.lit(budget - 120)))
+    sized = blocks.select(key, "ord", "label", "preferred", _snippet(F.col("body")).alias("snippet")).withColumn("size", F.length("snippet"))
+    return sized.select(
+        key, "ord", "label", "preferred", "size",
+        F.when(F.col("size") <= most, F.col("snippet")).alias("whole"),
+        F.substring(_line_ends_trimmed(F.col("snippet")), F.lit(1), (most + 1).cast("int")).alias("bare"),
+    )
 
 
 def packed_blocks(blocks: DataFrame, key: str, budget: int, fence: str = "ts") -> DataFrame:
@@ -74,14 +100,15 @@ def packed_blocks(blocks: DataFrame, key: str, budget: int, fence: str = "ts") -
 
     blocks: key, ord, label, body, preferred. A block that doesn't fit is skipped, later ones may
     fit; as long as there is none, the next is taken. Skips feed back into the budget, so this
-    is one fold over each key's ordered blocks.
+    is one fold over each key's ordered blocks. Bodies are reduced in their own rows before.
     """
-    listed = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "label", "body", "preferred"))).alias("blocks"))
+    rows = reduced_blocks(blocks, key, budget)
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "label", "size", "whole", "bare", "preferred"))).alias("blocks"))
     start = F.expr(f"named_struct('left', {budget}, 'omitted', 0, 'out', cast(array() as array<string>))")
 
     def step(s: Column, b: Column) -> Column:
         own = F.greatest(F.lit(220), F.least(b["preferred"], s["left"] - 120))
-        made = F.concat(b["label"], F.lit(f"\n```{fence}\n"), compacted(b["body"], own), F.lit("\n```"))
+        made = F.concat(b["label"], F.lit(f"\n```{fence}\n"), _compacted(b["size"], b["whole"], b["bare"], own), F.lit("\n```"))
         fits = (F.length(made) <= s["left"]) | (F.size(s["out"]) == 0)
         return F.struct(
             F.when(fits, s["left"] - F.length(made) - 2).otherwise(s["left"]).alias("left"),

@@ -63,7 +63,7 @@ def signal_pack(spark, sf):
 
 def context_pack(spark, sf):
     rows = bridge.read(spark, sf, "documents").select(
-        (F.col("doc_id") % 50).alias("key"), F.col("doc_id").alias("ord"), F.concat(F.lit("doc "), "doc_id").alias("label"), F.coalesce("text", F.lit("")).alias("body"), F.lit(900).alias("preferred")
+        F.floor(F.sqrt(F.col("doc_id"))).alias("key"), F.col("doc_id").alias("ord"), F.concat(F.lit("doc "), "doc_id").alias("label"), F.coalesce("text", F.lit("")).alias("body"), F.lit(900).alias("preferred")
     )
     return prompts.packed_blocks(rows, "key", 4000).select("key", F.length("packed").alias("length"), "omitted")
 

@@ -52,6 +52,21 @@ def test_compaction_and_packing(spark):
         assert (r["packed"], r["omitted"]) == pack([x[2:] for x in rows if x[0] == r["key"]], 1500)
 
 
+def test_packed_blocks_hold_what_they_use(spark):
+    """Long bodies are reduced before they meet, with the results of whole ones."""
+    bodies = ["x" * 5000, "a" + " " * 3000 + "\nb {\n" + "c d\n" * 900, "k \n" * 400, "ab" + " " * 890 + "c", "y " * 449 + "z", "\n\n\n" + "q" * 881 + " " * 30 + "\nr"]
+    rows = [(1 + i % 2, i, f"l{i}", b * n, p) for i, (b, n, p) in enumerate((b, n, p) for b in bodies for n in (1, 3) for p in (100, 900))]
+    table = spark.createDataFrame(rows, "key int, ord int, label string, body string, preferred int")
+    assert prompts.reduced_blocks(table, "key", 4000).filter("length(whole) > 901 or length(bare) > 901").count() == 0
+    for r in prompts.packed_blocks(table, "key", 4000).collect():
+        assert (r["packed"], r["omitted"]) == pack([x[2:] for x in rows if x[0] == r["key"]], 4000)
+
+
+def test_context_pack_keys_grow(spark, tmp_path):
+    spark.range(10_000).selectExpr("id as doc_id", "'text' as text").write.parquet(str(tmp_path / "documents.parquet"))
+    assert context.context_pack(spark, str(tmp_path)).count() == 100
+
+
 def test_yaml_paths(spark):
     content = "a:\n  b: 1\n  c:\n    d: 2\n# e: 3\nf: 4\n  g : 5\nnothing\n"
     files = spark.createDataFrame([(1, content)], "doc_id long, content string")
