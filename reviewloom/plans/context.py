@@ -38,7 +38,7 @@ def yaml_key_paths(spark, sf):
     rows = _events(spark, sf).groupBy(F.col("user_id").alias("doc_id")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: F.concat(F.expr("repeat(' ', 1)"), F.repeat(F.lit(" "), (x["event_id"] % 3).cast("int")), x["event_type"], F.lit(": 1"))), "\n").alias("content")
     )
-    touched = rows.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("line"))
+    touched = rows.select("doc_id", F.explode(F.sequence(F.lit(1), F.size(F.split("content", "\n")))).alias("line"))
     return configs.yaml_paths(rows, touched).select("doc_id", F.col("n").cast("long").alias("n"), "name")
 
 

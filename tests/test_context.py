@@ -74,6 +74,12 @@ def test_yaml_paths(spark):
     assert [r["name"] for r in configs.yaml_paths(files, touched).orderBy("n").collect()] == ["a.b", "a.c.d", "f", "f.g"]
 
 
+def test_yaml_key_paths_reads_all_lines(spark, tmp_path):
+    """A key that comes first on a file's twelfth line is found."""
+    spark.range(12).selectExpr("1L as user_id", "id * 3 as event_id", "if(id < 11, 'view', 'late') as event_type").write.parquet(str(tmp_path / "events.parquet"))
+    assert [r["name"] for r in context.yaml_key_paths(spark, str(tmp_path)).orderBy("n").collect()] == ["view", "late"]
+
+
 def test_section_keys(spark):
     lines = ["top = 1", "[one]", "a: 2", "; b = 3", "[ two ]", "c=4", "a=5"]
     rows = spark.createDataFrame([(1, i + 1, t) for i, t in enumerate(lines)], "doc_id long, line int, text string")
