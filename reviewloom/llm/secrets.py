@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,12 +43,14 @@ ENTROPY_CLASSES = (HEX_CLASS, TEXT_CLASS)
 #: Strings that look random and are no secrets.
 ALLOWED = re.compile(
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
-    r"|(?i:.*(?:example|placeholder|changeme|dummy|sample|your[_-]?(?:key|token)).*)"
     r"|[0-9_=+/-]+"  # numbers, dates, rules
     r"|[A-Za-z_=+/-]+"  # words, paths without digits
     r"|(?:/?[a-z0-9_.-]{1,16}/){3,}[a-z0-9_.-]*"  # paths of short parts
 )
 
+#: Words of values that stand for a secret.
+ALLOWED_WORDS = re.compile(r"(?i:example|placeholder|changeme|dummy|sample|your[_-]?(?:key|token))")
+
 _CANDIDATE_BYTES = np.zeros(256, dtype=bool)
 _CANDIDATE_BYTES[[ord(c) for c in TEXT_CLASS.characters]] = True
 SHORTEST = min(c.window for c in ENTROPY_CLASSES)
@@ -120,30 +122,48 @@ def base_spans(text: str, strings: list[tuple[int, str]]) -> list[tuple[int, int
     return found + [(at + m.start(), at + m.end(), "hex") for at, word in strings for m in HEX.finditer(word)]
 
 
-def entropy_spans(strings: list[tuple[int, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of high-entropy windows in strings that no allow-list entry covers."""
+def allowed(word: str) -> bool:
+    """Whether a string is no secret by its form, or by a word in its value: what follows the last '='."""
+    return bool(ALLOWED.fullmatch(word) or ALLOWED_WORDS.search(word.rstrip("=").rpartition("=")[2]))
+
+
+def outside(start: int, end: int, taken: Iterable[tuple]) -> list[tuple[int, int]]:
+    """The parts of a span that no span of ``taken`` (start, end, ...) covers."""
+    parts = []
+    for a, b, *_ in sorted(taken):
+        if a < end and start < b:
+            if start < a:
+                parts.append((start, a))
+            start = max(start, b)
+    return parts + [(start, end)] if start < end else parts
+
+
+def entropy_spans(strings: list[tuple[int, str]], base: Iterable[tuple] = ()) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of high-entropy windows in strings that no allow-list entry covers,
+    without what spans of ``base``, or of a class before, cover of them."""
     found = []
     for at, word in strings:
-        taken: list[tuple[int, int]] = []
+        taken = [(x[0] - at, x[1] - at) for x in base if x[0] < at + len(word) and at < x[1]]
         for kind in ENTROPY_CLASSES:
             for part in re.finditer(f"[{re.escape(kind.characters)}]{{{kind.window},}}", word):
-                if ALLOWED.fullmatch(part[0]) or ALLOWED.fullmatch(word):
+                if allowed(part[0]) or allowed(word):
                     continue
                 for a, b in high_entropy_runs(part[0], kind):
                     a, b = part.start() + a, part.start() + b
-                    if any(a < y and x < b for x, y in taken) or ALLOWED.fullmatch(word[a:b]):
+                    if allowed(word[a:b]):
                         continue
-                    taken.append((a, b))
-                    found.append((at + a, at + b, kind.kind))
+                    rest = [(x, y) for x, y in outside(a, b, taken) if not allowed(word[x:y])]
+                    taken += rest
+                    found += [(at + x, at + y, kind.kind) for x, y in rest]
     return found
 
 
 def secret_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """The base spans, and the entropy spans that touch none of them; ordered."""
+    """The base spans, and the entropy spans without what these cover; ordered."""
     order = {k: i for i, k in enumerate((*BASE_KINDS, *(c.kind for c in ENTROPY_CLASSES)))}
     strings = long_strings(text)
     base = base_spans(text, strings)
-    added = [x for x in entropy_spans(strings) if not any(x[0] < b[1] and b[0] < x[1] for b in base)]
+    added = entropy_spans(strings, base)
     return sorted(base, key=lambda x: (x[0], order[x[2]])), sorted(added, key=lambda x: (x[0], order[x[2]]))
 
 

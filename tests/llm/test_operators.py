@@ -33,6 +33,17 @@ def test_secrets(docs, texts):
     assert rows[6]["spans"] == ""
 
 
+def test_entropy_spans_beside_others_and_names():
+    secret, digest = "kJ8s0dPq2LmZx9Rt4VbN7cYw1", "04dbebab91ab85687d33eeaaf9ac699e" * 2
+    covered = lambda text: {p for spans in secrets.secret_spans(text) for a, b, _ in spans for p in range(a, b)}
+    text = f"{digest}-{secret}"
+    assert set(range(65, len(text))) <= covered(text)
+    text = f"sample_id={secret}"
+    assert set(range(10, len(text))) <= covered(text)
+    assert not covered(f"id=sample{secret}") and not covered(f"sample{secret}==")
+    assert secrets.outside(0, 10, [(2, 4, "x"), (3, 5), (9, 12)]) == [(0, 2), (5, 9)]
+
+
 def test_entropy_by_counts_is_entropy():
     text = "kJ8s0dPq2LmZx9Rt4VbN7cYw1aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaakJ8s0dPq2LmZx9Rt4VbN7cYw1"
     kind = secrets.TEXT_CLASS
