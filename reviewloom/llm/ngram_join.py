@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import checkpointed
+from reviewloom.llm.common import checkpointed, dealing_slots
 from reviewloom.llm.components import connected_components
-from reviewloom.llm.shingles import BLOCK, mixed, posting_blocks, read_blocks, set_key, shingle_set
+from reviewloom.llm.shingles import BLOCK, dealt, mixed, posting_blocks, read_blocks, set_key, shingle_set
 
 THRESHOLD = 80  # percent
 #: Tokens in more sets than this are indexed in pairs, others alone.
@@ -109,7 +109,7 @@ def shared_tokens(docs: DataFrame, slots: int) -> DataFrame:
             sizes = np.array([len(x) for x in held], dtype=np.int64)
             tokens = np.concatenate(held)
             slot = ((tokens >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
-            yield from posting_blocks(np.array(owners, dtype=np.int64), sizes, sizes, tokens, slot, slots)
+            yield posting_blocks(np.array(owners, dtype=np.int64), sizes, sizes, tokens, slot)
             held.clear()
             owners.clear()
 
@@ -147,10 +147,10 @@ def shared_tokens(docs: DataFrame, slots: int) -> DataFrame:
         owner, size, token, frequency = owner[order], size[order], token[order], frequency[order]
         owners, at, counts = np.unique(owner, return_index=True, return_counts=True)
         slot = np.repeat((mixed(owners.view(np.uint64)) % np.uint64(slots)).astype(np.int64), counts)
-        return next(posting_blocks(owners, size[at], counts, token, slot, slots, frequency))
+        return posting_blocks(owners, size[at], counts, token, slot, frequency)
 
     blocks = docs.select("text").mapInPandas(postings, BLOCK)
-    return blocks.groupBy("slot").applyInPandas(shared, BLOCK)
+    return dealt(blocks, slots).groupBy("slot").applyInPandas(shared, BLOCK)
 
 
 def indexed_sets(docs: DataFrame, slots: int) -> DataFrame:
@@ -168,7 +168,7 @@ def indexed_sets(docs: DataFrame, slots: int) -> DataFrame:
                 found.append((int(owner[a]), int(size[a]), token[a:b].view(np.int64), signs.view(np.int64)))
         return pd.DataFrame(found, columns=["node", "size", "tokens", "signatures"])
 
-    return shared_tokens(docs, slots).groupBy("slot").applyInPandas(index, "node long, size int, tokens array<long>, signatures array<long>")
+    return dealt(shared_tokens(docs, slots), slots).groupBy("slot").applyInPandas(index, "node long, size int, tokens array<long>, signatures array<long>")
 
 
 def linked_pairs(size: np.ndarray, tokens: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
@@ -268,7 +268,7 @@ def labelled_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """node, first (its smallest doc_id) and label (of its component) of each set of ``rows``,
     which are the document_sets of ``docs``."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    slots = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // CHARS_PER_SLOT)
+    slots = dealing_slots(docs.sparkSession, chars, CHARS_PER_SLOT)
     labels = set_links(checkpointed(indexed_sets(docs, slots)), slots)
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

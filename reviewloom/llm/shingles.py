@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark.sql import DataFrame
 
 SHINGLE_WORDS = 5
 _MULTIPLIERS = np.array(
@@ -50,32 +49,38 @@ def set_key(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
 
 
-def posting_blocks(owners: np.ndarray, sizes: np.ndarray, counts: np.ndarray, tokens: np.ndarray, slots: np.ndarray, n_slots: int, extra: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
-    """Postings dealt into slots, one row a slot that has any: the owners in it, their sizes
-    and numbers of postings, and the tokens, in the order of owners."""
+def posting_blocks(owners: np.ndarray, sizes: np.ndarray, counts: np.ndarray, tokens: np.ndarray, slots: np.ndarray, extra: np.ndarray | None = None) -> pd.DataFrame:
+    """Postings dealt into slots, one row for each slot that has any: the owners in it, their
+    sizes and numbers of postings, and the tokens, in the order of owners."""
     owner_at = np.repeat(np.arange(len(owners)), counts)
     order = np.argsort(slots, kind="stable")
-    ends = np.searchsorted(slots[order], np.arange(n_slots + 1))
+    slots, owner_at, tokens = slots[order], owner_at[order], tokens[order]
+    extra = None if extra is None else extra[order]
+    starts = np.flatnonzero(np.append(True, slots[1:] != slots[:-1])) if len(slots) else np.empty(0, dtype=np.int64)
     rows = []
-    for slot in range(n_slots):
-        part = order[ends[slot] : ends[slot + 1]]
-        if len(part):
-            at, n = np.unique(owner_at[part], return_counts=True)
-            rows.append(
-                (
-                    slot,
-                    owners[at].tobytes(),
-                    sizes[at].astype(np.uint32).tobytes(),
-                    n.astype(np.uint32).tobytes(),
-                    tokens[part].tobytes(),
-                    b"" if extra is None else extra[part].tobytes(),
-                )
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(slots)], strict=False):
+        at, n = np.unique(owner_at[a:b], return_counts=True)
+        rows.append(
+            (
+                int(slots[a]),
+                owners[at].tobytes(),
+                sizes[at].astype(np.uint32).tobytes(),
+                n.astype(np.uint32).tobytes(),
+                tokens[a:b].tobytes(),
+                b"" if extra is None else extra[a:b].tobytes(),
             )
-    yield pd.DataFrame(rows, columns=["slot", "owners", "sizes", "counts", "tokens", "extra"]).astype(
+        )
+    return pd.DataFrame(rows, columns=["slot", "owners", "sizes", "counts", "tokens", "extra"]).astype(
         {"slot": "int32", **dict.fromkeys(("owners", "sizes", "counts", "tokens", "extra"), object)}
     )
 
 
+def dealt(blocks: DataFrame, slots: int) -> DataFrame:
+    """Blocks or texts with a slot, shuffled by it into as many partitions, so that a task's
+    share doesn't grow with the input."""
+    return blocks.repartition(slots, "slot")
+
+
 BLOCK = "slot int, owners binary, sizes binary, counts binary, tokens binary, extra binary"
 
 

@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import checkpointed
-from reviewloom.llm.shingles import BLOCK, mixed, posting_blocks, read_blocks
-from reviewloom.llm.suffix_dedup import BYTES_PER_SLOT, _bytes, _slot_of, named, owned, prime_from
+from reviewloom.llm.common import checkpointed, dealing_slots
+from reviewloom.llm.shingles import BLOCK, dealt, mixed, posting_blocks, read_blocks
+from reviewloom.llm.suffix_dedup import BYTES_PER_SLOT, _bytes, _not_first, _shifted, _slot_of, _to_documents, named, owned, prime_from
 
 SHORTEST, LONGEST = 32, 256
 #: Five bits of the gear hash, of which the highest depends on the last 26 bytes.
@@ -59,16 +59,26 @@ def chunk_digests(data: np.ndarray, ends: list[int]) -> np.ndarray:
 
 
 def repeated_chunks(docs: DataFrame, slots: int) -> DataFrame:
-    """Blocks, dealt by document, of the digests that a document with a smaller id has too."""
+    """Blocks, dealt by document, of the digests that a document with a smaller id has too.
+
+    What repeats within a task's share is settled there, and only its first document asks on;
+    so a chunk of any number of documents sends one posting a task at most.
+    """
 
     def postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[int, np.ndarray]] = []
 
         def block() -> Iterator[pd.DataFrame]:
-            owners, counts = np.array([x[0] for x in held], dtype=np.int64), np.array([len(x[1]) for x in held])
+            owner = np.repeat(np.array([x[0] for x in held], dtype=np.int64), [len(x[1]) for x in held])
             digests = np.concatenate([x[1] for x in held])
             held.clear()
-            yield from posting_blocks(owners, np.zeros(len(owners)), counts, digests[:, 0], _slot_of(digests[:, 0], slots), slots, digests[:, 1])
+            low, high = digests[:, 0], digests[:, 1]
+            again = _not_first(owner, high, low)
+            yield _shifted(_to_documents(owner[again], low[again], high[again], slots), slots)
+            owner, low, high = owner[~again], low[~again], high[~again]
+            order = np.argsort(owner, kind="stable")
+            owners, counts = np.unique(owner, return_counts=True)
+            yield posting_blocks(owners, np.zeros(len(owners)), counts, low[order], _slot_of(low[order], slots), high[order])
 
         waiting = 0
         for batch in batches:
@@ -83,17 +93,13 @@ def repeated_chunks(docs: DataFrame, slots: int) -> DataFrame:
             yield from block()
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["slot"].iloc[0] >= slots:
+            return _shifted(rows, -slots)
         owner, _, low, high = read_blocks(rows, np.uint64)
-        order = np.lexsort((owner, high, low))
-        owner, low, high = owner[order], low[order], high[order]
-        new = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
-        again = owner > owner[new][np.cumsum(new) - 1]
-        owner, low, high = owner[again], low[again], high[again]
-        order = np.argsort(owner, kind="stable")
-        owners, counts = np.unique(owner, return_counts=True)
-        return next(posting_blocks(owners, np.zeros(len(owners)), counts, low[order], np.repeat(owners % slots, counts), slots, high[order]))
+        again = _not_first(owner, high, low)
+        return _to_documents(owner[again], low[again], high[again], slots)
 
-    return docs.mapInPandas(postings, BLOCK).groupBy("slot").applyInPandas(judge, BLOCK)
+    return dealt(docs.mapInPandas(postings, BLOCK), slots).groupBy("slot").applyInPandas(judge, BLOCK)
 
 
 def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
@@ -110,7 +116,7 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
     """
     docs = owned(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slots = prime_from(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BYTES_PER_SLOT))
+    slots = prime_from(dealing_slots(docs.sparkSession, size, BYTES_PER_SLOT))
     again = checkpointed(repeated_chunks(docs, slots))
     texts = docs.withColumn("slot", F.pmod("owner", F.lit(slots)).cast("int"))
 
@@ -140,4 +146,4 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
         return pd.concat([texts[["owner", "known"]], out.astype({"spans": object, "kept_text": object})], axis=1)
 
     fields = "owner long, known boolean, n_bytes long, n_chunks long, n_removed long, n_spans long, spans string, kept_text string"
-    return named(again.groupBy("slot").cogroup(texts.groupBy("slot")).applyInPandas(cut, fields))
+    return named(dealt(again, slots).groupBy("slot").cogroup(dealt(texts, slots).groupBy("slot")).applyInPandas(cut, fields))

@@ -10,6 +10,11 @@ a smaller document has too is repeated as a whole; the parse tells that without
 Only where a trigger has several phrases, the dictionary's bytes meet, and a suffix array of
 them, to the depth of a window, tells which windows they share. Both combine, as each
 dictionary phrase stands for its first document in the corpus.
+
+What repeats within a task's share is settled there, and only its first document asks on. So
+a phrase of any number of documents sends one posting a task at most. A trigger with more than
+HOT_PHRASES phrases (those at the ends of a common passage) is settled by hashes of windows
+instead, in the same two levels, so its phrases never meet in one task either.
 """
 
 from __future__ import annotations
@@ -22,16 +27,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import checkpointed
-from reviewloom.llm.shingles import BLOCK, mixed, posting_blocks, read_blocks
+from reviewloom.llm.common import checkpointed, dealing_slots
+from reviewloom.llm.shingles import BLOCK, dealt, mixed, posting_blocks, read_blocks
 
 WIDTH, GRAM = 50, 16
 _GRAMS = WIDTH - GRAM + 1  # of a window, and windows of a phrase at most
 _SPAN = _GRAMS - 1 + WIDTH  # bytes of a phrase at most
 _PHRASES = 16_000  # that are sorted at once
+HOT_PHRASES = 4096  # of a trigger, above which its windows are compared by hash
 _PIECE = 1 << 21  # windows of a text that are parsed at once
 _BYTES_PER_BLOCK, BYTES_PER_SLOT = 16_000_000, 8_000_000
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_HOT = np.uint64(1 << 63)  # marks a phrase of a hot trigger; no window has this bit
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LAST_ID = np.iinfo(np.int64).max  # stands for a null doc_id
 
@@ -132,24 +139,46 @@ def _to_documents(owner: np.ndarray, phrase: np.ndarray, mask: np.ndarray, slots
     order = np.argsort(owner, kind="stable")
     owners, counts = np.unique(owner, return_counts=True)
     slot = np.repeat(owners % slots, counts)
-    return next(posting_blocks(owners, np.zeros(len(owners)), counts, phrase[order], slot, slots, mask[order]))
+    return posting_blocks(owners, np.zeros(len(owners)), counts, phrase[order], slot, mask[order])
+
+
+def _not_first(owner: np.ndarray, *key: np.ndarray) -> np.ndarray:
+    """Which postings have a key that a smaller owner has too."""
+    order = np.lexsort((owner, *key))
+    new = np.zeros(len(owner), dtype=bool)
+    new[:1] = True
+    for x in key:
+        new[1:] |= x[order[1:]] != x[order[:-1]]
+    found = np.zeros(len(owner), dtype=bool)
+    found[order] = owner[order] > owner[order][new][np.cumsum(new) - 1] if len(owner) else False
+    return found
+
+
+def _shifted(blocks: pd.DataFrame, by: int) -> pd.DataFrame:
+    """Blocks whose slots are moved: those that only pass a stage lie above the ones that it works on."""
+    return blocks.assign(slot=(blocks["slot"] + by).astype("int32"))
 
 
 def judged_phrases(docs: DataFrame, slots: int) -> DataFrame:
     """Blocks, dealt by document, of phrases with a mask: all windows repeated (all ones), or
-    unknown as the trigger has other phrases and this is the first of its kind (0)."""
+    unknown as the trigger has other phrases and this is the first of its kind (0, or _HOT)."""
 
     def postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
 
         def block() -> Iterator[pd.DataFrame]:
-            owners = np.array([x[0] for x in held], dtype=np.int64)
-            counts = np.array([len(x[1]) for x in held])
+            owner = np.repeat(np.array([x[0] for x in held], dtype=np.int64), [len(x[1]) for x in held])
             trigger, phrase = (np.concatenate([x[i] for x in held]) for i in (1, 2))
             held.clear()
+            again = _not_first(owner, phrase)
+            yield _shifted(_to_documents(owner[again], phrase[again], np.full(again.sum(), _ALL), slots), slots)
+            owner, trigger, phrase = owner[~again], trigger[~again], phrase[~again]
+            order = np.argsort(owner, kind="stable")
+            owners, counts = np.unique(owner, return_counts=True)
+            trigger, phrase = trigger[order], phrase[order]
             # a slot fixes the high bits of its triggers; phrases of triggers that agree in the
             # low bits only are compared by their windows, and found to differ
-            yield from posting_blocks(owners, np.zeros(len(owners)), counts, phrase, _slot_of(trigger, slots), slots, trigger.astype(np.uint32))
+            yield posting_blocks(owners, np.zeros(len(owners)), counts, phrase, _slot_of(trigger, slots), trigger.astype(np.uint32))
 
         waiting = 0
         for batch in batches:
@@ -166,6 +195,8 @@ def judged_phrases(docs: DataFrame, slots: int) -> DataFrame:
             yield from block()
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["slot"].iloc[0] >= slots:
+            return _shifted(rows, -slots)
         owner, _, phrase, trigger = read_blocks(rows, np.uint32)
         order = np.lexsort((owner, phrase, trigger))
         owner, phrase, trigger = owner[order], phrase[order], trigger[order]
@@ -173,13 +204,13 @@ def judged_phrases(docs: DataFrame, slots: int) -> DataFrame:
         new_phrase = new_trigger | np.append(True, phrase[1:] != phrase[:-1])
         in_phrase = np.cumsum(new_phrase) - 1
         repeated = owner > owner[new_phrase][in_phrase]
-        in_trigger = np.cumsum(new_trigger) - 1
-        several = (np.add.reduceat(new_phrase.astype(np.int64), np.flatnonzero(new_trigger)) > 1)[in_trigger]
-        unknown = several & (owner == owner[new_phrase][in_phrase])
+        phrases = np.add.reduceat(new_phrase.astype(np.int64), np.flatnonzero(new_trigger))[np.cumsum(new_trigger) - 1]
+        unknown = (phrases > 1) & (owner == owner[new_phrase][in_phrase])
         keep = repeated | unknown
-        return _to_documents(owner[keep], phrase[keep], np.where(repeated[keep], _ALL, np.uint64(0)), slots)
+        mask = np.where(repeated, _ALL, np.where(phrases > HOT_PHRASES, _HOT, np.uint64(0)))
+        return _to_documents(owner[keep], phrase[keep], mask[keep], slots)
 
-    return docs.mapInPandas(postings, BLOCK).groupBy("slot").applyInPandas(judge, BLOCK)
+    return dealt(docs.mapInPandas(postings, BLOCK), slots).groupBy("slot").applyInPandas(judge, BLOCK)
 
 
 def _answers(rows: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -198,13 +229,19 @@ def _found(phrase: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def dictionary_phrases(asked: pd.DataFrame, texts: pd.DataFrame, slots: int) -> pd.DataFrame:
-    """The bytes of the phrases that a slot's documents were asked for, dealt by trigger."""
-    wanted, held = _answers(asked), []
+    """What a slot's documents were asked for: the bytes of phrases, dealt by trigger; the hashes
+    of the windows of hot triggers' phrases, in the slots above; and above these, dealt by
+    document, masks of the windows that a smaller document of this slot has too."""
+    wanted, held, hot = _answers(asked), [], []
     for doc, text in zip(texts["owner"], texts["text"], strict=True):
         if int(doc) in wanted:
             data = _bytes(text)
             first, windows, trigger, phrase, inside = parse(data)
-            _, is_asked = _found(phrase, wanted[int(doc)][0])
+            at, is_asked = _found(phrase, wanted[int(doc)][0])
+            is_hot = is_asked & (wanted[int(doc)][1][at] == _HOT)
+            if is_hot.any():
+                hot.append((int(doc), *_window_hashes(data, first[is_hot], windows[is_hot], phrase[is_hot])))
+            is_asked &= ~is_hot
             phrase, at = np.unique(phrase[is_asked], return_index=True)
             first, windows, trigger, inside = (x[is_asked][at] for x in (first, windows, trigger, inside))
             padded = np.append(data, np.zeros(_SPAN, dtype=np.uint8))
@@ -212,11 +249,50 @@ def dictionary_phrases(asked: pd.DataFrame, texts: pd.DataFrame, slots: int) ->
             spans["bytes"] = padded[first[:, None] + np.arange(_SPAN)] * (np.arange(_SPAN) < (windows + WIDTH - 1)[:, None])
             spans["windows"], spans["inside"], spans["trigger"] = windows, inside, trigger
             held.append((doc, phrase, trigger, spans))
-    if not held:
-        return pd.DataFrame({x.split()[0]: [] for x in BLOCK.split(", ")})
-    owners, counts = np.array([x[0] for x in held], dtype=np.int64), np.array([len(x[1]) for x in held])
-    phrase, trigger, spans = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
-    return next(posting_blocks(owners, np.zeros(len(owners)), counts, phrase, _slot_of(trigger, slots), slots, spans))
+    made = [pd.DataFrame({x.split()[0]: [] for x in BLOCK.split(", ")})]
+    if held:
+        owners, counts = np.array([x[0] for x in held], dtype=np.int64), np.array([len(x[1]) for x in held])
+        phrase, trigger, spans = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
+        made.append(posting_blocks(owners, np.zeros(len(owners)), counts, phrase, _slot_of(trigger, slots), spans))
+    if hot:
+        owner = np.repeat(np.array([x[0] for x in hot], dtype=np.int64), [len(x[1]) for x in hot])
+        window, at = (np.concatenate([x[i] for x in hot]) for i in (1, 2))
+        again = _not_first(owner, window)
+        made.append(_shifted(_window_masks(owner[again], at[again], slots), 2 * slots))
+        owner, window, at = owner[~again], window[~again], at[~again]
+        order = np.argsort(owner, kind="stable")
+        owners, counts = np.unique(owner, return_counts=True)
+        window = window[order]
+        made.append(_shifted(posting_blocks(owners, np.zeros(len(owners)), counts, window, _slot_of(window, slots), at[order]), slots))
+    return pd.concat(made, ignore_index=True) if len(made) > 1 else made[0]
+
+
+#: Where a window is: its phrase, and its place among the phrase's windows.
+_WINDOW = np.dtype([("phrase", np.uint64), ("offset", np.uint8)])
+
+
+def _window_hashes(data: np.ndarray, first: np.ndarray, windows: np.ndarray, phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the phrases' windows, and where each is."""
+    values = _BYTE_VALUES[data]
+    of = np.repeat(np.arange(len(first)), windows)
+    offset = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+    start = first[of] + offset
+    hashes = np.zeros(len(start), dtype=np.uint64)
+    for i in range(WIDTH):
+        hashes = hashes * np.uint64(_BASE) + values[start + i]
+    at = np.zeros(len(of), dtype=_WINDOW)
+    at["phrase"], at["offset"] = phrase[of], offset
+    return mixed(hashes), at
+
+
+def _window_masks(owner: np.ndarray, at: np.ndarray, slots: int) -> pd.DataFrame:
+    """Blocks, dealt by document, of the phrases of windows that are repeated."""
+    order = np.lexsort((at["phrase"], owner))
+    owner, at = owner[order], at[order]
+    new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (at["phrase"][1:] != at["phrase"][:-1]))) if len(owner) else np.empty(0, dtype=np.int64)
+    bits = np.uint64(1) << at["offset"].astype(np.uint64)
+    masks = np.bitwise_or.reduceat(bits, new) if len(new) else bits
+    return _to_documents(owner[new], at["phrase"][new], masks, slots)
 
 
 #: A phrase of the dictionary: its bytes, its windows, where its trigger is, and the trigger's hash.
@@ -254,7 +330,13 @@ def _masks(owner: np.ndarray, spans: np.ndarray) -> np.ndarray:
 
 def shared_windows(rows: pd.DataFrame, slots: int) -> pd.DataFrame:
     """Masks of the windows that a smaller document's dictionary phrase has too, for the
-    phrases of a slot's triggers, some triggers at a time."""
+    phrases of a slot's triggers, some triggers at a time; or for a slot's hashes of windows."""
+    if rows["slot"].iloc[0] >= 2 * slots:
+        return _shifted(rows, -2 * slots)
+    if rows["slot"].iloc[0] >= slots:
+        owner, _, window, at = read_blocks(rows, _WINDOW)
+        again = _not_first(owner, window)
+        return _window_masks(owner[again], at[again], slots)
     owner, _, phrase, spans = read_blocks(rows, _ENTRY)
     order = np.argsort(spans["trigger"], kind="stable")
     trigger = spans["trigger"][order]
@@ -284,7 +366,7 @@ def removed_bytes(data: np.ndarray, phrases: np.ndarray, masks: np.ndarray) -> n
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_text_sha256's digest and the spans of each row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the spans of each row.
 
     A byte of a text's UTF-8 goes if a WIDTH-byte string that covers it starts in a document
     with a smaller doc_id too. Phrases travel as hashes, dealt by trigger in slots that are as
@@ -296,17 +378,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     docs = owned(docs)
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slots = prime_from(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // BYTES_PER_SLOT))
+    slots = prime_from(dealing_slots(docs.sparkSession, chars, BYTES_PER_SLOT))
     judged = checkpointed(judged_phrases(docs, slots))
 
     texts = docs.withColumn("slot", F.pmod("owner", F.lit(slots)).cast("int"))
-    by_slot = texts.groupBy("slot")
+    by_slot = dealt(texts, slots).groupBy("slot")
     asked = (
-        judged.groupBy("slot")
+        dealt(judged, slots)
+        .groupBy("slot")
         .cogroup(by_slot)
         .applyInPandas(lambda x, y: dictionary_phrases(_unknown(x), y, slots), BLOCK)
     )
-    masks = judged.unionByName(asked.groupBy("slot").applyInPandas(lambda x: shared_windows(x, slots), BLOCK))
+    masks = judged.unionByName(dealt(asked, slots).groupBy("slot").applyInPandas(lambda x: shared_windows(x, slots), BLOCK))
 
     def cut(masks: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         known, rows = _answers(masks), []
@@ -322,7 +405,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return pd.concat([texts[["owner", "known"]], out.astype({"kept_sha256": object, "spans": object})], axis=1)
 
     fields = "owner long, known boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"
-    return named(masks.groupBy("slot").cogroup(by_slot).applyInPandas(cut, fields))
+    return named(dealt(masks, slots).groupBy("slot").cogroup(by_slot).applyInPandas(cut, fields))
 
 
 def _unknown(judged: pd.DataFrame) -> pd.DataFrame:
@@ -330,7 +413,7 @@ def _unknown(judged: pd.DataFrame) -> pd.DataFrame:
     out = []
     for row in judged.itertuples():
         mask, counts = np.frombuffer(row.extra, dtype=np.uint64), np.frombuffer(row.counts, dtype=np.uint32).astype(np.int64)
-        ask = mask == 0
+        ask = (mask == 0) | (mask == _HOT)
         left = np.add.reduceat(ask.astype(np.int64), np.cumsum(counts) - counts)
         out.append((row.owners, row.sizes, left.astype(np.uint32).tobytes(), np.frombuffer(row.tokens, dtype=np.uint64)[ask].tobytes(), mask[ask].tobytes()))
     return pd.DataFrame(out, columns=["owners", "sizes", "counts", "tokens", "extra"])

@@ -149,6 +149,24 @@ def test_suffix_dedup_in_pieces(docs, texts, monkeypatch):
     assert {i: suffix_dedup.parse(suffix_dedup._bytes(texts[i]))[1].sum() for i in (60, 100)} == whole
 
 
+def test_suffix_dedup_with_hot_triggers(spark, monkeypatch):
+    """A passage that nearly all documents hold between texts of their own, over several tasks."""
+    import hashlib
+    import random
+
+    monkeypatch.setattr(suffix_dedup, "HOT_PHRASES", 4)
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = letters(150)
+    texts = {i: letters(rng.randint(0, 80)) + passage[: rng.choice((60, 150, 150))] + letters(rng.randint(0, 80)) for i in range(80)}
+    texts |= {90: passage, 91: passage + passage, 92: letters(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    rows = by_id(suffix_dedup.remove_repeats(docs))
+    for i, gone in brute.repeats(texts).items():
+        kept = bytes(b for b, g in zip(texts[i].encode(), gone) if not g)
+        assert (rows[i]["n_removed"], rows[i]["kept_sha256"]) == (sum(gone), hashlib.sha256(kept).hexdigest()), i
+
+
 def test_chunk_dedup(docs, texts):
     rows = by_id(substring_dedup.remove_repeated_chunks(docs))
     seen = set()
