@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from reviewloom.llm.common import checkpointed
 
 ROW_OVERHEAD_BYTES = 16
+#: Ranges of rows at most: their totals meet in one task, which sums them up.
+MOST_RANGES = 16_384
 
 
 def sized_rows(docs: DataFrame) -> DataFrame:
@@ -20,14 +22,16 @@ def sized_rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int, rows_per_range: int = 4096) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, n_shards: int, rows_per_range: int = 65_536) -> DataFrame:
     """Contiguous, byte-balanced shards of ``docs`` in doc_id order.
 
-    The rows, without their texts, are dealt by ranges of doc_id; each range's totals of
-    bytes and rows give the ranges' global offsets, and a running sum in each range the
-    global prefix sum. A row goes to the shard that holds the middle of its bytes, when the
+    The rows, without their texts, are dealt by ranges of doc_id, MOST_RANGES at most, which
+    grow beyond that; each range's totals of bytes and rows give the ranges' global offsets,
+    and a running sum in each range, which is sorted and may spill, the global prefix sum. A row goes to the shard that holds the middle of its bytes, when the
     whole is cut at equal targets; so shards are contiguous, and differ from the target by
     less than a row's size. ``slot`` counts the rows of a shard from 0 without gaps.
+    Under this law equal texts are rows like others: each goes where its doc_id lies, and
+    text_crc32 names the group, which may lie in several shards.
 
     Null texts have no bytes besides the 16 of a row; null doc_ids come first; repeated rows
     each get a slot of their own (their order among themselves is arbitrary but one); an
@@ -51,7 +55,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, rows_per_range: int = 4096) -
         F.sum("bytes").over(whole).alias("all_bytes"),
     )
     inside = Window.partitionBy("range").orderBy(*order)
-    # one row a range: a bounded side, as ranges hold rows_per_range rows or more by design
+    # one row a range, MOST_RANGES at most
     placed = (
         ranged.withColumn("end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("at", F.row_number().over(inside))
@@ -81,4 +85,4 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, rows_per_range: int = 4096) -
 
 
 def _ranges(rows: DataFrame, rows_per_range: int) -> int:
-    return max(1, -(-rows.count() // rows_per_range))
+    return min(MOST_RANGES, max(1, -(-rows.count() // rows_per_range)))
