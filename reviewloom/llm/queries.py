@@ -69,6 +69,70 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 """
 
 
+#: CRC-32 by its table of 256 remainders, which the rule of its polynomial gives.
+OP7_SQL = r"""
+with recursive bits(i, k, v) as (
+  select i, 0, i from range(0, 256) as t(i)
+  union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
+crc as (select list(v order by i) as c from bits where k = 8),
+d as (
+  select doc_id, octet_length(encode(coalesce(text, ''))) + 16 as size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: cast('0x' || x as bigint)) as b
+  from documents),
+s as (
+  select doc_id, size, xor(list_reduce(list_prepend(4294967295, b), lambda a, x: xor(a >> 8, c[(xor(a, x) & 255) + 1])), 4294967295) as text_crc32
+  from d, crc),
+p as (select *, sum(size) over (order by doc_id nulls first, text_crc32, size rows between unbounded preceding and current row) as upto, sum(size) over () as whole from s),
+q as (select *, cast(least(39, (upto * 2 - size) * 40 // (2 * whole)) as int) as shard from p)
+select doc_id, cast(size as bigint) as size, cast(text_crc32 as bigint) as text_crc32, 'bytes' as law, shard,
+       row_number() over (partition by shard order by doc_id nulls first, text_crc32, size) - 1 as slot, cast(null as int) as grown_shard
+from q
+"""
+
+#: Written without the operator's shortcuts: all quotients are ranked, and all runs laid on all documents.
+OP8_SQL = r"""
+with d as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
+         cast('0x' || substr(md5('42:' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))), 1, 15) as bigint) as draw
+  from documents),
+s as (
+  select source, cast(sum(size) as bigint) as source_size, cast([5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as double) as weight
+  from d group by source),
+f as (select *, cast(source_size as double) * 3 as cap, cast(source_size as double) * 3 / weight as fill, cast(sum(source_size) over () as double) as total from s),
+l as (
+  select *, (total - coalesce(sum(cap) over (order by fill, source nulls last rows between unbounded preceding and 1 preceding), 0))
+            / sum(weight) over (order by fill, source nulls last rows between current row and unbounded following) as here,
+         row_number() over (order by fill, source nulls last) as place
+  from f),
+t as (
+  select source, source_size, case when lvl is null or lvl * weight > cap then cap else lvl * weight end as target, cast(ceil(source_size / 16) as bigint) as blocks
+  from (select *, (select arg_min(here, place) from l where here <= fill) as lvl from l)),
+q as (
+  select source, row_number() over (order by target / (2 * k + 1) desc, source nulls last, k) as won
+  from (select source, target, unnest(range(0, 3 * blocks + 2)) as k from t where target > 0)),
+h as (select j, (n * (j + 1) + 20) // 40 as h, n from (select cast(round(sum(target) / 16) as bigint) as n from t), (select unnest(range(0, 40)) as j)),
+u as (
+  select t.source, j, blocks, least(3 * blocks, (select count(*) from q where q.source is not distinct from t.source and won <= h)) as upto from t, h),
+w as (
+  select source, j, blocks, coalesce(lag(upto) over (partition by source order by j), 0) as before, upto, max(upto) over (partition by source) as quota,
+         cast('0x' || substr(md5('42:' || coalesce(source, '') || ':' || j), 1, 4) as bigint) as u
+  from u),
+r as (
+  select source, (low + shift) * 16 as low, (high + shift) * 16 as high
+  from (select *, greatest(before, round * blocks) as low, least(upto, (round + 1) * blocks) as high,
+               case when (round + 1) * blocks <= quota then 0 else (blocks - quota % blocks) * (j * 65536 + u) // (40 * 65536) end - round * blocks as shift
+        from w, (select unnest([0, 1, 2]) as round) where blocks > 0)
+  where low < high),
+line as (
+  select *, row_number() over () as row, sum(size) over (partition by source order by draw, doc_id, size rows between unbounded preceding and current row) as line_to from d),
+taken as (
+  select row, sum(greatest(0, least(line_to, high) - greatest(line_to - size, low))) as taken
+  from line join r on line.source is not distinct from r.source and low < line_to and high > line_to - size group by row)
+select doc_id, size, source_size, round(target, 6) as target, cast(coalesce(taken, 0) as bigint) as taken, line.source as source, draw
+from line join t on line.source is not distinct from t.source left join taken using (row)
+"""
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -109,7 +173,8 @@ def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
+    mix = mix_sources(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
+    return mix.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "source", "draw")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,4 +202,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op4_ngram_join": OP4_SQL, "op5_exact_topk": OP5_SQL}
+    return {"op3_decontamination": OP3_SQL, "op4_ngram_join": OP4_SQL, "op5_exact_topk": OP5_SQL, "op7_byte_shards": OP7_SQL, "op8_source_mix": OP8_SQL}
