@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import LOWER, UPPER, checkpointed
+from reviewloom.llm.common import LOWER, UPPER, checkpointed, unlike
 
 WINDOW_WORDS = 13
-#: Rows up to which a side of a join is broadcast; beyond it the join is left to shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Words of a token; windows of fewer words have single words for tokens.
+TOKEN_WORDS = 4
+#: Size up to which a side of a join is broadcast; beyond it the join is left to shuffle.
+BROADCAST_BYTES = 64_000_000
+_ROW_BYTES = 64  # of a window, token or candidate document, whose fields have fixed widths
 
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before A to Z are lowered
 
@@ -24,71 +27,82 @@ def words() -> Column:
     return F.regexp_extract_all(lowered, F.lit(_WORD), F.lit(0))
 
 
-def _key(first: Column, second: Column | None = None) -> Column:
-    """A token's key. ``lower`` changes more than A to Z, but words that are equal with A to Z
+def word_keys(words: Column) -> Column:
+    """Hashes of words. ``lower`` changes more than A to Z, but words that are equal with A to Z
     lowered stay equal; what it makes equal besides is told apart when windows are verified."""
-    return F.xxhash64(F.lower(first)) if second is None else F.xxhash64(F.lower(first), F.lower(second))
+    return F.transform(words, lambda x: F.xxhash64(F.lower(x)))
+
+
+def token_keys(lone: bool) -> Column:
+    """Keys of the tokens of ``k``, the hashes of a text's words: of TOKEN_WORDS words that begin at
+    each place, or of each word."""
+    if lone:
+        return F.col("k")
+    parts = ", ".join(f"k[i + {j}]" for j in range(TOKEN_WORDS))
+    whole = f"transform(sequence(0, size(k) - {TOKEN_WORDS}), i -> xxhash64({parts}))"
+    return F.expr(f"if(size(k) < {TOKEN_WORDS}, cast(array() as array<bigint>), {whole})")
+
+
+def digest(window: Column) -> Column:
+    """128 bits that name a window; words hold no spaces, so joined ones are told apart."""
+    return F.unhex(F.md5(F.array_join(window, " ").cast("binary")))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, window (words), wid: each run of WINDOW_WORDS words, or the whole of a shorter item."""
-    listed = benchmark.select("item_id", words().alias("w")).filter(F.size("w") > 0)
+    """item (the item_id as text), len, k (hashes of the words) and wid of each run of
+    WINDOW_WORDS words, or the whole of a shorter item."""
+    listed = benchmark.select(F.col("item_id").cast("string").alias("item"), words().alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (WINDOW_WORDS - 1), F.lit(1)))
-    cut = listed.select("item_id", "w", F.explode(starts).alias("s"))
-    return cut.select("item_id", F.slice("w", F.col("s"), F.lit(WINDOW_WORDS)).alias("window")).withColumn(
-        "wid", F.xxhash64(F.array_join("window", " "))
-    )
+    cut = listed.select("item", "w", F.explode(starts).alias("s")).select("item", F.slice("w", F.col("s"), F.lit(WINDOW_WORDS)).alias("w"))
+    return cut.select("item", F.size("w").alias("len"), word_keys(F.col("w")).alias("k"), digest(F.col("w")).alias("wid"))
 
 
-def window_tokens(windows: DataFrame) -> DataFrame:
-    """wid, len, at, key: the word pairs of each window with their places; a lone word is its own token."""
-    pairs = F.arrays_zip(F.col("window").alias("a"), F.expr("slice(window, 2, size(window))").alias("b"))
-    rows = windows.select("wid", F.size("window").alias("len"), F.posexplode(pairs).alias("at", "p"))
-    key = F.when(F.col("len") > 1, _key(F.col("p.a"), F.col("p.b"))).otherwise(_key(F.col("p.a")))
-    return rows.filter("at < len - 1 or len = 1").select("wid", "len", "at", key.alias("key"))
+def window_tokens(windows: DataFrame, lone: bool) -> DataFrame:
+    """wid, len, at, key: the tokens of the windows with their places; of windows too short for
+    tokens of TOKEN_WORDS words if ``lone``, of the others if not."""
+    kept = windows.filter(F.col("len") < TOKEN_WORDS if lone else F.col("len") >= TOKEN_WORDS)
+    return kept.select("wid", "len", F.posexplode(token_keys(lone)).alias("at", "key"))
 
 
 def document_tokens(docs: DataFrame, lone: bool) -> DataFrame:
-    """doc_id, text_key, n_words, at, key of each word pair; of each word instead if ``lone``."""
-    listed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), _raw_words().alias("w"))
-    pairs = F.arrays_zip(F.col("w").alias("a"), F.expr("slice(w, 2, greatest(size(w), 1))").alias("b"))
-    rows = listed.select("doc_id", "text_key", F.size("w").alias("n_words"), F.posexplode(pairs).alias("at", "p"))
-    key = _key(F.col("p.a")) if lone else _key(F.col("p.a"), F.col("p.b"))
-    return rows.filter("true" if lone else "at < n_words - 1").select("doc_id", "text_key", "n_words", "at", key.alias("key"))
+    """doc_id, text_key, n_words, at, key of each token of the documents."""
+    listed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), word_keys(_raw_words()).alias("k"))
+    return listed.select("doc_id", "text_key", F.size("k").alias("n_words"), F.posexplode(token_keys(lone)).alias("at", "key"))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """doc_id, text_key, start, wid: where the rarest token of a window occurs with room for the window.
+    """doc_id, text_key, start, len, wid: where the rarest token of a window occurs with room for the window.
 
     Containment of a whole window leaves a prefix of one token in the order of rarity. Rarity
     is the number of occurrences in all documents, counted for the benchmark's tokens only;
-    a window with a token that no document has is nowhere.
+    a window with a token that no document has is nowhere. Texts are read once: tokens that the
+    benchmark has too are kept, counted and joined with the prefixes.
     """
-    tokens = checkpointed(window_tokens(windows.dropDuplicates(["wid"])))
-    n = tokens.count()
-    found = None
+    once, found = windows.dropDuplicates(["wid"]), None
     for lone in (False, True):
-        own = tokens.filter("len = 1" if lone else "len > 1")
-        if own.isEmpty():
+        own = checkpointed(window_tokens(once, lone))
+        n = own.count()
+        if not n:
             continue
-        seen = document_tokens(docs, lone)
-        counts = checkpointed(seen.select("key").join(_small(own.select("key").distinct(), n), "key").groupBy("key").agg(F.count("*").alias("occurs")))
-        ranked = own.join(_small(counts, n), "key", "left")
+        keys = _small(own.select("key").distinct(), n * _ROW_BYTES)
+        seen = checkpointed(document_tokens(docs, lone).join(keys, "key"))
+        counts = seen.groupBy("key").agg(F.count("*").alias("occurs"))
         prefix = (
-            ranked.groupBy("wid", "len")
+            own.join(counts, "key", "left")
+            .groupBy("wid", "len")
             .agg(F.count_if(F.col("occurs").isNull()).alias("absent"), F.min_by(F.struct("key", "at"), F.struct("occurs", "at")).alias("t"))
             .filter("absent = 0")
             .select("wid", "len", F.col("t.key").alias("key"), F.col("t.at").alias("offset"))
         )
-        hits = seen.join(_small(prefix, n), "key").withColumn("start", F.col("at") - F.col("offset") + 1)
-        hits = hits.filter("start >= 1 and start + len - 1 <= n_words").select("doc_id", "text_key", "start", "wid")
+        hits = seen.join(_small(prefix, n * _ROW_BYTES), "key").withColumn("start", F.col("at") - F.col("offset") + 1)
+        hits = hits.filter("start >= 1 and start + len - 1 <= n_words").select("doc_id", "text_key", "start", "len", "wid")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, text_key long, start int, wid long")
+        return docs.select("doc_id", F.lit(0).cast("long").alias("text_key"), F.lit(1).alias("start"), F.lit(1).alias("len"), F.lit(None).cast("binary").alias("wid")).limit(0)
     return found
 
 
@@ -96,28 +110,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: its words, those inside an occurrence of an item's window, the
     items with occurring windows, and whether it is contaminated.
 
-    Texts are read for the benchmark tokens' counts, for the prefix join, and again, of
-    documents with candidates only, for the exact comparison of words; no exploded row
-    carries a text. Candidates are grouped by document, so their number is bounded by a
-    document's length and the windows that share a token.
+    Texts are read for the prefix join, for their numbers of words and, of documents with
+    candidates only, for the comparison of windows by their digests; no exploded row carries a
+    text. Candidates are grouped by document, so their number is bounded by a document's
+    length and the windows that share a token.
 
     A null text has no words, an item without words no window, an item without id marks
     words but isn't listed; long texts are searched whole; rows that repeat a document get
-    its result each; without documents there are no rows, without items no hits; other
-    columns are ignored.
+    its result each, rows that differ in text under one id their own; without documents there
+    are no rows, without items no hits; other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
     windows = checkpointed(item_windows(benchmark))
-    n_windows = windows.count()
-    once = windows.dropDuplicates(["wid"]).select("wid", "window")
     met = checkpointed(candidates(docs, windows).distinct())
-    per_doc = (
-        met.join(_small(once, n_windows), "wid")
-        .groupBy(F.col("doc_id").alias("c_doc"), F.col("text_key").alias("c_key"))
-        .agg(F.collect_list(F.struct("start", "window", "wid")).alias("c"))
-    )
+    per_doc = met.groupBy(F.col("doc_id").alias("c_doc"), F.col("text_key").alias("c_key")).agg(F.collect_list(F.struct("start", "len", "wid")).alias("c"))
     n_met = met.select("doc_id", "text_key").distinct().count()
-    wanted = _small(met.select(F.col("doc_id").alias("c_doc"), F.col("text_key").alias("c_key")).distinct(), n_met)
+    wanted = _small(met.select(F.col("doc_id").alias("c_doc"), F.col("text_key").alias("c_key")).distinct(), n_met * _ROW_BYTES)
     same = F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("text_key") == F.col("c_key"))
     texts = (
         docs.withColumn("text_key", F.xxhash64("text"))
@@ -125,28 +133,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .dropDuplicates(["doc_id", "text_key"])
         .select("doc_id", "text_key", words().alias("w"))
     )
+    is_there = F.filter("c", lambda x: digest(F.slice(F.col("w"), x["start"], x["len"])) == x["wid"])
     hits = checkpointed(
         texts.join(per_doc, same)
-        .select("doc_id", "text_key", F.expr("filter(c, x -> slice(w, x.start, size(x.window)) = x.window)").alias("h"))
+        .select("doc_id", "text_key", is_there.alias("h"))
         .filter("size(h) > 0")
         .select(
             "doc_id",
             "text_key",
-            F.expr("size(array_distinct(flatten(transform(h, x -> sequence(x.start, x.start + size(x.window) - 1)))))").alias("n_hit"),
+            F.expr("size(array_distinct(flatten(transform(h, x -> sequence(x.start, x.start + x.len - 1)))))").alias("n_hit"),
             F.expr("array_distinct(transform(h, x -> x.wid))").alias("wids"),
         )
     )
-    items = windows.select("wid", F.col("item_id").cast("string").alias("item")).distinct()
+    items = windows.select("wid", "item").distinct()
+    size = windows.agg(F.sum(F.coalesce(F.octet_length("item"), F.lit(0)) + _ROW_BYTES)).first()[0] or 0
     listed = (
         hits.select("doc_id", "text_key", F.explode("wids").alias("wid"))
-        .join(_small(items, n_windows), "wid")
+        .join(_small(items, size), "wid")
         .groupBy("doc_id", "text_key")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
     result = hits.join(listed.withColumnsRenamed({"doc_id": "c_doc", "text_key": "c_key"}), same).select(
         F.col("doc_id").alias("h_doc"), F.col("text_key").alias("h_key"), "n_hit", "items"
     )
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.size(_raw_words()).cast("long").alias("n_words"))
+    n_words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(_WORD)).cast("long")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), n_words.alias("n_words"))
     n_hit, items_or_none = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.expr("cast(array() as array<string>)"))
     return (
         rows.join(result, F.col("doc_id").eqNullSafe(F.col("h_doc")) & (F.col("text_key") == F.col("h_key")), "left")
@@ -163,6 +174,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, that aren't contaminated."""
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("bad_doc"), F.col("text_key").alias("bad_key")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_doc")) & (F.xxhash64("text") == F.col("bad_key")), "left_anti")
+    """The rows of ``docs``, with all columns, that aren't contaminated. Columns of any name are
+    kept, as those added here are named unlike them."""
+    doc, key = unlike(docs, "bad_doc", "bad_key")
+    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left_anti")
