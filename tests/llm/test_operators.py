@@ -359,3 +359,22 @@ def test_toxicity_edges(spark, empty_docs, odd_docs):
     assert toxicity.score_toxicity(empty_docs, model).count() == 0
     assert toxicity.score_toxicity(odd_docs, model).count() == 7
     assert toxicity.drop_toxic(odd_docs, model).columns == odd_docs.columns
+
+
+def test_topk_over_blocks_and_large_components(spark, monkeypatch):
+    """Several blocks, repeated ids and vectors, lengths that differ, and components too large for 64 bits."""
+    import random
+
+    monkeypatch.setattr(topk_search, "VECTORS_PER_BLOCK", 64)
+    monkeypatch.setattr(topk_search, "QUERIES_PER_BLOCK", 4)
+    rng = random.Random(4)
+    rows = [(i % 280, [rng.choice((-1, 1)) * rng.random() ** 4 * 1000 for _ in range(3 if i % 7 else 2)]) for i in range(300)]
+    rows += [(5, [2.0, 2.0, 2.0])] * 3 + [(50, rows[50][1])]
+    table = spark.createDataFrame([*rows, (510, [1e300, 1.0, 1.0]), (501, [-3e7, 1.0, 1.0])], "vec_id long, embedding array<double>")
+    found = sorted(map(tuple, topk_search.exact_topk(table, F.col("vec_id") % 50 == 0).collect()))
+    whole = [(i, [int(256 * x // 1) for x in v]) for i, v in [*rows, (501, [-3e7, 1.0, 1.0])]] + [(510, [2**53, 256, 256])]
+    expected = []
+    for q, v in {(i, tuple(v)) for i, v in whole if i % 50 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole if i != q and len(w) == len(v))[:5]
+        expected += [(q, n + 1, i, min(2**63 - 1, -s)) for n, (s, i) in enumerate(best)]
+    assert found == sorted(expected)
