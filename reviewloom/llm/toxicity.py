@@ -30,7 +30,6 @@ LEET = {
 #: Costs of the channel, in nats: a sign for a letter, a sign that means nothing, a letter repeated
 #: twice or more, or once, a gap inside a word, one between single characters, a sign that is meant as it is.
 SIGN_COST, DROP_COST, REPEAT_COST, DOUBLE_COST, GAP_COST, SPACED_COST, LITERAL_COST = 1.0, 3.0, 0.7, 5.0, 5.0, 1.0, 3.8
-BEAM = 24
 
 DOUBLED = re.compile(r"(.)\1")
 EDGES = ".,;:?!\"'()[]{}<>*#%&$|~^`_-+=/\\«»¿¡…–—"
@@ -110,7 +109,8 @@ class Decoder:
         gap is kept, as a boundary, or dropped. Without any letter in it, a token may also
         mean its signs, all of them; then '' is returned.
 
-        States are the last ORDER - 1 letters; of each only the best path is kept.
+        States are the last ORDER - 1 letters; of each the best path is kept, and all that follows
+        depends on the state alone, so the result is the best of all paths.
         """
         text, costs = fold(token), self.costs
         bare = not any(c.isalpha() for c in text)
@@ -140,8 +140,6 @@ class Decoder:
                         step, to, word = cost + channel, key, made
                     if to not in new or step < new[to][0]:
                         new[to] = (step, word)
-            if len(new) > BEAM:
-                new = dict(sorted(new.items(), key=lambda x: x[1][0])[:BEAM])
             states = new
         ends = [(cost + costs[key * LETTERS], made) for key, (cost, made) in states.items()]
         if not ends:

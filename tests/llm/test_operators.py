@@ -378,3 +378,41 @@ def test_topk_over_blocks_and_large_components(spark, monkeypatch):
         best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole if i != q and len(w) == len(v))[:5]
         expected += [(q, n + 1, i, min(2**63 - 1, -s)) for n, (s, i) in enumerate(best)]
     assert found == sorted(expected)
+
+
+def test_decoding_is_the_best_of_all_paths():
+    """Every way to read a token, scored one by one."""
+    import itertools
+    import random
+
+    words = ["you", "are", "an", "idiot", "a", "stupid", "ass", "is", "there", "good", "sell", "bill"] * 20
+    decoder = toxicity.Decoder(toxicity.log_probabilities(toxicity.gram_counts([" ".join(words)])))
+    rng = random.Random(2)
+
+    def cost(letters):
+        codes, total = [0, 0, 0], 0.0
+        for c in [*letters, None]:
+            codes.append(0 if c in (None, " ") else ord(c) - 96)
+            a, b, d, e = codes[-4:]
+            total += decoder.costs[((a * 28 + b) * 28 + d) * 28 + e]
+        return total
+
+    for _ in range(60):
+        token = "".join(rng.choice("abidotu1!0$s. ") for _ in range(rng.randint(2, 7))).strip()
+        if not any(c.isalpha() for c in token):
+            continue
+        choices = []
+        for i, c in enumerate(token):
+            if c == " ":
+                spaced = token[max(0, i - 2) : i - 1] in ("", " ") and token[i + 2 : i + 3] in ("", " ")
+                choices.append([(" ", 0.0), ("", toxicity.SPACED_COST if spaced else toxicity.GAP_COST)])
+            elif c.isalpha():
+                long = token[max(0, i - 2) : i - 1] == c or token[i + 1 : i + 2] == c
+                again = i > 0 and token[i - 1] == c
+                choices.append([(c, 0.0), *([("", toxicity.REPEAT_COST if long else toxicity.DOUBLE_COST)] if again else [])])
+            else:
+                choices.append([(x, toxicity.SIGN_COST) for x in toxicity.LEET.get(c, "")] + [("", toxicity.DROP_COST if c in toxicity.LEET else 0.1)])
+        best = min(sum(x[1] for x in way) + cost([x[0] for x in way if x[0]]) for way in itertools.product(*choices))
+        found = decoder.decode(token)
+        ways = [sum(x[1] for x in way) for way in itertools.product(*choices) if "".join(x[0] for x in way) == found]
+        assert min(ways) + cost(found) == pytest.approx(best), token
