@@ -105,10 +105,13 @@ def preview(comments: DataFrame, by: str = "cr_id", limit: int = PREVIEW) -> Dat
     return comments.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= limit).select(by, "n", line.alias("preview"))
 
 
+# Fixed value: the line of tokens.
 def usage_line(prompt: Column, completion: Column, total: Column) -> Column:
-    """The line that tells a call's tokens; null if there are none."""
-    given = (F.coalesce(prompt, F.lit(0)) != 0) | (F.coalesce(completion, F.lit(0)) != 0) | (F.coalesce(total, F.lit(0)) != 0)
-    return F.when(given, F.format_string("Token 消耗: prompt=%d, completion=%d, total=%d", F.coalesce(prompt, F.lit(0)), F.coalesce(completion, F.lit(0)), F.coalesce(total, F.lit(0))))
+    """The line that tells a call's tokens, the total being their sum if it isn't told; null if all are none."""
+    prompt, completion = F.coalesce(prompt, F.lit(0)), F.coalesce(completion, F.lit(0))
+    total = F.coalesce(total, prompt + completion)
+    line = F.concat(F.lit("Token 消耗: 输入 "), prompt, F.lit(" / 输出 "), completion, F.lit(" / 总计 "), total)
+    return F.when((prompt != 0) | (completion != 0) | (total != 0), line)
 
 
 def agent_outcome(n_comments: Column, n_findings: Column, n_failed: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reviewloom.operators.diff import trimmed
 
 MAX_KEYS, MAX_PATHS = 10, 8
+# Lines of configurations and scripts.
 KEY_LINE = r"^\s*([A-Za-z0-9_.-]+)\s*:\s*(.*)$"
 CONTROL_WORDS = r"^(if|then|else|fi|for|do|done|while|case|esac)(?![A-Za-z0-9_])"
 ENV_PREFIX = r"^([A-Z_][A-Z0-9_]*=(\"[^\"]*\"|'[^']*'|[^\s]+)\s+)*"

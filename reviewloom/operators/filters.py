@@ -7,13 +7,38 @@ from pyspark.sql import functions as F
 
 from reviewloom.operators.diff import trimmed
 
-# Directories and endings of files that aren't reviewed.
-IGNORED_DIRECTORIES = ("node_modules", "dist", "build", "coverage", ".next", "storybook-static")
-IGNORED_LOCKFILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb")
-IGNORED_ENDINGS = (
-    ".min.js", ".min.css", ".map", ".snap", ".pdf", ".woff", ".woff2", ".ttf", ".eot", ".ico",
-    ".mp4", ".mp3", ".zip", ".gz", ".png", ".jpg", ".jpeg", ".gif", ".svg",
-)
+# Build output, lockfiles and binaries, which are not reviewed.
+IGNORED = (
+    r"node_modules/",
+    r"dist/",
+    r"build/",
+    r"coverage/",
+    r"[.]next/",
+    r"storybook-static/",
+    r"package-lock[.]json$",
+    r"yarn[.]lock$",
+    r"pnpm-lock[.]yaml$",
+    r"bun[.]lockb$",
+    r"[.]min[.]js$",
+    r"[.]min[.]css$",
+    r"[.]map$",
+    r"[.]snap$",
+    r"[.]pdf$",
+    r"[.]woff$",
+    r"[.]woff2$",
+    r"[.]ttf$",
+    r"[.]eot$",
+    r"[.]ico$",
+    r"[.]mp4$",
+    r"[.]mp3$",
+    r"[.]zip$",
+    r"[.]gz$",
+    r"[.]png$",
+    r"[.]jpg$",
+    r"[.]jpeg$",
+    r"[.]gif$",
+    r"[.]svg$",
+)
 # Lower-cased paths of deployment files.
 DEPLOYMENT = (
     r"^[.]gitlab-ci[.]ya?ml$",
@@ -31,7 +56,7 @@ DEPLOYMENT = (
 # Paths that raise the risk.
 HIGH_RISK = ("src/auth/", "src/security/", "src/config/", "[.]env")
 SCRIPT_ENDINGS = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
-# Names that tell nothing about code.
+# Words that switch a flag on.
 TRUTHY = ("1", "true", "yes", "on", "ndjson")
 
 
@@ -48,9 +73,7 @@ def any_of(patterns) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-IGNORED_PATTERN = any_of(
-    [f"{d.replace('.', '[.]')}/" for d in IGNORED_DIRECTORIES] + [f"{x.replace('.', '[.]')}$" for x in IGNORED_LOCKFILES + IGNORED_ENDINGS]
-)
+IGNORED_PATTERN = any_of(IGNORED)
 
 
 def is_ignored(path: Column) -> Column:

@@ -20,6 +20,7 @@ NAME_SOURCES = (
     (r"<([A-Z][A-Za-z0-9_$]*)\b", 5),
     (r"\b([A-Z][A-Za-z0-9_$]*)\b", 2),
 )
+# Imports, and what they count; names that are identifiers.
 NAMED_IMPORT, NAMED_SCORE = r"import\s+(?:type\s+)?\{([^}]+)\}\s+from\s+['\"]([^'\"]+)['\"]", 10
 DEFAULT_IMPORT, DEFAULT_SCORE = r"import\s+([A-Za-z_$][\w$]*)\s*(?:,\s*\{[^}]+\})?\s+from\s+['\"]([^'\"]+)['\"]", 9
 NAMESPACE_IMPORT, NAMESPACE_SCORE = r"import\s+\*\s+as\s+([A-Za-z_$][\w$]*)\s+from\s+['\"]([^'\"]+)['\"]", 7

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reviewloom.functions import text
 from reviewloom.operators import code, comments, configs, diff, filters, payloads, prompts, segments, symbols
 from reviewloom.operators.classify import STRATEGIES
+from reviewloom.plans import values
 from reviewloom.plans.oracles import FILES, LINES, _with
 from reviewloom.plans.review import _files, _lines
 from reviewloom.sources import bridge, hosting
@@ -93,7 +94,7 @@ def number_fields(spark, sf):
 
 def search_paged(spark, sf):
     hits = bridge.import_edges(spark, sf).filter("symbol is not null").select(F.col("symbol").alias("query"), F.col("line").alias("ord"), F.col("importer").alias("path"))
-    return hosting.search_paths(hits, 100).select("query", "path", F.col("n").cast("long").alias("n"))
+    return hosting.search_paths(hits).select("query", "path", F.col("n").cast("long").alias("n"))
 
 
 def file_contents(spark, sf):
@@ -133,7 +134,7 @@ def capped_context(spark, sf):
 
 
 def scope_segments(spark, sf):
-    rows = _events(spark, sf).select(F.col("user_id").alias("doc_id"), "event_id", "event_type").filter("event_id % 4 = 0")
+    rows = _events(spark, sf).select(F.col("user_id").alias("doc_id"), "event_id", "event_type")
     return segments.run_segments(rows, "doc_id", "event_id", "event_type").select("doc_id", "event_id", "segment_ix")
 
 
@@ -157,7 +158,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    strategy = ", ".join(f"({i}, {r[1]}, {r[2]})" for i, r in enumerate(STRATEGIES))
+    strategy = ", ".join(f"({i}, {r[1]}, {r[2]})" for i, r in enumerate(values.STRATEGIES))
     first = lambda inner, keep: f"select doc_id, n, name from (select doc_id, name, row_number() over (partition by doc_id order by spot) as n from (select doc_id, name, min(spot) as spot from ({inner}) group by doc_id, name)) where n <= {keep}"
     return {
         "source_contracts": """select 'src/m' || doc_id || '.ts' as path, 'f' || doc_id as name, 'function' as kind, 3 as line, cast(doc_id % 4 as int) as required, cast(doc_id % 4 as int) as total, false as rest from documents""",
@@ -189,18 +190,19 @@ def oracle_sql() -> dict[str, str]:
         ),
         "number_fields": """select event_id, case event_id % 4 when 0 then cast(json_extract_string(props, '$.k') as double) when 1 then 12.0 end as number,
             case event_id % 4 when 0 then nullif(trim(json_extract_string(props, '$.k')), '') when 1 then '12' when 2 then 'x' end as string from events""",
-        "search_paged": """select query, path, n from (select *, row_number() over (partition by query order by ord, path) as n from (select 'f' || (o_orderkey % 8) as query, 'm' || (o_custkey % 500) as path, min(o_orderkey) as ord
-            from orders where o_orderkey % 9 <> 0 group by 1, 2)) where n <= 100""",
+        "search_paged": """select query, path, n from (select *, row_number() over (partition by query order by ord, path) as n from (select 'f' || (o_orderkey % 8) as query, case when o_custkey % 3 = 0 then 'u' else 'm' end || (o_custkey // 6) as path, min(o_orderkey) as ord
+            from orders where o_orderkey % 9 <> 0 group by 1, 2)) where n <= 200""",
         "file_contents": """select cast(doc_id as varchar) as path, case when doc_id % 6 = 0 then '' when doc_id % 2 = 0 or doc_id % 3 = 0 then md5(coalesce(text, '')) else '' end as content from documents""",
         "latest_versions": "select o_custkey as request, max(o_orderkey) as id, 'sha' || max(o_orderkey) as head from orders group by o_custkey",
         "webhook_events": "select event_id from events where event_type in ('view', 'error') or (event_type = 'click' and (event_id % 3 = 0 or event_id % 5 = 0))",
         "retry_delays": """select event_id, case when event_id % 3 = 0 then 2500 else cast(1000 * pow(2, event_id % 4) as bigint) end as delay_ms,
             event_id % 5 in (0, 2, 3) or event_id % 7 = 0 or event_id % 11 = 0 as retryable, event_id % 2 = 0 as truthy from events""",
-        "usage_lines": """select event_id, case when event_id % 2 + event_id % 3 + event_id % 5 > 0 then 'Token 消耗: prompt=' || (event_id % 2) || ', completion=' || (event_id % 3) || ', total=' || (event_id % 5) end as line from events""",
+        "usage_lines": """select event_id, case when event_id % 2 + event_id % 3 + event_id % 5 > 0 then 'Token 消耗: 输入 ' || (event_id % 2) || ' / 输出 ' || (event_id % 3) || ' / 总计 '
+              || case when event_id % 5 = 0 then event_id % 2 + event_id % 3 else event_id % 5 end end as line from events""",
         "capped_context": """with i as (select user_id as doc_id, case when event_id % 2 = 0 then 'function' else 'type' end as kind, event_type as name, 'f' || (event_id % 3) as file, min(event_id) as ord from events group by all),
             p as (select *, row_number() over (partition by doc_id, kind order by ord) as place from i)
             select doc_id, kind, name, file, place from p where place <= case when kind = 'function' then 3 else 2 end""",
-        "scope_segments": """with r as (select user_id as doc_id, event_id, event_type, case when event_type is distinct from lag(event_type) over w and row_number() over w > 1 then 1 else 0 end as c from events where event_id % 4 = 0 window w as (partition by user_id order by event_id)),
+        "scope_segments": """with r as (select user_id as doc_id, event_id, event_type, case when event_type is distinct from lag(event_type) over w and row_number() over w > 1 then 1 else 0 end as c from events window w as (partition by user_id order by event_id)),
             n as (select *, sum(c) over (partition by doc_id order by event_id) as run from r)
             select doc_id, event_id, cast(case when max(run) over (partition by doc_id) >= 4 then 0 else run end as bigint) as segment_ix from n""",
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reviewloom.operators import classify, filters, symbols
+from reviewloom.plans import values
 from reviewloom.sources.bridge import PATHS, STATUSES
 
 
@@ -48,10 +48,10 @@ FILES = f"""files as (
     case ({_list(STATUSES)})[doc_id % {len(STATUSES)} + 1] when 'removed' then 'deleted' when 'added' then 'added' when 'renamed' then 'renamed' else 'modified' end as status
   from documents)"""
 
-_SCRIPT = "ext in (" + ", ".join(_q(x) for x in filters.SCRIPT_ENDINGS) + ")"
+_SCRIPT = "ext in (" + ", ".join(_q(x) for x in values.SCRIPT_ENDINGS) + ")"
 PREDICATES = f"""predicates as (
-  select *, regexp_matches(path, {_q(filters.IGNORED_PATTERN)}) as ignored, regexp_matches(path, '[.](md|mdx|txt)$', 'i') as documentation,
-    regexp_matches(lower(path), {_q(filters.any_of(filters.DEPLOYMENT))}) as deployment, regexp_matches(path, {_q(filters.any_of(filters.HIGH_RISK))}) as high_risk,
+  select *, regexp_matches(path, {_q(values.any_of(values.IGNORED))}) as ignored, regexp_matches(path, '[.](md|mdx|txt)$', 'i') as documentation,
+    regexp_matches(lower(path), {_q(values.any_of(values.DEPLOYMENT))}) as deployment, regexp_matches(path, {_q(values.any_of(values.HIGH_RISK))}) as high_risk,
     regexp_extract(split_part(lower(path), '/', -1), '^.+([.][^.]*)$', 1) as ext, split_part(lower(path), '/', -1) as base from files)"""
 
 BLANK_ONLY = """blank_only as (
@@ -67,23 +67,23 @@ REVIEWABLE = """reviewable as (
 KINDS = f"""texts as (select doc_id, lower(string_agg(content, chr(10) order by hunk_ix)) as t from hunks group by doc_id),
 file_kinds as (
   select doc_id, case
-    when regexp_matches(low, {_q(filters.any_of(classify.CI_PATHS))}) or (ext in ('.yml', '.yaml') and {_words("t", classify.CI_WORDS)}) then 'ci_pipeline'
-    when regexp_matches(low, {_q(filters.any_of(classify.TEST_PATHS))}) then 'test'
+    when regexp_matches(low, {_q(values.any_of(values.CI_PATHS))}) or (ext in ('.yml', '.yaml') and {_words("t", values.CI_WORDS)}) then 'ci_pipeline'
+    when regexp_matches(low, {_q(values.any_of(values.TEST_PATHS))}) then 'test'
     when ext in ('.md', '.mdx', '.txt') or base = 'readme' then 'docs'
     when base = '.env' or starts_with(base, '.env.') or contains(low, '/.env') or ends_with(low, '/.npmrc') or ends_with(low, '/.yarnrc')
-      or ext in ({", ".join(_q(x) for x in classify.CONFIG_ENDINGS)}) then 'app_config'
-    when {_SCRIPT} and (ext in ('.tsx', '.jsx') or regexp_matches(low, {_q(classify.REACT_PATH)}) or {_words("t", classify.REACT_WORDS)}) then 'react_component'
-    when {_SCRIPT} and (regexp_matches(low, {_q(classify.FRONTEND_PATH)}) or {_words("t", classify.FRONTEND_WORDS)}) then 'frontend_module'
-    when {_SCRIPT} and (regexp_matches(low, {_q(classify.BACKEND_PATH)}) or {_words("t", classify.BACKEND_WORDS)}) then 'backend_service'
+      or ext in ({", ".join(_q(x) for x in values.CONFIG_ENDINGS)}) then 'app_config'
+    when {_SCRIPT} and (ext in ('.tsx', '.jsx') or regexp_matches(low, {_q(values.REACT_PATH)}) or {_words("t", values.REACT_WORDS)}) then 'react_component'
+    when {_SCRIPT} and (regexp_matches(low, {_q(values.FRONTEND_PATH)}) or {_words("t", values.FRONTEND_WORDS)}) then 'frontend_module'
+    when {_SCRIPT} and (regexp_matches(low, {_q(values.BACKEND_PATH)}) or {_words("t", values.BACKEND_WORDS)}) then 'backend_service'
     when {_SCRIPT} then 'backend_module' else 'generic' end as kind
   from (select p.*, lower(path) as low, coalesce(t, '') as t from predicates p left join texts using (doc_id)))"""
 
 IMPACTS = f"""impact_flags as (
   select doc_id, bool_or(kind = '-') and not bool_or(kind = '+') as pure_removal,
-    {", ".join(f"bool_or(kind = '-' and trim(text) <> '' and regexp_matches(trim(text), {_q(p)})) as {n}" for n, p in classify.IMPACT)}
+    {", ".join(f"bool_or(kind = '-' and trim(text) <> '' and regexp_matches(trim(text), {_q(p)})) as {n}" for n, p in values.IMPACT)}
   from lines group by doc_id),
 impacts as (
-  select doc_id, list_slice(list_filter([case when pure_removal then 'pure_removal' end, {", ".join(f"case when {n} then '{n}' end" for n, _ in classify.IMPACT)}],
+  select doc_id, list_slice(list_filter([case when pure_removal then 'pure_removal' end, {", ".join(f"case when {n} then '{n}' end" for n, _ in values.IMPACT)}],
     lambda x: x is not null), 1, 3) as impacts from impact_flags)"""
 
 COUNTS = """counts as (select doc_id, count(*) filter (where kind = '+') as added, count(*) filter (where kind = '-') as removed from lines group by doc_id)"""
@@ -101,7 +101,7 @@ numbered as (select doc_id, hunk_ix, sum(case when gap > 24 then 1 else 0 end) o
 segments as (select doc_id, hunk_ix, cast(case when max(s) over (partition by doc_id) >= 4 then 0 else s end as bigint) as segment_ix from numbered)"""
 
 COMMENTS = """comments as (
-  select user_id % 50 as cr_id, 'src/f' || (event_id % 7) || '.ts' as path, event_id % 13 + 1 as line, case when event_id % 3 = 0 then 'LEFT' else 'RIGHT' end as side,
+  select user_id as cr_id, 'src/f' || (event_id % 7) || '.ts' as path, event_id % 13 + 1 as line, case when event_id % 3 = 0 then 'LEFT' else 'RIGHT' end as side,
     case when event_id % 4 = 0 then 'Token 消耗: ' || event_id || chr(10) || chr(10) else '' end || 'issue ' || event_type || ' ' || (event_id % 5)
       || case when event_id % 6 = 0 then '  ' else '' end as body,
     (['correctness', 'security', 'regression'])[event_id % 3 + 1] as agent_id, event_id as ord from events)"""
@@ -119,15 +119,15 @@ NOTES = """notes as (
   from conversations where not (conv_id % 4 = 0 and role = 'user') and not (conv_id % 4 <> 0 and conv_id % 5 = 0 and role = 'assistant'))"""
 
 CONTRACTS = """imports as (
-  select 'm' || (o_custkey % 500) as importer, 'm' || (o_orderkey % 200) as module, case when o_orderkey % 9 = 0 then null else 'f' || (o_orderkey % 8) end as symbol,
+  select case when o_custkey % 3 = 0 then 'u' else 'm' end || (o_custkey // 6) as importer, 'm' || (o_orderkey // 60) as module, case when o_orderkey % 9 = 0 then null else 'f' || (o_orderkey % 8) end as symbol,
     o_orderkey % 5 as argc, o_orderpriority = '1-URGENT' as is_new, o_orderkey as line from orders),
 base as (
   select 'm' || (p_partkey // 8) as module, 'f' || (p_partkey % 8) as name, case when p_partkey % 11 = 0 then 'value' else 'function' end as kind,
-    p_partkey % 3 as required, p_partkey % 3 + 1 as total, p_partkey % 7 = 0 as rest from part where p_partkey < 1600),
+    p_partkey % 3 as required, p_partkey % 3 + 1 as total, p_partkey % 7 = 0 as rest from part),
 head as (
   select 'm' || (p_partkey // 8) as module, 'f' || (p_partkey % 8) as name, case when (p_partkey + 1) % 11 = 0 then 'value' else 'function' end as new_kind,
     p_partkey % 3 + case when p_partkey % 5 = 0 then 1 else 0 end as new_required, p_partkey % 3 + 1 + case when p_partkey % 5 = 0 then 1 else 0 end as new_total,
-    p_partkey % 7 = 0 as new_rest from part where p_partkey < 1600 and p_partkey % 17 <> 0),
+    p_partkey % 7 = 0 as new_rest from part where p_partkey % 17 <> 0),
 changes as (
   select * from (select *, case when new_kind is null then 'removed' when kind <> new_kind then 'kind_changed'
       when required is distinct from new_required or total is distinct from new_total or rest is distinct from new_rest then 'signature_changed' end as change_type
@@ -152,7 +152,7 @@ pairs as (
     or r.dir = case when contains(l.dir, '/') then regexp_replace(l.dir, '/[^/]*$', '') else '.' end)))"""
 
 _NAME_SOURCES = " union all ".join(
-    f"select doc_id, unnest(regexp_extract_all(t, {_q(p)}, 1)) as name, {n} as score from signal" for p, n in symbols.NAME_SOURCES
+    f"select doc_id, unnest(regexp_extract_all(t, {_q(p)}, 1)) as name, {n} as score from signal" for p, n in values.NAME_SOURCES
 )
 NAMES = f"""added_text as (select doc_id, string_agg(substr(l, 2), chr(10) order by hunk_ix, line_ix) as t from (
     select k.doc_id, u.hunk_ix, k.line_ix, k.l from kinds k join hunks u on u.doc_id = k.doc_id and u.h = k.h where k.kind = '+') group by doc_id),
@@ -160,7 +160,7 @@ signal as (select p.doc_id, coalesce(t, whole) as t from (select doc_id, 'diff -
     left join added_text using (doc_id)),
 names as ({_NAME_SOURCES}),
 scored as (select doc_id, name, sum(score) as score from names
-  where length(name) >= 2 and regexp_matches(name, '^[A-Za-z_$][A-Za-z0-9_$]*$') and name not in ({", ".join(_q(x) for x in symbols.STOP_NAMES)}) group by doc_id, name),
+  where length(name) >= 2 and regexp_matches(name, '^[A-Za-z_$][A-Za-z0-9_$]*$') and name not in ({", ".join(_q(x) for x in values.STOP_NAMES)}) group by doc_id, name),
 ranked as (select doc_id, name, cast(score as bigint) as score, row_number() over (partition by doc_id order by score desc, name) as rank from scored)"""
 
 
@@ -171,8 +171,8 @@ def _with(*parts: str, select: str, recursive: bool = False) -> str:
 def oracle_sql() -> dict[str, str]:
     reviewing = (LINES, FILES, PREDICATES, BLANK_ONLY, REVIEWABLE)
     risky = (*reviewing, KINDS, IMPACTS, COUNTS, RISKS)
-    reason = "case " + " ".join(f"when regexp_matches(lower(text), {_q(p)}) then '{n}'" for n, p in classify.REMOVED_BEHAVIOUR) + " else 'default' end"
-    strategy = ", ".join(f"('{r[0]}', {r[6]}, {r[8]}, {r[12]}, {r[13]}, {r[14]}, {r[15]})" for r in classify.STRATEGIES)
+    reason = "case " + " ".join(f"when regexp_matches(lower(text), {_q(p)}) then '{n}'" for n, p in values.REMOVED_BEHAVIOUR) + " else 'default' end"
+    strategy = ", ".join(f"('{r[0]}', {r[6]}, {r[8]}, {r[12]}, {r[13]}, {r[14]}, {r[15]})" for r in values.STRATEGIES)
     bare = "regexp_replace(regexp_replace(body, '^Token 消耗:[^\\n]*\\n\\n', ''), '^\\s+|\\s+$', '', 'g')"
     return {
         "cr_scale_risk": _with(
@@ -269,7 +269,7 @@ def oracle_sql() -> dict[str, str]:
             where symbol is not null and importer not in (select module from changes) group by symbol, importer)) where n <= 10""",
         ),
         "reexport_closure": _with(
-            CONTRACTS, "edges as (select distinct importer as source, module as target from imports where line % 41 = 0 and importer <> module)",
+            "edges as (select distinct 'm' || p as source, 'm' || t as target from (select p_partkey as p, unnest([p_partkey // 2, p_partkey // 3 + 7]) as t from part) where p <> t)",
             "walk(source, target, depth) as (select source, target, 1 from edges union select w.source, e.target, w.depth + 1 from walk w join edges e on e.source = w.target where w.depth < 4)",
             select="select source, target, cast(min(depth) as bigint) as depth from walk where source <> target group by source, target", recursive=True,
         ),

@@ -263,8 +263,7 @@ def external_consumers(spark, sf):
 
 
 def reexport_closure(spark, sf):
-    edges = bridge.import_edges(spark, sf).filter("line % 41 = 0").select(F.col("importer").alias("source"), F.col("module").alias("target")).filter("source <> target").distinct()
-    return contracts.reexport_closure(edges).select("source", "target", F.col("depth").cast("long").alias("depth"))
+    return contracts.reexport_closure(bridge.reexport_edges(spark, sf)).select("source", "target", F.col("depth").cast("long").alias("depth"))
 
 
 def import_resolution(spark, sf):

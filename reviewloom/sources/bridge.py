@@ -1,8 +1,7 @@
 """Change-review tables made from the driver's tables.
 
 These are synthetic stand-ins that exercise the operators, not real reviews. Every recipe is
-per-row arithmetic over whole tables, so the tables grow with their sources; but export_contracts
-reads parts below 1600 only, as the SQL of its queries does.
+per-row arithmetic over whole tables, so the tables grow with their sources, and so do their keys.
 """
 
 from __future__ import annotations
@@ -81,7 +80,7 @@ def review_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cr_id, path, line, side, body, agent_id, ord: comments of three agents, with repeats."""
     events = read(spark, sf_dir, "events")
     return events.select(
-        (F.col("user_id") % 50).alias("cr_id"),
+        F.col("user_id").alias("cr_id"),
         F.expr("concat('src/f', event_id % 7, '.ts')").alias("path"),
         (F.col("event_id") % 13 + 1).alias("line"),
         F.expr("if(event_id % 3 = 0, 'LEFT', 'RIGHT')").alias("side"),
@@ -128,8 +127,8 @@ def discussion_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """importer, module, symbol, local, argc, at_call: bindings and calls between modules."""
     return read(spark, sf_dir, "orders").select(
-        F.concat(F.lit("m"), F.col("o_custkey") % 500).alias("importer"),
-        F.concat(F.lit("m"), F.col("o_orderkey") % 200).alias("module"),
+        F.expr("concat(if(o_custkey % 3 = 0, 'u', 'm'), o_custkey div 6)").alias("importer"),
+        F.concat(F.lit("m"), F.expr("o_orderkey div 60")).alias("module"),
         F.expr("if(o_orderkey % 9 = 0, null, concat('f', o_orderkey % 8))").alias("symbol"),
         F.concat(F.lit("l"), F.col("o_orderkey") % 8).alias("local"),
         (F.col("o_orderkey") % 5).cast("int").alias("argc"),
@@ -138,12 +137,18 @@ def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def reexport_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, target: modules that pass on what two others export, each."""
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"))
+    return parts.select(F.concat(F.lit("m"), "p").alias("source"), F.explode(F.array(F.expr("p div 2"), F.expr("p div 3 + 7"))).alias("t")).select("source", F.concat(F.lit("m"), "t").alias("target")).filter("source <> target")
+
+
 def export_contracts(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:
     """module, name, kind, required, total, rest: one row an exported symbol; version base or head."""
     shift = 0 if version == "base" else 1
     rows = read(spark, sf_dir, "part")
     kept = rows if version == "base" else rows.filter("p_partkey % 17 <> 0")
-    return kept.filter("p_partkey < 1600").select(
+    return kept.select(
         F.concat(F.lit("m"), F.expr("p_partkey div 8")).alias("module"),
         F.concat(F.lit("f"), F.col("p_partkey") % 8).alias("name"),
         F.expr(f"if((p_partkey + {shift}) % 11 = 0, 'value', 'function')").alias("kind"),
