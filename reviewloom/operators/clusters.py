@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewloom.functions.lineage import cut
+
 MAX_SHARED = 6
 
 
@@ -47,21 +49,16 @@ def components(pairs: DataFrame) -> DataFrame:
     """node, label: the smallest node that each is linked with, over ``pairs`` (a, b).
 
     Labels sink along links and through the labels themselves, so chains halve each round;
-    each round is written to the checkpoint folder where one is set.
+    each round is written to the checkpoint folder.
     """
-    spark = pairs.sparkSession
-    reliable = not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty() or spark.conf.get("spark.checkpoint.dir", None)
-    if not reliable:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="reviewloom-checkpoint-"))
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")).checkpoint()
+    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = cut(both)
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         met = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("met"))
         low = labels.join(met, "node").select("node", F.least("label", "met").alias("label"), F.col("label").alias("old"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        new = low.join(up, "label", "left").select("node", F.least("label", F.coalesce("above", "label")).alias("label"), "old").checkpoint()
+        new = cut(low.join(up, "label", "left").select("node", F.least("label", F.coalesce("above", "label")).alias("label"), "old"))
         moved = new.filter("label <> old").limit(1).count()
         labels = new.select("node", "label")
         if not moved:

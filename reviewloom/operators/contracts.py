@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewloom.functions.lineage import cut
+
 MAX_DEPTH, MAX_CONSUMERS = 4, 10
 
 
@@ -50,12 +52,12 @@ def external_consumers(hits: DataFrame, changed: DataFrame, by: str = "symbol",
 
 def reexport_closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """source, target, depth: modules reached through re-exports, by the shortest way, in
-    ``max_depth`` steps. edges: source, target. One join a step, as the depth is a small constant."""
-    step = edges.select("source", "target").distinct().withColumn("depth", F.lit(1))
-    found = step
-    hop = edges.select(F.col("source").alias("target"), F.col("target").alias("next")).distinct()
+    ``max_depth`` steps. edges: source, target. One join a step, each written before the next."""
+    once = cut(edges.select("source", "target").distinct())
+    found = step = once.withColumn("depth", F.lit(1))
+    hop = once.select(F.col("source").alias("target"), F.col("target").alias("next"))
     for depth in range(2, max_depth + 1):
-        step = (
+        step = cut(
             step.join(hop, "target")
             .select("source", F.col("next").alias("target"))
             .filter("source <> target")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewloom.operators.diff import BLANK
+
 MAX_SIGNALS, TRUNCATED = 8, "\n// ... truncated"
 
 
@@ -118,3 +120,26 @@ def packed_blocks(blocks: DataFrame, key: str, budget: int, fence: str = "ts") -
 
     packed = F.aggregate("blocks", start, step)
     return listed.select(key, packed.alias("p")).select(key, F.array_join("p.out", "\n\n").alias("packed"), F.col("p.omitted").alias("omitted"))
+
+
+# How a prompt tells what it covers.
+def review_scope(path: Column, label: Column, segment: Column, segments: Column, hunks: Column) -> Column:
+    """The scope of a prompt; hunks: an array of (old_start, old_lines, new_start, new_lines, ...)."""
+    listed = F.transform(hunks, lambda h, i: F.concat(F.lit("  - Hunk "), i + 1, F.lit(": "), _ranges(h)))
+    part = F.when(segments > 1, F.concat(F.lit("- 当前范围: 这是该文件的第 "), segment, F.lit("/"), segments, F.lit(" 个局部变更段"))).otherwise("- 当前范围: 当前 prompt 覆盖该文件的全部可评审 diff")
+    return F.concat(F.lit("- 文件路径: "), path, F.lit("\n- 文件类型: "), label, F.lit("\n"), part, F.lit("\n- Hunk 数量: "), F.size(hunks), F.lit("\n"), F.array_join(listed, "\n"))
+
+
+def _ranges(hunk: Column) -> Column:
+    return F.concat(F.lit("-"), hunk["old_start"], F.lit(","), hunk["old_lines"], F.lit(" / +"), hunk["new_start"], F.lit(","), hunk["new_lines"])
+
+
+def diff_section(path: Column, hunks: Column) -> Column:
+    """The hunks of a file, each under its ranges."""
+    shown = F.transform(hunks, lambda h, i: F.concat(F.lit("### Hunk "), i + 1, F.lit(" ("), _ranges(h), F.lit(")\n```diff\n"), F.regexp_replace(h["content"], f"[{BLANK}]+$", ""), F.lit("\n```")))
+    none = F.concat(F.lit("文件路径: "), path, F.lit("\n（该文件没有可展示的 diff hunk）"))
+    return F.when(F.size(hunks) == 0, none).otherwise(F.concat(F.lit("文件路径: "), path, F.lit("\n\n"), F.array_join(shown, "\n\n")))
+
+
+def checklist(items: Column) -> Column:
+    return F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")

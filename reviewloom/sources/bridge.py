@@ -171,3 +171,64 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
               if(doc_id % 2 = 0, '  g(', concat('  g.f', doc_id * 3 % 100, '(')), if(doc_id % 3 = 0, '1, "a, b"', ''), ')\n}\n')"""
         ).alias("content"),
     )
+
+
+#: A module of several shapes of declarations; N is its number, and the class is in even ones only.
+SCOPED_LINES = (
+    "import { helper } from './h'",
+    "export function loadN(id, user) {",
+    "  if (!user) return null",
+    "  const row = query(id)",
+    "  return shapeN(row)",
+    "}",
+    "",
+    "function shapeN(row) {",
+    "  send(row); clean(row)",
+    "}",
+)
+SCOPED_CLASS = ("export class BoxN {", "  open(key) {", "    return loadN(key, this)", "  }", "}")
+SCOPED_REST = ("interface RowN { id: string }", "type IdN = string;", "export const runN = async (x) => {", "  await post(x)", "}")
+
+
+def scoped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, content: a module with functions, a class, a method, types and a function in a variable."""
+    even, odd = (F.lit("\n".join(x)) for x in (SCOPED_LINES + SCOPED_CLASS + SCOPED_REST, SCOPED_LINES + SCOPED_REST))
+    content = F.when(F.col("doc_id") % 2 == 0, even).otherwise(odd)
+    return read(spark, sf_dir, "documents").select("doc_id", F.replace(content, F.lit("N"), F.col("doc_id").cast("string")).alias("content"))
+
+
+def barrels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Exports (module, name) of every third module, and what others pass on (module, source, form,
+    name, exported): of the module of half their number by a form that goes by it, and all of another."""
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"))
+    names = F.expr("if(p % 2 = 0, array('default', 'a', 'b'), array('a', 'c'))")
+    exports = parts.filter("p % 3 = 0").select(F.concat(F.lit("m"), "p").alias("module"), F.explode(names).alias("name"))
+    first = F.expr(
+        """named_struct('source', concat('m', p div 2), 'form', element_at(array('named', 'namespace', 'star', 'named'), cast(p % 4 as int) + 1),
+             'name', element_at(array('a', null, null, 'default'), cast(p % 4 as int) + 1), 'exported', element_at(array('renamed', 'ns', null, 'a'), cast(p % 4 as int) + 1))"""
+    )
+    second = F.expr("named_struct('source', concat('m', p div 5 + 1), 'form', 'star', 'name', cast(null as string), 'exported', cast(null as string))")
+    passed = parts.filter("p % 3 <> 0").select(F.concat(F.lit("m"), "p").alias("module"), F.explode(F.array(first, second)).alias("x")).select("module", "x.*")
+    return exports, passed
+
+
+def repositories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Configurations (repo, path, content), files (repo, path) and imports (repo, importer, specifier)
+    of a repository for each supplier."""
+    repos = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("repo"))
+    configs = repos.select(
+        "repo",
+        F.explode(
+            F.expr(
+                """array(
+              named_struct('path', 'tsconfig.json', 'content', if(repo % 4 = 0, '{"extends": "./conf/base", "compilerOptions": {"paths": {"@own/*": ["src/own/*", "lib/*"]}}}', '{"compilerOptions": {"baseUrl": "src", "paths": {"@/*": ["./*"], "exact": ["one"]}}}')),
+              named_struct('path', 'conf/base.json', 'content', '{"extends": "../tsconfig.json", "compilerOptions": {"baseUrl": "..", "paths": {"@own/*": ["old/*"], "#*": ["src/*/main"]}}}'),
+              named_struct('path', 'jsconfig.json', 'content', if(repo % 3 = 0, '{"compilerOptions": {"paths": {"@own/x": ["src/x"]}}}', 'not json')))"""
+            )
+        ).alias("c"),
+    ).select("repo", "c.*")
+    paths = "array('src/own/x.ts', 'lib/y.js', 'old/x.tsx', 'src/k/main/index.ts', 'src/x.mts', 'src/one.d.ts', 'src/a/b.ts', 'src/index.tsx', 'a.ts')"
+    files = repos.select("repo", F.explode(F.expr(paths)).alias("path")).filter("not (repo % 5 = 0 and path = 'src/own/x.ts')")
+    specifiers = "array('@own/x', '@own/y', '#k', '@/a/b', 'exact', './b', '../', '../../a', 'react', './none')"
+    imports = repos.select("repo", F.lit("src/a/c.ts").alias("importer"), F.explode(F.expr(specifiers)).alias("specifier"))
+    return configs, files, imports

@@ -4,10 +4,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from reviewloom.plans import context, hosts, oracles, review
+from reviewloom.plans import codebase, context, hosts, oracles, review
 
-PLANS = {**review.queries(), **context.queries(), **hosts.queries()}
-SQL = {**oracles.oracle_sql(), **context.oracle_sql(), **hosts.oracle_sql()}
+PLANS = {**review.queries(), **context.queries(), **hosts.queries(), **codebase.queries()}
+SQL = {**oracles.oracle_sql(), **context.oracle_sql(), **hosts.oracle_sql(), **codebase.oracle_sql()}
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
