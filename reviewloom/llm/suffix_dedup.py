@@ -176,9 +176,9 @@ def judged_phrases(docs: DataFrame, slots: int) -> DataFrame:
             order = np.argsort(owner, kind="stable")
             owners, counts = np.unique(owner, return_counts=True)
             trigger, phrase = trigger[order], phrase[order]
-            # a slot fixes the high bits of its triggers; phrases of triggers that agree in the
-            # low bits only are compared by their windows, and found to differ
-            yield posting_blocks(owners, np.zeros(len(owners)), counts, phrase, _slot_of(trigger, slots), trigger.astype(np.uint32))
+            # triggers are the smallest hashes around, so slots go by a scramble of them; phrases of
+            # a slot's triggers that agree in the low bits only are compared, and found to differ
+            yield posting_blocks(owners, np.zeros(len(owners)), counts, phrase, _slot_of(mixed(trigger), slots), trigger.astype(np.uint32))
 
         waiting = 0
         for batch in batches:
@@ -253,7 +253,7 @@ def dictionary_phrases(asked: pd.DataFrame, texts: pd.DataFrame, slots: int) ->
     if held:
         owners, counts = np.array([x[0] for x in held], dtype=np.int64), np.array([len(x[1]) for x in held])
         phrase, trigger, spans = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
-        made.append(posting_blocks(owners, np.zeros(len(owners)), counts, phrase, _slot_of(trigger, slots), spans))
+        made.append(posting_blocks(owners, np.zeros(len(owners)), counts, phrase, _slot_of(mixed(trigger), slots), spans))
     if hot:
         owner = np.repeat(np.array([x[0] for x in hot], dtype=np.int64), [len(x[1]) for x in hot])
         window, at = (np.concatenate([x[i] for x in hot]) for i in (1, 2))
