@@ -63,7 +63,7 @@ def posting_blocks(owners: np.ndarray, sizes: np.ndarray, counts: np.ndarray, to
         rows.append(
             (
                 int(slots[a]),
-                owners[at].tobytes(),
+                _packed(owners[at]),
                 sizes[at].astype(np.uint32).tobytes(),
                 n.astype(np.uint32).tobytes(),
                 tokens[a:b].tobytes(),
@@ -75,6 +75,16 @@ def posting_blocks(owners: np.ndarray, sizes: np.ndarray, counts: np.ndarray, to
     )
 
 
+def _packed(owners: np.ndarray) -> bytes:
+    """Owners in four bytes each, if all of them fit, as most ids do; in eight if not."""
+    return owners.astype(np.uint32).tobytes() if len(owners) and owners.min() >= 0 and owners.max() < 1 << 32 else owners.tobytes()
+
+
+def _owners(packed: bytes, counts: bytes) -> np.ndarray:
+    """What _packed made; a count has four bytes, so the lengths tell the width."""
+    return np.frombuffer(packed, dtype=np.uint32 if len(packed) == len(counts) else np.int64).astype(np.int64)
+
+
 def dealt(blocks: DataFrame, slots: int) -> DataFrame:
     """Blocks or texts with a slot, shuffled by it into as many partitions, so that a task's
     share doesn't grow with the input."""
@@ -88,8 +98,9 @@ def read_blocks(rows: pd.DataFrame, extra: type = np.uint8) -> tuple[np.ndarray,
     """owner, size, token and extra of each posting of the rows."""
     join = lambda name, kind: np.frombuffer(b"".join(rows[name]), dtype=kind)
     counts = join("counts", np.uint32)
+    owners = [_owners(x, y) for x, y in zip(rows["owners"], rows["counts"], strict=True)]
     return (
-        np.repeat(join("owners", np.int64), counts),
+        np.repeat(np.concatenate(owners) if owners else np.empty(0, dtype=np.int64), counts),
         np.repeat(join("sizes", np.uint32), counts),
         join("tokens", np.uint64),
         join("extra", extra),

@@ -36,7 +36,7 @@ _SPAN = _GRAMS - 1 + WIDTH  # bytes of a phrase at most
 _PHRASES = 16_000  # that are sorted at once
 HOT_PHRASES = 4096  # of a trigger, above which its windows are compared by hash
 _PIECE = 1 << 21  # windows of a text that are parsed at once
-_BYTES_PER_BLOCK, BYTES_PER_SLOT = 16_000_000, 8_000_000
+_BYTES_PER_BLOCK, BYTES_PER_SLOT = 16_000_000, 16_000_000
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _HOT = np.uint64(1 << 63)  # marks a phrase of a hot trigger; no window has this bit
 _BASE = 0x9E3779B97F4A7C15 | 1
