@@ -13,6 +13,13 @@ KEY_LINE = r"^\s*([A-Za-z0-9_.-]+)\s*:\s*(.*)$"
 CONTROL_WORDS = r"^(if|then|else|fi|for|do|done|while|case|esac)(?![A-Za-z0-9_])"
 ENV_PREFIX = r"^([A-Z_][A-Z0-9_]*=(\"[^\"]*\"|'[^']*'|[^\s]+)\s+)*"
 COMMAND = r"^([A-Za-z0-9_./:-]+)"
+# Which files are read as which structure.
+KIND_PATHS = (
+    ("yaml", r"[^/]\.(yml|yaml)/*$"),
+    ("json", r"[^/]\.(json|jsonc)/*$"),
+    ("keys", r"[^/]\.(toml|ini|conf|properties)/*$"),
+    ("shell", r"[^/]\.(sh|bash|zsh)/*$|(^|/)dockerfile/*$"),
+)
 
 
 def _first_distinct(rows: DataFrame, key: str, value: str, order: list[str], limit: int) -> DataFrame:
@@ -80,3 +87,32 @@ def yaml_paths(files: DataFrame, touched: DataFrame, key: str = "doc_id") -> Dat
     paths = files.select(key, F.explode(F.aggregate(keyed, start, step, lambda s: s["out"])).alias("p")).select(key, F.col("p.line").alias("line"), F.col("p.path").alias("name"))
     rows = paths.join(touched.select(key, "line").distinct(), [key, "line"])
     return _first_distinct(rows, key, "name", ["line"], MAX_PATHS)
+
+
+def structured_kind(path: Column) -> Column:
+    """yaml, json, keys or shell by a path's ending, in any case; null for other files."""
+    plain = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    kind = F.lit(None).cast("string")
+    for name, pattern in reversed(KIND_PATHS):
+        kind = F.when(plain.rlike(pattern), name).otherwise(kind)
+    return kind
+
+
+def structured_keys(files: DataFrame, touched: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, kind, n, name: what touched lines name, read by the kind of their file.
+
+    Files of other kinds, and those without content, give none. files: key, path, content;
+    touched: key, line, hunk_ix, line_ix, text.
+    """
+    known = files.withColumn("kind", structured_kind(F.col("path"))).filter("kind is not null and content <> ''")
+    met = touched.join(known.select(key, "kind"), key)
+    own = lambda rows, kind: rows.filter(F.col("kind") == kind)
+    text = own(known, "keys").select(key, F.posexplode(F.split("content", "\r?\n")).alias("at", "text"))
+    found = {
+        "yaml": yaml_paths(own(known, "yaml"), own(met, "yaml"), key),
+        "json": json_keys(own(met, "json"), key),
+        "keys": section_keys(text.select(key, (F.col("at") + 1).alias("line"), "text"), own(met, "keys"), key),
+        "shell": shell_commands(own(met, "shell"), key),
+    }
+    named = [rows.select(key, F.lit(kind).alias("kind"), "n", "name") for kind, rows in found.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3])

@@ -43,6 +43,20 @@ def yaml_key_paths(spark, sf):
     return configs.yaml_paths(rows, touched).select("doc_id", F.col("n").cast("long").alias("n"), "name")
 
 
+def json_top_keys(spark, sf):
+    content = F.expr("""if(doc_id % 3 = 0, '[1]', concat('// what\n{"k', doc_id, '": 1, /* more */ "z": {"in": 2}}'))""")
+    return configs.top_level_keys(bridge.read(spark, sf, "documents").select("doc_id", content.alias("content"))).select("doc_id", F.col("n").cast("long").alias("n"), "name")
+
+
+def structured_changes(spark, sf):
+    shape = "cast(doc_id % 6 as int) + 1"
+    path = F.expr(f"element_at(array('ci/A.YML', 'x\\\\b.jsonc', 'c.toml', 'd/Dockerfile', 'e.ts', '.yml'), {shape})")
+    content = F.expr(f"replace(element_at(array('a:\\n  bN: 1', '{{\\n \"kN\": 1', '[s]\\nkN = 1', 'FROM x\\nrunN it', 'a:\\n  b: 1', 'a:\\n  b: 1'), {shape}), 'N', doc_id)")
+    files = bridge.read(spark, sf, "documents").select("doc_id", path.alias("path"), content.alias("content"))
+    touched = files.select("doc_id", F.lit(2).alias("line"), F.lit(0).alias("hunk_ix"), F.lit(1).alias("line_ix"), F.split("content", "\n")[1].alias("text"))
+    return configs.structured_keys(files, touched).select("doc_id", "kind", F.col("n").cast("long").alias("n"), "name")
+
+
 def prompt_budgets(spark, sf):
     rows = _files(spark, sf).select("doc_id", (F.col("doc_id") % len(STRATEGIES)).alias("s"), (F.col("doc_id") % 3).alias("segments"))
     dim = spark.createDataFrame([(i, r[1], r[2]) for i, r in enumerate(STRATEGIES)], "s long, signal_budget int, code_budget int")
@@ -151,7 +165,7 @@ def source_calls(spark, sf):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
-        json_touched_keys, shell_commands, kv_config_keys, yaml_key_paths, prompt_budgets, signal_pack, context_pack, snippet_compact, name_parts, number_fields,
+        json_touched_keys, shell_commands, kv_config_keys, yaml_key_paths, json_top_keys, structured_changes, prompt_budgets, signal_pack, context_pack, snippet_compact, name_parts, number_fields,
         search_paged, file_contents, latest_versions, webhook_events, retry_delays, usage_lines, capped_context, scope_segments, source_contracts, source_calls,
     )
     return {f.__name__: f for f in listed}
@@ -163,6 +177,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "source_contracts": """select 'src/m' || doc_id || '.ts' as path, 'f' || doc_id as name, 'function' as kind, 3 as line, cast(doc_id % 4 as int) as required, cast(doc_id % 4 as int) as total, false as rest from documents""",
         "source_calls": """select 'src/m' || doc_id || '.ts' as path, 'f' || (doc_id * 3 % 100) as symbol, 'src/m' || (doc_id * 3 % 100) as module, 4 as line, false as is_new, case when doc_id % 3 = 0 then 2 else 0 end as argc from documents""",
+        "json_top_keys": "select doc_id, n, case when n = 0 then 'k' || doc_id else 'z' end as name from documents, (values (cast(0 as bigint)), (1)) as t(n) where doc_id % 3 <> 0",
+        "structured_changes": """select doc_id, kind, cast(1 as bigint) as n, word || doc_id as name from documents join (values (0, 'yaml', 'a.b'), (1, 'json', 'k'), (2, 'keys', 's.k'), (3, 'shell', 'run')) as t(v, kind, word) on doc_id % 6 = v""",
         "json_touched_keys": first("select user_id as doc_id, event_id as spot, event_type || (event_id % 3) as name from events", 10),
         "shell_commands": _with(
             LINES,

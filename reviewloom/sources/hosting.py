@@ -11,7 +11,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -87,6 +87,12 @@ def ndjson(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*")).alias("value"))
 
 
+def ndjson_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The stream of the JSON lines that come to a folder. Lines without a type, and those that are
+    no JSON, go. schema: that of a line, type among its fields."""
+    return spark.readStream.text(folder).select(F.from_json("value", schema).alias("row")).filter("row.type is not null").select("row.*")
+
+
 def write_each(rows: DataFrame, send: Callable[[dict], None]) -> DataFrame:
     """The rows with ok and error: each is sent on its own, and a failure stops no other."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)

@@ -151,3 +151,23 @@ def test_names(spark):
 
 def test_ndjson(spark):
     assert hosting.ndjson(spark.range(1)).first()[0] == '{"id":0}'
+
+
+def test_structured_kind(spark):
+    kinds = {"a/B.YAML": "yaml", ".yml": None, "d/.json": None, "x\\y.JSONC": "json", "p.toml": "keys", "q.properties": "keys", "r.sh": "shell", "Dockerfile": "shell", "a/dockerfile": "shell", "my.dockerfile": None, "t.ts": None, "yml": None}
+    rows = spark.createDataFrame([(p,) for p in kinds], "path string")
+    assert {r["path"]: r["kind"] for r in rows.select("path", configs.structured_kind(F.col("path")).alias("kind")).collect()} == kinds
+
+
+def test_structured_keys_without_content(spark):
+    files = spark.createDataFrame([(1, "a.yml", None), (2, "b.json", ""), (3, "c.ts", "a: 1"), (4, None, "a: 1"), (5, "d.ini", "[s]\r\nk=1")], "doc_id long, path string, content string")
+    touched = spark.createDataFrame([(i, 2 if i == 5 else 1, 0, 0, "a: 1") for i in range(1, 6)], "doc_id long, line int, hunk_ix int, line_ix int, text string")
+    assert [tuple(r) for r in configs.structured_keys(files, touched).collect()] == [(5, "keys", 1, "s.k")]
+
+
+def test_lines_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"type": "progress", "n": 1}\n\nno json\n{"n": 2}\n{"type": "result", "n": 3, "more": 4}\n')
+    query = hosting.ndjson_stream(spark, str(tmp_path / "in"), "type string, n long").writeStream.format("memory").queryName("told").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(tuple(r) for r in spark.table("told").collect()) == [("progress", 1), ("result", 3)]
