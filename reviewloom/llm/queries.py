@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm.common import table
 from reviewloom.llm.decontaminate import contamination
+from reviewloom.llm.hnsw import approximate_topk
 from reviewloom.llm.mixing import mix_sources
 from reviewloom.llm.ngram_join import link_near_duplicates
 from reviewloom.llm.pii import find_personal_data
@@ -16,6 +17,7 @@ from reviewloom.llm.secrets import scan_secrets
 from reviewloom.llm.sharding import shard_by_bytes
 from reviewloom.llm.substring_dedup import remove_repeated_chunks
 from reviewloom.llm.suffix_dedup import remove_repeats
+from reviewloom.llm.token_alignment import align_tokenizers
 from reviewloom.llm.topk_search import exact_topk
 from reviewloom.llm.toxicity import fit, score_toxicity
 
@@ -185,6 +187,16 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align_tokenizers(table(spark, sf_dir, "documents"))
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return approximate_topk(vectors, vectors["vec_id"] % 20 == 0, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
         op1_secrets,
@@ -197,6 +209,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_source_mix,
         op9_suffix_dedup,
         op10_personal_data,
+        op12_token_alignment,
+        op13_nearest_neighbours,
     )
     return {f.__name__: f for f in listed}
 
