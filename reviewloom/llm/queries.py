@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.llm.common import table
+from reviewloom.llm.conversations import repair_conversations
 from reviewloom.llm.decontaminate import contamination
 from reviewloom.llm.hnsw import approximate_topk
 from reviewloom.llm.mixing import mix_sources
@@ -135,6 +136,63 @@ from line join t on line.source is not distinct from t.source left join taken us
 """
 
 
+#: All cheapest ways are kept as strings, from the last row to the first, instead of distances and a walk.
+OP11_SQL = r"""
+with recursive bits(i, k, v) as (
+  select i, 0, i from range(0, 256) as t(i)
+  union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
+crc as (select list(v order by i) as c from bits where k = 8),
+k as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '))), '..'),
+                                                                 lambda x: cast('0x' || x as bigint))),
+                         lambda a, x: xor(a >> 8, c[(xor(a, x) & 255) + 1])), 4294967295) % 20 as kind
+  from conversations, crc),
+d as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+         case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+         unnest(range(case kind when 0 then 0 when 3 then 2 else 1 end)) as again
+  from k),
+p as (select *, row_number() over (partition by conv_id order by turn nulls first, role, substr(text, 1, 256), md5(text)) as i from d),
+f as (
+  select *, substr(role, 1, 1) as initial, lag(role) over (partition by conv_id order by i) as before,
+         case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'b' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'd'
+              when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 't' else '' end as fault
+  from p),
+n as (
+  select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate,
+         count(*) filter (fault = 't') as truncated, count(*) filter (i > 1 and substr(before, 1, 1) || initial not in ('su', 'ua', 'au')) as illegal
+  from f group by conv_id),
+w(conv_id, i, b) as (
+  select conv_id, n + 1, [{'cost': 0, 'audit': '', 'lines': ''}, {'cost': 6, 'audit': 'II', 'lines': chr(10) || 'user:' || chr(10) || 'assistant:'},
+                          {'cost': 3, 'audit': 'I', 'lines': chr(10) || 'assistant:'}, {'cost': 0, 'audit': '', 'lines': ''}]
+  from n
+  union all
+  select conv_id, i, [list_sort([base[1], put2])[1], list_sort([base[2], put2])[1], two, three]
+  from (
+    select *, {'cost': 3 + two['cost'], 'audit': 'I' || two['audit'], 'lines': chr(10) || 'user:' || two['lines']} as put2
+    from (
+      select *, list_sort([base[3], {'cost': 3 + base[4]['cost'], 'audit': 'I' || base[4]['audit'], 'lines': chr(10) || 'assistant:' || base[4]['lines']}])[1] as two,
+             list_sort([base[4], {'cost': 3 + base[3]['cost'], 'audit': 'I' || base[3]['audit'], 'lines': chr(10) || 'user:' || base[3]['lines']}])[1] as three
+      from (
+        select conv_id, i, list_transform([1, 2, 3, 4], lambda s: list_sort(list_filter([
+                 {'cost': 4 + b[s]['cost'], 'audit': 'D' || b[s]['audit'], 'lines': b[s]['lines']},
+                 case when stays and (s = 1 and initial = 's') then {'cost': cut + b[2]['cost'], 'audit': 'K' || b[2]['audit'], 'lines': line || b[2]['lines']} end,
+                 case when stays and s <> 3 and initial = 'u' then {'cost': cut + b[3]['cost'], 'audit': 'K' || b[3]['audit'], 'lines': line || b[3]['lines']} end,
+                 case when stays and s = 3 and initial = 'a' then {'cost': cut + b[4]['cost'], 'audit': 'K' || b[4]['audit'], 'lines': line || b[4]['lines']} end,
+                 case when stays and s <> 3 then {'cost': 3 + cut + b[3]['cost'], 'audit': 'R' || b[3]['audit'], 'lines': chr(10) || 'user:' || text || b[3]['lines']} end,
+                 case when stays and s = 3 then {'cost': 3 + cut + b[4]['cost'], 'audit': 'R' || b[4]['audit'], 'lines': chr(10) || 'assistant:' || text || b[4]['lines']} end],
+                 lambda o: o is not null))[1]) as base
+        from (
+          select w.conv_id, f.i, b, initial, text, chr(10) || role || ':' || text as line, fault not in ('b', 'd') as stays, case fault when 't' then 3 else 0 end as cut
+          from w join f on w.conv_id is not distinct from f.conv_id and f.i = w.i - 1))))),
+s as (select conv_id, b[1] as best from w where i = 1)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+       cast(coalesce(best['cost'], 0) as bigint) as cost, coalesce(best['audit'], '') as audit, sha256(coalesce(substr(best['lines'], 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join n on n.conv_id is not distinct from o.conv_id left join s on s.conv_id is not distinct from o.conv_id
+"""
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -187,6 +245,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = align_tokenizers(table(spark, sf_dir, "documents"))
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -209,6 +271,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_source_mix,
         op9_suffix_dedup,
         op10_personal_data,
+        op11_conversation_repair,
         op12_token_alignment,
         op13_nearest_neighbours,
     )
@@ -216,4 +279,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op4_ngram_join": OP4_SQL, "op5_exact_topk": OP5_SQL, "op7_byte_shards": OP7_SQL, "op8_source_mix": OP8_SQL}
+    return {
+        "op3_decontamination": OP3_SQL,
+        "op4_ngram_join": OP4_SQL,
+        "op5_exact_topk": OP5_SQL,
+        "op7_byte_shards": OP7_SQL,
+        "op8_source_mix": OP8_SQL,
+        "op11_conversation_repair": OP11_SQL,
+    }
