@@ -1,144 +1,92 @@
-"""Exports, imports and calls of TypeScript and JavaScript sources, by patterns over cleaned text.
+"""Exports, imports and calls of TypeScript and JavaScript sources, from the marks of one pass over each.
 
-Comments and the insides of strings are blanked first, keeping line breaks, so patterns see
-code only; module names are then read from the source itself. What this doesn't see is
-stated in the README.
+``scanner`` reads a source token by token; a source is one row, its marks are rows of a table, and all
+else is joins and aggregates over that table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
-NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
-PARAMS = r"\(((?:[^()]|\([^()]*\))*)\)"
-GENERICS = r"(?:\s*<[^()]*?>)?"
-#: What is blanked: comments, templates, and strings that aren't module names.
-_REMARKS = r"(?s)/\*.*?\*/|(?m)//[^\n]*$"
-EXPORTS = (
-    ("function", rf"export\s+(default\s+)?(?:async\s+)?function\s*\*?\s*({NAME})?{GENERICS}\s*{PARAMS}"),
-    ("function", rf"export\s+()(?:const|let|var)\s+({NAME})\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\s*\*?\s*(?:{NAME})?{GENERICS}\s*)?{PARAMS}(?=\s*(?::[^={{\n]+)?\s*(?:=>|\{{))"),
-    ("function", rf"export\s+()(?:const|let|var)\s+({NAME})\s*=\s*(?:async\s+)?({NAME})\s*=>"),
-    ("class", rf"export\s+(default\s+)?(?:abstract\s+)?class(?:\s+({NAME}))?()"),
-    ("type", rf"export\s+()(?:declare\s+)?(?:interface|type|enum|const\s+enum)\s+({NAME})()"),
-    ("value", rf"export\s+()(?:const|let|var)\s+({NAME})()"),
-)
-IMPORTS = (
-    ("default", rf"import\s+(?:type\s+)?({NAME})\s*(?:,\s*\{{[^}}]*\}})?\s*from\s*['\"]([^'\"\n]+)['\"]"),
-    ("named", r"import\s+(?:type\s+)?(?:[A-Za-z_$][A-Za-z0-9_$]*\s*,\s*)?\{([^}]*)\}\s*from\s*['\"]([^'\"\n]+)['\"]"),
-    ("namespace", rf"import\s+\*\s+as\s+({NAME})\s+from\s*['\"]([^'\"\n]+)['\"]"),
-)
-REEXPORTS = (
-    ("named", r"export\s+(?:type\s+)?\{([^}]*)\}\s*from\s*['\"]([^'\"\n]+)['\"]"),
-    ("namespace", rf"export\s+\*\s+as\s+({NAME})\s+from\s*['\"]([^'\"\n]+)['\"]"),
-    ("star", r"export\s+(\*)\s+from\s*['\"]([^'\"\n]+)['\"]"),
-)
-CALL = rf"(?<![A-Za-z0-9_$.])(new\s+)?({NAME}(?:\.{NAME})*){GENERICS}\s*{PARAMS}"
-_NO_CALLS = ("if", "for", "while", "switch", "catch", "function", "return", "super", "typeof", "await")
-
-
-def without_remarks(source: Column) -> Column:
-    """The source with comments gone; their line breaks stay."""
-    return F.regexp_replace(F.regexp_replace(source, r"(?m)(?<![:'\"])//[^\n]*$", ""), r"(?s)/\*(?:(?!\n).)*?\*/", "")
-
-
-def without_strings(source: Column) -> Column:
-    """The source without what its strings say."""
-    return F.regexp_replace(source, r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`", "''")
-
-
-def parameters(listed: Column) -> Column:
-    """The parameters of a list: what stands between commas outside of brackets."""
-    flat = listed
-    for _ in range(3):
-        flat = F.regexp_replace(flat, r"\{[^{}]*\}|\([^()]*\)|\[[^\[\]]*\]|<[^<>]*>", "_")
-    return F.filter(F.transform(F.split(flat, ","), lambda x: F.trim(x)), lambda x: x != "")
-
-
-def _matches(text: str, pattern: str, groups: int) -> Column:
-    """Each match of a pattern with its groups and its line."""
-    found = [F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(i)).alias(f"g{i}") for i in range(groups + 1)]
-    before = F.split(F.col(text), pattern, -1).alias("before")
-    return F.arrays_zip(*found, before)
-
-
-def _with_lines(files: DataFrame, key: list[str], text: str, pattern: str, groups: int) -> DataFrame:
-    """A row a match: line (from 1) and g1, g2 ... of the pattern's groups."""
-    zipped = files.select(*key, _matches(text, pattern, groups).alias("m")).filter(F.size("m") > 1)
-    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    fields = "".join(f",g{i}:string" for i in range(1, groups + 1))
-    start = F.expr(f"named_struct('line', 1, 'out', cast(array() as array<struct<line:int{fields}>>))")
-
-    def step(s: Column, m: Column) -> Column:
-        line = s["line"] + breaks(m["before"])
-        row = F.struct(line.alias("line"), *[m[f"g{i}"].alias(f"g{i}") for i in range(1, groups + 1)])
-        after = line + F.coalesce(breaks(m["g0"]), F.lit(0))
-        return F.struct(after.alias("line"), F.when(m["g0"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(row))).alias("out"))
-
-    return zipped.select(*key, F.explode(F.aggregate("m", start, step, lambda s: s["out"])).alias("r")).select(*key, "r.*")
+from reviewloom.functions import scanner
 
+CONTRACT_KINDS = ("function", "class", "type", "value")
 
-def export_contracts(files: DataFrame, key: str = "path") -> DataFrame:
+
+@udtf(returnType=scanner.MARKS)
+class SourceMarks:
+    """The marks of one source."""
+
+    def eval(self, content: str):
+        yield from scanner.marks(content)
+
+
+@udtf(returnType=scanner.TOKENS)
+class SourceTokens:
+    """The tokens of one source."""
+
+    def eval(self, content: str):
+        yield from scanner.tokens(content)
+
+
+def source_marks(files: DataFrame, key: str = "path") -> DataFrame:
+    """key and the marks (see ``scanner.MARKS``) of each file. files: key, content.
+
+    Files with null or empty content, or nothing but remarks, have none."""
+    return files.select(key, "content").lateralJoin(SourceMarks(F.col("content").outer())).drop("content")
+
+
+def source_tokens(files: DataFrame, key: str = "path") -> DataFrame:
+    """key, at, kind, text, line, depth, start, end of each token, remarks too."""
+    return files.select(key, "content").lateralJoin(SourceTokens(F.col("content").outer())).drop("content")
+
+
+def contracts_of(marks: DataFrame, key: str = "path") -> DataFrame:
     """key, name, kind, line, required, total, rest of each exported declaration; the first of a name.
 
-    files: key, content. Default exports are named default; counts are null but for functions.
-    """
-    clean = files.select(key, without_strings(without_remarks(F.col("content"))).alias("t"))
-    found = None
-    for order, (kind, pattern) in enumerate(EXPORTS):
-        rows = _with_lines(clean, [key], "t", pattern, 3)
-        name = F.when(F.coalesce("g1", F.lit("")) != "", "default").otherwise(F.col("g2"))
-        rows = rows.select(key, name.alias("name"), F.lit(kind).alias("kind"), "line", parameters(F.coalesce("g3", F.lit(""))).alias("p"), F.lit(order).alias("o"))
-        found = rows if found is None else found.union(rows)
-    best = found.filter(F.coalesce("name", F.lit("")) != "").groupBy(key, "name").agg(F.min_by(F.struct("kind", "line", "p"), F.struct("o", "line")).alias("x"))
-    is_function = F.col("x.kind") == "function"
-    rest = F.exists("x.p", lambda p: p.startswith("..."))
-    optional = lambda p: p.startswith("...") | p.contains("=") | p.rlike(rf"^(?:(?:public|private|protected|readonly)\s+)*{NAME}\s*\?")
-    return best.select(
-        key,
-        "name",
-        "x.kind",
-        "x.line",
-        F.when(is_function, F.size(F.filter("x.p", lambda p: ~optional(p)))).alias("required"),
-        F.when(is_function, F.size("x.p")).alias("total"),
-        F.when(is_function, rest).otherwise(False).alias("rest"),
-    )
-
-
-def _bound(rows: DataFrame, key: list[str], kind: str) -> DataFrame:
-    """key, symbol (null for a whole module), local, module, line, kind of import or re-export rows."""
-    if kind != "named":
-        symbol = {"default": F.lit("default"), "namespace": F.lit(None).cast("string"), "star": F.lit("*")}[kind]
-        return rows.select(*key, symbol.alias("symbol"), F.col("g1").alias("local"), F.col("g2").alias("module"), "line", F.lit(kind).alias("kind"))
-    one = F.explode(F.filter(F.transform(F.split("g1", ","), lambda x: F.trim(x)), lambda x: x != ""))
-    named = rows.select(*key, one.alias("one"), "g2", "line").withColumn("parts", F.split(F.regexp_replace("one", r"^type\s+", ""), r"\s+as\s+"))
-    return named.select(*key, F.element_at("parts", 1).alias("symbol"), F.element_at("parts", -1).alias("local"), F.col("g2").alias("module"), "line", F.lit(kind).alias("kind"))
-
-
-def _bindings(files: DataFrame, key: str, patterns) -> DataFrame:
-    clean, found = files.select(key, without_remarks(F.col("content")).alias("t")), None
-    for kind, pattern in patterns:
-        rows = _bound(_with_lines(clean, [key], "t", pattern, 2), [key], kind)
-        found = rows if found is None else found.union(rows)
-    return found
+    Default exports are named default; counts are null but for functions. A list of names in braces
+    declares nothing, see ``aliases_of``."""
+    found = marks.filter(F.col("mark") == "export").filter(F.col("kind").isin(*CONTRACT_KINDS))
+    best = found.groupBy(key, "name").agg(F.min_by(F.struct("kind", "line", "required", "total", F.coalesce("rest", F.lit(False)).alias("rest")), F.struct("start", "depth")).alias("x"))
+    return best.select(key, "name", "x.*")
 
 
-def import_bindings(files: DataFrame, key: str = "path") -> DataFrame:
+def aliases_of(marks: DataFrame, key: str = "path") -> DataFrame:
+    """key, name, exported, line of what a list of names in braces exports from the file itself."""
+    return marks.filter("mark = 'export' and kind = 'alias'").select(key, "name", F.col("local").alias("exported"), "line")
+
+
+def imports_of(marks: DataFrame, key: str = "path") -> DataFrame:
     """key, symbol, local, module, line, kind of each import; a namespace's symbol is null."""
-    return _bindings(files, key, IMPORTS)
+    return marks.filter("mark = 'import'").select(key, F.col("name").alias("symbol"), "local", "module", "line", "kind")
 
 
-def reexports(files: DataFrame, key: str = "path") -> DataFrame:
+def reexports_of(marks: DataFrame, key: str = "path") -> DataFrame:
     """key, symbol, local, module, line, kind of each re-export; a star's symbol is *."""
-    return _bindings(files, key, REEXPORTS)
+    return marks.filter("mark = 'reexport'").select(key, F.col("name").alias("symbol"), "local", "module", "line", "kind")
+
+
+def sites_of(marks: DataFrame, key: str = "path") -> DataFrame:
+    """key, line, callee, is_new, argc of each call or construction by a path of names; ``a['b'](x)`` is one of a.b."""
+    return marks.filter("mark = 'site'").select(key, "line", F.col("name").alias("callee"), (F.col("kind") == "new").alias("is_new"), F.col("total").alias("argc"))
+
+
+def export_contracts(files: DataFrame, key: str = "path") -> DataFrame:
+    return contracts_of(source_marks(files, key), key)
+
+
+def import_bindings(files: DataFrame, key: str = "path") -> DataFrame:
+    return imports_of(source_marks(files, key), key)
+
+
+def reexports(files: DataFrame, key: str = "path") -> DataFrame:
+    return reexports_of(source_marks(files, key), key)
 
 
 def call_sites(files: DataFrame, key: str = "path") -> DataFrame:
-    """key, line, callee, is_new, argc of each call or construction; ``a['b'](x)`` counts as a.b."""
-    dotted = F.regexp_replace(without_remarks(F.col("content")), rf"\[\s*['\"]({NAME})['\"]\s*\]", ".$1")
-    clean = files.select(key, without_strings(dotted).alias("t"))
-    rows = _with_lines(clean, [key], "t", CALL, 3).filter(~F.col("g2").isin(*_NO_CALLS))
-    return rows.select(key, "line", F.col("g2").alias("callee"), (F.coalesce("g1", F.lit("")) != "").alias("is_new"), F.size(parameters(F.col("g3"))).alias("argc"))
+    return sites_of(source_marks(files, key), key)
 
 
 def resolved_modules(importer: Column, specifier: Column) -> Column:

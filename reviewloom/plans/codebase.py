@@ -64,67 +64,11 @@ def namespace_members(spark, sf):
     return modules.namespace_members(given, known).select("path", "expression", "module", "symbol")
 
 
-def _scopes(spark: SparkSession, sf: str) -> DataFrame:
-    return scopes.scope_table(bridge.scoped_files(spark, sf), "doc_id")
-
-
-def scope_extract(spark, sf):
-    found = _scopes(spark, sf)
-    label = scopes.scope_label(F.col("kind"), F.col("name"))
-    return found.select("doc_id", "scope", "kind", "name", "start_line", "end_line", F.md5(F.col("text").cast("binary")).alias("text_md5"), label.alias("label"), scopes.scope_key(F.col("kind"), F.col("name"), F.col("start_line"), F.col("end_line")).alias("key"))
-
-
-def _touched(spark: SparkSession, sf: str) -> DataFrame:
-    return bridge.read(spark, sf, "documents").select("doc_id", F.explode(F.array(F.col("doc_id") % 15 + 1, F.lit(9).cast("long"))).alias("line"))
-
-
-def changed_scopes(spark, sf):
-    return scopes.changed_scopes(_scopes(spark, sf), _touched(spark, sf), "doc_id").select("doc_id", "name", F.col("n").cast("long").alias("n"))
-
-
-def removed_scopes(spark, sf):
-    lines = bridge.scoped_files(spark, sf).select("doc_id", F.posexplode(F.split("content", "\n")).alias("at", "text")).select("doc_id", (F.col("at") + 1).cast("long").alias("line"), "text")
-    removed = lines.join(_touched(spark, sf).filter("line <> 9"), ["doc_id", "line"])
-    return scopes.removed_scopes(_scopes(spark, sf), removed, "doc_id").select("doc_id", "name", "reason")
-
-
 def chunk_anchors(spark, sf):
     hunks = _hunks(spark, sf)
     return scopes.chunk_anchors(hunks, diff.lines(hunks)).select("doc_id", F.col("hunk_ix").cast("long").alias("hunk_ix"), "line")
 
 
-def semantic_segments(spark, sf):
-    starts = F.expr("case doc_id % 4 when 0 then array(3, 4) when 1 then array(3, 9, 4, 9, 3, 60) else array(3, 4, 9, 40) end")
-    hunks = bridge.read(spark, sf, "documents").select("doc_id", F.posexplode(starts).alias("hunk_ix", "new_start")).withColumn("new_lines", F.lit(1))
-    anchors = hunks.select("doc_id", "hunk_ix", F.col("new_start").cast("long").alias("line"))
-    return scopes.semantic_segments(hunks, _scopes(spark, sf), anchors).select("doc_id", F.col("hunk_ix").cast("long").alias("hunk_ix"), F.col("segment_ix").cast("long").alias("segment_ix"))
-
-
-def symbol_lookup(spark, sf):
-    wanted = bridge.read(spark, sf, "documents").select("doc_id", F.explode(F.array(F.concat(F.lit("load"), "doc_id"), F.concat(F.lit("Box"), "doc_id"), F.concat(F.lit("run"), "doc_id"), F.lit("open"))).alias("name"))
-    return scopes.symbols_by_name(_scopes(spark, sf), wanted, "doc_id").select("doc_id", "name", "kind", F.length("text").alias("length"))
-
-
-def local_symbols(spark, sf):
-    return scopes.local_symbols(_scopes(spark, sf), "doc_id").select("doc_id", "name", "type")
-
-
-def remote_symbols(spark, sf):
-    defined = scopes.local_symbols(_scopes(spark, sf), "doc_id").select(F.concat(F.lit("f"), "doc_id").alias("path"), F.regexp_replace("name", "[0-9]+$", "").alias("name"))
-    asked = bridge.read(spark, sf, "documents").select(F.concat(F.lit("f"), "doc_id").alias("own_path"), F.explode(F.array(F.lit("Box"), F.lit("load"))).alias("name"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n"), "doc_id")
-    hits = asked.withColumn("path", F.concat(F.lit("f"), F.col("doc_id") + (F.col("n") * 2 + 1) * F.when(F.col("n") == 1, 0).otherwise(1)))
-    return scopes.remote_symbols(hits, defined, F.lit(2)).select("own_path", "name", "path")
-
-
-def call_chains(spark, sf):
-    found = scopes.call_chains(_scopes(spark, sf), "doc_id")
-    return found.select("doc_id", "scope", scopes.chain_summary(F.col("name"), F.col("callees"), F.col("second")).alias("summary"))
-
-
-def data_flows(spark, sf):
-    return _scopes(spark, sf).select("doc_id", "scope", scopes.data_flow(F.col("text")).alias("summary"))
-
-
 def capped_slices(spark, sf):
     rows = bridge.read(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("label"), F.concat(F.lit("f"), F.col("event_id") % 3).alias("file"), F.lit("c").alias("content"), F.col("event_id").alias("ord"))
     return scopes.capped_slices(rows, F.col("doc_id") % 5).select("doc_id", "label", "file", F.col("place").cast("long").alias("place"))
@@ -186,8 +130,7 @@ def review_scopes(spark, sf):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
-        path_forms, alias_configs, alias_resolution, export_barrels, import_bindings, binding_aliases, namespace_members, scope_extract, changed_scopes, removed_scopes,
-        chunk_anchors, semantic_segments, symbol_lookup, local_symbols, remote_symbols, call_chains, data_flows, capped_slices, agent_assignments, agent_comments,
+        path_forms, alias_configs, alias_resolution, export_barrels, import_bindings, binding_aliases, namespace_members, chunk_anchors, capped_slices, agent_assignments, agent_comments,
         agent_outcomes, merged_results, entry_counts, empty_analysis, error_counts, review_scopes,
     )
     return {f.__name__: f for f in listed}
@@ -208,22 +151,7 @@ walk(holder, target, symbol, exported, path, chain, known) as (
     and case p.form when 'named' then p.name = w.exported else w.exported <> 'default' end),
 found as (select holder as module, target, symbol, path, min(exported) as exported from walk where not known group by all)"""
 
-_SCOPED = """shape(i, t) as (values """ + ", ".join(f"({i}, {_q(x)})" for i, x in enumerate(bridge.SCOPED_LINES + bridge.SCOPED_CLASS + bridge.SCOPED_REST, 1)) + """),
-file_lines as (select doc_id, row_number() over (partition by doc_id order by i) as line, replace(t, 'N', cast(doc_id as varchar)) as t from documents, shape where doc_id % 2 = 0 or i not between 11 and 15),
-kinds(k, kind, word, label, s, e) as (values (0, 'function', 'load', '函数', 2, 6), (1, 'function', 'shape', '函数', 8, 10), (2, 'class', 'Box', '类', 11, 15), (3, 'method', 'open', '方法', 12, 14),
-  (4, 'interface', 'Row', '接口', 16, 16), (5, 'type', 'Id', '类型', 17, 17), (6, 'variable', 'run', '函数变量', 18, 20)),
-placed as (
-  select doc_id, row_number() over (partition by doc_id order by k) - 1 as scope, kind, label, case when word = 'open' then word else word || doc_id end as name,
-    case when doc_id % 2 = 1 and k > 3 then s - 5 else s end as start_line, case when doc_id % 2 = 1 and k > 3 then e - 5 else e end as end_line
-  from documents, kinds where doc_id % 2 = 0 or k not in (2, 3)),
-scopes as (
-  select p.doc_id, scope, kind, label, name, start_line, end_line, string_agg(t, chr(10) order by line) as text
-  from placed p join file_lines l on l.doc_id = p.doc_id and line between start_line and end_line group by all),
-touched as (select doc_id, unnest([doc_id % 15 + 1, 9]) as line from documents)"""
-
-
 def oracle_sql() -> dict[str, str]:
-    reason = "case " + " ".join(f"when regexp_matches(t, {_q(p)}) then '{n}'" for n, p in values.REMOVED_BEHAVIOUR) + " else 'default' end"
     return {
         "path_forms": """select event_id, (['b/', '/', 'a/b/c', '../../q', '.', '.', '.d/e.TSX', 'x/y.mjs', 'n.test.jsx'])[event_id % 9 + 1] as path,
             (['TS', 'TS', 'TS', 'TS', 'TS', 'TS', 'TSX', 'JS', 'JSX'])[event_id % 9 + 1] as kind from events""",
@@ -248,38 +176,11 @@ def oracle_sql() -> dict[str, str]:
               ('other', null, 'm3', true, null, 3, 1), ('p', 'a', 'm1', false, null, 5, -1), ('q', 'go', 'm3', false, null, 6, 0), ('q', 'go', 'm2', false, null, 6, 1), ('o', 'a', 'm1', true, 'k', 7, 3), ('r', 'a', 'm1', false, null, 8, 3))
             as t(local, symbol, module, namespace, member, line, v) where v = -1 or (v in (0, 1) and p_partkey % 2 = v) or (v = 3 and p_partkey % 3 = 0)""",
         "namespace_members": "select p_partkey as path, 'all.go' as expression, case when p_partkey % 2 = 0 then 'm3' else 'm2' end as module, 'go' as symbol from part",
-        "scope_extract": _with(_SCOPED, select="select doc_id, scope, kind, name, start_line, end_line, md5(text) as text_md5, label || ' ' || name as label, label || ':' || name || ':' || start_line || ':' || end_line as key from scopes"),
-        "changed_scopes": _with(
-            _SCOPED,
-            select="""select doc_id, name, n from (select doc_id, name, row_number() over (partition by doc_id order by length(trim(text)), scope) as n
-            from scopes s where exists (select 1 from touched t where t.doc_id = s.doc_id and t.line between start_line and end_line)) where n <= 4""",
-        ),
-        "removed_scopes": _with(
-            _SCOPED,
-            "gone as (select doc_id, line, lower(t) as t from file_lines where line = doc_id % 15 + 1 and line <> 9)",
-            select=f"""select doc_id, name, {reason} as reason from (select s.doc_id, name, case when t <> '' then t else '' end as t, row_number() over (partition by s.doc_id order by length(trim(text)), scope) as n
-            from scopes s join gone g on g.doc_id = s.doc_id and g.line between start_line and end_line) where n <= 4""",
-        ),
         "chunk_anchors": _with(
             LINES,
             select="""select doc_id, hunk_ix, new_line as line from lines where kind = '+' union
             select doc_id, hunk_ix, unnest([greatest(1, start), greatest(1, start + greatest(nl, 1) - 1)]) from hunks u where not exists (select 1 from lines l where l.doc_id = u.doc_id and l.hunk_ix = u.hunk_ix and l.kind = '+')""",
         ),
-        "semantic_segments": """select doc_id, cast(h as bigint) as hunk_ix, cast(s as bigint) as segment_ix from documents join (values (0, 0, 0), (0, 1, 0), (1, 0, 0), (1, 1, 0), (1, 2, 0), (1, 3, 0), (1, 4, 0), (1, 5, 1),
-            (2, 0, 0), (2, 1, 0), (2, 2, 1), (2, 3, 2), (3, 0, 0), (3, 1, 0), (3, 2, 1), (3, 3, 2)) as t(v, h, s) on doc_id % 4 = v""",
-        "symbol_lookup": _with(_SCOPED, select="select doc_id, name, kind, cast(length(text) as int) as length from scopes where kind <> 'method' and (starts_with(name, 'load') or starts_with(name, 'Box') or starts_with(name, 'run'))"),
-        "local_symbols": _with(_SCOPED, select="select doc_id, name, case when kind in ('function', 'method', 'variable') then 'function' when kind = 'class' then 'class' else 'interface' end as type from scopes"),
-        "remote_symbols": """with h as (select doc_id, name, n, doc_id + (n * 2 + 1) as other from documents, (values ('Box'), ('load')) as t(name), (values (0), (2)) as r(n)),
-            o as (select * from h join (select doc_id as d from documents) on d = other where name = 'load' or other % 2 = 0)
-            select 'f' || doc_id as own_path, name, 'f' || arg_min(other, n) as path from o group by doc_id, name""",
-        "call_chains": """with c(v, k, name, direct, second) as (values (0, 0, 'loadN', 'query, shapeN', 'shapeN -> send, clean'), (0, 1, 'shapeN', 'send, clean', null), (0, 2, 'BoxN', 'loadN', 'loadN -> query, shapeN'), (0, 3, 'open', 'loadN', 'loadN -> query, shapeN'),
-              (0, 6, 'runN', 'post', null), (1, 0, 'loadN', 'query, shapeN', 'shapeN -> send, clean'), (1, 1, 'shapeN', 'send, clean', null), (1, 4, 'runN', 'post', null))
-            select doc_id, cast(k as bigint) as scope, replace('入口: ' || name || chr(10) || '直接调用: ' || direct || case when second is null then '' else chr(10) || '二跳调用:' || chr(10) || '- ' || second end, 'N', cast(doc_id as varchar)) as summary
-            from documents join c on doc_id % 2 = v""",
-        "data_flows": """with f(word, s) as (values ('load', '输入参数: id, user' || chr(10) || '保护条件: if (!user) return null' || chr(10) || '敏感调用: query' || chr(10) || '可能参与下游调用的输入: id, user'),
-              ('shape', '输入参数: row' || chr(10) || '敏感调用: send' || chr(10) || '可能参与下游调用的输入: row'), ('Box', '输入参数: key'), ('open', '输入参数: key'), ('Row', null), ('Id', null), ('run', '敏感调用: post')),
-            w as (select *, row_number() over () - 1 as k from (values ('load'), ('shape'), ('Box'), ('open'), ('Row'), ('Id'), ('run')) as t(word))
-            select doc_id, row_number() over (partition by doc_id order by k) - 1 as scope, s as summary from documents, w join f using (word) where doc_id % 2 = 0 or word not in ('Box', 'open')""",
         "capped_slices": """select doc_id, label, file, place from (select doc_id, label, file, row_number() over (partition by doc_id order by ord) as place
             from (select user_id as doc_id, event_type as label, 'f' || (event_id % 3) as file, min(event_id) as ord from events group by all)) where place <= doc_id % 5""",
         "agent_assignments": """select doc_id, unnest(range(0, doc_id % 3 + 1)) as segment_ix, agent_id, label from documents, (values ('correctness', 'Correctness'), ('security', 'Security'), ('regression', 'Regression')) as t(agent_id, label)""",

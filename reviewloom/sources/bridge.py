@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewloom.sources.shapes import MODULES, TOUCHED
+
 #: Path templates by doc_id; N is the id.
 PATHS = (
     "src/services/doc_N.ts",
@@ -158,43 +160,17 @@ def export_contracts(spark: SparkSession, sf_dir: str, version: str) -> DataFram
     )
 
 
-def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, content: a module for each document, that exports a function of doc_id % 4
-    parameters and calls another module's by name or through its namespace."""
-    return read(spark, sf_dir, "documents").select(
-        F.expr("concat('src/m', doc_id, '.ts')").alias("path"),
-        F.expr(
-            """concat('// module ', doc_id, '\n',
-              if(doc_id % 2 = 0, concat('import { f', doc_id * 3 % 100, ' as g } from \\'./m', doc_id * 3 % 100, '\\'\n'),
-                                 concat('import * as g from "./m', doc_id * 3 % 100, '"\n')),
-              'export function f', doc_id, '(', array_join(transform(filter(array(0, 1, 2), i -> i < doc_id % 4), i -> concat('p', i)), ', '), ') {\n',
-              if(doc_id % 2 = 0, '  g(', concat('  g.f', doc_id * 3 % 100, '(')), if(doc_id % 3 = 0, '1, "a, b"', ''), ')\n}\n')"""
-        ).alias("content"),
-    )
-
-
-#: A module of several shapes of declarations; N is its number, and the class is in even ones only.
-SCOPED_LINES = (
-    "import { helper } from './h'",
-    "export function loadN(id, user) {",
-    "  if (!user) return null",
-    "  const row = query(id)",
-    "  return shapeN(row)",
-    "}",
-    "",
-    "function shapeN(row) {",
-    "  send(row); clean(row)",
-    "}",
-)
-SCOPED_CLASS = ("export class BoxN {", "  open(key) {", "    return loadN(key, this)", "  }", "}")
-SCOPED_REST = ("interface RowN { id: string }", "type IdN = string;", "export const runN = async (x) => {", "  await post(x)", "}")
+def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, content: a module of one of ten shapes for each document, its number in its names."""
+    content = F.element_at(F.array(*[F.lit(m) for m in MODULES]), (F.col("doc_id") % len(MODULES)).cast("int") + 1)
+    return read(spark, sf_dir, "documents").select("doc_id", F.replace(content, F.lit("N"), F.col("doc_id").cast("string")).alias("content"))
 
 
-def scoped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, content: a module with functions, a class, a method, types and a function in a variable."""
-    even, odd = (F.lit("\n".join(x)) for x in (SCOPED_LINES + SCOPED_CLASS + SCOPED_REST, SCOPED_LINES + SCOPED_REST))
-    content = F.when(F.col("doc_id") % 2 == 0, even).otherwise(odd)
-    return read(spark, sf_dir, "documents").select("doc_id", F.replace(content, F.lit("N"), F.col("doc_id").cast("string")).alias("content"))
+def touched_module_lines(spark: SparkSession, sf_dir: str, both: bool = False) -> DataFrame:
+    """doc_id, line: lines of each module that a change touches, in one of two ways, or in both."""
+    ways = F.element_at(F.array(*[F.array(*[F.array(*[F.lit(line) for line in way]) for way in ways]) for ways in TOUCHED]), (F.col("doc_id") % len(MODULES)).cast("int") + 1)
+    lines = F.flatten(ways) if both else F.element_at(ways, F.expr("cast(doc_id div 10 % 2 as int) + 1"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(lines.cast("array<bigint>")).alias("line"))
 
 
 def barrels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
