@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, islice, product
+from itertools import chain, islice, product
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,13 @@ from reviewloom.llm.common import checkpointed
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: A block of documents ends at so many characters, or so many groups; stretches whose groups a task remembers.
-CHARS_PER_BLOCK, GROUPS_PER_BLOCK, REMEMBERED = 32 << 20, 400_000, 200_000
+# How byte-level vocabularies split a text, and the token that isn't made by merges.
+BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+ENDING = "<|endoftext|>"
+#: A block of documents ends at so many characters, or so many groups; characters tokenized in one go.
+CHARS_PER_BLOCK, GROUPS_PER_BLOCK, CHARS_AT_ONCE = 16 << 20, 400_000, 1 << 20
 #: Where both tokenizers must cut: before a single space between two other signs.
-STRETCH = re.compile(r"(?<=[^\s▁])(?= [^\s▁])")
+CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 ROWS_PER_BATCH = 5000
 IDS = pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int64())]))
 STATS = pa.schema(
@@ -61,45 +65,78 @@ class Aligner:
 
     def __init__(self, folder: str) -> None:
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.byte_bpe = Tokenizer.from_file(f"{folder}/{BYTE_FILE}")
-        self.byte_bpe.encode_special_tokens = True
+        byte_bpe = Tokenizer.from_file(f"{folder}/{BYTE_FILE}")
+        byte_bpe.encode_special_tokens = True
+        model = json.loads(byte_bpe.to_str())["model"]
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{PIECE_FILE}")
         # byte-level vocabularies write printable Latin-1 bytes as themselves, the others from U+0100 on
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in plain]
         sign = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-        self.a_bytes = {i: bytes(sign[c] for c in entry) for entry, i in self.byte_bpe.get_vocab(False).items() if all(c in sign for c in entry)}
+        decoded = {i: bytes(sign[c] for c in entry) for entry, i in byte_bpe.get_vocab(False).items() if all(c in sign for c in entry)}
+        self.a_bytes = [decoded.get(i, b"") for i in range(max(decoded) + 1)]
         names = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.pieces.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        self.a_flat, self.b_flat = _flat(self.a_bytes), _flat(self.b_bytes)
         # a piece with a space behind another sign could cross a cut
         self.cuts = not any(re.search("[^▁]▁", p) for p in names)
-        self.a_size, self.b_size = {i: len(x) for i, x in self.a_bytes.items()}, [len(x) for x in self.b_bytes]
-
-    def stretches(self, text: str) -> list[str]:
-        """Parts of space+text that are tokenized by themselves, as no token of either kind reaches over their
-        edges. Parts over ones that hold U+2581, which the pieces write for a space, are never cut."""
-        return STRETCH.split(" " + text) if self.cuts else [" " + text]
-
-    def groups(self, stretch: str) -> list[Group] | None:
-        """Groups of a stretch that starts with a space; None if its tokens don't give its bytes."""
-        whole = stretch.encode("utf-8", "surrogatepass")
-        a = self.byte_bpe.encode(stretch, add_special_tokens=False).ids
-        b = self.pieces.encode(stretch[1:], num_threads=1)
-        if b"".join([self.a_bytes.get(i, b"") for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
-            return None
-        a_ends, b_ends = list(accumulate([self.a_size[i] for i in a])), list(accumulate([self.b_size[i] for i in b]))
-        if a_ends == b_ends:
-            return [((x,), (y,)) for x, y in zip(a, b, strict=True)]
-        b_at = {end: j + 1 for j, end in enumerate(b_ends)}
-        found, a_from, b_from = [], 0, 0
-        for i, end in enumerate(a_ends):
-            j = b_at.get(end)
-            if j is not None:
-                found.append((tuple(a[a_from : i + 1]), tuple(b[b_from:j])))
-                a_from, b_from = i + 1, j
-        return found
+        # where each merge makes the token next in number, numbers are ranks, and a faster reader of ranks says the same
+        made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        firsts = [model["vocab"].get(m) for m in made]
+        is_ranked = firsts == sorted(set(firsts) - {None}) and len(made) + 256 == len(decoded) - (ENDING in model["vocab"])
+        if is_ranked:
+            ranks = {entry: i for i, entry in decoded.items() if i != model["vocab"].get(ENDING)}
+            self.a_ids = tiktoken.Encoding("ranks", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            self.a_ids = lambda text: byte_bpe.encode(text, add_special_tokens=False).ids
+        self.byte_bpe = byte_bpe
+
+    def parts(self, text: str, size: int) -> list[str]:
+        """Parts of space+text of about ``size``, cut where no token of either kind can reach over. Parts start
+        with a space; where signs of U+2581, which the pieces write for a space, stand, nothing is cut."""
+        whole, start, out = " " + text, 0, []
+        while self.cuts and len(whole) - start > size:
+            found = CUT.search(whole, start + size)
+            if not found:
+                break
+            out.append(whole[start : found.start()])
+            start = found.start()
+        return [*out, whole[start:]]
+
+    def tokens(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """Tokens of parts by both, and whether they give back its bytes."""
+        a = [self.a_ids(x) for x in parts]
+        b = self.pieces.encode([x[1:] for x in parts], num_threads=1)
+        whole = [x.encode("utf-8", "surrogatepass") for x in parts]
+        return a, b, [x and y for x, y in zip(_same(a, whole, *self.a_flat), _same(b, whole, *self.b_flat), strict=True)]
+
+
+def _flat(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All entries' bytes one behind the other, where each starts, and its size."""
+    size = np.array([len(x) for x in entries], dtype=np.int64)
+    return np.frombuffer(b"".join(entries), dtype=np.uint8), np.cumsum(size) - size, size
+
+
+def _ids(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=sum(map(len, lists)))
+
+
+def _same(lists: list[list[int]], whole: list[bytes], entries: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[bool]:
+    """Whether each list's tokens, joined, are its bytes."""
+    same = []
+    for ids, text in zip(lists, whole, strict=True):
+        ids = np.array(ids, dtype=np.int64)
+        sizes = size[ids]
+        ends = np.cumsum(sizes)
+        if len(ids) == 0 or ends[-1] != len(text):
+            same.append(not len(ids) and not text)
+            continue
+        joined = entries[np.repeat(start[ids] - ends + sizes, sizes) + np.arange(len(text))]
+        same.append(bool((joined == np.frombuffer(text, dtype=np.uint8)).all()))
+    return same
 
 
 @lru_cache(1)
@@ -116,10 +153,8 @@ class Block:
         self.names: list[str] = []
         self.links: list[list[int]] = []
         self.pairs: dict[tuple[int, int], int] = {}
-        self.docs_of: list[int] = []
-        self.sizes: list[tuple[int, int]] = []
+        self.docs_of = np.zeros(0, dtype=np.int64)
         self.docs: list[tuple] = []
-        self.known: dict[str, list[int] | None] = {}
 
     def number_of(self, group: Group) -> int:
         """A group's number. A new one's links are spelled out, once however often it occurs."""
@@ -128,45 +163,86 @@ class Block:
             gid = self.gids[group] = len(self.names)
             a, b = group
             self.names.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
-            self.sizes.append((len(a), len(b)))
-            links = [self.pairs.setdefault(pair, len(self.pairs)) for pair in product(set(a), set(b))]
-            self.docs_of += [0] * (len(self.pairs) - len(self.docs_of))
-            self.links.append(links)
+            self.links.append([self.pairs.setdefault(pair, len(self.pairs)) for pair in product(set(a), set(b))])
         return gid
 
-    def align(self, text: str | None) -> list[int] | None:
-        """Numbers of a text's groups in order; None for one without tokens."""
-        if not text:
-            return None
-        found: list[int] = []
-        for stretch in self.find.stretches(text):
-            if stretch not in self.known:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                groups = self.find.groups(stretch)
-                self.known[stretch] = None if groups is None else [self.number_of(g) for g in groups]
-            numbers = self.known[stretch]
-            if numbers is None:
-                return None
-            found += numbers
-        return found
-
-    def add(self, doc_id: str | None, text: str | None) -> None:
-        groups = self.align(text)
-        self.chars += len(text or "")
-        if groups is None:
-            self.docs.append((doc_id, 0, 0, 0, 0, "", b""))
-            return
-        times = sorted(Counter(groups).items())
-        for pair in {pair for gid, _ in times for pair in self.links[gid]}:
-            self.docs_of[pair] += 1
-        n_a = n_b = n_links = 0
-        for gid, n in times:
-            a, b = self.sizes[gid]
-            n_a, n_b, n_links = n_a + n * a, n_b + n * b, n_links + n * a * b
-        sha = hashlib.sha256(";".join([self.names[g] for g in groups]).encode()).hexdigest()
-        packed = zlib.compress(np.array(times, dtype="<u4").T.tobytes(), 1)
-        self.docs.append((doc_id, n_a, n_b, len(groups), n_links, sha, packed))
+    def _grouped(self, parts: list[str]) -> list[tuple[np.ndarray, int, int, int] | None]:
+        """Of each part the numbers of its groups in order and n_a, n_b, n_links; None if it has no tokens.
+
+        The parts' ends are ends of tokens of both kinds, so groups are found over all parts at once."""
+        a_lists, b_lists, good = self.find.tokens(parts)
+        a_lists, b_lists = ([x for x, ok in zip(lists, good, strict=True) if ok] for lists in (a_lists, b_lists))
+        a, b = _ids(a_lists), _ids(b_lists)
+        a_ends, b_ends = np.cumsum(self.find.a_flat[2][a]), np.cumsum(self.find.b_flat[2][b])
+        ends = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_to, b_to = np.searchsorted(a_ends, ends) + 1, np.searchsorted(b_ends, ends) + 1
+        a_from, b_from = (np.concatenate([[0], x[:-1]]) if len(x) else x for x in (a_to, b_to))
+        n_a, n_b = a_to - a_from, b_to - b_from
+        numbers = np.empty(len(ends), dtype=np.int64)
+        single = (n_a == 1) & (n_b == 1)
+        keys, which = np.unique(a[a_from[single]] << 32 | b[b_from[single]], return_inverse=True)
+        numbers[single] = np.array([self.number_of(((k >> 32,), (k & 0xFFFFFFFF,))) for k in keys.tolist()], dtype=np.int64)[which]
+        several = np.nonzero(~single)[0]
+        for i, p, q, r, s in zip(several.tolist(), *(x[several].tolist() for x in (a_from, a_to, b_from, b_to)), strict=True):
+            numbers[i] = self.number_of((tuple(a[p:q].tolist()), tuple(b[r:s].tolist())))
+        upto = np.concatenate([[0], np.searchsorted(a_to, np.cumsum([len(x) for x in a_lists]))]).astype(np.int64)
+        found = iter(range(len(a_lists)))
+        out: list[tuple[np.ndarray, int, int, int] | None] = []
+        for ok in good:
+            if not ok:
+                out.append(None)
+                continue
+            k = next(found)
+            part = slice(upto[k] if k == 0 else upto[k] + 1, upto[k + 1] + 1)
+            out.append((numbers[part], len(a_lists[k]), len(b_lists[k]), int(n_a[part] @ n_b[part])))
+        return out
+
+    def add(self, rows: list[tuple[str | None, str | None]], at_once: int = CHARS_AT_ONCE) -> None:
+        """Takes documents (doc_id, text) in."""
+        waiting: list[tuple[int, str]] = []
+        found: list[list[tuple[np.ndarray, int, int, int] | None]] = [[] for _ in rows]
+        held = 0
+
+        def read() -> None:
+            for (i, _), groups in zip(waiting, self._grouped([x for _, x in waiting]), strict=True):
+                found[i].append(groups)
+            waiting.clear()
+
+        for i, (_, text) in enumerate(rows):
+            for part in self.find.parts(text, at_once) if text else ():
+                if waiting and held + len(part) > at_once:
+                    read()
+                    held = 0
+                waiting.append((i, part))
+                held += len(part)
+        if waiting:
+            read()
+        seen: list[np.ndarray] = []
+        for (doc_id, text), parts in zip(rows, found, strict=True):
+            self.chars += len(text or "")
+            if not parts or None in parts:
+                self.docs.append((doc_id, 0, 0, 0, 0, "", b""))
+                continue
+            numbers = np.concatenate([p[0] for p in parts])
+            times = np.stack(np.unique(numbers, return_counts=True))
+            seen.append(times[0])
+            written = ";".join([self.names[n] for n in numbers.tolist()])
+            sha = hashlib.sha256(written.encode()).hexdigest()
+            packed = zlib.compress(times.astype("<u4").tobytes(), 1)
+            self.docs.append((doc_id, *(sum(p[k] for p in parts) for k in (1, 2)), len(numbers), sum(p[3] for p in parts), sha, packed))
+        self._count(seen)
+
+    def _count(self, seen: list[np.ndarray]) -> None:
+        """Counts for every linked pair the documents that hold it, by the different groups of each."""
+        sizes = np.array([len(x) for x in self.links], dtype=np.int64)
+        flat, start = _ids(self.links), np.cumsum(sizes) - sizes
+        counted = np.zeros(len(self.pairs), dtype=np.int64)
+        counted[: len(self.docs_of)] = self.docs_of
+        for numbers in seen:
+            n = sizes[numbers]
+            held = flat[np.repeat(start[numbers] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            counted[held if len(held) == len(numbers) and (n == 1).all() else np.unique(held)] += 1
+        self.docs_of = counted
 
     def rows(self) -> Iterator[dict]:
         """Its documents, groups and pairs, each with the columns it has."""
@@ -175,9 +251,9 @@ class Block:
         for group, gid in self.gids.items():
             a, b = ([{"id": i, "n": n} for i, n in Counter(ids).items()] for ids in group)
             yield {"block": self.number, "gid": gid, "name": self.names[gid], "a": a, "b": b}
-        for (a_id, b_id), pair in self.pairs.items():
-            if self.docs_of[pair]:  # a text without tokens may have named others
-                yield {"a_id": a_id, "b_id": b_id, "docs": self.docs_of[pair]}
+        for (a_id, b_id), n in zip(self.pairs, self.docs_of.tolist(), strict=True):
+            if n:  # a part of a text without tokens may have named others
+                yield {"a_id": a_id, "b_id": b_id, "docs": n}
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch], folder: str, chars: int = CHARS_PER_BLOCK, most: int = GROUPS_PER_BLOCK) -> Iterator[pa.RecordBatch]:
@@ -192,11 +268,18 @@ def blocks_of(batches: Iterator[pa.RecordBatch], folder: str, chars: int = CHARS
 
     block = Block(first, find)
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            block.add(doc_id, text)
+        waiting, held = [], 0
+        for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            waiting.append(row)
+            held += len(row[1] or "")
+            if held >= CHARS_AT_ONCE or block.chars + held >= chars:
+                block.add(waiting)
+                waiting, held = [], 0
             if block.chars >= chars or len(block.gids) >= most:
                 yield from closed(block)
                 block = Block(block.number + 1, find)
+        if waiting:
+            block.add(waiting)
     yield from closed(block)
 
 
@@ -214,8 +297,8 @@ def _scored(docs: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
 def align_tokenizers(docs: DataFrame, folder: str = TOKENIZERS, chars_per_block: int = CHARS_PER_BLOCK) -> DataFrame:
     """doc_id and n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document.
 
-    Each task tokenizes stretches of its texts by both vocabularies, once for each stretch it remembers,
-    and cuts them into groups where tokens of both end. A block of documents (of a set size) numbers its different
+    Each task tokenizes its texts by both vocabularies, long ones in parts, and cuts them into groups where
+    tokens of both end. A block of documents (of a set size) numbers its different
     groups, spells out the links of each once, and counts for every linked pair the documents that
     hold it. Blocks' counts of pairs are added up. Different groups of all blocks are expanded into links once, joined
     with the counts, and summed to a value a group; the values go back to every block by the

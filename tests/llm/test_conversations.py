@@ -101,7 +101,7 @@ def test_one_conversation_over_many_tasks(spark):
     rows = [(1, t, rng.choice(["user", "assistant"]), rng.choice(["Yes.", f"Turn {t}.", "cut", ""])) for t in range(600)]
     assert result(spark, rows) == plain(rows)
     table = spark.createDataFrame([(*r, "t", 1, 2) for r in rows], SCHEMA)
-    spread = conversations.damaged(table).repartitionByRange("conv", "turn").select(F.spark_partition_id()).distinct().count()
+    spread = conversations.damaged(table).repartitionByRange(4, "conv", "turn").select(F.spark_partition_id()).distinct().count()
     assert spread > 1
 
 

@@ -71,14 +71,27 @@ def test_edges(empty_docs, odd_docs):
     assert sorted(r["doc_id"] or 0 for r in rows) == [0, 0, 0, *[2**60 + 1] * 4]
 
 
-def test_stretches_are_tokenized_as_in_the_whole():
+def test_parts_are_tokenized_as_the_whole():
     rng = random.Random(9)
-    signs = "  ab'é.\n\t1▁🙂 日s <>"
+    signs = "  ab'é.\n\t1▁🙂 日s <>"
     find = aligner(TOKENIZERS)
     assert find.cuts
-    for _ in range(400):
-        text = "".join(rng.choice(signs) for _ in range(rng.randrange(1, 40)))
-        block = token_alignment.Block(0, find)
-        numbers = block.align(text)
-        names = {n: g for g, n in block.gids.items()}
-        assert (None if numbers is None else [names[n] for n in numbers]) == groups_of(text), text
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    assert any(len(find.parts(t, 5)) > 2 for t in texts)
+    block = token_alignment.Block(0, find)
+    for size in (1 << 20, 5):
+        block.docs = []
+        block.add(list(zip(map(str, range(300)), texts, strict=True)), size)
+        names = list(block.gids)
+        for text, (_, n_a, _, n_groups, _, sha, _) in zip(texts, block.docs, strict=True):
+            groups = groups_of(text)
+            written = "" if groups is None else ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
+            assert sha == ("" if groups is None else hashlib.sha256(written.encode()).hexdigest()), text
+            assert groups is None or (n_a, n_groups) == (sum(len(a) for a, _ in groups), len(groups)) and set(groups) <= set(names)
+
+
+def test_ranks_read_like_the_vocabulary(texts):
+    find = aligner(TOKENIZERS)
+    for text in [*texts.values(), *ODD]:
+        if text:
+            assert find.a_ids(" " + text) == find.byte_bpe.encode(" " + text, add_special_tokens=False).ids
