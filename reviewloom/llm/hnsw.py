@@ -142,7 +142,7 @@ def build_layer(x: np.ndarray, upper: list[np.ndarray], degree: int) -> np.ndarr
         r, c = np.nonzero(chosen >= 0)
         # a pair of one step may choose each other: the link is there already
         target, source = chosen[r, c], r + first
-        mutual = (target >= first) & (links[np.maximum(target, 0)] == source[:, None]).any(axis=1)
+        mutual = (links[target] == source[:, None]).any(axis=1)
         _link_back(x, links, source[~mutual], target[~mutual], degree)
         first += size
     return links
@@ -157,7 +157,9 @@ def _linked_by_force(x: np.ndarray, links: np.ndarray, degree: int) -> int:
     if best.shape[1]:
         chosen = diverse(x, best, np.take_along_axis(sims, best, 1), LINKS)
         links[:first, : chosen.shape[1]] = chosen
-        _link_back(x, links, np.repeat(np.arange(first), chosen.shape[1]), chosen.ravel(), degree)
+        target, source = chosen.ravel(), np.repeat(np.arange(first), chosen.shape[1])
+        mutual = (links[target] == source[:, None]).any(axis=1)
+        _link_back(x, links, source[~mutual], target[~mutual], degree)
     return first
 
 
