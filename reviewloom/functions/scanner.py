@@ -169,6 +169,8 @@ class Walk:
         self.parameters: list[int] = []
         self.guards: list[int] = []
         self.found: list[tuple] = []
+        #: Equal signs of declarations.
+        self.equals: set[int] = set()
         self._walk()
 
     # -- reading tokens
@@ -189,7 +191,8 @@ class Walk:
     def is_operand(self, i: int) -> bool:
         """Whether an expression may end with token i."""
         if self.kind[i] == "word":
-            return self.text[i] not in _OPERATORS
+            is_type = self.text[i] == "void" and self.at(i - 1) in (":", "|", "<", "=>")
+            return is_type or self.text[i] not in _OPERATORS or self.at(i - 1) in (".", "?.")
         return self.kind[i] != "sign" or self.text[i] in (")", "]", "}", "++", "--")
 
     def frame(self, i: int) -> str:
@@ -506,7 +509,9 @@ class Walk:
                 elif self.at(i + 1) == "=>" and t not in _RESERVED and i not in self.types:
                     self.parameters.append(i)
             elif self.kind[i] == "sign":
-                if t == "(":
+                if t == "=":
+                    self._assignment(i)
+                elif t == "(":
                     if i not in self.paren:
                         self._parenthesis(i)
                     if self.paren[i] == "params":
@@ -643,25 +648,30 @@ class Walk:
         elif t == "export":
             self._export(i)
 
-    def _declared(self, kind: str, exported: str, name: int | None, first: int, end: int, counts: tuple[int, int, bool] | None = None) -> None:
-        """A scope, and a contract if it is exported."""
+    def _declared(self, kind: str, exported: str, name: int | None, first: int, end: int, counts: tuple[int, int, bool] | None = None, signature: str | None = None) -> None:
+        """A scope, and a contract if it is exported; ``local`` tells its signature."""
         if not self.starts(first):
             return
-        if kind:
-            self.scopes.append((kind, name, first, end))
+        self.scopes.append((kind, name, first, end))
         words = [self.text[k] for k in range(first, min(first + 12, name if name is not None else end)) if self.is_word(k)]
-        if "export" in words:
-            called = "default" if "default" in words else self.text[name] if name is not None else None
-            if called:
-                self.found.append(("export", exported, called, None, None, first, end, *(counts or (None, None, False))))
+        own = self.text[name] if name is not None else None
+        shown = signature or own
+        if exported == "type":
+            shown = self.source_of(first, end).split("\n")[0].strip()
+        row = (shown, None, first, end, *(counts or (None, None, False)))
+        if "export" in words and (called := "default" if "default" in words else own):
+            self.found.append(("export", exported, called, *row))
+        if own:
+            self.found.append(("declaration", exported, own, *row))
 
     def _function(self, i: int) -> None:
         first = self.first_of(i)
         j = i + 2 if self.at(i + 1) == "*" else i + 1
         name = j if self.is_word(j) else None
-        end, body, counts = self.header(j + 1 if name is not None else j)
+        opener = self.type_parameters(j + 1 if name is not None else j)
+        end, body, counts = self.header(opener)
         if counts:
-            self._declared("function", "function", name, first, end, counts)
+            self._declared("function", "function", name, first, end, counts, self.signature(opener))
 
     def _class(self, i: int) -> None:
         if i and self.text[i - 1] in (".", "?.") or self.at(i + 1) in (":", "=", ",", ")"):
@@ -709,15 +719,87 @@ class Walk:
             function = self.at(j) == "=" and self._function_at(j + 1)
             if is_first and function:
                 self.scopes.append(("variable", name, first, end))
-            if self.at(first) == "export" and self.is_word(name):
-                # an arrow that isn't told by brackets has one parameter
-                kind, counts = ("function", function) if function else ("value", (None, None, False))
-                self.found.append(("export", kind, self.text[name], None, None, first, end, *counts))
-            is_first = False
+            self.equals.add(j)
+            if self.at(j) == "=" and self.is_word(name) and self.s.depth[i] == 0:
+                self._assigned("variable", name, j + 1)
+            is_first, begun = False, j
             while j <= end and not (self.text[j] == "," and self.kind[j] == "sign"):
                 j = self.mate[j] + 1 if self.kind[j] == "sign" and self.text[j] in ("(", "[", "{", "${") else j + 1
+            if self.is_word(name):
+                last = j - 2 if j > end and self.at(j - 1) == ";" else j - 1
+                kind, counts = ("function", function) if function else ("value", (None, None, False))
+                shown = self.signature(self._opener(begun + 1)) if function else self.source_of(name, last)
+                row = (kind, self.text[name], shown, None, first, end, *counts)
+                self.found += [(mark, *row) for mark in ("export", "declaration") if mark == "declaration" or self.at(first) == "export"]
             j += 1
 
+    def source_of(self, first: int, last: int) -> str:
+        return self.s.whole[self.s.start[first] : self.s.end[max(first, min(last, self.n - 1))]]
+
+    def signature(self, opener: int) -> str:
+        """Parameters as they stand, between commas; of an arrow without brackets its one name."""
+        if self.at(opener) != "(":
+            return f"({self.at(opener)})"
+        parts, first, j, close = [], opener + 1, opener + 1, self.mate[opener]
+        while j <= close:
+            if j == close or (self.text[j] == "," and self.kind[j] == "sign"):
+                if j > first:
+                    parts.append(self.source_of(first, j - 1))
+                first = j + 1
+            j = self.mate[j] + 1 if j < close and self.kind[j] == "sign" and self.text[j] in ("(", "[", "{", "${") else self.s.angle[j] + 1 if self.s.angle.get(j, -1) > j else j + 1
+        return f"({', '.join(parts)})"
+
+    def _opener(self, j: int) -> int:
+        """The first token of the parameters of the function that token j starts."""
+        j += self.at(j) == "async" and self.at(j + 1) != "=>"
+        if self.at(j) == "function":
+            j += 1 + (self.at(j + 1) == "*")
+            j += self.is_word(j)
+        return self.s.angle[j] + 1 if self.at(j) == "<" and j in self.s.angle else j
+
+    def _path(self, j: int) -> tuple[str, int] | None:
+        """A path of names that token j starts, members by strings too, and the token after it."""
+        if not self.is_word(j) or (self.text[j] in _RESERVED and self.text[j] != "this"):
+            return None
+        names, j = [self.text[j]], j + 1
+        while True:
+            if self.at(j) in (".", "?.") and self.is_word(j + 1):
+                names.append(self.text[j + 1])
+                j += 2
+            elif self.at(j) == "[" and self.mate[j] == j + 2 and self.kind[j + 1] == "string":
+                names.append(self.text[j + 1][1:-1])
+                j += 3
+            else:
+                return ".".join(names), j
+
+    def _assigned(self, kind: str, name: int, j: int) -> None:
+        """A path, or an object of paths, that is given a name from token j on."""
+        found = self._path(j)
+        if found and (self.at(found[1]) in (",", ";", ")", "]", "}", "") or (self.broken(found[1]) and self.at(found[1]) not in _GOES_ON)):
+            self.found.append(("assign", kind, self.text[name], None, found[0], name, j, None, None, None))
+        if kind != "variable" or self.at(j) != "{":
+            return
+        close, k = self.mate[j], j + 1
+        while k < close:
+            key = k
+            if self.kind[k] in ("word", "string", "number") and self.at(k + 1) in (":", ",", "}"):
+                found = self._path(k + 2 if self.at(k + 1) == ":" else k)
+                if found and (self.at(found[1]) == "," or found[1] == close) and (self.at(k + 1) == ":" or self.kind[k] == "word"):
+                    member = self.text[key].strip("'\"") if self.kind[key] == "string" else self.text[key]
+                    self.found.append(("assign", "member", self.text[name], member, found[0], key, key, None, None, None))
+            while k < close and not (self.text[k] == "," and self.kind[k] == "sign"):
+                k = self.mate[k] + 1 if self.kind[k] == "sign" and self.text[k] in ("(", "[", "{", "${") else k + 1
+            k += 1
+
+    def _assignment(self, i: int) -> None:
+        """An assignment to a name, told from defaults and declarations by what stands before the name."""
+        before = self.at(i - 2)
+        if not self.is_name(i - 1) or i in self.equals:
+            return
+        opener = i - 2 >= 0 and before == "(" and self.paren.get(i - 2) in ("group", "control", "call")
+        if opener or before in ("=>", "=", "&&", "||", "??", "return") or self.starts(i - 1):
+            self._assigned("assignment", i - 1, i + 1)
+
     def _function_at(self, j: int) -> tuple[int, int, bool] | None:
         """The parameters of a function or arrow that starts with token j, if one does."""
         j += self.at(j) == "async" and self.at(j + 1) != "=>"
@@ -789,7 +871,7 @@ class Walk:
                 row = ("namespace", None, self.text[j + 2].strip("'\"")) if named else ("star", "*", "*")
                 self.found.append(("reexport", *row, module, i, end + 1, None, None, None))
         elif self.at(j) == "default" and self.at(j + 1) not in ("function", "class", "abstract", "async", "interface", "enum"):
-            self.found.append(("export", "value", "default", None, None, i, self.expression_end(j + 1) if j + 1 < self.n else j, None, None, False))
+            self.found.append(("export", "expression", "default", None, None, i, self.expression_end(j + 1) if j + 1 < self.n else j, None, None, False))
 
     # -- what was found
 
@@ -815,6 +897,8 @@ class Walk:
         for callee, is_new, first, opener in self.sites:
             yield ("site", "new" if is_new else "call", callee, None, None, *placed(first, self.mate[opener]), None, self.arguments(opener), None)
         for mark, kind, name, local, module, first, end, *counts in self.found:
+            if mark == "declaration" and s.depth[first]:
+                continue
             yield (mark, kind, name, local, module, *placed(first, end), *counts)
 
 

@@ -31,6 +31,13 @@ class SourceTokens:
         yield from scanner.tokens(content)
 
 
+def assignments_of(marks: DataFrame, key: str = "path") -> DataFrame:
+    """key, name, member, expression, line, ord of paths that are given names: by declarations of the top level and the
+    members of objects there, in order, then by assignments anywhere."""
+    late = F.when(F.col("kind") == "assignment", F.lit(1 << 32)).otherwise(F.lit(0))
+    return marks.filter("mark = 'assign'").select(key, "name", F.col("local").alias("member"), F.col("module").alias("expression"), F.col("line").cast("long").alias("line"), (late + F.col("start")).alias("ord"))
+
+
 def source_marks(files: DataFrame, key: str = "path") -> DataFrame:
     """key and the marks (see ``scanner.MARKS``) of each file. files: key, content.
 
@@ -44,13 +51,26 @@ def source_tokens(files: DataFrame, key: str = "path") -> DataFrame:
 
 
 def contracts_of(marks: DataFrame, key: str = "path") -> DataFrame:
-    """key, name, kind, line, required, total, rest of each exported declaration; the first of a name.
+    """key, name, kind, line, required, total, rest, signature of what a file's top level exports.
 
-    Default exports are named default; counts are null but for functions. A list of names in braces
-    declares nothing, see ``aliases_of``."""
-    found = marks.filter(F.col("mark") == "export").filter(F.col("kind").isin(*CONTRACT_KINDS))
-    best = found.groupBy(key, "name").agg(F.min_by(F.struct("kind", "line", "required", "total", F.coalesce("rest", F.lit(False)).alias("rest")), F.struct("start", "depth")).alias("x"))
-    return best.select(key, "name", "x.*")
+    Default exports are named default; counts are null but for functions. Of declarations under one name a
+    type counts more than a class, a variable and a function, and the last more than those before. A list of names in
+    braces exports what the file declares under them; names it doesn't declare, as imported ones, make no contract.
+    """
+    top = marks.filter((F.col("depth") == 0) & F.col("kind").isin(*CONTRACT_KINDS))
+    own = F.struct("kind", "line", "required", "total", F.coalesce("rest", F.lit(False)).alias("rest"), F.col("local").alias("shown"))
+    rank = F.array_position(F.lit(["function", "value", "class", "type"]), F.col("kind"))
+    declared = top.filter("mark = 'declaration'").groupBy(key, "name").agg(F.min_by(own, "start").alias("x"))
+    listed = aliases_of(marks, key).select(key, "name", "exported").join(declared, [key, "name"])
+    found = top.filter("mark = 'export'").select(key, "name", F.struct(F.lit(0).alias("listed"), rank.alias("rank"), "start").alias("at"), own.alias("x"))
+    found = found.unionByName(listed.select(key, F.col("exported").alias("name"), F.struct(F.lit(1).alias("listed"), F.lit(0).cast("bigint").alias("rank"), F.lit(0).alias("start")).alias("at"), "x"))
+    best = found.groupBy(key, "name").agg(F.max_by("x", "at").alias("x")).select(key, "name", "x.*")
+    signature = (
+        F.when(F.col("kind") == "function", F.concat("name", "shown"))
+        .when(F.col("kind") == "class", F.coalesce(F.concat(F.lit("class "), "shown"), F.lit("default class")))
+        .otherwise(F.col("shown"))
+    )
+    return best.withColumn("signature", signature).drop("shown")
 
 
 def aliases_of(marks: DataFrame, key: str = "path") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,22 +175,78 @@ def namespace_members(expressions: DataFrame, bindings: DataFrame, key: str = "p
     return asked.join(whole, [key, "local"]).select(key, "expression", "module", "symbol")
 
 
+BINDING = "local string, symbol string, module string, namespace boolean, member string, line long, ord long"
+
+
+def _meant(expression: str, known: list[tuple], by_name: dict[str, int], wholes: dict[str, int]) -> tuple[str, str | None] | None:
+    """Module and symbol that an expression means: by the binding that came last among those it names, else as a
+    member of the namespace that came last. known: local, symbol, module, namespace, member."""
+    at = by_name.get(expression)
+    if at is not None:
+        return known[at][2], known[at][1]
+    base, dot, member = expression.rpartition(".")
+    at = wholes.get(base) if dot else None
+    return None if at is None else (known[at][2], member)
+
+
+def aliases_in_order(bindings: list[tuple], assignments: list[tuple], rounds: int = ALIAS_ROUNDS) -> list[tuple]:
+    """Bindings (local, symbol, module, namespace, member, line) and those that assignments (name, member, expression, line)
+    add, one after the other, so that an alias of an alias is found where it follows. Rounds end when one adds none.
+
+    A dictionary keeps the last binding that each expression names, so a file of any number of both is read once a round.
+    """
+    known: list[tuple] = []
+    by_name: dict[str, int] = {}
+    wholes: dict[str, int] = {}
+    seen = set()
+
+    def put(binding: tuple) -> bool:
+        local, symbol, module, namespace, member, line = binding
+        key = (module, symbol, local, namespace, member, line)
+        if key in seen:
+            return False
+        seen.add(key)
+        known.append(binding)
+        # a whole namespace is named by its default member alone
+        by_name[f"{local}.{member or symbol or 'default'}" if namespace else local] = len(known) - 1
+        if namespace and member is None:
+            wholes[local] = len(known) - 1
+        return True
+
+    for binding in bindings:
+        put(binding)
+    for _ in range(rounds):
+        added = False
+        for name, member, expression, line in assignments:
+            found = _meant(expression, known, by_name, wholes)
+            if found:
+                added |= put((name, found[1], found[0], member is not None, member, line))
+        if not added:
+            break
+    return known
+
+
 def binding_aliases(bindings: DataFrame, assignments: DataFrame, key: str = "path", rounds: int = ALIAS_ROUNDS) -> DataFrame:
-    """``bindings`` and the local names that assignments give to them, in two rounds.
+    """``bindings`` and the local names that a file's assignments give to them, in the order of its statements, in two rounds.
 
     bindings: key, local, symbol, module, namespace, member, line, ord; assignments: key, name, member
-    (of an object literal, or null), expression, line, ord. An expression means the binding that came
-    last among those it names; a member of a namespace names its symbol.
+    (of an object literal, or null), expression, line, ord. One fold a file; files spread over tasks.
     """
-    columns = [key, "local", "symbol", "module", "namespace", "member", "line", "ord"]
-    known, step = bindings.select(*columns), None
-    for round_ in range(rounds):
-        text = F.when(F.col("namespace") & F.col("member").isNotNull(), F.concat("local", F.lit("."), "member")).when(~F.col("namespace"), F.col("local"))
-        named = known.withColumn("expression", text).filter("expression is not null").groupBy(key, "expression").agg(F.max_by(F.struct("module", "symbol"), "ord").alias("b"))
-        through = namespace_members(assignments, known, key).select(key, "expression", F.struct("module", "symbol").alias("n"))
-        meant = assignments.join(named, [key, "expression"], "left").join(through, [key, "expression"], "left").withColumn("b", F.coalesce("b", "n")).filter("b is not null")
-        step = meant.select(
-            key, F.col("name").alias("local"), "b.symbol", "b.module", F.col("member").isNotNull().alias("namespace"), "member", "line", (F.col("ord") + (round_ + 1) * (1 << 40)).alias("ord")
-        )
-        known = cut(known.unionByName(step).groupBy(key, "local", "symbol", "module", "namespace", "member", "line").agg(F.min("ord").alias("ord")))
-    return known.select(*columns)
+    columns = ["local", "symbol", "module", "namespace", "member", "line"]
+    given = bindings.select(key, *columns, "ord", F.lit(None).cast("string").alias("expression"))
+    named = assignments.select(
+        key, F.col("name").alias("local"), F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("string").alias("module"), F.lit(None).cast("boolean").alias("namespace"), "member", "line", "ord", "expression"
+    )
+    kind = bindings.schema[key].dataType.simpleString()
+
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ord", kind="stable").astype(object)
+        rows = rows.where(rows.notna(), None)
+        is_binding = rows["expression"].isna()
+        found = aliases_in_order(list(rows.loc[is_binding, columns].itertuples(index=False, name=None)), list(rows.loc[~is_binding, ["local", "member", "expression", "line"]].itertuples(index=False, name=None)), rounds)
+        out = pd.DataFrame(found, columns=columns)
+        out["ord"] = range(len(out))
+        out.insert(0, key, [rows[key].iloc[0]] * len(out))
+        return out
+
+    return given.unionByName(named).groupBy(key).applyInPandas(follow, f"{key} {kind}, {BINDING}")

@@ -17,7 +17,9 @@ def of(text, *kinds):
 @pytest.mark.parametrize("shape", range(len(MODULES)))
 def test_golden_modules(shape):
     shown = lambda x, i: "-" if x is None else {True: "rest", False: "no"}.get(x, x) if i == 12 else str(x)
-    found = sorted(" ".join(str(shown(x, i)) for i, x in enumerate(m[:10] + m[10:])) for m in marks(MODULES[shape]))
+    # signatures are tested with contracts
+    rows = [m if m[0] != "export" or m[1] == "alias" else (*m[:3], None, *m[4:]) for m in marks(MODULES[shape]) if m[0] not in ("declaration", "assign")]
+    found = sorted(" ".join(str(shown(x, i)) for i, x in enumerate(m)) for m in rows)
     assert found == sorted(MARKS[shape].strip().split("\n"))
 
 
@@ -64,6 +66,38 @@ def test_branches_and_their_ends():
     assert [(a, b) for _, _, a, b in of(text, "guard")] == [(1, 6), (2, 6), (7, 8), (9, 9)]
 
 
+def test_paths_that_are_given_names():
+    text = "const a = api['b'], c = a\nconst o = { run: a, api, 'q': x.y, f() {}, g: h(), ...s }\nlet z\nz = lib.api.go\nif (z = q) {}\nconst {k = b} = c\nfunction f(x = y, {k = l}) { w = v; const inner = a; return u = t }\nclass A { p = q }\ntype T = U\nz.w = a\n"
+    found = [(m[1], m[2], m[3], m[4], m[5]) for m in marks(text) if m[0] == "assign"]
+    assert found == [
+        ("variable", "a", None, "api.b", 1), ("variable", "c", None, "a", 1), ("member", "o", "run", "a", 2), ("member", "o", "api", "api", 2), ("member", "o", "q", "x.y", 2),
+        ("assignment", "z", None, "lib.api.go", 4), ("assignment", "z", None, "q", 5), ("assignment", "w", None, "v", 7), ("assignment", "u", None, "t", 7),
+    ]
+
+
+def test_signatures(spark):
+    text = """export function f(a: string, b = g(1, 2), ...c: Map<K, V>[]): void {}
+export const arrow = async <T,>(x: T, { y }: P = {}) => x, one = z => z, value = { a: 1 }
+export default class {}
+export class Named {}
+export interface Shape {
+  a: string
+}
+function hidden(q?) {}
+export { hidden as shown, imported, f as again }
+export function over(a): void
+export function over(a, b) {}
+"""
+    files = spark.createDataFrame([("m", text)], "path string, content string")
+    found = {r["name"]: (r["kind"], r["line"], r["required"], r["total"], r["rest"], r["signature"]) for r in code.export_contracts(files).collect()}
+    assert found == {
+        "f": ("function", 1, 1, 3, True, "f(a: string, b = g(1, 2), ...c: Map<K, V>[])"), "again": ("function", 1, 1, 3, True, "again(a: string, b = g(1, 2), ...c: Map<K, V>[])"),
+        "arrow": ("function", 2, 1, 2, False, "arrow(x: T, { y }: P = {})"), "one": ("function", 2, 1, 1, False, "one(z)"), "value": ("value", 2, None, None, False, "value = { a: 1 }"),
+        "default": ("class", 3, None, None, False, "default class"), "Named": ("class", 4, None, None, False, "class Named"), "Shape": ("type", 5, None, None, False, "export interface Shape {"),
+        "shown": ("function", 8, 0, 1, False, "shown(q?)"), "over": ("function", 11, 2, 2, False, "over(a, b)"),
+    }
+
+
 def test_large_and_broken_sources():
     assert [m[2] for m in marks("const s = '" + "x" * 1_000_000 + "'\nexport function f(a) {}") if m[0] == "export"] == ["f"]
     assert [m[11] for m in marks("foo(" + "a," * 10_000 + "b)") if m[0] == "site"] == [10_001]
