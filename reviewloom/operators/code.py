@@ -94,7 +94,7 @@ def sites_of(marks: DataFrame, key: str = "path") -> DataFrame:
 
 
 def export_contracts(files: DataFrame, key: str = "path") -> DataFrame:
-    return contracts_of(source_marks(files, key), key)
+    return contracts_of(source_marks(files, key), key).drop("signature")
 
 
 def import_bindings(files: DataFrame, key: str = "path") -> DataFrame:

@@ -89,7 +89,7 @@ export function over(a): void
 export function over(a, b) {}
 """
     files = spark.createDataFrame([("m", text)], "path string, content string")
-    found = {r["name"]: (r["kind"], r["line"], r["required"], r["total"], r["rest"], r["signature"]) for r in code.export_contracts(files).collect()}
+    found = {r["name"]: (r["kind"], r["line"], r["required"], r["total"], r["rest"], r["signature"]) for r in code.contracts_of(code.source_marks(files)).collect()}
     assert found == {
         "f": ("function", 1, 1, 3, True, "f(a: string, b = g(1, 2), ...c: Map<K, V>[])"), "again": ("function", 1, 1, 3, True, "again(a: string, b = g(1, 2), ...c: Map<K, V>[])"),
         "arrow": ("function", 2, 1, 2, False, "arrow(x: T, { y }: P = {})"), "one": ("function", 2, 1, 1, False, "one(z)"), "value": ("value", 2, None, None, False, "value = { a: 1 }"),
