@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions.lineage import cut
-from reviewloom.operators import code, scopes
+from reviewloom.operators import code, contracts, modules, scopes
 from reviewloom.plans import values
 from reviewloom.plans.oracles import _q, _with
 from reviewloom.sources import bridge, shapes
@@ -474,10 +474,30 @@ def ast_candidates(spark, sf):
     return found.select("doc_id", "name", "score", "import_source", F.col("rank").cast("long").alias("rank"))
 
 
+def _drift(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
+    head, base, change, configs, hits = bridge.drifts(spark, sf)
+    key = F.concat(F.col("repo").cast("string"), F.lit(":"), F.col("path")).alias("file")
+    new, old = (cut(code.source_marks(files.select(key, "content"), "file")) for files in (head, base))
+    changes = cut(contracts.changed_contracts(old, new, change))
+    return head, change, configs, hits, new, changes
+
+
+def contract_findings(spark, sf):
+    """Places that changes of contracts break, from sources on: imports, aliases, barrels, assignments, calls."""
+    head, change, configs, _, marks, changes = _drift(spark, sf)
+    bindings = contracts.binding_table(marks, change, head.select("repo", "path"), modules.alias_mappings(configs))
+    return contracts.contract_findings(changes, bindings, marks).select("repo", "path", "line", "rule_id", "module", "name", "body")
+
+
+def contract_signals(spark, sf):
+    _, change, _, hits, _, changes = _drift(spark, sf)
+    return contracts.contract_signals(changes, hits, change).select("repo", "path", F.col("line").cast("long").alias("line"), "summary")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
         source_tokens, source_contracts, source_calls, source_bindings, scope_extract, changed_scopes, removed_scopes, semantic_segments, symbol_lookup, local_symbols, remote_symbols,
-        call_chains, data_flows, semantic_slices, ast_candidates,
+        call_chains, data_flows, semantic_slices, ast_candidates, contract_findings, contract_signals,
     )
     return {f.__name__: f for f in listed}
 
@@ -612,6 +632,26 @@ def oracle_sql() -> dict[str, str]:
             select="select doc_id, row_number() over (partition by doc_id order by part, k) as place, label, content from (select doc_id, label, content, min(part) as part, arg_min(k, part) as k from every group by doc_id, label, content) qualify place <= 6",
             recursive=True,
         ),
+        "contract_findings": _with(
+            "r as (select cast(s_suppkey as varchar) as repo, s_suppkey % 6 as way from supplier)",
+            "f(way, path, line, rule, name) as (values (0, 'src/a.ts', 4, 's', 'updateUserN'), (0, 'src/b.ts', 4, 's', 'updateUserN'), (1, 'src/a.ts', 4, 's', 'updateUserN'), (1, 'src/b.ts', 4, 's', 'updateUserN'), (2, 'src/a.ts', 4, 's', 'updateUserN'), "
+            "(3, 'src/a.ts', 4, 's', 'updateUserN'), (3, 'src/b.ts', 4, 's', 'updateUserN'), (4, 'src/a.ts', 1, 'r', 'goneN'), (4, 'src/a.ts', 2, 'k', 'MadeN'), (4, 'src/a.ts', 4, 'k', 'buildN'), (5, 'src/a.ts', 10, 's', 'updateUserN'))",
+            "t(rule, name, rule_id, body) as (values "
+            "('s', 'updateUserN', 'contract-function-signature-drift', '**[跨文件调用方未同步]** `src/lib/user-api.ts` 导出的 `updateUserN` 已从 updateUserN(id: string, name: string) 变成 updateUserN(id: string, name: string, active: boolean)，但这里仍按旧调用方式传参。合并后很容易出现必填参数缺失、默认值失效或运行时分支漂移。建议同步更新所有调用点。'), "
+            "('r', 'goneN', 'contract-export-removed', '**[跨文件契约漂移]** `src/lib/user-api.ts` 已移除导出 `goneN`，但当前文件仍在导入它。这样合并后会直接导致模块加载失败或运行时报错。建议同步迁移调用方，或在导出侧保留兼容层。'), "
+            "('k', 'MadeN', 'contract-export-kind-drift', '**[跨文件调用方式未同步]** `src/lib/user-api.ts` 导出的 `MadeN` 已从 class 变为 function，但这里仍按`new` 构造方式使用它。合并后很容易出现运行时报错或语义漂移。建议同步调整调用方式，或在导出侧保留兼容层。'), "
+            "('k', 'buildN', 'contract-export-kind-drift', '**[跨文件调用方式未同步]** `src/lib/user-api.ts` 导出的 `buildN` 已从 function 变为 value，但这里仍按函数调用方式使用它。合并后很容易出现运行时报错或语义漂移。建议同步调整调用方式，或在导出侧保留兼容层。'))",
+            select="select repo, path, cast(line as bigint) as line, rule_id, 'src/lib/user-api.ts' as module, replace(name, 'N', repo) as name, replace(body, 'N', repo) as body from r join f using (way) join t using (rule, name)",
+        ),
+        "contract_signals": _with(
+            "r as (select s_suppkey as n, cast(s_suppkey as varchar) as repo, s_suppkey % 6 = 4 as other from supplier)",
+            "c(other, name, line, told) as (values (false, 'updateUserN', 1, '导出函数 updateUserN 的签名已从 updateUserN(id: string, name: string) 变为 updateUserN(id: string, name: string, active: boolean)'), "
+            "(true, 'buildN', 1, '导出符号 buildN 的类型已从 function 变为 value'), (true, 'MadeN', 2, '导出符号 MadeN 的类型已从 class 变为 function'), (true, 'goneN', 5, '导出符号 goneN 已被移除'))",
+            # of a search's paths src/x0.ts, src/x1.ts, src/x2.md ... two of three are scripts, ten at most count
+            "x as (select *, least(10, n % 15 + 1 - (n % 15 + 1) // 3) as users from r join c using (other))",
+            select="""select repo, 'src/lib/user-api.ts' as path, cast(line as bigint) as line, replace('检测到跨文件契约变更：' || told, 'N', repo) as summary from x
+            union all select repo, 'src/lib/user-api.ts', line, replace('导出契约 ' || told || '，仓库内还有 ' || users || ' 个疑似外部调用文件未包含在本次 diff 中', 'N', repo) from x where n % 4 > 0 and name in ('updateUserN', 'goneN')""",
+        ),
         "ast_candidates": _with(
             *_BASE,
             "added as (select doc_id, string_agg(text, chr(10) order by line) as t from file_lines join touched using (doc_id, line) group by doc_id)",

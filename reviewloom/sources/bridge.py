@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.sources.shapes import MODULES, TOUCHED
+from reviewloom.sources.shapes import ALIAS_CONFIG, CHANGES, MODULES, TOUCHED
 
 #: Path templates by doc_id; N is the id.
 PATHS = (
@@ -173,6 +173,29 @@ def touched_module_lines(spark: SparkSession, sf_dir: str, both: bool = False) -
     return read(spark, sf_dir, "documents").select("doc_id", F.explode(lines.cast("array<bigint>")).alias("line"))
 
 
+def drifts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of a repository for each supplier, in one of six ways: new files, old files (repo, path, content), the
+    change (repo, path, old_path, status), configurations, and search hits of names (repo, symbol, path, ord)."""
+    repos = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("repo"))
+    way = (F.col("repo") % len(CHANGES)).cast("int") + 1
+    row = "array<struct<path:string,content:string>>"
+
+    def files(which: int) -> DataFrame:
+        sets = F.array(*[F.array(*[F.struct(F.lit(p).alias("path"), F.lit(c).alias("content")) for p, c in case[which].items()]) for case in CHANGES]).cast(f"array<{row}>")
+        found = repos.select("repo", F.explode(F.element_at(sets, way)).alias("f")).select("repo", "f.*")
+        return found.withColumn("content", F.replace("content", F.lit("N"), F.col("repo").cast("string")))
+
+    head, base = files(0), files(1)
+    old = base.select("repo", "path", F.lit(True).alias("was"))
+    change = head.filter("path not like '%index.ts'").join(old, ["repo", "path"], "left").select("repo", "path", F.col("path").alias("old_path"), F.when(F.col("was"), "modified").otherwise("added").alias("status"))
+    configs = repos.select("repo", F.lit("tsconfig.json").alias("path"), F.lit(ALIAS_CONFIG).alias("content"))
+    hits = repos.filter("repo % 4 > 0").select(
+        "repo", F.concat(F.expr("if(repo % 6 = 4, 'goneX', 'updateUserX')"), F.lit("")).alias("symbol"), F.explode(F.expr("transform(sequence(0, repo % 15), i -> named_struct('ord', i, 'path', concat('src/x', i, if(i % 3 = 2, '.md', '.ts'))))")).alias("h")
+    )
+    hits = hits.select("repo", F.replace("symbol", F.lit("X"), F.col("repo").cast("string")).alias("symbol"), "h.path", F.col("h.ord").alias("ord"))
+    return head, base, change, configs, hits.unionByName(hits.withColumn("path", F.lit("src/a.ts")).distinct())
+
+
 def barrels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Exports (module, name) of every third module, and what others pass on (module, source, form,
     name, exported): of the module of half their number by a form that goes by it, and all of another."""

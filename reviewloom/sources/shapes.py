@@ -164,3 +164,47 @@ TOUCHED = (
     ((8,), (11, 12)),
     ((6, 13), (3,)),
 )
+
+# Repositories in which a change of a module meets its users, in six ways: files of the new version, old versions of
+# changed files, and which files the change is about (all but barrels and configurations). N stands for a repository's number.
+_NEW, _OLD = (f"export async function updateUserN(id: string, name: string{more}) {{\n  return {{ id, name }}\n}}\n" for more in (", active: boolean", ""))
+_MODULE = "src/lib/user-api.ts"
+
+
+def _user(head: str, call: str) -> str:
+    return f"{head}\n\nexport async function runN(id: string, name: string) {{\n  return {call}(id, name)\n}}\n"
+
+
+CHANGES = (
+    # through an alias and through a namespace
+    ({_MODULE: _NEW, "src/a.ts": _user("import { updateUserN } from '@/lib/user-api'", "updateUserN"), "src/b.ts": _user("import * as userApi from '@/lib/user-api'", "userApi.updateUserN")}, {_MODULE: _OLD}),
+    # through a barrel that names what it passes on
+    (
+        {_MODULE: _NEW, "src/lib/index.ts": "export { updateUserN } from './user-api'\n", "src/a.ts": _user("import { updateUserN } from '@/lib'", "updateUserN"), "src/b.ts": _user("import * as api from '@/lib'", "api.updateUserN")},
+        {_MODULE: _OLD},
+    ),
+    # through a barrel that passes all on
+    ({_MODULE: _NEW, "src/lib/index.ts": "export * from './user-api'\n", "src/a.ts": _user("import { updateUserN } from '@/lib'", "updateUserN")}, {_MODULE: _OLD}),
+    # through a barrel that passes a namespace on
+    (
+        {_MODULE: _NEW, "src/lib/index.ts": "export * as api from './user-api'\n", "src/a.ts": _user("import { api } from '@/lib'", "api.updateUserN"), "src/b.ts": _user("import * as lib from '@/lib'", "lib.api.updateUserN")},
+        {_MODULE: _OLD},
+    ),
+    # a function that is a value now, and a class that is a function; an export that is gone
+    (
+        {
+            _MODULE: "export const buildN = { enabled: true }\nexport function MadeN() {}\n",
+            "src/a.ts": "import { buildN, MadeN as Own, goneN } from './lib/user-api'\nconst x = new Own()\nexport function run() {\n  return buildN('123')\n}\n",
+        },
+        {_MODULE: "export function buildN(id: string) {\n  return id\n}\nexport class MadeN {}\nexport const goneN = 1\n"},
+    ),
+    # through names and members that assignments pass on, one of them three steps long
+    (
+        {
+            _MODULE: _NEW,
+            "src/a.ts": "import * as api from '@/lib/user-api'\n\nconst runner = api['updateUserN']\nconst second = runner, third = second\nconst registry = {\n  run: third,\n}\n\nexport async function execute(id: string, name: string) {\n  return registry['run'](id, name)\n}\n",
+        },
+        {_MODULE: _OLD},
+    ),
+)
+ALIAS_CONFIG = '{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["src/*"]}}}'
