@@ -923,3 +923,27 @@ def tokens(text: str | None) -> Iterator[tuple]:
         rows.append((start, "remark", depths[starts[at]] if at < len(starts) else 0, end))
     for n, (start, kind, depth, end) in enumerate(sorted(rows)):
         yield n, kind, text[start:end], source.line(start), depth, start, end
+
+
+# -- indented configurations
+
+_KEY = re.compile(r"\s*([A-Za-z0-9_.-]+)\s*:\s*(.*)$")
+KEY_LINES = "line int, indent int, depth int, top_line int, top string, key string, value string, path string"
+
+
+def key_lines(text: str | None, touched: list[int] | None) -> Iterator[tuple]:
+    """The lines of a YAML text that give a key: how deep they stand, below which outermost key, and of touched
+    lines the path of keys. Keys wait on a stack; one that stands as deep or deeper ends them, so each is put there and taken off once."""
+    if not text:
+        return
+    asked, stack = set(touched or ()), []
+    for n, line in enumerate(text.replace("\r\n", "\n").split("\n"), 1):
+        found = _KEY.match(line) if line and not line.lstrip().startswith("#") else None
+        if not found:
+            continue
+        indent = len(line) - len(line.lstrip())
+        while stack and stack[-1][0] >= indent:
+            stack.pop()
+        stack.append((indent, n, found[1]))
+        path = ".".join(key for _, _, key in stack) if n in asked else None
+        yield n, indent, len(stack), stack[0][1], stack[0][2], found[1], found[2].strip(), path

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
+from reviewloom.functions import scanner
 from reviewloom.operators.diff import trimmed
 
-MAX_KEYS, MAX_PATHS = 10, 8
+MAX_KEYS, MAX_PATHS, MAX_JOBS = 10, 8, 6
+# Outermost keys of pipelines that are no jobs, what is told of jobs, and where pipelines lie.
+SETTINGS = ("stages", "workflow", "default", "variables", "include")
+JOB_FIELDS = ("stage", "when", "allow_failure", "needs")
+PIPELINE_PATHS = r"^(\.gitlab-ci\.yml$|\.gitlab/|\.github/workflows/|\.circleci/|\.buildkite/)"
+# The labels of what is told of structured files.
+PATHS_LABEL, JOBS_LABEL, KEYS_LABEL, TOP_LABEL, SECTIONS_LABEL, COMMANDS_LABEL = "配置键路径摘要", "CI 结构摘要", "JSON 键摘要", "JSON 顶层结构", "配置节摘要", "命令结构摘要"
 # Lines of configurations and scripts.
 KEY_LINE = r"^\s*([A-Za-z0-9_.-]+)\s*:\s*(.*)$"
 CONTROL_WORDS = r"^(if|then|else|fi|for|do|done|while|case|esac)(?![A-Za-z0-9_])"
@@ -63,30 +71,48 @@ def section_keys(lines: DataFrame, touched: DataFrame, key: str = "doc_id") -> D
     return _first_distinct(rows.withColumn("name", F.concat_ws(".", "section", "own")), key, "name", ["line"], MAX_KEYS)
 
 
-def _push(stack: Column, line: Column) -> Column:
-    outer = F.filter(stack, lambda x: x["indent"] < line["indent"])
-    return F.concat(outer, F.array(F.struct(line["indent"].alias("indent"), line["key"].alias("key"))))
+@udtf(returnType=scanner.KEY_LINES)
+class KeyLines:
+    """The lines of a text that give a key."""
 
+    def eval(self, content: str, touched: list):
+        yield from scanner.key_lines(content, touched)
 
-def yaml_paths(files: DataFrame, touched: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Key paths of the touched lines of YAML files, by a fold over lines with a stack of
-    indents. files: key, content; touched: key, line. A line that ends the keys that stand as
-    deep or deeper leaves those that stand less deep, as indents on the stack grow."""
-    lines = F.transform(
-        F.split(F.replace("content", F.lit("\r\n"), F.lit("\n")), "\n"),
-        lambda x, i: F.struct((i + 1).alias("line"), F.length(F.regexp_extract(x, r"^\s*", 0)).alias("indent"), F.regexp_extract(x, KEY_LINE, 1).alias("key"), x.rlike(r"^\s*#").alias("remark")),
-    )
-    keyed = F.filter(lines, lambda x: (x["key"] != "") & ~x["remark"])
-    start = F.expr("named_struct('stack', cast(array() as array<struct<indent:int,key:string>>), 'out', cast(array() as array<struct<line:int,path:string>>))")
 
-    def step(s: Column, x: Column) -> Column:
-        stack = _push(s["stack"], x)
-        path = F.array_join(F.transform(stack, lambda k: k["key"]), ".")
-        return F.struct(stack.alias("stack"), F.concat(s["out"], F.array(F.struct(x["line"].alias("line"), path.alias("path")))).alias("out"))
+def yaml_lines(files: DataFrame, touched: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key and ``scanner.KEY_LINES`` of each YAML file; ``path`` is that of touched lines.
+    files: key, content; touched: key, line."""
+    asked = touched.groupBy(key).agg(F.collect_set(F.col("line").cast("int")).alias("touched"))
+    none = F.expr("cast(array() as array<int>)")
+    rows = files.select(key, "content").join(asked, key, "left").withColumn("touched", F.coalesce("touched", none))
+    return rows.lateralJoin(KeyLines(F.col("content").outer(), F.col("touched").outer())).drop("content", "touched")
 
-    paths = files.select(key, F.explode(F.aggregate(keyed, start, step, lambda s: s["out"])).alias("p")).select(key, F.col("p.line").alias("line"), F.col("p.path").alias("name"))
-    rows = paths.join(touched.select(key, "line").distinct(), [key, "line"])
-    return _first_distinct(rows, key, "name", ["line"], MAX_PATHS)
+
+def yaml_paths(files: DataFrame, touched: DataFrame, key: str = "doc_id", limit: int = MAX_PATHS) -> DataFrame:
+    """Key paths of the touched lines of YAML files, the first of them. files: key, content; touched: key, line."""
+    named = yaml_lines(files, touched, key).filter("path is not null").select(key, "line", F.col("path").alias("name"))
+    return _first_distinct(named, key, "name", ["line"], limit)
+
+
+def yaml_jobs(lines: DataFrame, key: str = "doc_id", limit: int = MAX_JOBS) -> DataFrame:
+    """key, n, job, stage, when, allow_failure, needs: the outermost keys of each YAML file that aren't settings, in the
+    order in which they first stand, with what was last said below the last place of each. lines: of ``yaml_lines``."""
+    tops = lines.filter((F.col("indent") == 0) & ~F.col("key").isin(*SETTINGS))
+    jobs = tops.groupBy(key, F.col("key").alias("job")).agg(F.min("line").alias("first"), F.max("line").alias("top_line"))
+    below = lines.filter((F.col("depth") >= 2) & (F.col("value") != "") & F.col("key").isin(*JOB_FIELDS))
+    last = lambda name: F.max_by("value", F.when(F.col("key") == name, F.col("line"))).alias(name)
+    needs = F.transform(F.array_sort(F.collect_list(F.when(F.col("key") == "needs", F.struct("line", "value")))), lambda x: x["value"]).alias("needs")
+    told = below.groupBy(below[key].alias("of"), F.col("top_line").alias("at")).agg(last("stage"), last("when"), last("allow_failure"), needs)
+    found = jobs.join(told, (F.col(key).eqNullSafe(F.col("of"))) & (F.col("top_line") == F.col("at")), "left")
+    placed = found.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("first"))).filter(F.col("n") <= limit)
+    return placed.select(key, "n", "job", "stage", "when", "allow_failure", F.coalesce("needs", F.expr("cast(array() as array<string>)")).alias("needs"))
+
+
+def job_line() -> Column:
+    """A job as readers are told of it."""
+    part = lambda name, value: F.when(value != "", F.concat(F.lit(f"{name}="), value))
+    told = F.array(*[part(c, F.col(c)) for c in ("job", "stage", "when", "allow_failure")], part("needs", F.array_join("needs", ",")))
+    return F.concat(F.lit("- "), F.array_join(F.array_compact(told), " | "))
 
 
 def structured_kind(path: Column) -> Column:
@@ -116,3 +142,28 @@ def structured_keys(files: DataFrame, touched: DataFrame, key: str = "doc_id") -
     }
     named = [rows.select(key, F.lit(kind).alias("kind"), "n", "name") for kind, rows in found.items()]
     return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3])
+
+
+def structured_slices(files: DataFrame, touched: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, ord, label, content, file: what is told of each structured file that a change touches.
+
+    Of YAML the touched paths and, of pipelines, the jobs; of JSON the touched and the outermost keys; of settings the
+    touched keys by section; of scripts the commands. files: key, path, content; touched: key, line, hunk_ix, line_ix, text.
+    """
+    known = files.withColumn("kind", structured_kind(F.col("path"))).filter("kind is not null and content <> ''")
+    listed = lambda rows, column: rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col(column).alias("t")))), lambda x: F.concat(F.lit("- "), x["t"])), "\n").alias("content"))
+    keys = structured_keys(files, touched, key)
+    label = F.when(F.col("kind") == "yaml", PATHS_LABEL).when(F.col("kind") == "json", KEYS_LABEL).when(F.col("kind") == "keys", SECTIONS_LABEL).otherwise(COMMANDS_LABEL)
+    own = listed(keys, "name").join(known.select(key, "kind"), key).select(key, F.lit(0).alias("ord"), label.alias("label"), "content")
+    yaml = known.filter("kind = 'yaml'")
+    lines = yaml_lines(yaml, touched, key)
+    plain = F.lower(F.replace(F.col("path"), F.lit("\\"), F.lit("/")))
+    scripted = lines.filter(F.col("path").startswith("jobs.") | F.contains("path", F.lit(".script"))).select(key).distinct()
+    pipelines = yaml.filter(plain.rlike(PIPELINE_PATHS)).select(key).union(scripted).distinct()
+    jobs = yaml_jobs(lines.join(pipelines, key, "left_semi"), key).withColumn("told", job_line())
+    summed = jobs.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "told"))), lambda x: x["told"]), "\n").alias("content"))
+    bare = F.regexp_replace(F.regexp_replace("content", r"(?m)^\s*//.*$", ""), r"(?s)/\*.*?\*/", "")
+    tops = known.filter("kind = 'json'").select(key, F.slice(F.json_object_keys(bare), 1, MAX_KEYS).alias("names")).filter("names is not null")
+    tops = tops.select(key, F.array_join(F.transform("names", lambda x: F.concat(F.lit("- "), x)), "\n").alias("content"))
+    more = summed.select(key, F.lit(1).alias("ord"), F.lit(JOBS_LABEL).alias("label"), "content").unionByName(tops.select(key, F.lit(1).alias("ord"), F.lit(TOP_LABEL).alias("label"), "content"))
+    return own.unionByName(more).join(files.select(key, F.col("path").alias("file")), key)

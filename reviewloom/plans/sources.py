@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions.lineage import cut
-from reviewloom.operators import code, contracts, modules, scopes
+from reviewloom.operators import classify, code, configs, contexts, contracts, modules, scopes
 from reviewloom.plans import values
 from reviewloom.plans.oracles import _q, _with
 from reviewloom.sources import bridge, shapes
@@ -494,10 +494,46 @@ def contract_signals(spark, sf):
     return contracts.contract_signals(changes, hits, change).select("repo", "path", F.col("line").cast("long").alias("line"), "summary")
 
 
+def segment_context(spark, sf):
+    """The context of a change of each module, by the limits of one of the kinds of files."""
+    files, marks, table, chosen = _chosen(spark, sf)
+    chosen = cut(chosen)
+    path = F.concat(F.lit("src/m"), F.col("doc_id"), F.lit(".ts"))
+    kinds = [(i, k[0]) for i, k in enumerate(classify.STRATEGIES)]
+    kind = F.element_at(F.array(*[F.lit(k) for _, k in kinds]), (F.col("doc_id") % len(kinds)).cast("int") + 1)
+    status = F.when(F.col("doc_id") % 7 == 0, "deleted").when(F.col("doc_id") % 5 == 1, "added").otherwise("modified")
+    rows = files.select("doc_id", path.alias("path"), kind.alias("kind"), status.alias("status")).join(F.broadcast(classify.strategies(spark)), "kind")  # nine rows
+    profiles = classify.retrieval_profile(rows, F.col("doc_id") % 2, F.col("status") == "deleted")
+    structured = files.filter("doc_id % 3 = 0").select("doc_id", F.lit("命令结构摘要").alias("label"), F.lit("- run").alias("content"), path.alias("file"), F.lit(0).alias("ord"))
+    lines = files.select("doc_id", F.posexplode(F.split("content", "\n")).alias("at", "text")).select("doc_id", (F.col("at") + 1).cast("long").alias("line"), "text")
+    touched = cut(lines.join(bridge.touched_module_lines(spark, sf), ["doc_id", "line"]))
+    diffs = touched.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("l")).select("doc_id", F.array_join(F.transform("l", lambda x: F.concat(F.lit("+"), x["text"])), "\n").alias("content"))
+    candidates = cut(scopes.scored_candidates(chosen, marks, files, touched, diffs, "doc_id"))
+    slices = scopes.semantic_slices(chosen, marks, table, files, "doc_id")
+    removed = scopes.with_texts(scopes.removed_scopes(table, touched, "doc_id"), files, "doc_id")
+    hits, library = bridge.library(spark, sf)
+    known = scopes.scopes_of(code.source_marks(library))
+    found = scopes.with_texts(scopes.symbols_by_name(known, known.select("path", "name").distinct()), library)
+    definitions = found.select("path", "name", scopes.symbol_type(F.col("kind")).alias("type"), "text")
+    made = contexts.segment_context(profiles, files, structured, chosen, slices, candidates, table, hits, definitions, removed)
+    return made.select("doc_id", "kind", F.col("place").cast("long").alias("place"), "name", "file", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+def yaml_jobs(spark, sf):
+    files, touched = bridge.structured_files(spark, sf, yaml_only=True)
+    found = configs.yaml_jobs(configs.yaml_lines(files, touched))
+    return found.select("doc_id", F.col("n").cast("long").alias("n"), "job", "stage", "when", "allow_failure", F.array_join("needs", ",").alias("needs"))
+
+
+def structured_slices(spark, sf):
+    files, touched = bridge.structured_files(spark, sf)
+    return configs.structured_slices(files, touched).select("doc_id", F.col("ord").cast("long").alias("ord"), "label", "content")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
         source_tokens, source_contracts, source_calls, source_bindings, scope_extract, changed_scopes, removed_scopes, semantic_segments, symbol_lookup, local_symbols, remote_symbols,
-        call_chains, data_flows, semantic_slices, ast_candidates, contract_findings, contract_signals,
+        call_chains, data_flows, semantic_slices, ast_candidates, contract_findings, contract_signals, segment_context, yaml_jobs, structured_slices,
     )
     return {f.__name__: f for f in listed}
 
@@ -513,14 +549,12 @@ _MODULES = "modules(i, t) as (values " + ", ".join(f"({i}, {_q(t)})" for i, t in
 _WAYS = "ways(i, v, line) as (values " + ", ".join(f"({i}, {v}, {line})" for i, ways in enumerate(shapes.TOUCHED) for v, lines in enumerate(ways) for line in lines) + ")"
 _N = "cast(doc_id as varchar)"
 _USEFUL = f"length(name) >= 2 and regexp_matches(name, '^[A-Za-z_$][A-Za-z0-9_$]*$') and name not in ({', '.join(map(_q, values.STOP_NAMES))})"
-_PLACES = " union all ".join(f"select id, unnest(regexp_extract_all(t, {_q(p)}, 1)) as name, {n} as score, null as source from asked" for p, n in values.NAME_SOURCES)
-
-
-def _scored(asked: str) -> str:
-    """Names of texts (id, t) by what their places count; the modules' lines hold no import in one line but by braces or as a default."""
-    return f"""asked as ({asked}),
-found as ({_PLACES} union all select id, trim(split_part(unnest(string_split(regexp_extract(t, 'import\\s+(?:type\\s+)?\\{{([^}}]+)\\}}\\s+from', 1), ',')), ' as ', 1)), 10, regexp_extract(t, 'from\\s+[''"]([^''"]+)', 1) from asked where regexp_matches(t, 'import\\s+(?:type\\s+)?\\{{')),
-scored as (select id, name, cast(sum(score) as bigint) as score, max(source) as source, row_number() over (partition by id order by sum(score) desc, name) as rank from found where {_USEFUL} group by id, name)"""
+def _scored(asked: str, p: str) -> str:
+    """CTE ``p``scored: names of texts (id, t) by what their places count; the modules' lines hold no import in one line but by braces or as a default."""
+    places = " union all ".join(f"select id, unnest(regexp_extract_all(t, {_q(pattern)}, 1)) as name, {n} as score, null as source from {p}asked" for pattern, n in values.NAME_SOURCES)
+    return f"""{p}asked as ({asked}),
+{p}found as ({places} union all select id, trim(split_part(unnest(string_split(regexp_extract(t, 'import\\s+(?:type\\s+)?\\{{([^}}]+)\\}}\\s+from', 1), ',')), ' as ', 1)), 10, regexp_extract(t, 'from\\s+[''"]([^''"]+)', 1) from {p}asked where regexp_matches(t, 'import\\s+(?:type\\s+)?\\{{')),
+{p}scored as (select id, name, cast(sum(score) as bigint) as score, max(source) as source, row_number() over (partition by id order by sum(score) desc, name) as rank from {p}found where {_USEFUL} group by id, name)"""
 
 
 _BASE = (
@@ -538,9 +572,9 @@ _BASE = (
     "defined as (select *, row_number() over (partition by doc_id, name order by list_position(['function', 'interface', 'type', 'class', 'variable'], kind), scope) as r from scopes where depth = 0 and kind in ('function', 'interface', 'type', 'class', 'variable') qualify r = 1)",
 )
 _CHAINS = (
-    _scored("select doc_id || ':' || name as id, text as t from defined where kind in ('function', 'variable')"),
+    _scored("select doc_id || ':' || name as id, text as t from defined where kind in ('function', 'variable')", "own_"),
     """hops as (select d.doc_id, d.scope, d.n, d.name || ' -> ' || string_agg(s.name, ', ' order by s.rank) as line from direct d join (
-    select *, row_number() over (partition by id order by rank) as k from scored where name <> split_part(id, ':', 2)) s on s.id = d.doc_id || ':' || d.name and k <= 3
+    select *, row_number() over (partition by id order by rank) as k from own_scored where name <> split_part(id, ':', 2)) s on s.id = d.doc_id || ':' || d.name and k <= 3
   where d.n <= 3 group by d.doc_id, d.scope, d.n, d.name)""",
     """chains as (select doc_id, scope, '入口: ' || coalesce(max(c.name), '匿名作用域') || chr(10) || '直接调用: ' || string_agg(d.name, ', ' order by d.n)
     || coalesce((select chr(10) || '二跳调用:' || chr(10) || string_agg('- ' || line, chr(10) order by n) from hops h where h.doc_id = d.doc_id and h.scope = d.scope), '') as summary
@@ -562,6 +596,63 @@ _FLOWS = (
     """flows as (select doc_id, scope, concat_ws(chr(10), '输入参数: ' || p, '保护条件: ' || g, '敏感调用: ' || f, case when f is not null then '可能参与下游调用的输入: ' || p5 end) as summary from parts where p is not null or g is not null or f is not null)""",
 )
 
+_SLICES = (
+    # what each scope has to tell, in order; branches once each, those that leave
+    "told as (select c.doc_id, c.n, c.scope, k.summary as chain, f.summary as flow from chosen c left join chains k using (doc_id, scope) left join flows f using (doc_id, scope) where c.n <= 3)",
+    "branches as (select doc_id, scope, list(text order by s) as b, list(leaves order by s) as l from guards group by doc_id, scope)",
+    """walk(doc_id, n, slices) as (
+      select distinct doc_id, cast(0 as bigint), cast([] as struct(label varchar, content varchar)[]) from chosen
+      union all
+      select doc_id, n, list_concat(s2, list_filter(leaving, lambda x, k: not list_contains(s2, x) and list_position(leaving, x) = k)[1 : greatest(1, 2 - len(s2))]) from (
+        select doc_id, n, s2, list_transform(list_filter(range(1, case when len(s2) >= 2 then 1 else len(b) end + 1), lambda j: l[j]), lambda j: {'label': '关键保护分支', 'content': b[j]}) as leaving from (
+          select w.doc_id, t.n, coalesce(b, []) as b, coalesce(l, []) as l,
+            list_concat(w.slices, list_filter([{'label': '调用链摘要', 'content': chain}, {'label': '数据流摘要', 'content': flow}], lambda x: x['content'] is not null and not list_contains(w.slices, x))) as s2
+          from walk w join told t on t.doc_id = w.doc_id and t.n = w.n + 1 left join branches r on r.doc_id = t.doc_id and r.scope = t.scope)))""",
+    """asked_names as (select c.doc_id, m.name, min((c.n, m.s)) as spot from chosen c join marks m on m.doc_id = c.doc_id and (m.mark = 'call' or (m.mark = 'type' and m.kind = 'reference')) and m.s >= c.s and m.e <= c.e where c.n <= 3
+      and m.name not in (select name from chosen o where o.doc_id = c.doc_id and name is not null) group by all)""",
+    "helpers as (select a.doc_id, row_number() over (partition by a.doc_id order by spot) as k, case when kind in ('function', 'variable') then '同文件依赖函数' else '同文件依赖类型' end as label, trim(text, ' ' || chr(10)) as content from asked_names a join defined d using (doc_id, name) qualify k <= 4)",
+    "ends as (select doc_id, arg_max(slices, n) as slices from walk group by doc_id)",
+    "every as (select doc_id, 0 as part, generate_subscripts(slices, 1) as k, unnest(slices)['label'] as label, unnest(slices)['content'] as content from ends union all select doc_id, 1, k, label, content from helpers)",
+    "sliced as (select doc_id, row_number() over (partition by doc_id order by part, k) as place, label, content from (select doc_id, label, content, min(part) as part, arg_min(k, part) as k from every group by doc_id, label, content) qualify place <= 6)",
+)
+_CANDIDATES = (
+    "added as (select doc_id, string_agg(text, chr(10) order by line) as t from file_lines join touched using (doc_id, line) group by doc_id)",
+    _scored("select doc_id as id, t from added", ""),
+    "near as (select doc_id, coalesce(t, '') || chr(10) || coalesce((select string_agg(text, chr(10) order by n) from chosen c where c.doc_id = a.doc_id and n <= 3), '') as w from added a)",
+    f"""evidence as (
+  select m.doc_id, m.local as name, 12 as score, m.module as source from marks m join near using (doc_id) where m.mark = 'import' and contains(w, m.local)
+  union all select c.doc_id, m.name, 7, null from chosen c join marks m on m.doc_id = c.doc_id and m.mark in ('call', 'type') and m.s >= c.s and m.e <= c.e
+  union all select id, name, score, source from scored)""",
+    f"""candidates as (select doc_id, name, score, import_source, row_number() over (partition by doc_id order by score desc, name) as rank
+  from (select doc_id, name, cast(sum(score) as bigint) as score, max(source) as import_source from evidence where {_USEFUL} group by doc_id, name))""",
+)
+_STRATEGY = ", ".join(f"({i}, {str(r[6]).lower()}, {str(r[7]).lower()}, {r[8]}, {r[9]}, {', '.join(map(str, r[12:16]))})" for i, r in enumerate(values.STRATEGIES))
+_LIBRARY = ", ".join(f"({i}, {_q(x)})" for i, x in enumerate(shapes.LIBRARY))
+_CONTEXT = (
+    f"strategy(k, code, far, lookups, results, f, t, s, d) as (values {_STRATEGY})",
+    """profiles as (
+  select doc_id, 'src/m' || doc_id || '.ts' as path, code, far, results, doc_id % 7 = 0 as deleted, doc_id % 7 > 0 and doc_id % 5 = 1 as added, case when doc_id % 2 = 1 then greatest(1, lookups - 1) else lookups end as lookups,
+    case when code then f else 0 end as f, case when code then t else 0 end as t, case when code then s else 0 end as s, case when not code then 0 when doc_id % 7 = 0 then greatest(2, d) else d end as d
+  from documents join strategy on k = doc_id % 9)""",
+    """items1 as (
+  select doc_id, 'slice' as kind, '命令结构摘要' as name, path as file, '- run' as content, 1 as part, 0 as ord from profiles where doc_id % 3 = 0
+  union all select doc_id, case when kind in ('function', 'method', 'variable', 'class') then 'function' else 'type' end, name, 'current', text, 2, n from chosen where name is not null qualify row_number() over (partition by doc_id, name order by n) = 1
+  union all select doc_id, 'slice', label, 'src/m' || doc_id || '.ts', content, 3, place from sliced
+  union all select doc_id, case when d.kind in ('function', 'variable', 'class') then 'function' else 'type' end, name, 'current', text, 4, rank from candidates join defined d using (doc_id, name))""",
+    """kept1 as (select doc_id, name from (
+    select i.*, p.f, p.t, row_number() over (partition by i.doc_id, kind order by part, ord) as place from (
+      select * from items1 where kind in ('function', 'type') qualify row_number() over (partition by doc_id, kind, name, file order by part, ord) = 1) i join profiles p using (doc_id) where code)
+  where place <= case when kind = 'function' then f else t end)""",
+    "missing as (select c.doc_id, c.name, p.path, results, row_number() over (partition by c.doc_id order by rank) as n, lookups from candidates c join profiles p using (doc_id) where code and far and not exists (select 1 from kept1 k where k.doc_id = c.doc_id and k.name = c.name) qualify n <= lookups)",
+    f"library(k, name) as (values {_LIBRARY})",
+    "hits as (select name, s_suppkey, row_number() over (partition by name order by s_suppkey) as spot, s_suppkey % 13 = k as defines from supplier join library on s_suppkey % 13 = k or (s_suppkey + 1) % 13 = k)",
+    "remote as (select m.doc_id, m.name, min(n) as n, min(s_suppkey) as f from missing m join hits h on h.name = m.name and defines and spot <= results group by m.doc_id, m.name)",
+    """items as (
+  select * from items1 union all
+  select doc_id, 'function', name, 'lib/s' || f || '.ts', 'export function ' || name || '(a) { return ' || f || ' }', 5, n from remote
+  union all select doc_id, 'deleted', reason, path, text, 6, n from profiles join removed using (doc_id) where not added)""",
+)
+
 
 def oracle_sql() -> dict[str, str]:
     reason = "case " + " ".join(f"when regexp_matches(t, {_q(p)}) then '{n}'" for n, p in values.REMOVED_BEHAVIOUR) + " else 'default' end"
@@ -613,23 +704,7 @@ def oracle_sql() -> dict[str, str]:
         "data_flows": _with(*_BASE, *_FLOWS, select="select * from flows"),
         "semantic_slices": _with(
             *_BASE, *_CHAINS, *_FLOWS,
-            # what each scope has to tell, in order; branches once each, those that leave
-            "told as (select c.doc_id, c.n, c.scope, k.summary as chain, f.summary as flow from chosen c left join chains k using (doc_id, scope) left join flows f using (doc_id, scope) where c.n <= 3)",
-            "branches as (select doc_id, scope, list(text order by s) as b, list(leaves order by s) as l from guards group by doc_id, scope)",
-            """walk(doc_id, n, slices) as (
-              select distinct doc_id, cast(0 as bigint), cast([] as struct(label varchar, content varchar)[]) from chosen
-              union all
-              select doc_id, n, list_concat(s2, list_filter(leaving, lambda x, k: not list_contains(s2, x) and list_position(leaving, x) = k)[1 : greatest(1, 2 - len(s2))]) from (
-                select doc_id, n, s2, list_transform(list_filter(range(1, case when len(s2) >= 2 then 1 else len(b) end + 1), lambda j: l[j]), lambda j: {'label': '关键保护分支', 'content': b[j]}) as leaving from (
-                  select w.doc_id, t.n, coalesce(b, []) as b, coalesce(l, []) as l,
-                    list_concat(w.slices, list_filter([{'label': '调用链摘要', 'content': chain}, {'label': '数据流摘要', 'content': flow}], lambda x: x['content'] is not null and not list_contains(w.slices, x))) as s2
-                  from walk w join told t on t.doc_id = w.doc_id and t.n = w.n + 1 left join branches r on r.doc_id = t.doc_id and r.scope = t.scope)))""",
-            """asked_names as (select c.doc_id, m.name, min((c.n, m.s)) as spot from chosen c join marks m on m.doc_id = c.doc_id and (m.mark = 'call' or (m.mark = 'type' and m.kind = 'reference')) and m.s >= c.s and m.e <= c.e where c.n <= 3
-              and m.name not in (select name from chosen o where o.doc_id = c.doc_id and name is not null) group by all)""",
-            "helpers as (select a.doc_id, row_number() over (partition by a.doc_id order by spot) as k, case when kind in ('function', 'variable') then '同文件依赖函数' else '同文件依赖类型' end as label, trim(text, ' ' || chr(10)) as content from asked_names a join defined d using (doc_id, name) qualify k <= 4)",
-            "ends as (select doc_id, arg_max(slices, n) as slices from walk group by doc_id)",
-            "every as (select doc_id, 0 as part, generate_subscripts(slices, 1) as k, unnest(slices)['label'] as label, unnest(slices)['content'] as content from ends union all select doc_id, 1, k, label, content from helpers)",
-            select="select doc_id, row_number() over (partition by doc_id order by part, k) as place, label, content from (select doc_id, label, content, min(part) as part, arg_min(k, part) as k from every group by doc_id, label, content) qualify place <= 6",
+            *_SLICES, select="select * from sliced",
             recursive=True,
         ),
         "contract_findings": _with(
@@ -652,16 +727,25 @@ def oracle_sql() -> dict[str, str]:
             select="""select repo, 'src/lib/user-api.ts' as path, cast(line as bigint) as line, replace('检测到跨文件契约变更：' || told, 'N', repo) as summary from x
             union all select repo, 'src/lib/user-api.ts', line, replace('导出契约 ' || told || '，仓库内还有 ' || users || ' 个疑似外部调用文件未包含在本次 diff 中', 'N', repo) from x where n % 4 > 0 and name in ('updateUserN', 'goneN')""",
         ),
-        "ast_candidates": _with(
-            *_BASE,
-            "added as (select doc_id, string_agg(text, chr(10) order by line) as t from file_lines join touched using (doc_id, line) group by doc_id)",
-            _scored("select doc_id as id, t from added"),
-            "near as (select doc_id, coalesce(t, '') || chr(10) || coalesce((select string_agg(text, chr(10) order by n) from chosen c where c.doc_id = a.doc_id and n <= 3), '') as w from added a)",
-            f"""evidence as (
-              select m.doc_id, m.local as name, 12 as score, m.module as source from marks m join near using (doc_id) where m.mark = 'import' and contains(w, m.local)
-              union all select c.doc_id, m.name, 7, null from chosen c join marks m on m.doc_id = c.doc_id and m.mark in ('call', 'type') and m.s >= c.s and m.e <= c.e
-              union all select id, name, score, source from scored)""",
-            select=f"""select doc_id, name, score, import_source, row_number() over (partition by doc_id order by score desc, name) as rank
-            from (select doc_id, name, cast(sum(score) as bigint) as score, max(source) as import_source from evidence where {_USEFUL} group by doc_id, name)""",
+        "ast_candidates": _with(*_BASE, *_CANDIDATES, select="select * from candidates"),
+        "segment_context": _with(
+            *_BASE, *_CHAINS, *_FLOWS, *_SLICES, *_CANDIDATES,
+            f"""removed as (select doc_id, n, text, {reason} as reason from (select c.doc_id, c.n, c.text, lower(coalesce(string_agg(l.text, chr(10) order by l.line), '')) as t
+              from chosen c join file_lines l on l.doc_id = c.doc_id and l.line between start_line and end_line join touched u on u.doc_id = l.doc_id and u.line = l.line where l.text <> '' group by all))""",
+            *_CONTEXT,
+            select="""select doc_id, kind, place, name, file, md5(content) as content_md5 from (
+              select i.*, p.*, row_number() over (partition by i.doc_id, kind order by part, ord) as place from (
+                select * from items qualify row_number() over (partition by doc_id, kind, name, file, case when kind = 'slice' then content when kind = 'deleted' then cast(ord as varchar) end order by part, ord) = 1) i
+              join (select doc_id, code, f, t, s, d from profiles where code) p on p.doc_id = i.doc_id)
+            where place <= case kind when 'function' then f when 'type' then t when 'slice' then s else d end""",
+            recursive=True,
         ),
+        "yaml_jobs": """with d as (select doc_id, doc_id % 4 as v, cast(doc_id as varchar) as id from documents), j(v, n, job, stage, "when", allow_failure, needs) as (values
+              (0, 1, 'buildN', 'test', null, 'true', 'a,b'), (0, 2, 'laterN', null, 'manual', null, ''), (1, 1, 'oneN', 'last', null, null, ''), (1, 2, 'two', null, null, null, ''), (2, 1, 'on', null, null, null, ''), (2, 2, 'jobs', null, 'always', null, 'x'))
+            select doc_id, cast(n as bigint) as n, replace(job, 'N', id) as job, stage, "when", allow_failure, needs from d join j using (v)""",
+        "structured_slices": """with d as (select doc_id, doc_id % 8 as v, cast(doc_id as varchar) as id from documents), s(v, ord, label, content) as (values
+              (0, 0, '配置键路径摘要', '- buildN.stage' || chr(10) || '- laterN'), (0, 1, 'CI 结构摘要', '- job=buildN | stage=test | allow_failure=true | needs=a,b' || chr(10) || '- job=laterN | when=manual'),
+              (1, 0, '配置键路径摘要', '- oneN' || chr(10) || '- oneN.stage'), (2, 0, '配置键路径摘要', '- on' || chr(10) || '- jobs.runN.needs'), (2, 1, 'CI 结构摘要', '- job=on' || chr(10) || '- job=jobs | when=always | needs=x'),
+              (4, 0, 'JSON 键摘要', '- aN' || chr(10) || '- b'), (4, 1, 'JSON 顶层结构', '- aN' || chr(10) || '- c'), (5, 0, '配置节摘要', '- s.kN'), (6, 0, '命令结构摘要', '- runN' || chr(10) || '- npm'))
+            select doc_id, cast(ord as bigint) as ord, label, replace(content, 'N', id) as content from d join s using (v)""",
     }

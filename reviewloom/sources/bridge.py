@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.sources.shapes import ALIAS_CONFIG, CHANGES, MODULES, TOUCHED
+from reviewloom.sources.shapes import ALIAS_CONFIG, CHANGES, LIBRARY, MODULES, STRUCTURED, TOUCHED
 
 #: Path templates by doc_id; N is the id.
 PATHS = (
@@ -173,6 +173,24 @@ def touched_module_lines(spark: SparkSession, sf_dir: str, both: bool = False) -
     return read(spark, sf_dir, "documents").select("doc_id", F.explode(lines.cast("array<bigint>")).alias("line"))
 
 
+def library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Search hits (name, path, n) and files (path, content) of a library: a supplier's file defines one name and mentions another."""
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("lib/s"), "s_suppkey", F.lit(".ts")).alias("path"))
+    name = lambda more: F.element_at(F.array(*[F.lit(x) for x in LIBRARY]), ((F.col("k") + more) % len(LIBRARY)).cast("int") + 1)
+    hits = rows.select(F.explode(F.array(name(0), name(1))).alias("name"), "path", F.col("k").alias("n"))
+    return hits, rows.select("path", F.format_string("export function %s(a) { return %s }\ninterface Other%s {}\n", name(0), F.col("k").cast("string"), F.col("k").cast("string")).alias("content"))
+
+
+def structured_files(spark: SparkSession, sf_dir: str, yaml_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """doc_id, path, content of a structured file for each document, and its touched lines (doc_id, line, hunk_ix, line_ix, text)."""
+    shown = STRUCTURED[:4] if yaml_only else STRUCTURED
+    cases = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(c).alias("content"), F.array(*[F.lit(n) for n in lines]).alias("touched")) for p, c, lines in shown])
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.element_at(cases, (F.col("doc_id") % len(shown)).cast("int") + 1).alias("f")).select("doc_id", "f.*")
+    rows = rows.withColumn("content", F.replace("content", F.lit("N"), F.col("doc_id").cast("string")))
+    touched = rows.select("doc_id", F.split("content", "\n").alias("l"), F.explode("touched").alias("line"))
+    return rows.drop("touched"), touched.select("doc_id", "line", F.lit(0).alias("hunk_ix"), F.col("line").alias("line_ix"), F.get("l", F.col("line") - 1).alias("text"))
+
+
 def drifts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Of a repository for each supplier, in one of six ways: new files, old files (repo, path, content), the
     change (repo, path, old_path, status), configurations, and search hits of names (repo, symbol, path, ord)."""

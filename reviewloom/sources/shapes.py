@@ -208,3 +208,17 @@ CHANGES = (
     ),
 )
 ALIAS_CONFIG = '{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["src/*"]}}}'
+
+#: Names that the files of a library define, one each, and mention, two each.
+LIBRARY = ("query", "send", "Row", "useIt", "Base", "Piece", "first", "render", "log", "Same", "execute", "Db", "helper")
+# Structured files: path, content, and the lines that a change touches; the first three are YAML.
+STRUCTURED = (
+    (".gitlab-ci.yml", "stages: [a]\nbuildN:\n  stage: build\n  script:\n    - x: 1\n  needs: a\n  stage: test\n  # when: never\n  needs: b\n  allow_failure: true\nlaterN:\n  when: manual\n", (3, 7, 11)),
+    ("conf/a.yaml", "oneN:\n  stage: first\ntwo: 2\noneN:\n  stage: last\n  stage:\n", (5, 4)),
+    ("x/b.yml", "on: push\njobs:\n  runN:\n    needs: x\n    when: always\n", (4, 1)),
+    (".github/workflows/c.yml", "# only a remark\n- item\n", (1, 2)),
+    ("p.json", "{\n  // what\n  \"aN\": 1, \"c\":\n  {\"b\": 2}\n}", (3, 4)),
+    ("q.ini", "; x\n[s]\nkN = 1\nm = 2\n", (3,)),
+    ("Dockerfile", "FROM x\nA=1 runN it\nif y\nnpm i\n", (2, 3, 4)),
+    ("r.ts", "a: 1\n", (1,)),
+)
