@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.sources.shapes import ALIAS_CONFIG, CHANGES, LIBRARY, MODULES, STRUCTURED, TOUCHED
+from reviewloom.streaming.progress import STAGES
 
 #: Path templates by doc_id; N is the id.
 PATHS = (
@@ -110,6 +111,44 @@ def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """request_id, seq, ts, stage and what events of progress may say: counts of files, some below zero, paths,
+    agents, messages, comments, tokens, a run's conclusion; all stages, in no order of their own."""
+    stages = ", ".join(repr(x) for x in STAGES)
+    return read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("request_id"),
+        F.col("event_id").alias("seq"),
+        "ts",
+        F.expr(f"element_at(array({stages}), cast(event_id * 7 % 18 as int) + 1)").alias("stage"),
+        F.expr("case when event_id % 7 = 0 then event_id % 40 when event_id % 13 = 0 then -1L end").alias("total"),
+        F.expr("case when event_id % 3 = 0 then event_id % 23 when event_id % 17 = 0 then -2L end").alias("completed"),
+        F.expr("if(event_id % 5 < 2, concat('src/lib/f', event_id % 11, '.ts'), null)").alias("path"),
+        F.expr("if(event_id % 4 > 0, element_at(array('correctness', 'Security', 'other'), cast(event_id % 3 as int) + 1), null)").alias("agent_id"),
+        F.expr("if(event_id % 9 = 0, concat('label ', event_id % 6), null)").alias("agent_label"),
+        F.expr("if(event_id % 6 > 0, concat('m', event_id), null)").alias("message"),
+        F.expr("transform(sequence(0, cast(event_id % 12 as int)), i -> concat('c', event_id, '.', i))").alias("all"),
+        (F.col("event_id") % 4).alias("comment_count"),
+        (F.col("event_id") % 5).alias("prompt_tokens"),
+        (F.col("event_id") % 8).alias("completion_tokens"),
+        (F.col("event_id") % 3).alias("reviewed_files"),
+        (F.col("event_id") % 13).alias("total_tokens"),
+        F.expr("if(event_id % 2 = 0, 'ok', 'bad')").alias("conclusion"),
+        F.expr("if(event_id % 3 > 0, cast(event_id % 101 as int), null)").alias("percent"),
+        F.expr("if(event_id % 2 = 0, array('correctness', 'security', 'late'), null)").alias("agents"),
+    ).withColumn("comments", F.expr("slice(all, 1, size(all) - 1)")).drop("all")
+
+
+def head_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, seq, kind, head, ok: heads that arrive for a key, and ends of its runs, some of them failures."""
+    return read(spark, sf_dir, "events").select(
+        F.concat(F.lit("k"), "user_id").alias("key"),
+        F.col("event_id").alias("seq"),
+        F.expr("if(event_id % 5 < 3, 'arrival', 'end')").alias("kind"),
+        F.expr("if(event_id % 5 < 3, concat('sha', event_id % 4), null)").alias("head"),
+        (F.col("event_id") % 7 > 0).alias("ok"),
+    )
+
+
 def discussion_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """discussion_id, note_id, is_system, body, author: some discussions AI-only, some without AI."""
     rows = read(spark, sf_dir, "conversations")
