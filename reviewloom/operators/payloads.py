@@ -72,7 +72,17 @@ def payload_comments(payloads: DataFrame, key: str = "payload_id") -> DataFrame:
     )
 
 
-def retry_delay_ms(retry_after: Column, attempt: Column, base_ms: int = 1000) -> Column:
-    """How long to wait: what the server asks for in seconds, else the base doubled each attempt."""
-    asked = retry_after.try_cast("double")
-    return F.when(asked >= 0, (asked * 1000).cast("long")).otherwise((base_ms * F.pow(F.lit(2), attempt)).cast("long"))
+#: Dates as hosts write them, without the day of the week and with an offset for GMT.
+HTTP_DATE = "d MMM yyyy HH:mm:ss XXX"
+
+
+def retry_delay_ms(retry_after: Column, attempt: Column, base_ms: int = 1000, now: Column | None = None) -> Column:
+    """How long to wait: what the server asks for, in seconds (halves up) or until a date, else the base doubled each
+    attempt. ``now`` is the present time unless given."""
+    text = F.trim(retry_after)
+    asked = text.try_cast("double")
+    bare = F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]+,\s*", ""), r"\s(GMT|UTC)$", " +00:00")
+    until = F.try_to_timestamp(bare, F.lit(HTTP_DATE))
+    left = F.greatest(F.lit(0), F.unix_millis(until) - F.unix_millis(F.current_timestamp() if now is None else now))
+    finite = (asked >= 0) & (asked < F.lit(float("inf")))
+    return F.when(finite, F.floor(asked * 1000 + 0.5).cast("long")).when(asked.isNull() & until.isNotNull(), left).otherwise((base_ms * F.pow(F.lit(2), attempt)).cast("long"))
