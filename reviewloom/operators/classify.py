@@ -103,6 +103,25 @@ def impacts(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return seen.select(key, F.slice(listed, 1, MAX_IMPACTS).alias("impacts"))
 
 
+# What readers are told of each impact.
+IMPACT_TEXTS = {
+    "pure_removal": "本次改动是纯删除/收缩型变更，建议重点确认是否移除了必要的校验、兜底或副作用逻辑。",
+    "access": "本次改动删除了鉴权、权限或租户隔离相关逻辑，建议确认不会放宽访问边界。",
+    "concurrency": "本次改动删除了事务、锁或版本控制相关逻辑，建议确认并发场景下仍然安全。",
+    "query_scope": "本次改动删除了查询过滤条件或范围约束，建议确认不会放宽数据读取范围。",
+    "guard": "本次改动删除了防御性分支或提前返回逻辑，建议确认异常路径和边界条件仍被覆盖。",
+}
+
+
+def impact_signals(impact_rows: DataFrame, anchor_rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, ord, source, line, summary of each impact, at the first line to look at (null without one).
+    impact_rows: of ``impacts``; anchor_rows: of ``diff.anchors``."""
+    first = anchor_rows.groupBy(key).agg(F.min("anchor").cast("long").alias("line"))
+    told = F.create_map(*[F.lit(x) for kv in IMPACT_TEXTS.items() for x in kv])
+    rows = impact_rows.select(key, F.posexplode("impacts").alias("ord", "impact")).join(first, key, "left")
+    return rows.select(key, "ord", F.lit("diff-impact").alias("source"), "line", F.element_at(told, F.col("impact")).alias("summary"))
+
+
 def removed_reason(text: Column) -> Column:
     """What a removed scope did, by the words of its lower-cased lines."""
     low = F.lower(text)

@@ -77,6 +77,16 @@ def touched_lines(line_rows: DataFrame) -> DataFrame:
     return line_rows.filter("kind = '+'")
 
 
+def touched_ranges(ranges: DataFrame, line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The ranges (key, start, end and others) that hold an added line. Ranges and lines of a file are laid out once by
+    line, and a range asks for the next added line from its start on; so none of them are paired."""
+    lines = touched_lines(line_rows).select(key, F.col("new_line").cast("long").alias("start"), F.lit(True).alias("is_line"))
+    laid = ranges.withColumn("is_line", F.lit(False)).unionByName(lines, allowMissingColumns=True)
+    on = Window.partitionBy(key).orderBy(F.col("start").desc(), F.col("is_line").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    following = F.min(F.when(F.col("is_line"), F.col("start"))).over(on)
+    return laid.withColumn("following", following).filter(~F.col("is_line") & (F.col("following") <= F.col("end"))).select(*ranges.columns)
+
+
 def removed_lines(line_rows: DataFrame) -> DataFrame:
     return line_rows.filter("kind = '-'")
 

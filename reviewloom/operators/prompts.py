@@ -17,17 +17,32 @@ def budgets(signal_budget: Column, code_budget: Column, segments: Column) -> tup
     return part(260, signal_budget, 1.0), part(360, code_budget, 0.42), part(520, code_budget, 0.58), part(260, signal_budget, 0.95)
 
 
+# How signals are labelled by their source, and what is told where there is nothing or more.
+SIGNAL_LABELS = (("dependency-cruiser", "[dependency-cruiser]"), ("eslint", "[eslint]"), ("diff-impact", "[change-impact]"))
+OTHER_SIGNAL, NO_SIGNALS = "[tsquery]", "（未发现可确认的高置信度信号）"
+#: Of each section: what is told where it is empty, and before the number of blocks that didn't fit; characters that blocks get at most.
+SECTIONS = {
+    "code": ("（未发现外部关联代码）", "（外部关联代码较多，已优先保留最相关定义）"),
+    "slices": ("（未提取到关键语义切片）", "（语义切片较多，已优先保留最接近改动的片段）"),
+    "removed": ("（未检测到需要重点关注的删除型旧逻辑）", "（删除型旧逻辑较多，已优先保留最危险的片段）"),
+}
+PREFERRED = {"function": 900, "type": 820, "slice": 720, "deleted": 760}
+
+
 def signal_label(source: Column, line: Column) -> Column:
-    name = F.when(source == "diff-impact", "[impact]").when(source == "eslint", "[eslint]").when(source == "dependency-cruiser", "[dependency]").otherwise("[tsquery]")
-    return F.when(F.coalesce(line, F.lit(0)) > 0, F.concat(name, F.lit(" L"), line)).otherwise(name)
+    name = F.lit(OTHER_SIGNAL)
+    for known, label in SIGNAL_LABELS:
+        name = F.when(source == known, label).otherwise(name)
+    return F.when(F.coalesce(line, F.lit(0)) != 0, F.concat(name, F.lit("[line "), line, F.lit("]"))).otherwise(name)
 
 
-def packed_signals(signals: DataFrame, key: str, budget: int, limit: int = MAX_SIGNALS) -> DataFrame:
-    """key, n, line, omitted: rendered signals, once each, while they fit; the first always does.
+def packed_signals(signals: DataFrame, key: str, budget: int | str, limit: int = MAX_SIGNALS) -> DataFrame:
+    """key, n, rendered, omitted: rendered signals, once each, while they fit; the first always does.
 
     signals: key, source, line, summary, ord. What follows the first that doesn't fit is left
-    out, as its running length stays above the budget.
+    out, as its running length stays above the budget, which is a number or the name of a column.
     """
+    most = F.col(budget) if isinstance(budget, str) else F.lit(budget)
     place = F.coalesce("line", F.lit(0))
     again = Window.partitionBy(key, "source", place, "summary").orderBy("ord")
     once = signals.withColumn("again", F.row_number().over(again)).filter("again = 1")
@@ -38,7 +53,7 @@ def packed_signals(signals: DataFrame, key: str, budget: int, limit: int = MAX_S
         .withColumn("total", F.count("*").over(Window.partitionBy(key)))
         .withColumn("rendered", rendered)
         .withColumn("upto", F.sum(F.length("rendered")).over(order))
-        .filter((F.col("n") <= limit) & ((F.col("upto") <= budget) | (F.col("n") == 1)))
+        .filter((F.col("n") <= limit) & ((F.col("upto") <= most) | (F.col("n") == 1)))
     )
     kept = F.max("n").over(Window.partitionBy(key))
     return sized.withColumn("omitted", F.col("total") - kept).select(key, "n", "rendered", "omitted")
@@ -85,28 +100,29 @@ def _compacted(size: Column, whole: Column, bare: Column, most: Column) -> Colum
     return F.when(size <= most, whole).otherwise(F.concat(cut, F.lit(TRUNCATED)))
 
 
-def reduced_blocks(blocks: DataFrame, key: str, budget: int) -> DataFrame:
+def reduced_blocks(blocks: DataFrame, key: str, budget: int | str) -> DataFrame:
     """key, ord, label, preferred, and of body what a block of its greatest budget can use: its
     size, whole (if it fits) and bare, cut where the first line that doesn't fit is decided."""
-    most = F.greatest(F.lit(220), F.least("preferred", F.lit(budget - 120)))
-    sized = blocks.select(key, "ord", "label", "preferred", _snippet(F.col("body")).alias("snippet")).withColumn("size", F.length("snippet"))
+    limit = F.col(budget) if isinstance(budget, str) else F.lit(budget)
+    most = F.greatest(F.lit(220), F.least("preferred", F.col("budget") - 120))
+    sized = blocks.withColumn("budget", limit).select(key, "ord", "label", "preferred", "budget", _snippet(F.col("body")).alias("snippet")).withColumn("size", F.length("snippet"))
     return sized.select(
-        key, "ord", "label", "preferred", "size",
+        key, "ord", "label", "preferred", "budget", "size",
         F.when(F.col("size") <= most, F.col("snippet")).alias("whole"),
         F.substring(_line_ends_trimmed(F.col("snippet")), F.lit(1), (most + 1).cast("int")).alias("bare"),
     )
 
 
-def packed_blocks(blocks: DataFrame, key: str, budget: int, fence: str = "ts") -> DataFrame:
-    """key, packed, omitted: blocks in order while they fit in ``budget`` characters.
+def packed_blocks(blocks: DataFrame, key: str, budget: int | str, fence: str = "ts") -> DataFrame:
+    """key, packed, omitted: blocks in order while they fit in ``budget`` characters, a number or a column's name.
 
     blocks: key, ord, label, body, preferred. A block that doesn't fit is skipped, later ones may
     fit; as long as there is none, the next is taken. Skips feed back into the budget, so this
     is one fold over each key's ordered blocks. Bodies are reduced in their own rows before.
     """
     rows = reduced_blocks(blocks, key, budget)
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "label", "size", "whole", "bare", "preferred"))).alias("blocks"))
-    start = F.expr(f"named_struct('left', {budget}, 'omitted', 0, 'out', cast(array() as array<string>))")
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "label", "size", "whole", "bare", "preferred"))).alias("blocks"), F.max("budget").cast("long").alias("budget"))
+    start = F.expr(f"named_struct('left', budget, 'omitted', 0, 'out', cast(array() as array<string>))")
 
     def step(s: Column, b: Column) -> Column:
         own = F.greatest(F.lit(220), F.least(b["preferred"], s["left"] - 120))
@@ -122,6 +138,36 @@ def packed_blocks(blocks: DataFrame, key: str, budget: int, fence: str = "ts") -
     return listed.select(key, packed.alias("p")).select(key, F.array_join("p.out", "\n\n").alias("packed"), F.col("p.omitted").alias("omitted"))
 
 
+def context_sections(items: DataFrame, signals: DataFrame, limits: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, signals, slices, code, removed: the sections of a segment's prompt as texts, each within its characters.
+
+    items: of ``contexts.segment_context`` (key, kind, place, name, file, content); signals: key, source, line, summary, ord;
+    limits: key and signals, slices, code, removed, the characters of each. Definitions count once by name and file,
+    functions first. A section without blocks or characters says so; one that leaves blocks out tells how many.
+    """
+    once = items.withColumn("again", F.row_number().over(Window.partitionBy(key, "kind", "name", "file").orderBy("place"))).filter("again = 1 or kind in ('slice', 'deleted')")
+    source = F.when(F.col("file") == "current", "当前文件").otherwise(F.col("file"))
+    head = F.when(F.col("kind") == "function", F.concat(F.lit("函数: "), "name")).when(F.col("kind") == "type", F.concat(F.lit("类型: "), "name")).when(F.col("kind") == "slice", F.col("name")).otherwise(F.concat(F.lit("旧逻辑: "), F.coalesce("scope_name", "name")))
+    named = once if "scope_name" in items.columns else once.withColumn("scope_name", F.lit(None).cast("string"))
+    section = F.when(F.col("kind").isin("function", "type"), "code").when(F.col("kind") == "slice", "slices").otherwise("removed")
+    preferred = F.lit(PREFERRED["deleted"])
+    for kind, characters in PREFERRED.items():
+        preferred = F.when(F.col("kind") == kind, characters).otherwise(preferred)
+    blocks = named.select(
+        key, section.alias("section"), ((F.col("kind") == "type").cast("long") * (1 << 32) + F.col("place")).alias("ord"), F.concat(F.lit("【"), head, F.lit(" | 来源: "), source, F.lit("】")).alias("label"),
+        F.when(F.col("kind") == "deleted", F.concat(F.lit("原因: "), "name", F.lit("\n\n"), "content")).otherwise(F.col("content")).alias("body"), preferred.alias("preferred"),
+    ).join(limits, key)
+    out = limits.select(key)
+    for name, (empty, hint) in SECTIONS.items():
+        packed = packed_blocks(blocks.filter((F.col("section") == name) & (F.col(name) > 0)), key, name)
+        told = F.when(F.col("omitted") > 0, F.concat(F.col("packed"), F.lit(f"\n\n{hint} 共省略 "), F.col("omitted"), F.lit(" 段。"))).otherwise(F.col("packed"))
+        out = out.join(packed.select(key, told.alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(empty)))
+    lines = packed_signals(signals.join(limits.select(key, F.col("signals").alias("limit")), key), key, "limit")
+    listed = lines.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "rendered"))), lambda x: x["rendered"]), "\n").alias("t"), F.max("omitted").alias("more"))
+    rest = F.when(F.col("more") > 0, F.concat(F.col("t"), F.lit("\n- 其余 "), F.col("more"), F.lit(" 条信号已省略。"))).otherwise(F.col("t"))
+    return out.join(listed.select(key, rest.alias("signals")), key, "left").withColumn("signals", F.coalesce("signals", F.lit(NO_SIGNALS)))
+
+
 # How a prompt tells what it covers.
 def review_scope(path: Column, label: Column, segment: Column, segments: Column, hunks: Column) -> Column:
     """The scope of a prompt; hunks: an array of (old_start, old_lines, new_start, new_lines, ...)."""

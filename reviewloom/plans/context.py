@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions import text
-from reviewloom.operators import code, comments, configs, diff, filters, payloads, prompts, segments, symbols
+from reviewloom.operators import classify, comments, configs, diff, filters, payloads, prompts, segments, symbols
 from reviewloom.operators.classify import STRATEGIES
 from reviewloom.plans import values
-from reviewloom.plans.oracles import FILES, LINES, _with
-from reviewloom.plans.review import _files, _lines
+from reviewloom.plans.oracles import FILES, IMPACTS, LINES, _q, _with
+from reviewloom.plans.review import _files, _hunks, _lines
 from reviewloom.sources import bridge, hosting
 
 
@@ -83,6 +83,33 @@ def context_pack(spark, sf):
     return prompts.packed_blocks(rows, "key", 4000).select("key", F.length("packed").alias("length"), "omitted")
 
 
+def impact_lines(spark, sf):
+    """Impacts of each file's change as signals, with the line that they point to."""
+    hunks = _hunks(spark, sf)
+    lines = diff.lines(hunks)
+    return classify.impact_signals(classify.impacts(lines), diff.anchors(hunks, lines)).select("doc_id", F.col("ord").cast("long").alias("ord"), "line", "summary")
+
+
+def touched_ranges(spark, sf):
+    """Ranges of twenty lines that hold an added one."""
+    hunks = _hunks(spark, sf)
+    ranges = bridge.read(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 7)).alias("n")).withColumns({"start": F.col("n") * 30 + 1, "end": F.col("n") * 30 + 20})
+    return diff.touched_ranges(ranges, diff.lines(hunks)).select("doc_id", "n")
+
+
+def context_sections(spark, sf):
+    """The sections of prompts, over items and signals of each event's user."""
+    rows = _events(spark, sf)
+    key = F.concat(F.col("user_id"), F.lit(":"), F.floor(F.col("event_id") / 4000))
+    kind = F.expr("element_at(array('function', 'type', 'slice', 'deleted'), cast(event_id % 4 as int) + 1)")
+    body = F.concat(F.lit("x {\n"), F.repeat(F.concat(F.lit("line "), "event_id", F.lit("\n")), (F.col("event_id") % 90).cast("int")), F.lit("}"))
+    items = rows.filter("event_id % 3 > 0").select(key.alias("doc_id"), kind.alias("kind"), F.col("event_id").alias("place"), F.concat(F.lit("n"), F.col("event_id") % 20).alias("name"), F.when(F.col("event_id") % 8 < 4, "current").otherwise("a.ts").alias("file"), body.alias("content"))
+    signals = rows.filter("event_id % 3 = 0").select(key.alias("doc_id"), F.lit("eslint").alias("source"), (F.col("event_id") % 4).alias("line"), F.concat(F.lit("s"), F.col("event_id") % 30).alias("summary"), F.col("event_id").alias("ord"))
+    limits = rows.select(key.alias("doc_id")).distinct().withColumns({"signals": F.lit(40), "slices": F.lit(1500), "code": F.when(F.col("doc_id").like("%1:%"), 0).otherwise(2600), "removed": F.lit(900)})
+    made = prompts.context_sections(items, signals, limits)
+    return made.select("doc_id", "signals", *[F.md5(F.col(c).cast("binary")).alias(c) for c in ("slices", "code", "removed")])
+
+
 def snippet_compact(spark, sf):
     rows = bridge.read(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     return rows.select("doc_id", F.length(prompts.compacted(F.col("t"), F.lit(400))).alias("length"))
@@ -154,7 +181,7 @@ def scope_segments(spark, sf):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
-        json_touched_keys, shell_commands, kv_config_keys, yaml_key_paths, json_top_keys, structured_changes, prompt_budgets, signal_pack, context_pack, snippet_compact, name_parts, number_fields,
+        json_touched_keys, shell_commands, kv_config_keys, yaml_key_paths, json_top_keys, structured_changes, prompt_budgets, signal_pack, context_pack, impact_lines, touched_ranges, context_sections, snippet_compact, name_parts, number_fields,
         search_paged, file_contents, latest_versions, webhook_events, retry_delays, usage_lines, capped_context, scope_segments,
     )
     return {f.__name__: f for f in listed}
@@ -179,12 +206,26 @@ def oracle_sql() -> dict[str, str]:
         "prompt_budgets": f"""with d(s, a, b) as (values {strategy}), r as (select doc_id, a, b, case when doc_id % 3 > 1 then 0.82 else 1.0 end as f from documents join d on s = doc_id % {len(STRATEGIES)})
             select doc_id, cast(greatest(260, floor(cast(a as double) * 1.0 * f)) as bigint) as signals, cast(greatest(360, floor(cast(b as double) * cast(0.42 as double) * cast(f as double))) as bigint) as slices,
             cast(greatest(520, floor(cast(b as double) * cast(0.58 as double) * cast(f as double))) as bigint) as code, cast(greatest(260, floor(cast(a as double) * cast(0.95 as double) * cast(f as double))) as bigint) as removed from r""",
-        "signal_pack": """with s as (select user_id as doc_id, case when event_id % 2 = 0 then '[impact]' else '[tsquery]' end as label, case when event_id % 3 = 0 then 0 else event_id % 9 end as line, 'signal of ' || event_type as summary, event_id as ord,
+        "signal_pack": """with s as (select user_id as doc_id, case when event_id % 2 = 0 then '[change-impact]' else '[tsquery]' end as label, case when event_id % 3 = 0 then 0 else event_id % 9 end as line, 'signal of ' || event_type as summary, event_id as ord,
               event_id % 2 as src from events),
-            o as (select doc_id, '- ' || label || case when line > 0 then ' L' || line else '' end || ' ' || summary as rendered, ord from s qualify row_number() over (partition by doc_id, src, line, summary order by ord) = 1),
+            o as (select doc_id, '- ' || label || case when line > 0 then '[line ' || line || ']' else '' end || ' ' || summary as rendered, ord from s qualify row_number() over (partition by doc_id, src, line, summary order by ord) = 1),
             n as (select *, row_number() over w as n, count(*) over (partition by doc_id) as total, sum(length(rendered)) over w as upto from o window w as (partition by doc_id order by ord)),
             k as (select * from n where n <= 8 and (upto <= 110 or n = 1))
             select doc_id, n, rendered, total - max(n) over (partition by doc_id) as omitted from k""",
+        "impact_lines": _with(
+            LINES, IMPACTS,
+            f"told(impact, summary) as (values {', '.join(f'({_q(k)}, {_q(v)})' for k, v in values.IMPACT_TEXTS)})",
+            "edges as (select doc_id, greatest(1, start) as s, nl from hunks)",
+            """first as (select doc_id, min(case when kind = '+' then new_line end) as a from lines group by doc_id)""",
+            "other as (select doc_id, min(greatest(1, s - 1)) as b from edges group by doc_id)",
+            "e as (select doc_id, unnest(impacts) as impact, generate_subscripts(impacts, 1) - 1 as ord from impacts)",
+            select="select doc_id, ord, coalesce(a, b) as line, summary from e join told using (impact) left join first using (doc_id) left join other using (doc_id)",
+        ),
+        "touched_ranges": _with(
+            LINES,
+            "r as (select doc_id, unnest(range(0, doc_id % 7 + 1)) as n from documents)",
+            select="select doc_id, n from r where exists (select 1 from lines l where l.doc_id = r.doc_id and kind = '+' and new_line between n * 30 + 1 and n * 30 + 20)",
+        ),
         "name_parts": _with(
             FILES,
             select="""select doc_id, regexp_extract(path, '^(.*)/[^/]*$', 1) as owner, split_part(path, '/', -1) as repo,

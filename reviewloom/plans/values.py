@@ -133,3 +133,10 @@ STOP_NAMES = (
 
 def any_of(patterns) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
+IMPACT_TEXTS = (
+    ("pure_removal", "本次改动是纯删除/收缩型变更，建议重点确认是否移除了必要的校验、兜底或副作用逻辑。"),
+    ("access", "本次改动删除了鉴权、权限或租户隔离相关逻辑，建议确认不会放宽访问边界。"),
+    ("concurrency", "本次改动删除了事务、锁或版本控制相关逻辑，建议确认并发场景下仍然安全。"),
+    ("query_scope", "本次改动删除了查询过滤条件或范围约束，建议确认不会放宽数据读取范围。"),
+    ("guard", "本次改动删除了防御性分支或提前返回逻辑，建议确认异常路径和边界条件仍被覆盖。"),
+)

@@ -52,6 +52,56 @@ def test_compaction_and_packing(spark):
         assert (r["packed"], r["omitted"]) == pack([x[2:] for x in rows if x[0] == r["key"]], 1500)
 
 
+def section(name: str, items: list[dict], budget: int) -> str:
+    """A section by plain loops: definitions once by name and file, functions first; a note on what didn't fit."""
+    kinds = {"code": ("function", "type"), "slices": ("slice",), "removed": ("deleted",)}[name]
+    empty, hint = prompts.SECTIONS[name]
+    blocks, seen = [], set()
+    for kind in kinds:
+        for x in sorted((i for i in items if i["kind"] == kind), key=lambda i: i["place"]):
+            if kind in ("function", "type"):
+                if (kind, x["name"], x["file"]) in seen:
+                    continue
+                seen.add((kind, x["name"], x["file"]))
+            source = "当前文件" if x["file"] == "current" else x["file"]
+            head = {"function": "函数: ", "type": "类型: ", "slice": "", "deleted": "旧逻辑: "}[kind] + x["name"]
+            body = f"原因: {x['name']}\n\n{x['content']}" if kind == "deleted" else x["content"]
+            blocks.append((f"【{head} | 来源: {source}】", body, {"function": 900, "type": 820, "slice": 720, "deleted": 760}[kind]))
+    if budget <= 0 or not blocks:
+        return empty
+    packed, omitted = pack(blocks, budget)
+    return f"{packed}\n\n{hint} 共省略 {omitted} 段。" if omitted else packed
+
+
+def test_sections_of_prompts(spark):
+    rng = random.Random(11)
+    items = [(k, rng.choice(["function", "type", "slice", "deleted"]), i, f"n{rng.randrange(6)}", rng.choice(["current", "a.ts"]), "\n".join("y" * rng.randint(1, 80) for _ in range(rng.randint(1, 30)))) for k in range(20) for i in range(rng.randrange(14))]
+    signals = [(k, rng.choice(["eslint", "diff-impact", "dependency-cruiser", "x"]), rng.choice([None, 0, 5]), f"s{rng.randrange(9)}", i) for k in range(0, 20, 2) for i in range(12)]
+    limits = [(k, rng.choice([30, 90, 1000]), rng.choice([0, 500, 4000]), rng.choice([0, 500, 4000]), rng.choice([0, 700, 4000])) for k in range(21)]
+    made = prompts.context_sections(
+        spark.createDataFrame(items, "doc_id int, kind string, place int, name string, file string, content string"),
+        spark.createDataFrame(signals, "doc_id int, source string, line int, summary string, ord int"),
+        spark.createDataFrame(limits, "doc_id int, signals int, slices int, code int, removed int"),
+    )
+    found = {r["doc_id"]: r for r in made.collect()}
+    assert len(found) == 21
+    labels = {"eslint": "[eslint]", "diff-impact": "[change-impact]", "dependency-cruiser": "[dependency-cruiser]", "x": "[tsquery]"}
+    for k, most, slices, code, removed in limits:
+        own = [dict(zip(["key", "kind", "place", "name", "file", "content"], i, strict=True)) for i in items if i[0] == k]
+        for name, budget in (("slices", slices), ("code", code), ("removed", removed)):
+            assert found[k][name] == section(name, own, budget), (k, name)
+        unique = list(dict.fromkeys((s, n or 0, t) for key, s, n, t, _ in signals if key == k))
+        lines, left = [], most
+        for s, n, t in unique[:8]:
+            line = f"- {labels[s]}{f'[line {n}]' if n else ''} {t}"
+            if len(line) > left and lines:
+                break
+            lines.append(line)
+            left -= len(line)
+        more = [f"- 其余 {len(unique) - len(lines)} 条信号已省略。"] if len(unique) > len(lines) else []
+        assert found[k]["signals"] == ("\n".join(lines + more) if unique else prompts.NO_SIGNALS)
+
+
 def test_packed_blocks_hold_what_they_use(spark):
     """Long bodies are reduced before they meet, with the results of whole ones."""
     bodies = ["x" * 5000, "a" + " " * 3000 + "\nb {\n" + "c d\n" * 900, "k \n" * 400, "ab" + " " * 890 + "c", "y " * 449 + "z", "\n\n\n" + "q" * 881 + " " * 30 + "\nr"]

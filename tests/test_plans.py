@@ -29,7 +29,7 @@ def rows_of(frame: pd.DataFrame) -> list[tuple]:
 
 
 #: Folds that SQL doesn't express; tests/test_context.py holds them against plain versions.
-WITHOUT_SQL = {"yaml_key_paths", "context_pack", "snippet_compact"}
+WITHOUT_SQL = {"yaml_key_paths", "context_pack", "snippet_compact", "context_sections"}
 
 
 def test_every_plan_has_sql():
