@@ -131,21 +131,35 @@ def removed_reason(text: Column) -> Column:
     return found.otherwise("default")
 
 
-def file_risk(file_diffs: DataFrame, line_counts: DataFrame, impact_rows: DataFrame, text_rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """changed, removed, kind and risk of each file."""
-    joined = file_diffs.join(line_counts, key, "left").join(impact_rows, key, "left").join(text_rows, key, "left").fillna(0, ["added", "removed"])
-    kind = file_kind(F.col("path"), F.coalesce("diff_text", F.lit("")))
+def impacts_of(added: Column, removed: Column) -> Column:
+    """What ``impacts`` says of a file, from the texts of its changed lines."""
+    found = lambda pattern: F.exists(removed, lambda x: (trimmed(x) != "") & trimmed(x).rlike(ascii_words(pattern)))
+    flags = [("pure_removal", (F.size(removed) > 0) & (F.size(added) == 0)), *[(n, found(p)) for n, p in IMPACT]]
+    return F.slice(F.array_compact(F.array(*[F.when(flag, F.lit(n)) for n, flag in flags])), 1, MAX_IMPACTS)
+
+
+def file_risk(changes: DataFrame) -> DataFrame:
+    """changed, removed, file_kind and risk of each file, from its own row. changes: path, status and the columns of
+    ``diff.with_changes``."""
+    counted = changes.withColumns(
+        {
+            "impacts": impacts_of(F.col("added"), F.col("removed")),
+            "file_kind": file_kind(F.col("path"), F.lower(F.array_join("hunk_texts", "\n"))),
+            "added": F.size("added").cast("long"),
+            "removed": F.size("removed").cast("long"),
+        }
+    ).drop("hunk_texts", "blank_only", "patch")
     bonus = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in KIND_RISK.items() for x in kv]), F.col("file_kind")), F.lit(0))
     shrinks = (F.col("status") == "deleted") | ((F.col("removed") > 0) & (F.col("added") == 0))
     risk = (
         F.when(is_high_risk(F.col("path")), 10).otherwise(0)
         + F.ceil((F.col("added") + F.col("removed")) / 12)
         + F.ceil(F.col("removed") / 10)
-        + F.coalesce(F.size("impacts"), F.lit(0)) * 6
+        + F.size("impacts") * 6
         + F.when(shrinks, 6).otherwise(0)
         + bonus
     )
-    return joined.withColumn("file_kind", kind).withColumn("risk", risk.cast("long")).withColumn("changed", F.col("added") + F.col("removed"))
+    return counted.withColumn("risk", risk.cast("long")).withColumn("changed", F.col("added") + F.col("removed"))
 
 
 def change_scale(risk_rows: DataFrame, by: str = "cr_id") -> DataFrame:

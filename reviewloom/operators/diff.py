@@ -73,6 +73,22 @@ def lines(hunk_rows: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def with_changes(file_diffs: DataFrame) -> DataFrame:
+    """``file_diffs`` with hunk_texts, added and removed (texts of the changed lines in order), and blank_only (whether
+    these are as many, not none, and pairwise equal but for blanks), as arrays of each file's own row.
+
+    What the row tables of hunks and lines tell of a whole file is told here without a row a line or a shuffle.
+    """
+    texts = F.filter(F.split(F.concat("patch", F.lit("\n")), _BEFORE_HEADER), lambda x: x.rlike(HUNK_HEADER))
+    shown = lambda text: F.filter(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: (x != "") & ~x.startswith("@@") & ~x.startswith("\\"))
+    changed = lambda sign: F.transform(F.filter("shown", lambda x: x.startswith(sign) & ~x.startswith(sign * 3)), lambda x: F.substr(x, F.lit(2)))
+    bare = lambda c: F.transform(c, lambda x: F.regexp_replace(x, f"[{BLANK}]+", ""))
+    rows = file_diffs.withColumn("hunk_texts", texts).withColumn("shown", F.flatten(F.transform("hunk_texts", shown)))
+    rows = rows.withColumns({"added": changed("+"), "removed": changed("-")}).drop("shown")
+    same = (F.size("added") > 0) & (F.size("added") == F.size("removed")) & (bare("added") == bare("removed"))
+    return rows.withColumn("blank_only", F.coalesce(same, F.lit(False)))
+
+
 def touched_lines(line_rows: DataFrame) -> DataFrame:
     return line_rows.filter("kind = '+'")
 

@@ -150,3 +150,9 @@ def reviewable(file_diffs: DataFrame, line_rows: DataFrame, hunk_rows: DataFrame
     changed in blanks only. Path tests come first, as they need no join."""
     named = file_diffs.filter(~is_ignored(F.col("path")) & ~is_documentation(F.col("path")) & ~is_deployment(F.col("path")))
     return named.join(hunk_rows.select(key).distinct(), key, "left_semi").join(blank_only, key, "left_anti")
+
+
+def reviewable_changes(changes: DataFrame) -> DataFrame:
+    """``reviewable`` over rows of ``diff.with_changes``, without a join."""
+    named = changes.filter(~is_ignored(F.col("path")) & ~is_documentation(F.col("path")) & ~is_deployment(F.col("path")))
+    return named.filter((F.size("hunk_texts") > 0) & ~F.col("blank_only"))

@@ -34,9 +34,8 @@ def _reviewable(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _risk(spark: SparkSession, sf: str) -> DataFrame:
-    hunks = _hunks(spark, sf)
-    rows = diff.lines(hunks)
-    return classify.file_risk(_reviewable(spark, sf), diff.changed_counts(rows), classify.impacts(rows), classify.diff_text(hunks))
+    """One scan of the files, and all of a file from its own row."""
+    return classify.file_risk(filters.reviewable_changes(diff.with_changes(_files(spark, sf))))
 
 
 def cr_scale_risk(spark, sf):

@@ -173,3 +173,25 @@ def test_progress_as_a_stream(spark, tmp_path):
     query.awaitTermination()
     found = {(r["request_id"], r["seq"]): r["completed_so_far"] for r in spark.table("carried").collect()}
     assert found == {(r["request_id"], r["seq"]): r["completed_so_far"] for r in progress.carried(batch).collect()}
+
+
+def test_risk_reads_files_once(spark):
+    """One scan, and one exchange by request; the in-row forms say what the line tables do."""
+    from reviewloom.operators import classify, diff
+    from reviewloom.plans import review
+
+    plan = review.cr_scale_risk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") == 1
+    files = review._files(spark, "/root/testdata/sf0.001")
+    odd = [(-1, "a b\n c", "@@ -1 +1 @@\n-a  b\n+ab\n"), (-2, "x", "@@ -1 +1 @@\n-a\n"), (-3, "y", ""), (-4, "z", "@@ -1,2 +1 @@\r\n-auth \r\n--- no\r\n+++ no\r\n\\ none\r\n+x\r\n@@ -9 +9 @@\n-where\n+ a b \n")]
+    patches = files.select("doc_id", "path", "patch").unionByName(spark.createDataFrame(odd, "doc_id long, path string, patch string"))
+    rows = diff.with_changes(patches)
+    lines = diff.lines(diff.hunks(patches.select("doc_id", "patch")))
+    kept = {r["doc_id"]: list(r["impacts"]) for r in classify.impacts(lines).collect()}
+    blank = {r["doc_id"] for r in diff.whitespace_only(lines).collect()}
+    counts = {r["doc_id"]: (r["added"], r["removed"]) for r in diff.changed_counts(lines).collect()}
+    texts = {r["doc_id"]: r["diff_text"] for r in classify.diff_text(diff.hunks(patches.select("doc_id", "patch"))).collect()}
+    found = rows.select("doc_id", "blank_only", F.size("added").alias("a"), F.size("removed").alias("r"), classify.impacts_of(F.col("added"), F.col("removed")).alias("i"), F.lower(F.array_join("hunk_texts", "\n")).alias("t")).collect()
+    for r in found:
+        d = r["doc_id"]
+        assert list(r["i"]) == kept.get(d, []) and r["blank_only"] == (d in blank) and (r["a"], r["r"]) == counts.get(d, (0, 0)) and r["t"] == texts.get(d, ""), d
