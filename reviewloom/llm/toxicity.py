@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +33,30 @@ LEET = {
 SIGN_COST, DROP_COST, REPEAT_COST, DOUBLE_COST, GAP_COST, SPACED_COST, LITERAL_COST = 1.0, 3.0, 0.7, 5.0, 5.0, 1.0, 3.8
 
 DOUBLED = re.compile(r"(.)\1")
+#: Words as they are, with signs behind them that mean no letter.
+PLAIN = re.compile(r"([^\W\d_]+)[.,;:?!]*")
 EDGES = ".,;:?!\"'()[]{}<>*#%&$|~^`_-+=/\\«»¿¡…–—"
 #: Edges of tokens without a letter, whose signs may be letters.
 BARE_EDGES = ".,;:?\"'()[]{}<>%~^`_-=/\\«»¿…–—"
 MEMO_SIZE = 300_000
+#: Rows of a block of the curvature.
+DOCS_PER_BLOCK = 512
+
+
+class _Folded(dict):
+    """Characters without accents, by their code; each is taken apart once."""
+
+    def __missing__(self, code: int) -> str:
+        made = self[code] = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        return made
+
+
+_FOLDED = _Folded()
 
 
 def fold(text: str) -> str:
     """Letters without their accents."""
-    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return text if text.isascii() else text.translate(_FOLDED)
 
 
 def _code_table() -> np.ndarray:
@@ -87,12 +103,17 @@ def count_grams(docs: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"gram": seen.astype("int32"), "n": total[seen]})
 
-    rows = docs.select("text").mapInPandas(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    # columns of numbers, not rows: the driver holds no object for each gram
+    rows = docs.select("text").mapInPandas(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(LETTERS**ORDER, dtype=np.int64)
-    counts[rows["gram"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    counts[rows["gram"].to_numpy()] = rows["n"].to_numpy()
     return counts
 
 
+#: Ways to drop some of up to three doubles, none first.
+_SUBSETS = [sorted((tuple(k for k in range(n) if bits >> k & 1) for bits in range(1 << n)), key=lambda x: (len(x), x)) for n in range(4)]
+
+
 @dataclass
 class Decoder:
     """Viterbi search over what a token may mean, under the character language model."""
@@ -113,6 +134,10 @@ class Decoder:
         depends on the state alone, so the result is the best of all paths.
         """
         text, costs = fold(token), self.costs
+        if text.isalpha():
+            doubled = [i for i in range(1, len(text)) if text[i] == text[i - 1]]
+            if len(doubled) <= 3:
+                return self._kept_or_dropped(text, doubled)
         bare = not any(c.isalpha() for c in text)
         states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
         for i, c in enumerate(text):
@@ -153,6 +178,28 @@ class Decoder:
             letters.append(letter)
         return "".join(reversed(letters))
 
+    def _kept_or_dropped(self, text: str, doubled: list[int]) -> str:
+        """``decode`` of letters alone, some of them doubled: each double is kept or dropped, so all words are tried."""
+        if not doubled:
+            return text
+        costs, codes = self.costs, [ord(c) - 96 if "a" <= c <= "z" else 27 for c in text]
+        price = {i: REPEAT_COST if text[i - 2 : i - 1] == text[i] or text[i + 1 : i + 2] == text[i] else DOUBLE_COST for i in doubled}
+        best, kept = math.inf, ()
+        for dropped in _SUBSETS[len(doubled)]:
+            out = {doubled[k] for k in dropped}
+            key, cost = 0, 0.0
+            for i, code in enumerate(codes):
+                if i in out:
+                    cost += price[i]
+                else:
+                    at = key * LETTERS + code
+                    cost += costs[at]
+                    key = at % LETTERS**3
+            cost += costs[key * LETTERS]
+            if cost < best:
+                best, kept = cost, out
+        return "".join([c for i, c in enumerate(text) if i not in kept]) if kept else text
+
     def restore(self, token: str) -> str:
         """The word a token means, '' if none: plain words as they are, others decoded."""
         core = token.strip(EDGES)
@@ -205,6 +252,10 @@ def _core(token: str) -> str:
 def _sides(token: str) -> int:
     """Codes of a token's last and first three letters, and whether it is a single one, in one number; -1 if it can't be part of a word."""
     core = _core(token)
+    if len(core) > 2 and core.isascii() and core.isalpha():
+        # most tokens: letters as they are
+        a, b, c, x, y, z = core[-3:].encode() + core[:3].encode()
+        return (((a - 96) * LETTERS + b - 96) * LETTERS + c - 96) * LETTERS**3 * 2 + (((x - 96) * LETTERS + y - 96) * LETTERS + z - 96) * 2
     single = len(core) == 1 and (core.isalnum() or core in LEET)
     if not single and not core.isalpha() and not any(c.isalpha() for c in core):
         return -1
@@ -288,7 +339,18 @@ class ToxicityModel:
     def scorer(self):
         decoder = Decoder(self.logp)
         used = {x.rstrip("24") for x in self.weights}
-        known = Memo(lambda token: tuple(x for word in decoder.words(token) for x in stems_of(word) if x in used))
+
+        def make(token: str) -> tuple[str, ...]:
+            found = PLAIN.fullmatch(token)
+            if not found or not found[1].isalpha():
+                return tuple(x for word in decoder.words(token) for x in stems_of(word) if x in used)
+            # most tokens are letters that mean what they say, but for doubles
+            word = decoder.decode(found[1]) if DOUBLED.search(found[1]) else fold(found[1])
+            return tuple(x for x in stems_of(word) if x in used) if word[:4] in starts else ()
+
+        # what a used stem starts with; a word with another beginning has none of them
+        starts = {x.rstrip("-")[:4] for x in used}
+        known = Memo(make)
 
         def score(text: str | None) -> float:
             found = sorted(features_of(stem_counts(text or "", decoder, known)))
@@ -389,26 +451,39 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "hits": found})
 
     # 2 * per_class rows at most, each with the few features it has
-    rows = sample.mapInPandas(hits, "doc_id long, toxic int, hits array<int>").toPandas().sort_values("doc_id", kind="stable")
-    y = rows["toxic"].to_numpy(dtype=np.float64)
-    doc = np.repeat(np.arange(len(rows)), [len(h) for h in rows["hits"]])
-    feature = np.concatenate([np.asarray(h, dtype=np.int64) for h in rows["hits"]]) if len(rows) else np.empty(0, dtype=np.int64)
+    rows = sample.mapInPandas(hits, "doc_id long, toxic int, hits array<int>").toArrow().combine_chunks()
+    shared.destroy()
+    order = pc.sort_indices(rows["doc_id"])
+    found, y = rows["hits"].take(order).combine_chunks(), rows["toxic"].take(order).to_numpy().astype(np.float64)
+    doc = np.repeat(np.arange(len(found)), np.asarray(pc.list_value_length(found), dtype=np.int64))
+    feature = np.asarray(pc.list_flatten(found), dtype=np.int64)
     weight, bias = _fit_logistic(doc, feature, y, len(names))
     bias += prior - float(np.log(n_toxic / n_clean))  # the sample has its own share of toxic documents
     return ToxicityModel(logp, dict(zip(names, weight.tolist(), strict=True)), bias)
 
 
 def _fit_logistic(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, n_features: int, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression on features' presence, by Newton's method."""
-    x = np.zeros((len(y), n_features + 1), dtype=np.float32)
-    x[doc, feature] = 1
-    x[:, -1] = 1
+    """L2-regularised logistic regression on features' presence, by Newton's method.
+
+    ``doc`` and ``feature`` name the features of each document, in the order of documents. The curvature is summed over blocks of
+    documents, so no matrix of all of them is held."""
     weight, ridge = np.zeros(n_features + 1), np.append(np.full(n_features, 0.1), 1e-6)
+    starts = np.searchsorted(doc, np.arange(0, len(y) + DOCS_PER_BLOCK, DOCS_PER_BLOCK))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ weight, -30, 30)))
-        slope = x.T @ (p - y) + ridge * weight
-        curve = (x * (p * (1 - p) + 1e-9)[:, None].astype(np.float32)).T @ x
-        step = np.linalg.solve(curve.astype(np.float64) + np.diag(ridge), slope)
+        z = weight[-1] + np.bincount(doc, weights=weight[feature], minlength=len(y))
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        slope = np.append(np.bincount(feature, weights=(p - y)[doc], minlength=n_features), (p - y).sum()) + ridge * weight
+        curve = np.diag(ridge)
+        spread = np.sqrt(p * (1 - p) + 1e-9).astype(np.float32)
+        for at, (low, high) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+            first = at * DOCS_PER_BLOCK
+            size = min(DOCS_PER_BLOCK, len(y) - first)
+            x = np.zeros((size, n_features + 1), dtype=np.float32)
+            x[doc[low:high] - first, feature[low:high]] = 1
+            x[:, -1] = 1
+            x *= spread[first : first + size, None]
+            curve += x.T @ x
+        step = np.linalg.solve(curve, slope)
         weight -= step
         if np.abs(step).max() < 1e-6:
             break
