@@ -48,21 +48,26 @@ def related_pairs(files: DataFrame, by: str = "cr_id", key: str = "doc_id") -> D
 def components(pairs: DataFrame) -> DataFrame:
     """node, label: the smallest node that each is linked with, over ``pairs`` (a, b).
 
-    Labels sink along links and through the labels themselves, so chains halve each round;
-    each round is written to the checkpoint folder.
+    Links turn into stars, by turns: a large step hangs a node's larger neighbours on the smallest it knows, a small
+    step its smaller ones. The smallest is found by a minimum, summed up in each task's share first, and joined to links by
+    the node that knows it, so that no label of a large component gathers rows. Each round is written to the checkpoint
+    folder; rounds are as many as the logarithm of the largest component, about.
     """
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut(both)
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    links = cut(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    known = None
     while True:
-        met = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("met"))
-        low = labels.join(met, "node").select("node", F.least("label", "met").alias("label"), F.col("label").alias("old"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        new = cut(low.join(up, "label", "left").select("node", F.least("label", F.coalesce("above", "label")).alias("label"), "old"))
-        moved = new.filter("label <> old").limit(1).count()
-        labels = new.select("node", "label")
-        if not moved:
-            return labels
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+        large = both.filter("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
+        lowest = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = large.join(lowest, "a").select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct(F.col("a"), F.col("low").alias("b"))))).filter("a <> b")
+        links = cut(small.distinct())
+        told = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        if told == known:
+            break
+        known = told
+    stars = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct())
 
 
 def shared_items(sets: DataFrame, by: str, limit: int = MAX_SHARED) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions import text
 from reviewloom.operators import bodies, comments, hosts, texts
-from reviewloom.sources import bridge
+from reviewloom.plans.oracles import COMMENTS, NOTES, _with
+from reviewloom.sources import bridge, writers
 
 #: What a bridge record says of an order: host by its key, some fields missing.
 _GITHUB = """to_json(named_struct('id', o_orderkey * 10, 'number', o_orderkey, 'title', concat('T', o_orderkey), 'body', if(o_orderkey % 3 = 0, null, 'text'),
@@ -214,10 +215,19 @@ def normalized_bodies(spark, sf):
     return rows.select("doc_id", made.alias("body"), bodies.looks_like_code(F.col("body")).alias("code"), F.length(bodies.with_usage(F.lit("b"), usage)).alias("with_usage"))
 
 
+def comment_sync(spark, sf):
+    """What a writer is told: old comments of ours to delete or to mark, new ones to post."""
+    new = bridge.review_comments(spark, sf).select(F.concat(F.lit("r"), "cr_id").alias("resource"), "path", "line", "side", "body")
+    notes = bridge.discussion_notes(spark, sf).withColumn("resource", F.concat(F.lit("r"), F.col("discussion_id") % 100))
+    users = bridge.read(spark, sf, "region").filter("r_regionkey = 0").select(F.lit("review-bot").alias("login"))
+    actions = writers.sync_actions(new, notes, users)
+    return actions.select("resource", "action", "note_id", "path", "line", "side", F.md5(F.col("body").cast("binary")).alias("body_md5"), "key")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
         request_metadata, commit_metadata, file_entries, compared_files, changed_paths, comment_positions, commit_states, request_checks, result_texts,
-        notifications, response_payloads, event_envelopes, heartbeat_messages, contract_texts, normalized_bodies,
+        notifications, response_payloads, event_envelopes, heartbeat_messages, contract_texts, normalized_bodies, comment_sync,
     )
     return {f.__name__: f for f in listed}
 
@@ -239,7 +249,19 @@ _SHOWN = """shown as (select user_id as cr_id, event_id as ord, 'src/f' || (even
 
 
 def oracle_sql() -> dict[str, str]:
+    outdated = "m || chr(10) || '<!-- ai-review-outdated:mr -->' || chr(10) || '> outdated by a newer review' || chr(10) || chr(10) || regexp_replace(case when contains(b, m) then substr(b, 1, instr(b, m) - 1) || substr(b, instr(b, m) + length(m)) else b end, '^\\s+|\\s+$', '', 'g')"
+    key = lambda *parts: "substr(sha256(" + " || chr(1) || ".join(f"cast({x} as varchar)" for x in parts) + "), 1, 24)"
     return {
+        "comment_sync": _with(
+            NOTES, COMMENTS,
+            "bare as (select 'r' || (discussion_id % 100) as resource, *, regexp_replace(body, '^\\s+|\\s+$', '', 'g') as b, '<!-- ai-review:mr -->' as m from notes where not is_system)",
+            "shown as (select *, (contains(b, m) or starts_with(b, 'Token 消耗:') or starts_with(b, '💡 **[')) and author = 'review-bot' as ours from bare)",
+            "totals as (select resource, discussion_id, count(*) as n, count(*) filter (where ours) as o from shown group by all having count(*) filter (where ours) > 0)",
+            f"""old as (select resource, case when n = o then 'delete' when not contains(body, '<!-- ai-review-outdated:mr -->') then 'outdate' end as action, cast(note_id as varchar) as note_id, {outdated} as made
+              from shown join totals using (resource, discussion_id) where ours)""",
+            select=f"""select resource, action, note_id, null as path, cast(null as int) as line, null as side, case when action = 'outdate' then md5(made) end as body_md5, {key("action", "resource", "note_id")} as key from old where action is not null
+            union all select distinct 'r' || cr_id, 'post', null, path, cast(line as int), side, md5('<!-- ai-review:mr -->' || chr(10) || body), {key("'r' || cr_id", "path", "line", "side", "body")} from comments""",
+        ),
         "request_metadata": """select o_orderkey, cast(o_orderkey * 10 as varchar) as id, o_orderkey as number, 'T' || o_orderkey as title, case when o_orderkey % 3 = 0 then '' else 'text' end as description,
             'https://h/' || o_orderkey as url, 'b' || (o_orderkey % 7) as source_branch,
             case when o_orderkey % 2 = 0 or o_orderkey % 9 <> 0 then 'h' || o_orderkey when o_orderkey % 7 = 0 then 'vh' || o_orderkey else 'd' || o_orderkey end as head_sha, 'main' as target_branch,

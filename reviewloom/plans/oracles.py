@@ -116,7 +116,7 @@ NOTES = """notes as (
   select conv_id as discussion_id, conv_id * 1000 + turn as note_id, role = 'system' as is_system, case when role = 'assistant' then 'review-bot' else 'dev' end as author,
     case when role = 'assistant' then '<!-- ai-review:mr -->' || chr(10) else '' end
       || case when role = 'assistant' and turn % 6 = 1 then '<!-- ai-review-outdated:mr -->' || chr(10) else '' end || coalesce(text, '') as body
-  from conversations where not (conv_id % 4 = 0 and role = 'user') and not (conv_id % 4 <> 0 and conv_id % 5 = 0 and role = 'assistant'))"""
+  from (select * replace (case when conv_id % 4 = 0 and role = 'user' then 'assistant' when conv_id % 4 <> 0 and conv_id % 5 = 0 and role = 'assistant' then 'user' else role end as role) from conversations))"""
 
 CONTRACTS = """imports as (
   select case when o_custkey % 3 = 0 then 'u' else 'm' end || (o_custkey // 6) as importer, 'm' || (o_orderkey // 60) as module, case when o_orderkey % 9 = 0 then null else 'f' || (o_orderkey % 8) end as symbol,
@@ -275,7 +275,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "import_resolution": _with(
             CONTRACTS, "paths as (select distinct 'm' || p_partkey || (['.ts', '.js', '/index.ts', '.tsx'])[p_partkey % 4 + 1] as path from part)",
-            "options as (select distinct importer, module, r as rank, module || (['', '.ts', '.tsx', '.js', '/index.ts'])[r + 1] as path from imports, range(5) as t(r))",
+            f"options as (select distinct importer, module, r as rank, module || ({_list(values.ENDINGS)})[r + 1] as path from imports, range({len(values.ENDINGS)}) as t(r))",
             select="select importer, module, arg_min(path, rank) as path, cast(min(rank) as int) as rank from options where path in (select path from paths) group by importer, module",
         ),
         "json_recovery": "select doc_id as payload_id, doc_id % 7 <> 4 as recovered from documents",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.operators import classify, clusters, comments, contracts, diff, filters, payloads, segments, symbols
+from reviewloom.operators import classify, clusters, comments, contracts, diff, filters, modules, payloads, segments, symbols
 from reviewloom.sources import bridge
 from reviewloom.streaming import progress
 
@@ -267,7 +267,7 @@ def reexport_closure(spark, sf):
 
 def import_resolution(spark, sf):
     rows = bridge.import_edges(spark, sf)
-    options = F.array(*[F.struct(F.lit(i).alias("rank"), F.concat("module", F.lit(e)).alias("path")) for i, e in enumerate(("", ".ts", ".tsx", ".js", "/index.ts"))])
+    options = F.array(*[F.struct(F.lit(i).alias("rank"), F.concat("module", F.lit(e)).alias("path")) for i, e in enumerate(modules.ENDINGS)])
     candidates = rows.select("importer", "module", F.explode(options).alias("o")).select("importer", "module", "o.rank", "o.path").distinct()
     files = bridge.read(spark, sf, "part").select(F.expr("concat('m', p_partkey, case p_partkey % 4 when 0 then '.ts' when 1 then '.js' when 2 then '/index.ts' else '.tsx' end)").alias("path"))
     return contracts.first_existing(candidates, files, ["importer", "module"])

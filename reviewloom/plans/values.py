@@ -140,3 +140,7 @@ IMPACT_TEXTS = (
     ("query_scope", "本次改动删除了查询过滤条件或范围约束，建议确认不会放宽数据读取范围。"),
     ("guard", "本次改动删除了防御性分支或提前返回逻辑，建议确认异常路径和边界条件仍被覆盖。"),
 )
+ENDINGS = (
+    "", ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".d.ts",
+    "/index.ts", "/index.tsx", "/index.mts", "/index.cts", "/index.js", "/index.jsx", "/index.mjs", "/index.cjs", "/index.d.ts",
+)

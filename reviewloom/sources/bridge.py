@@ -150,18 +150,22 @@ def head_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def discussion_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """discussion_id, note_id, is_system, body, author: some discussions AI-only, some without AI."""
-    rows = read(spark, sf_dir, "conversations")
-    kept = rows.filter("not (conv_id % 4 = 0 and role = 'user') and not (conv_id % 4 <> 0 and conv_id % 5 = 0 and role = 'assistant')")
-    return kept.select(
-        F.col("conv_id").alias("discussion_id"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("note_id"),
-        (F.col("role") == "system").alias("is_system"),
-        F.expr(
-            """concat(if(role = 'assistant', '<!-- ai-review:mr -->\\n', ''),
-                      if(role = 'assistant' and turn % 6 = 1, '<!-- ai-review-outdated:mr -->\\n', ''), coalesce(text, ''))"""
-        ).alias("body"),
-        F.expr("if(role = 'assistant', 'review-bot', 'dev')").alias("author"),
+    """discussion_id, note_id, is_system, body, author: a note for each turn; some discussions are all ours, some
+    hold none of ours, by whom a turn is taken to be of."""
+    role = F.expr("case when conv_id % 4 = 0 and role = 'user' then 'assistant' when conv_id % 4 <> 0 and conv_id % 5 = 0 and role = 'assistant' then 'user' else role end")
+    return (
+        read(spark, sf_dir, "conversations")
+        .withColumn("role", role)
+        .select(
+            F.col("conv_id").alias("discussion_id"),
+            (F.col("conv_id") * 1000 + F.col("turn")).alias("note_id"),
+            (F.col("role") == "system").alias("is_system"),
+            F.expr(
+                """concat(if(role = 'assistant', '<!-- ai-review:mr -->\\n', ''),
+                          if(role = 'assistant' and turn % 6 = 1, '<!-- ai-review-outdated:mr -->\\n', ''), coalesce(text, ''))"""
+            ).alias("body"),
+            F.expr("if(role = 'assistant', 'review-bot', 'dev')").alias("author"),
+        )
     )
 
 

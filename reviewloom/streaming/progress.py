@@ -15,7 +15,7 @@ STAGES = (
     "review_started", "file_review_started", "agent_review_started", "agent_review_completed", "agent_review_failed",
     "file_review_completed", "file_review_failed", "posting_comments", "comments_posted", "completed", "failed",
 )
-LOGS_KEPT, EVENTS_KEPT = 4, 60
+EVENTS_KEPT = 60
 
 
 def percent(current: Column, total: Column) -> Column:
@@ -74,15 +74,6 @@ def latest_heads(tasks: DataFrame, key: str = "change_key") -> DataFrame:
     return tasks.groupBy(key, "busy").agg(F.max_by("head", "arrival").alias("head"), F.count("*").alias("merged"))
 
 
-def stream_totals(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Agents' running totals of a stream of events, late ones within the watermark included."""
-    return (
-        events.withWatermark("ts", watermark)
-        .groupBy(F.window("ts", "1 day"), "request_id", "agent_id")
-        .agg(F.count_if(F.col("stage") == "agent_review_completed").alias("completed_segments"), F.sum("tokens").alias("tokens"))
-    )
-
-
 def stream_carried(events: DataFrame) -> DataFrame:
     """``carried`` for a stream: the last said number of completed files is each request's state."""
 
