@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.operators.diff import trimmed
 
+# Fixed value: the line of tokens that bodies begin with.
 TOKEN_PREFIX = r"^Token 消耗:[^\n]*\n\n"
 MARKER, OUTDATED_MARKER = "<!-- ai-review:mr -->", "<!-- ai-review-outdated:mr -->"
 OUTDATED_NOTE = "> outdated by a newer review"
@@ -40,6 +41,7 @@ def http_status(errors: Column, result: Column) -> Column:
     return F.when(errors > 0, 500).when(result == "failure", 409).otherwise(200)
 
 
+# Titles of completed reviews.
 def completion_title(result: Column, comments: Column, errors: Column) -> Column:
     return (
         F.when(errors > 0, "AI Review completed with errors")

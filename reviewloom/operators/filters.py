@@ -55,6 +55,7 @@ DEPLOYMENT = (
 )
 # Paths that raise the risk.
 HIGH_RISK = ("src/auth/", "src/security/", "src/config/", "[.]env")
+# Endings of scripts.
 SCRIPT_ENDINGS = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
 # Words that switch a flag on.
 TRUTHY = ("1", "true", "yes", "on", "ndjson")
@@ -113,6 +114,7 @@ def is_code_change(action: Column, old_revision: Column, last_commit: Column) ->
     return action.isin("open", "reopen") | ((action == "update") & (given(old_revision) | given(last_commit)))
 
 
+# How our older comments begin.
 LEGACY_BEGINNINGS = ("Token 消耗:", "💡 **[")
 
 

@@ -187,6 +187,7 @@ def encoded_path(path: Column) -> Column:
     return F.array_join(F.transform(F.split(path, "/"), lambda x: F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))), "/")
 
 
+# Messages on requests that can't be served.
 def request_errors(kind: Column, number: Column, project: Column, branch: Column, head: Column) -> Column:
     """What is wrong with a request for a review: null if nothing is. A number makes it a merge request's."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""

@@ -19,24 +19,27 @@ def is_json(text: Column) -> Column:
 
 
 def top_level_objects(text: Column) -> Column:
-    """The outermost {...} of a text, braces in JSON strings left out; one fold over its characters."""
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit("").alias("open"), F.expr("cast(array() as array<string>)").alias("found"))
+    """The outermost {...} of a text, braces in JSON strings left out; one fold over its characters, which keeps
+    places, not texts, so it is linear."""
+    start = F.expr("named_struct('at', 0, 'depth', 0, 'quoted', false, 'escaped', false, 'begun', 0, 'found', cast(array() as array<struct<first:int,last:int>>))")
 
     def step(s: Column, c: Column) -> Column:
         plain = ~s["escaped"] & ~s["quoted"]
         deeper, back = plain & (c == "{"), plain & (c == "}") & (s["depth"] > 0)
-        depth = s["depth"] + deeper.cast("int") - back.cast("int")
-        grown = F.when((s["depth"] > 0) | deeper, F.concat(s["open"], c)).otherwise("")
-        ended = back & (depth == 0)
+        at, depth = s["at"] + 1, s["depth"] + deeper.cast("int") - back.cast("int")
+        begun = F.when(deeper & (s["depth"] == 0), at).otherwise(s["begun"])
+        ended = F.array(F.struct(begun.alias("first"), at.alias("last")))
         return F.struct(
+            at.alias("at"),
             depth.alias("depth"),
             F.when(s["escaped"], s["quoted"]).otherwise(s["quoted"] != (c == '"')).alias("quoted"),
             (~s["escaped"] & (c == "\\")).alias("escaped"),
-            F.when(ended, F.lit("")).otherwise(grown).alias("open"),
-            F.when(ended, F.concat(s["found"], F.array(grown))).otherwise(s["found"]).alias("found"),
+            begun.alias("begun"),
+            F.when(back & (depth == 0), F.concat(s["found"], ended)).otherwise(s["found"]).alias("found"),
         )
 
-    return F.aggregate(F.split(text, ""), start, step, lambda s: s["found"])
+    places = F.aggregate(F.split(text, ""), start, step, lambda s: s["found"])
+    return F.transform(places, lambda p: F.substr(text, p["first"], p["last"] - p["first"] + 1))
 
 
 def recovered_json(content: Column) -> Column:

@@ -121,6 +121,7 @@ def failure_notification(request: Column, host: Column, project: Column, kind: C
     return say("AI Review FAILED - {}", project), lines
 
 
+# Fixed value: what an address begins with.
 def webhook_address(raw: Column) -> Column:
     """The trimmed address; null if there is none, or if it isn't http or https."""
     address = F.nullif(F.trim(raw), F.lit(""))
