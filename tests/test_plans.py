@@ -4,10 +4,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from reviewloom.plans import codebase, context, hosts, oracles, review, sources, streams
+from reviewloom.plans import codebase, context, hosts, oracles, review, run, sources, streams
 
-PLANS = {**review.queries(), **context.queries(), **hosts.queries(), **codebase.queries(), **sources.queries(), **streams.queries()}
-SQL = {**oracles.oracle_sql(), **context.oracle_sql(), **hosts.oracle_sql(), **codebase.oracle_sql(), **sources.oracle_sql(), **streams.oracle_sql()}
+PLANS = {**review.queries(), **context.queries(), **hosts.queries(), **codebase.queries(), **sources.queries(), **streams.queries(), **run.queries()}
+SQL = {**oracles.oracle_sql(), **context.oracle_sql(), **hosts.oracle_sql(), **codebase.oracle_sql(), **sources.oracle_sql(), **streams.oracle_sql(), **run.oracle_sql()}
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
