@@ -30,6 +30,7 @@ def integer_vectors(vectors: DataFrame, scale: int) -> DataFrame:
 def component_cells(rows: DataFrame) -> DataFrame:
     """d, low, width: of each number of components the smallest value and the width of a cell in
     each, so that CELLS cells hold all values. A row for each length of vectors."""
+    lengths = rows.select("d").distinct()
     ends = (
         rows.select("d", F.posexplode("v").alias("at", "x"))
         .groupBy("d", "at")
@@ -37,7 +38,9 @@ def component_cells(rows: DataFrame) -> DataFrame:
         .groupBy("d")
         .agg(F.array_sort(F.collect_list(F.struct("at", "low", "top"))).alias("e"))
     )
-    return ends.select(F.col("d"), F.col("e.low").alias("low"), F.transform("e", lambda x: F.ceil((x["top"] - x["low"] + 1) / CELLS).cast("long")).alias("width"))
+    found = ends.select(F.col("d"), F.col("e.low").alias("low"), F.transform("e", lambda x: F.ceil((x["top"] - x["low"] + 1) / CELLS).cast("long")).alias("width"))
+    none = F.expr("cast(array() as array<long>)")
+    return lengths.join(found, "d", "left").select("d", F.coalesce("low", none).alias("low"), F.coalesce("width", none).alias("width"))
 
 
 def _matrix(rows: pd.Series, kind: type) -> np.ndarray:
@@ -75,7 +78,8 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 25
     them, as each one's bound reaches the kth. A task's memory stays the same at any size, and only the number of pairs of blocks grows.
 
     Ties go to the smaller vec_id. Vectors that are null or hold null, NaN or an infinity take
-    no part, nor rows without vec_id; vectors meet those of their own length only. A component
+    no part, nor rows without vec_id; vectors meet those of their own length only, empty ones too, whose products are
+    0. A component
     beyond 2^53 after scaling counts as 2^53; scores are ranked as whole numbers of any size,
     and one beyond 64 bits is shown as the last that 64 bits hold. A query's own row is every
     row of its vec_id; repeated candidates count each, repeated queries once. Empty tables and

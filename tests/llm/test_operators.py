@@ -129,6 +129,13 @@ def test_topk_with_few_vectors(spark):
     assert topk_search.exact_topk(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_of_empty_vectors(spark):
+    """Vectors without components meet each other; their products are 0."""
+    rows = [(0, []), (1, []), (50, []), (2, [1.0]), (100, [2.0]), (3, None)]
+    found = topk_search.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    assert sorted(map(tuple, found)) == [(0, 1, 1, 0), (0, 2, 50, 0), (50, 1, 0, 0), (50, 2, 1, 0), (100, 1, 2, 2 * 256 * 256)]
+
+
 def test_suffix_dedup(docs, texts):
     rows = by_id(suffix_dedup.remove_repeats(docs))
     for i, gone in brute.repeats(texts).items():
