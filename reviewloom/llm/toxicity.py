@@ -39,6 +39,8 @@ EDGES = ".,;:?!\"'()[]{}<>*#%&$|~^`_-+=/\\«»¿¡…–—"
 #: Edges of tokens without a letter, whose signs may be letters.
 BARE_EDGES = ".,;:?\"'()[]{}<>%~^`_-=/\\«»¿…–—"
 MEMO_SIZE = 300_000
+#: Tokens that a task which scores remembers, and those of the text at hand.
+SCORED_TOKENS = 200_000
 #: Rows of a block of the curvature.
 DOCS_PER_BLOCK = 512
 
@@ -308,12 +310,12 @@ def stem_counts(text: str, decoder: Decoder, stems: Memo) -> Counter[str]:
 class Memo(dict):
     """token -> value, forgotten when large; so memory is bounded on any input."""
 
-    def __init__(self, make):
+    def __init__(self, make, size: int | None = MEMO_SIZE):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, size
 
     def __missing__(self, token):
-        if len(self) >= MEMO_SIZE:
+        if self.most is not None and len(self) >= self.most:
             self.clear()
         value = self[token] = self.make(token)
         return value
@@ -350,10 +352,36 @@ class ToxicityModel:
 
         # what a used stem starts with; a word with another beginning has none of them
         starts = {x.rstrip("-")[:4] for x in used}
-        known = Memo(make)
+        # one memory of tokens for their sides; the few with used stems are kept beside it
+        stems: dict[str, tuple[str, ...]] = {}
+
+        def both(token: str) -> int:
+            if made := make(token):
+                stems[token] = made
+            return _sides(token)
+
+        decoder.sides, of_runs = Memo(both, None), Memo(make)
+
+        def counts(text: str) -> Counter[str]:
+            tokens = text.lower().split()
+            found, total = Counter(tokens), Counter()
+            # forgotten between texts only, as a text's tokens are asked for again
+            if len(decoder.sides) + len(found) > SCORED_TOKENS:
+                decoder.sides.clear()
+                stems.clear()
+            runs = decoder.runs(tokens)
+            if len(tokens) == 1:
+                decoder.sides[tokens[0]]
+            for token, n in found.items():
+                for x in stems.get(token, ()):
+                    total[x] += n
+            for a, b in runs:
+                for x in of_runs[" ".join(map(_core, tokens[a:b]))]:
+                    total[x] += 1
+            return total
 
         def score(text: str | None) -> float:
-            found = sorted(features_of(stem_counts(text or "", decoder, known)))
+            found = sorted(features_of(counts(text or "")))
             z = self.bias + sum(self.weights.get(x, 0.0) for x in found)
             return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
