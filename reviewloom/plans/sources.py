@@ -661,7 +661,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "source_tokens": _with(
             *_BASE,
-            """told(i, deepest, remarks, strings, regexes) as (values (0, 3, 0, 1, 0), (1, 2, 0, 1, 0), (2, 3, 0, 1, 2), (3, 3, 0, 1, 0), (4, 5, 3, 2, 0), (5, 3, 0, 2, 0), (6, 5, 0, 0, 0), (7, 4, 0, 0, 0), (8, 4, 0, 6, 0), (9, 3, 0, 1, 0))""",
+            """told(i, deepest, remarks, strings, regexes) as (values (0, 3, 0, 1, 0), (1, 2, 0, 1, 0), (2, 3, 0, 1, 2), (3, 3, 0, 1, 0), (4, 5, 3, 3, 0), (5, 3, 0, 2, 0), (6, 5, 0, 0, 0), (7, 4, 0, 0, 0), (8, 4, 0, 6, 0), (9, 3, 0, 1, 0))""",
             select="select doc_id, cast(deepest as bigint) as deepest, cast(remarks as bigint) as remarks, cast(strings as bigint) as strings, cast(regexes as bigint) as regexes, true as whole from docs join told using (i)",
         ),
         "source_contracts": _with(*_BASE, select=contract),
