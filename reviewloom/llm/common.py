@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +32,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of what earlier steps left: Spark removes shuffles, broadcasts and, where it is told to clean them,
+    checkpoints once nothing names them, which the driver finds out when it collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def return_memory() -> None:
+    """Returns the memory that this worker has freed, as it goes on to other tasks and keeps it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def give_back(batches: Iterator) -> Iterator:
+    """``batches`` of a task, after whose last one its worker's freed memory is returned."""
+    yield from batches
+    return_memory()
+
+
 def unlike(df: DataFrame, *names: str) -> list[str]:
     """``names`` made different from all columns of ``df``, whatever the case."""
     taken = {c.lower() for c in df.columns}

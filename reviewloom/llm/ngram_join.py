@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import checkpointed, dealing_slots
+from reviewloom.llm.common import checkpointed, dealing_slots, give_back, return_memory
 from reviewloom.llm.components import connected_components
 from reviewloom.llm.shingles import BLOCK, dealt, mixed, posting_blocks, read_blocks, set_key, shingle_set
 
@@ -88,7 +88,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
             nodes = pa.array([set_key(x) if len(x) else None for x in found], type=pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, nodes], names=["doc_id", "n_shingles", "node"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "doc_id long, n_shingles long, node long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: give_back(sets(batches)), "doc_id long, n_shingles long, node long")
 
 
 def shared_tokens(docs: DataFrame, slots: int) -> DataFrame:
@@ -132,6 +132,7 @@ def shared_tokens(docs: DataFrame, slots: int) -> DataFrame:
             yield from block()
 
     def shared(rows: pd.DataFrame) -> pd.DataFrame:
+        return_memory()  # of the slot before
         owner, size, token, _ = read_blocks(rows)
         order = np.lexsort((owner, token))
         owner, size, token = owner[order], size[order], token[order]
@@ -149,7 +150,7 @@ def shared_tokens(docs: DataFrame, slots: int) -> DataFrame:
         slot = np.repeat((mixed(owners.view(np.uint64)) % np.uint64(slots)).astype(np.int64), counts)
         return posting_blocks(owners, size[at], counts, token, slot, frequency)
 
-    blocks = docs.select("text").mapInPandas(postings, BLOCK)
+    blocks = docs.select("text").mapInPandas(lambda batches: give_back(postings(batches)), BLOCK)
     return dealt(blocks, slots).groupBy("slot").applyInPandas(shared, BLOCK)
 
 
@@ -157,6 +158,7 @@ def indexed_sets(docs: DataFrame, slots: int) -> DataFrame:
     """node, size, tokens (those that other sets have), signatures, of the sets that may link."""
 
     def index(rows: pd.DataFrame) -> pd.DataFrame:
+        return_memory()
         owner, size, token, frequency = read_blocks(rows)
         order = np.argsort(owner, kind="stable")
         owner, size, token, frequency = owner[order], size[order], token[order], frequency[order]
@@ -291,7 +293,7 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), nodes], names=["row", "node"])
 
     whole = docs.select(F.struct("*").alias("row"), "text")
-    rows = whole.mapInArrow(with_node, whole.select("row", F.lit(None).cast("long").alias("node")).schema)
+    rows = whole.mapInArrow(lambda batches: give_back(with_node(batches)), whole.select("row", F.lit(None).cast("long").alias("node")).schema)
     # null fields of structs are equal; a row without a set has a number of its own
     alone = F.when(F.col("node").isNull(), F.monotonically_increasing_id())
     rows = rows.withColumn("key", F.struct(F.col("row.doc_id").cast("long").alias("doc_id"), "node", alone.alias("alone")))

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import checkpointed
+from reviewloom.llm.common import checkpointed, give_back
 
 #: Documents of each class that the classifier is fitted on, at most.
 SAMPLE_PER_CLASS = 4000
@@ -41,6 +41,8 @@ BARE_EDGES = ".,;:?\"'()[]{}<>%~^`_-=/\\«»¿…–—"
 MEMO_SIZE = 300_000
 #: Tokens that a task which scores remembers, and those of the text at hand.
 SCORED_TOKENS = 200_000
+#: Partitions of the sample, which has a set size, and of its features.
+SAMPLE_PARTS = 16
 #: Rows of a block of the curvature.
 DOCS_PER_BLOCK = 512
 
@@ -106,7 +108,7 @@ def count_grams(docs: DataFrame) -> np.ndarray:
         yield pd.DataFrame({"gram": seen.astype("int32"), "n": total[seen]})
 
     # columns of numbers, not rows: the driver holds no object for each gram
-    rows = docs.select("text").mapInPandas(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select("text").mapInPandas(lambda batches: give_back(count(batches)), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(LETTERS**ORDER, dtype=np.int64)
     counts[rows["gram"].to_numpy()] = rows["n"].to_numpy()
     return counts
@@ -401,11 +403,12 @@ def _training_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tupl
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
+    usable = checkpointed(usable)
     share = usable.agg(F.avg("toxic")).first()[0] or 0.0
     first = [usable.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     chosen = F.broadcast(first[0].unionByName(first[1]))  # 2 * per_class rows at most
     rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id")
-    return checkpointed(rows), share
+    return checkpointed(rows.repartition(SAMPLE_PARTS)), share
 
 
 def _g_statistic(t: np.ndarray, c: np.ndarray, n_t: int, n_c: int) -> np.ndarray:
@@ -435,8 +438,8 @@ def _choose_features(sample: DataFrame, logp, n_toxic: int, n_clean: int) -> lis
             part = slice(at, at + 20_000)
             yield pd.DataFrame({"feature": names[part], "t": counts[part, 1], "c": counts[part, 0]}).astype({"feature": object})
 
-    counted = sample.mapInPandas(count, "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    counted = checkpointed(counted.filter("t + c >= 3"))
+    counted = sample.mapInPandas(lambda batches: give_back(count(batches)), "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counted = checkpointed(counted.filter("t + c >= 3").coalesce(SAMPLE_PARTS))
     tested = counted.count()
     # a shortlist by ratio, before the statistic; the driver gets a bounded number of rows
     rare = (
@@ -479,7 +482,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "hits": found})
 
     # 2 * per_class rows at most, each with the few features it has
-    rows = sample.mapInPandas(hits, "doc_id long, toxic int, hits array<int>").toArrow().combine_chunks()
+    rows = sample.mapInPandas(lambda batches: give_back(hits(batches)), "doc_id long, toxic int, hits array<int>").toArrow().combine_chunks()
     shared.destroy()
     order = pc.sort_indices(rows["doc_id"])
     found, y = rows["hits"].take(order).combine_chunks(), rows["toxic"].take(order).to_numpy().astype(np.float64)
@@ -533,7 +536,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             scores = pa.array([of(x) for x in batch.column("text").to_pylist()], type=pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), scores], names=["doc_id", "held_out", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(score, "doc_id long, held_out boolean, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(lambda batches: give_back(score(batches)), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -546,4 +549,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([of(x) < 0.5 for x in batch.column("text").to_pylist()], type=pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lambda batches: give_back(keep(batches)), docs.schema)
