@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,6 +180,8 @@ def namespace_members(expressions: DataFrame, bindings: DataFrame, key: str = "p
 
 
 BINDING = "local string, symbol string, module string, namespace boolean, member string, line long, ord long"
+BINDING_TYPES = {"local": pa.string(), "symbol": pa.string(), "module": pa.string(), "namespace": pa.bool_(), "member": pa.string(), "line": pa.int64(), "ord": pa.int64()}
+COLUMNS = ["local", "symbol", "module", "namespace", "member", "line"]
 
 
 def _meant(expression: str, known: list[tuple], by_name: dict[str, int], wholes: dict[str, int]) -> tuple[str, str | None] | None:
@@ -230,23 +236,33 @@ def binding_aliases(bindings: DataFrame, assignments: DataFrame, key: str = "pat
     """``bindings`` and the local names that a file's assignments give to them, in the order of its statements, in two rounds.
 
     bindings: key, local, symbol, module, namespace, member, line, ord; assignments: key, name, member
-    (of an object literal, or null), expression, line, ord. One fold a file; files spread over tasks.
+    (of an object literal, or null), expression, line, ord. One fold a file, whose rows are listed in one; files spread over
+    tasks and reach Python by batches, so that small files cost no call each.
     """
-    columns = ["local", "symbol", "module", "namespace", "member", "line"]
-    given = bindings.select(key, *columns, "ord", F.lit(None).cast("string").alias("expression"))
+    given = bindings.select(key, *COLUMNS, "ord", F.lit(None).cast("string").alias("expression"))
     named = assignments.select(
         key, F.col("name").alias("local"), F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("string").alias("module"), F.lit(None).cast("boolean").alias("namespace"), "member", "line", "ord", "expression"
     )
     kind = bindings.schema[key].dataType.simpleString()
-
-    def follow(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord", kind="stable").astype(object)
-        rows = rows.where(rows.notna(), None)
-        is_binding = rows["expression"].isna()
-        found = aliases_in_order(list(rows.loc[is_binding, columns].itertuples(index=False, name=None)), list(rows.loc[~is_binding, ["local", "member", "expression", "line"]].itertuples(index=False, name=None)), rounds)
-        out = pd.DataFrame(found, columns=columns)
-        out["ord"] = range(len(out))
-        out.insert(0, key, [rows[key].iloc[0]] * len(out))
-        return out
-
-    return given.unionByName(named).groupBy(key).applyInPandas(follow, f"{key} {kind}, {BINDING}")
+    listed = given.unionByName(named).groupBy(key).agg(F.collect_list(F.struct(*COLUMNS, "ord", "expression")).alias("rows"))
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            rows = list(zip(*[c.to_pylist() for c in lists.flatten().flatten()], strict=True))
+            at, made = [], []
+            for i, (n, size) in enumerate(zip(_starts(lists), pc.list_value_length(lists).to_pylist(), strict=True)):
+                own = sorted(rows[n : n + size], key=lambda r: (r[6] is None, r[6] or 0))
+                found = aliases_in_order([r[:6] for r in own if r[7] is None], [(r[0], r[4], r[7], r[5]) for r in own if r[7] is not None], rounds)
+                at += [i] * len(found)
+                made += [(*b, n) for n, b in enumerate(found)]
+            values = zip(*made, strict=True) if made else [[]] * len(BINDING_TYPES)
+            columns = [pa.array(list(v), t) for v, t in zip(values, BINDING_TYPES.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *columns], [key, *BINDING_TYPES])
+
+    return listed.mapInArrow(follow, f"{key} {kind}, {BINDING}")
+
+
+def _starts(lists: pa.ListArray) -> list[int]:
+    """Where each list starts among the values of all."""
+    return [0, *accumulate(pc.list_value_length(lists).to_pylist())][: len(lists)]
