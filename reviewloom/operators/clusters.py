@@ -21,28 +21,71 @@ def directory(path: Column) -> Column:
     return F.when(found == "", ".").otherwise(found)
 
 
+def file_classes(files: DataFrame, by: str = "cr_id", key: str = "doc_id") -> DataFrame:
+    """by, paths, symbols, dir, members: a request's files that can't be told apart by what relates them.
+
+    Words that one file of a request has alone, and folders that are near none of another's, relate nothing and are left
+    out first, so that numbered files fall into few classes. files: by, key, path, path_tokens, symbols, keys distinct.
+    """
+    tokens = F.concat(*[F.transform(F.coalesce(F.array_distinct(c), F.expr("cast(array() as array<string>)")), lambda x: F.struct(F.lit(of).alias("of"), x.alias("token"))) for c, of in (("path_tokens", "path"), ("symbols", "symbol"))])
+    known = files.filter(F.col(by).isNotNull() & F.col(key).isNotNull()).select(by, key, directory(F.col("path")).alias("dir"), tokens.alias("all"))
+    words = known.select(by, key, F.explode("all").alias("x")).filter("x.token is not null")
+    shared = words.join(words.groupBy(by, "x").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), [by, "x"], "left_semi")
+    listed = shared.groupBy(by, key).agg(*[F.array_sort(F.collect_list(F.when(F.col("x.of") == of, F.col("x.token")))).alias(c) for c, of in (("paths", "path"), ("symbols", "symbol"))])
+    # a folder counts for its own files and for those of the one above
+    both = F.array_distinct(F.array("dir", directory(F.col("dir"))))
+    dirs = known.groupBy(by, "dir").agg(F.count("*").alias("n")).select(by, "dir", "n", F.explode(both).alias("meet"))
+    own = F.sum(F.when(F.col("dir") == F.col("meet"), F.col("n")).otherwise(0)).over(Window.partitionBy(by, "meet"))
+    children = F.sum(F.when(F.col("dir") != F.col("meet"), F.col("n")).otherwise(0)).over(Window.partitionBy(by, "meet"))
+    is_own = F.col("dir") == F.col("meet")
+    near = dirs.withColumns({"own": own, "children": children}).filter((is_own & (F.col("own") + F.col("children") > 1)) | (~is_own & (F.col("own") > 0))).select(by, "dir").distinct()
+    placed = known.select(by, key, "dir").join(near.withColumn("near", F.col("dir")), [by, "dir"], "left").select(by, key, F.col("near").alias("dir"))
+    return listed.join(placed, [by, key]).groupBy(by, "paths", "symbols", "dir").agg(F.array_sort(F.collect_list(key)).alias("members"))
+
+
 def related_pairs(files: DataFrame, by: str = "cr_id", key: str = "doc_id") -> DataFrame:
     """Pairs of a request's files that share two path words, two symbols, or one near each other.
 
-    files: by, key, path, path_tokens, symbols. Pairs come from an inverted index of words
-    within a request, so files that share nothing never meet.
+    files: by, key, path, path_tokens, symbols. Classes of files meet by an inverted index of words within a request, so
+    those that share nothing never do; two that share several are taken at the first that both have. Their members pair off in that row:
+    what is shuffled grows with the files, not with the pairs.
+    """
+    classes = file_classes(files, by, key)
+    words = F.concat(*[F.transform(c, lambda x: F.concat(F.lit(of), x)) for c, of in (("paths", "p:"), ("symbols", "s:"))])
+    laid = classes.withColumns({"first": F.element_at("members", 1), "words": words}).select("*", F.posexplode("words").alias("at", "word")).withColumn("before", F.slice("words", 1, F.col("at"))).drop("words", "at")
+    other = laid.select(by, "word", *[F.col(c).alias(f"{c}_b") for c in ("paths", "symbols", "dir", "members", "first", "before")])
+    met = laid.join(other, [by, "word"]).filter((F.col("first") <= F.col("first_b")) & ~F.arrays_overlap("before", "before_b"))
+    met = met.withColumns({"in_paths": F.array_intersect("paths", "paths_b"), "in_symbols": F.array_intersect("symbols", "symbols_b")})
+    met = met.withColumns({"shared_paths": F.size("in_paths").cast("long"), "shared_symbols": F.size("in_symbols").cast("long")})
+    near = F.coalesce((F.col("dir") == F.col("dir_b")) | (F.col("dir") == directory(F.col("dir_b"))) | (F.col("dir_b") == directory(F.col("dir"))), F.lit(False))
+    kept = met.filter((F.col("shared_symbols") >= 2) | ((F.col("shared_symbols") >= 1) & near) | (F.col("shared_paths") >= 2))
+    is_one = F.col("first") == F.col("first_b")
+    paired = kept.select(by, "shared_paths", "shared_symbols", "members_b", is_one.alias("is_one"), F.explode("members").alias("x")).select("*", F.explode("members_b").alias("y")).filter(~F.col("is_one") | (F.col("x") < F.col("y")))
+    return paired.select(by, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared_paths", "shared_symbols")
+
+
+def related_links(files: DataFrame, by: str = "cr_id", key: str = "doc_id") -> DataFrame:
+    """Links (a, b) that hold the same files together as ``related_pairs``, about as many as there are files.
+
+    Files that share two path words, two symbols, or a symbol and the folder, are all related to each other, so each
+    hangs on the least of them; files of a folder below hang on the least that has the symbol above. Members of a class
+    hang on its own least.
     """
-    facts = files.select(by, key, directory(F.col("path")).alias("dir"))
-    tokens = files.select(by, key, F.explode("path_tokens").alias("token"), F.lit("path").alias("of")).union(
-        files.select(by, key, F.explode("symbols").alias("token"), F.lit("symbol").alias("of"))
-    )
-    other = tokens.select(by, "token", "of", F.col(key).alias("other"))
-    shared = (
-        tokens.join(other, [by, "token", "of"])
-        .filter(F.col(key) < F.col("other"))
-        .groupBy(by, key, "other")
-        .agg(F.count_if(F.col("of") == "path").alias("shared_paths"), F.count_if(F.col("of") == "symbol").alias("shared_symbols"))
-    )
-    here = facts.select(key, F.col("dir").alias("dir_a"))
-    there = facts.select(F.col(key).alias("other"), F.col("dir").alias("dir_b"))
-    near = (F.col("dir_a") == F.col("dir_b")) | (F.col("dir_a") == directory(F.col("dir_b"))) | (F.col("dir_b") == directory(F.col("dir_a")))
-    kept = (F.col("shared_symbols") >= 2) | ((F.col("shared_symbols") >= 1) & near) | (F.col("shared_paths") >= 2)
-    return shared.join(here, key).join(there, "other").filter(kept).select(by, F.col(key).alias("a"), F.col("other").alias("b"), "shared_paths", "shared_symbols")
+    classes = file_classes(files, by, key).withColumn("first", F.element_at("members", 1))
+    two = lambda c: F.flatten(F.transform(c, lambda x, i: F.transform(F.slice(c, i + 2, F.size(c)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    kinds = lambda of, pairs: F.transform(pairs, lambda p: F.struct(F.lit(of).alias("of"), p["x"].alias("x"), p["y"].alias("y")))
+    folder = lambda of, dir_: F.when(dir_.isNotNull(), F.transform("symbols", lambda s: F.struct(F.lit(of).alias("of"), s.alias("x"), dir_.alias("y"))))
+    empty = F.expr("cast(array() as array<struct<of:string,x:string,y:string>>)")
+    joint = F.concat(kinds("path", two(F.col("paths"))), kinds("symbol", two(F.col("symbols"))), F.coalesce(folder("folder", F.col("dir")), empty))
+    hung = classes.select(by, "first", F.size("members").alias("n"), F.explode(joint).alias("at"))
+    hubs = hung.groupBy(by, "at").agg(F.min("first").alias("hub"), F.sum("n").alias("n"))
+    links = hung.drop("n").join(hubs.filter("n > 1").drop("n"), [by, "at"]).select("first", "hub")
+    above = F.when(directory(F.col("dir")) != F.col("dir"), directory(F.col("dir")))
+    below = classes.select(by, "first", F.explode(folder("folder", above)).alias("at"))
+    links = links.unionByName(below.join(hubs.drop("n"), [by, "at"]).select("first", "hub")).distinct()
+    linked = links.select("first").unionByName(links.select(F.col("hub").alias("first"))).distinct()
+    members = classes.join(linked, "first").select(F.explode("members").alias("a"), F.col("first").alias("b"))
+    return members.unionByName(links.select(F.col("first").alias("a"), F.col("hub").alias("b"))).filter("a <> b").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:

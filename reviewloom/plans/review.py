@@ -206,7 +206,7 @@ def related_pairs(spark, sf):
 
 
 def change_clusters(spark, sf):
-    return clusters.components(clusters.related_pairs(_cluster_files(spark, sf)))
+    return clusters.components(clusters.related_links(_cluster_files(spark, sf)))
 
 
 def shared_symbols(spark, sf):

@@ -1,9 +1,11 @@
 """What keeps queries in proportion to their tables: the shape of their plans, beside the same results."""
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.operators import modules
+from reviewloom.operators import clusters, modules
 
 
 def plan_of(frame: DataFrame) -> str:
@@ -23,3 +25,40 @@ def test_aliases_reach_python_by_batches(spark):
     rows = sorted((r["path"] or "", r["ord"], r["local"], r["module"], r["symbol"]) for r in made.collect())
     base = [(0, "one", "m1", "a"), (1, "all", "m2", None), (2, "all", "m3", None)]
     assert rows == [(f, *b) for f in ("", "f", "g") for b in base + ([(3, "r", "m1", "a"), (4, "p", "m1", "a")] if f == "g" else [])]
+
+
+def _changed_files(spark) -> DataFrame:
+    """Files of few classes and of many: numbered folders, folders in folders, the root, repeats, none of either words."""
+    shapes = ("src/a/f_{}.ts", "src/a/b/f.ts", "src/a/b/c/f.ts", "x_{}/y.ts", "root.ts", "pkg/p_{}/lock.yaml", "pkg/lock.yaml", "src/hooks/use_doc_{}.ts", "z")
+    rows = [(None if i == 60 else i % 3, i, shapes[i * 7 % 9].format(100 + i), [f"S{(i + k) % 11}" for k in range(i % 4)]) for i in range(90)]
+    return spark.createDataFrame(rows, "cr_id int, doc_id long, path string, symbols array<string>").withColumn("path_tokens", clusters.path_tokens(F.col("path")))
+
+
+def _related(files: DataFrame) -> set[tuple]:
+    rows, up = [r.asDict() for r in files.withColumn("dir", clusters.directory(F.col("path"))).collect()], lambda d: d.rpartition("/")[0] or "."
+    made = set()
+    for a in rows:
+        for b in rows:
+            if a["doc_id"] < b["doc_id"] and a["cr_id"] == b["cr_id"] is not None:
+                paths, symbols = (len(set(a[c]) & set(b[c])) for c in ("path_tokens", "symbols"))
+                if paths >= 2 or symbols >= 2 or symbols == 1 and (a["dir"] == b["dir"] or a["dir"] == up(b["dir"]) or b["dir"] == up(a["dir"])):
+                    made.add((a["cr_id"], a["doc_id"], b["doc_id"], paths, symbols))
+    return made
+
+
+def test_related_pairs_are_not_shuffled(spark):
+    """Pairs are made in the rows of their classes, so no exchange deals them; they are those of all pairs looked at."""
+    files = _changed_files(spark)
+    made = clusters.related_pairs(files)
+    assert {tuple(r) for r in made.collect()} == _related(files) and made.count() == len(_related(files)) > 150
+    assert not any("other" in keys for keys in re.findall(r"hashpartitioning\(([^)]*)\)", plan_of(made)))
+
+
+def test_links_of_components_grow_with_files(spark):
+    """As many links as files hold, not as many as pairs, and the same components."""
+    files = _changed_files(spark)
+    links = clusters.related_links(files)
+    pairs = spark.createDataFrame([(a, b) for _, a, b, *_ in _related(files)], "a long, b long")
+    assert {tuple(r) for r in clusters.components(links).collect()} == {tuple(r) for r in clusters.components(pairs).collect()}
+    same = files.filter("doc_id = 0").select(F.lit(1).alias("cr_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(299).cast("long"))).alias("doc_id"), "path", "path_tokens", "symbols")
+    assert clusters.related_links(same).count() == 299
