@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def project_parts(path: Column) -> tuple[Column, Column]:
     """Owner and repository of a project path: the last segment and those before; null with fewer than two."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewloom.functions.text import once
 from reviewloom.operators.diff import BLANK
 
 MAX_SIGNALS, TRUNCATED = 8, "\n// ... truncated"
@@ -65,8 +66,11 @@ def compacted(content: Column, most: Column) -> Column:
     One fold over the lines: it stops at the first that doesn't fit, and after twelve lines at
     one that opens a block.
     """
-    whole = _snippet(content)
-    return _compacted(F.length(whole), whole, _line_ends_trimmed(whole), most)
+    def cut(whole: Column) -> Column:
+        bare = F.when(F.length(whole) > most, F.substring(_line_ends_trimmed(whole), F.lit(1), (most + 1).cast("int")))
+        return once(bare, lambda b: _compacted(F.length(whole), whole, b, most))
+
+    return once(_snippet(content), cut)
 
 
 def _snippet(content: Column) -> Column:
@@ -76,28 +80,31 @@ def _snippet(content: Column) -> Column:
 
 
 def _line_ends_trimmed(whole: Column) -> Column:
-    return F.array_join(F.transform(F.split(whole, "\n"), lambda x: F.regexp_replace(x, r"\s+$", "")), "\n")
+    """Lines without blanks at their ends, also before a last sign that ends lines elsewhere; a run of blanks is tried once."""
+    return F.regexp_replace(whole, r"(?<![^\S\n])[^\S\n]++(?=[\u0085\u2028\u2029]?(?:\n|\z))", "")
 
 
 def _compacted(size: Column, whole: Column, bare: Column, most: Column) -> Column:
     """compacted() of a snippet of ``size`` characters. ``whole`` is read only if all of it fits;
     of ``bare`` (it without spaces at the ends of lines) no more than ``most`` + 1 characters count."""
-    lines = F.split(bare, "\n")
-    start = F.expr("named_struct('used', 0, 'n', 0, 'done', false, 'out', cast(array() as array<string>))")
+    start = F.expr("named_struct('used', 0, 'n', 0, 'done', false)")
 
     def step(s: Column, line: Column) -> Column:
-        longer = s["used"] + F.length(line) + F.when(s["n"] > 0, 1).otherwise(0)
+        longer = s["used"] + F.length(line) + (s["n"] > 0).cast("int")
         fits = ~s["done"] & (longer <= most - 18)
-        return F.struct(
-            F.when(fits, longer).otherwise(s["used"]).alias("used"),
-            (s["n"] + fits.cast("int")).alias("n"),
-            (s["done"] | ~fits | ((s["n"] + 1 >= 12) & line.contains("{"))).alias("done"),
-            F.when(fits, F.concat(s["out"], F.array(line))).otherwise(s["out"]).alias("out"),
+        return F.when(s["done"], s).otherwise(
+            F.struct(
+                F.when(fits, longer).otherwise(s["used"]).alias("used"),
+                (s["n"] + fits.cast("int")).alias("n"),
+                (~fits | ((s["n"] + 1 >= 12) & line.contains("{"))).alias("done"),
+            )
         )
 
-    kept = F.aggregate(lines, start, step, lambda s: s["out"])
-    cut = F.when(F.size(kept) == 0, F.rtrim(F.substring(bare, F.lit(1), (most - 18).cast("int")))).otherwise(F.array_join(kept, "\n"))
-    return F.when(size <= most, whole).otherwise(F.concat(cut, F.lit(TRUNCATED)))
+    def cut(s: Column) -> Column:
+        # whole lines from the start are the text up to their joint length
+        return F.when(s["n"] == 0, F.rtrim(F.substring(bare, F.lit(1), (most - 18).cast("int")))).otherwise(F.substring(bare, F.lit(1), s["used"]))
+
+    return F.when(size <= most, whole).otherwise(F.concat(F.aggregate(F.split(bare, "\n"), start, step, cut), F.lit(TRUNCATED)))
 
 
 def reduced_blocks(blocks: DataFrame, key: str, budget: int | str) -> DataFrame:
@@ -126,7 +133,10 @@ def packed_blocks(blocks: DataFrame, key: str, budget: int | str, fence: str = "
 
     def step(s: Column, b: Column) -> Column:
         own = F.greatest(F.lit(220), F.least(b["preferred"], s["left"] - 120))
-        made = F.concat(b["label"], F.lit(f"\n```{fence}\n"), _compacted(b["size"], b["whole"], b["bare"], own), F.lit("\n```"))
+        made = F.concat(b["label"], F.lit(f"\n```{fence}\n"), once(own, lambda o: _compacted(b["size"], b["whole"], b["bare"], o)), F.lit("\n```"))
+        return once(made, lambda m: taken(s, m))
+
+    def taken(s: Column, made: Column) -> Column:
         fits = (F.length(made) <= s["left"]) | (F.size(s["out"]) == 0)
         return F.struct(
             F.when(fits, s["left"] - F.length(made) - 2).otherwise(s["left"]).alias("left"),

@@ -5,7 +5,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.operators import clusters, modules
+from reviewloom.operators import classify, clusters, diff, modules, payloads, prompts
+from reviewloom.plans import review, sources
 
 
 def plan_of(frame: DataFrame) -> str:
@@ -62,3 +63,15 @@ def test_links_of_components_grow_with_files(spark):
     assert {tuple(r) for r in clusters.components(links).collect()} == {tuple(r) for r in clusters.components(pairs).collect()}
     same = files.filter("doc_id = 0").select(F.lit(1).alias("cr_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(299).cast("long"))).alias("doc_id"), "path", "path_tokens", "symbols")
     assert clusters.related_links(same).count() == 299
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_snippets_are_made_once(spark):
+    """A snippet's expressions stand once in its plan, and its lines are told by a length, not listed."""
+    rows = spark.createDataFrame([(1, 1, "l", "a {  \n  b\t\n\n\n\nc" + " x \u0085\n" * 90, 900)], "key int, ord int, label string, body string, preferred int")
+    made = rows.select(prompts.compacted(F.col("body"), F.lit(40)).alias("t"))
+    assert plan_of(made).count("regexp_replace(") <= 3
+    assert made.first()["t"] == "a {\n  b\n\nc x\u0085\n x\u0085\n x\u0085" + prompts.TRUNCATED
+    assert prompts.packed_blocks(rows, "key", 500)._jdf.queryExecution().optimizedPlan().toString().count("rtrim(") <= 1
