@@ -6,29 +6,40 @@ else is joins and aggregates over that table.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql.types import StructType
 
 from reviewloom.functions import scanner
 
+#: Files of a batch whose rows are held together.
+FILES_AT_ONCE = 64
 CONTRACT_KINDS = ("function", "class", "type", "value")
 
 
-@udtf(returnType=scanner.MARKS)
-class SourceMarks:
-    """The marks of one source."""
-
-    def eval(self, content: str):
-        yield from scanner.marks(content)
-
+def _scanned(files: DataFrame, key: str, scan: Callable[[str], Iterator[tuple]], fields: str) -> DataFrame:
+    """key and the rows that ``scan`` finds in each file, which reach Python and come back by batches of columns."""
+    types = dict(f.split() for f in fields.split(", "))
+    schema = pa.schema([(name, pa.string() if t == "string" else pa.bool_() if t == "boolean" else pa.int32()) for name, t in types.items()])
 
-@udtf(returnType=scanner.TOKENS)
-class SourceTokens:
-    """The tokens of one source."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, FILES_AT_ONCE):
+                part = batch.slice(first, FILES_AT_ONCE)
+                at, made = [], []
+                for i, content in enumerate(part.column(1).to_pylist()):
+                    found = list(scan(content))
+                    at += [i] * len(found)
+                    made += found
+                values = zip(*made, strict=True) if made else [[]] * len(schema)
+                columns = [pa.array(list(v), f.type) for v, f in zip(values, schema, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int32())), *columns], [key, *schema.names])
 
-    def eval(self, content: str):
-        yield from scanner.tokens(content)
+    given = files.select(key, "content")
+    return given.mapInArrow(read, StructType([given.schema[key], *StructType.fromDDL(fields).fields]))
 
 
 def assignments_of(marks: DataFrame, key: str = "path") -> DataFrame:
@@ -42,12 +53,12 @@ def source_marks(files: DataFrame, key: str = "path") -> DataFrame:
     """key and the marks (see ``scanner.MARKS``) of each file. files: key, content.
 
     Files with null or empty content, or nothing but remarks, have none."""
-    return files.select(key, "content").lateralJoin(SourceMarks(F.col("content").outer())).drop("content")
+    return _scanned(files, key, scanner.marks, scanner.MARKS)
 
 
 def source_tokens(files: DataFrame, key: str = "path") -> DataFrame:
     """key, at, kind, text, line, depth, start, end of each token, remarks too."""
-    return files.select(key, "content").lateralJoin(SourceTokens(F.col("content").outer())).drop("content")
+    return _scanned(files, key, scanner.tokens, scanner.TOKENS)
 
 
 def contracts_of(marks: DataFrame, key: str = "path") -> DataFrame:

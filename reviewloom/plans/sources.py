@@ -371,12 +371,11 @@ def source_tokens(spark, sf):
     """Tokens of each kind and how deep they go, and that all signs of a source are in them but blanks."""
     files = bridge.module_files(spark, sf)
     found = code.source_tokens(files, "doc_id").groupBy("doc_id").agg(
-        F.sum(F.length("text")).alias("chars"), F.max("depth").cast("long").alias("deepest"), F.count_if(F.col("kind") == "remark").alias("remarks"),
-        F.count_if(F.col("kind") == "string").alias("strings"), F.count_if(F.col("kind") == "regex").alias("regexes"),
+        F.max("depth").cast("long").alias("deepest"), F.count_if(F.col("kind") == "remark").alias("remarks"), F.count_if(F.col("kind") == "string").alias("strings"),
+        F.count_if(F.col("kind") == "regex").alias("regexes"), F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("read"),
     )
     blanks = files.select("doc_id", F.length(F.regexp_replace("content", r"\s", "")).alias("solid"))
-    rows = code.source_tokens(files, "doc_id").groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("read"))
-    return found.join(blanks, "doc_id").join(rows, "doc_id").select("doc_id", "deepest", "remarks", "strings", "regexes", (F.col("solid") == F.col("read")).alias("whole"))
+    return found.join(blanks, "doc_id").select("doc_id", "deepest", "remarks", "strings", "regexes", (F.col("solid") == F.col("read")).alias("whole"))
 
 
 def source_contracts(spark, sf):

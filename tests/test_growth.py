@@ -75,3 +75,8 @@ def test_snippets_are_made_once(spark):
     assert plan_of(made).count("regexp_replace(") <= 3
     assert made.first()["t"] == "a {\n  b\n\nc x\u0085\n x\u0085\n x\u0085" + prompts.TRUNCATED
     assert prompts.packed_blocks(rows, "key", 500)._jdf.queryExecution().optimizedPlan().toString().count("rtrim(") <= 1
+
+
+def test_sources_are_scanned_once_by_batches(spark):
+    plan = plan_of(sources.source_tokens(spark, SF))
+    assert plan.count("MapInArrow") == 1 and "UDTF" not in plan
