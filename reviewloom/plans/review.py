@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewloom.functions.lineage import cut
 from reviewloom.operators import classify, clusters, comments, contracts, diff, filters, modules, payloads, segments, symbols
 from reviewloom.sources import bridge
 from reviewloom.streaming import progress
@@ -220,7 +221,7 @@ def identifier_candidates(spark, sf):
 
 
 def missing_candidates(spark, sf):
-    found = symbols.identifier_candidates(_files(spark, sf).withColumnRenamed("patch", "content"))
+    found = cut(symbols.identifier_candidates(_files(spark, sf).withColumnRenamed("patch", "content")))
     known = found.filter("rank % 2 = 0").select("doc_id", "name")
     return symbols.missing_candidates(found, known, 4).select("doc_id", "name", "score")
 

@@ -80,3 +80,7 @@ def test_snippets_are_made_once(spark):
 def test_sources_are_scanned_once_by_batches(spark):
     plan = plan_of(sources.source_tokens(spark, SF))
     assert plan.count("MapInArrow") == 1 and "UDTF" not in plan
+
+
+def test_candidates_are_found_once(spark):
+    assert "regexp_extract_all" not in plan_of(review.missing_candidates(spark, SF))
