@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.functions.text import once
 from reviewloom.operators.diff import trimmed
 
 FENCED = r"(?is)```(?:json)?\s*(.*?)```"
@@ -19,58 +20,59 @@ def is_json(text: Column) -> Column:
 
 
 def top_level_objects(text: Column) -> Column:
-    """The outermost {...} of a text, braces in JSON strings left out; one fold over its characters, which keeps
+    """The outermost {...} of a text, braces in JSON strings left out; one fold over its signs, which keeps
     places, not texts, so it is linear."""
-    start = F.expr("named_struct('at', 0, 'depth', 0, 'quoted', false, 'escaped', false, 'begun', 0, 'found', cast(array() as array<struct<first:int,last:int>>))")
+    start = F.expr("named_struct('at', 0, 'depth', 0, 'quoted', false, 'begun', 0, 'found', cast(array() as array<struct<first:int,last:int>>))")
 
     def step(s: Column, c: Column) -> Column:
-        plain = ~s["escaped"] & ~s["quoted"]
-        deeper, back = plain & (c == "{"), plain & (c == "}") & (s["depth"] > 0)
-        at, depth = s["at"] + 1, s["depth"] + deeper.cast("int") - back.cast("int")
+        deeper, back = ~s["quoted"] & (c == "{"), ~s["quoted"] & (c == "}") & (s["depth"] > 0)
+        at, depth = s["at"] + F.length(c), s["depth"] + deeper.cast("int") - back.cast("int")
         begun = F.when(deeper & (s["depth"] == 0), at).otherwise(s["begun"])
-        ended = F.array(F.struct(begun.alias("first"), at.alias("last")))
         return F.struct(
             at.alias("at"),
             depth.alias("depth"),
-            F.when(s["escaped"], s["quoted"]).otherwise(s["quoted"] != (c == '"')).alias("quoted"),
-            (~s["escaped"] & (c == "\\")).alias("escaped"),
+            (s["quoted"] != (c == '"')).alias("quoted"),
             begun.alias("begun"),
-            F.when(back & (depth == 0), F.concat(s["found"], ended)).otherwise(s["found"]).alias("found"),
+            F.when(back & (s["depth"] == 1), F.concat(s["found"], F.array(F.struct(begun.alias("first"), at.alias("last"))))).otherwise(s["found"]).alias("found"),
         )
 
-    places = F.aggregate(F.split(text, ""), start, step, lambda s: s["found"])
+    # a sign after a backslash is told with it, and signs that mean nothing by runs
+    pieces = F.regexp_extract_all(text, F.lit(r'(?s)[^{}"\\]+|\\.?|[{}"]'), F.lit(0))
+    places = F.aggregate(pieces, start, step, lambda s: s["found"])
     return F.transform(places, lambda p: F.substr(text, p["first"], p["last"] - p["first"] + 1))
 
 
 def recovered_json(content: Column) -> Column:
     """The JSON in an answer, by the first of these that parses: all of it, a fenced block, from
     the first { to the last }, from the first [ to the last ], its outermost objects as an array."""
-    text = trimmed(content)
+    return once(trimmed(content), _recovered)
+
+
+def _recovered(text: Column) -> Column:
     between = lambda a, b: F.substr(text, F.instr(text, F.lit(a)), F.length(text) - F.instr(F.reverse(text), F.lit(b)) + 2 - F.instr(text, F.lit(a)))
     holds = lambda a, b: (F.instr(text, F.lit(a)) > 0) & (F.instr(F.reverse(text), F.lit(b)) > 0) & (F.length(text) - F.instr(F.reverse(text), F.lit(b)) + 1 > F.instr(text, F.lit(a)))
-    valid = lambda x: F.when(is_json(x), x)
-    objects = top_level_objects(text)
-    sequence = F.when((F.size(objects) > 0) & F.forall(objects, is_json), F.concat(F.lit("["), F.array_join(objects, ","), F.lit("]")))
-    fenced = trimmed(F.regexp_extract(text, FENCED, 1))
+    valid = lambda value: once(value, lambda x: F.when(is_json(x), x))
+    joined = lambda objects: F.when((F.size(objects) > 0) & F.forall(objects, is_json), F.concat(F.lit("["), F.array_join(objects, ","), F.lit("]")))
     return F.coalesce(
         valid(text),
-        F.when(text.rlike(FENCED), valid(fenced)),
+        F.when(text.rlike(FENCED), valid(trimmed(F.regexp_extract(text, FENCED, 1)))),
         F.when(holds("{", "}"), valid(between("{", "}"))),
         F.when(holds("[", "]"), valid(between("[", "]"))),
-        sequence,
+        once(top_level_objects(text), joined),
     )
 
 
 def payload_comments(payloads: DataFrame, key: str = "payload_id") -> DataFrame:
     """key, ord, line, body, side of the comments in recovered JSON: an array of comments, or an
     object with or without ``comments``. One comment that doesn't fit makes the whole payload invalid."""
-    body = F.col("json")
-    as_object = F.from_json(body, f"struct<comments:{COMMENT}>")["comments"]
-    listed = F.when(F.ltrim(body).startswith("["), F.from_json(body, COMMENT)).otherwise(F.coalesce(as_object, F.expr(f"cast(array() as {COMMENT})")))
+    none = F.expr(f"cast(array() as {COMMENT})")
+    as_object = lambda body: F.coalesce(F.from_json(body, f"struct<comments:{COMMENT}>")["comments"], none)
+    listed = once(F.col("json"), lambda body: F.when(F.ltrim(body).startswith("["), F.from_json(body, COMMENT)).otherwise(as_object(body)))
     number = lambda x: x["line"].try_cast("double")
     fits = lambda x: F.coalesce((number(x) > 0) & (number(x) == F.floor(number(x))) & (trimmed(x["body"]) != "") & F.coalesce(x["side"].isin("LEFT", "RIGHT"), F.lit(True)), F.lit(False))
-    rows = payloads.filter("json is not null").select(key, listed.alias("c")).filter(F.forall("c", fits))
-    return rows.select(key, F.posexplode("c").alias("ord", "x")).select(
+    valid = once(listed, lambda c: F.when(F.forall(c, fits), c))
+    # an outer explode, filtered after, as an inner one makes the answer's JSON anew for each of the filters before it
+    return payloads.select(key, F.posexplode_outer(valid).alias("ord", "x")).filter("ord is not null").select(
         key, "ord", F.col("x.line").cast("double").cast("int").alias("line"), trimmed(F.col("x.body")).alias("body"), F.coalesce("x.side", F.lit("RIGHT")).alias("side")
     )
 

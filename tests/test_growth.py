@@ -84,3 +84,12 @@ def test_sources_are_scanned_once_by_batches(spark):
 
 def test_candidates_are_found_once(spark):
     assert "regexp_extract_all" not in plan_of(review.missing_candidates(spark, SF))
+
+
+def test_json_of_answers_is_looked_for_once(spark):
+    """Each way to find JSON stands once in the plan; outermost objects are told by signs, beyond the first plane too."""
+    text = 'see \U0001f600 {"line": 2, "body": "a\\\\"} and {"line": "x}" oder {"line": 3, "body": "{\\"}"}'
+    rows = spark.createDataFrame([(1, text.replace('{"line": "x}" oder ', "")), (2, text)], "payload_id int, content string").select("payload_id", payloads.recovered_json(F.col("content")).alias("json"))
+    made = payloads.payload_comments(rows)
+    assert plan_of(made).count("try_parse_json(") <= 12 or plan_of(made).count("parse_json") <= 12
+    assert sorted(tuple(r) for r in made.collect()) == [(1, 0, 2, "a\\", "RIGHT"), (1, 1, 3, '{"}', "RIGHT"), (2, 0, 2, "a\\", "RIGHT")]
