@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewloom.functions.text import once
+
 HUNK_HEADER = r"^@@ -(\d+),?(\d*) \+(\d+),?(\d*) @@"
 _BEFORE_HEADER = r"(?m)(?=^@@ -[0-9]+,?[0-9]* \+[0-9]+,?[0-9]* @@)"
 #: What trimming and whitespace comparison take for blank: ASCII blanks, NBSP, BOM and Unicode's spaces.
@@ -89,6 +91,21 @@ def with_changes(file_diffs: DataFrame) -> DataFrame:
     return rows.withColumn("blank_only", F.coalesce(same, F.lit(False)))
 
 
+def first_anchor(hunk_texts: Column) -> Column:
+    """The least of a file's ``anchors``, from the texts of its hunks as ``with_changes`` has them; null without hunks."""
+    number = lambda text, i: F.regexp_extract(text, HUNK_HEADER, i).cast("int")
+    shown = lambda text: F.filter(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: (x != "") & ~x.startswith("@@") & ~x.startswith("\\"))
+    is_kind = lambda x, sign: x.startswith(sign) & ~x.startswith(sign * 3)
+
+    def first_added(text: Column, lines: Column) -> Column:
+        at = F.array_position(F.transform(lines, lambda x: is_kind(x, "+")), F.lit(True)).cast("int")
+        return once(at, lambda n: F.when(n > 0, number(text, 3) + F.size(F.filter(F.slice(lines, F.lit(1), n - 1), lambda x: ~is_kind(x, "-")))))
+
+    added = F.array_min(F.transform(hunk_texts, lambda text: once(shown(text), lambda lines: first_added(text, lines))))
+    edges = F.array_min(F.transform(hunk_texts, lambda text: F.greatest(F.lit(1), number(text, 3) - 1)))
+    return F.coalesce(added, edges)
+
+
 def touched_lines(line_rows: DataFrame) -> DataFrame:
     return line_rows.filter("kind = '+'")
 

@@ -85,9 +85,7 @@ def context_pack(spark, sf):
 
 def impact_lines(spark, sf):
     """Impacts of each file's change as signals, with the line that they point to."""
-    hunks = _hunks(spark, sf)
-    lines = diff.lines(hunks)
-    return classify.impact_signals(classify.impacts(lines), diff.anchors(hunks, lines)).select("doc_id", F.col("ord").cast("long").alias("ord"), "line", "summary")
+    return classify.impact_signals_of(diff.with_changes(_files(spark, sf))).select("doc_id", F.col("ord").cast("long").alias("ord"), "line", "summary")
 
 
 def touched_ranges(spark, sf):

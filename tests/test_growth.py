@@ -93,3 +93,14 @@ def test_json_of_answers_is_looked_for_once(spark):
     made = payloads.payload_comments(rows)
     assert plan_of(made).count("try_parse_json(") <= 12 or plan_of(made).count("parse_json") <= 12
     assert sorted(tuple(r) for r in made.collect()) == [(1, 0, 2, "a\\", "RIGHT"), (1, 1, 3, '{"}', "RIGHT"), (2, 0, 2, "a\\", "RIGHT")]
+
+
+def test_impacts_of_rows_are_those_of_lines(spark):
+    """Impacts and their lines from a file's own row, as from rows of its lines; nothing is shuffled."""
+    patches = ("@@ -5,3 +7,2 @@\n x\n-if (a) return\n-  \n y", "@@ -1 +1,2 @@\n-auth\n\\ none\n z\n+++ q\n+new\n@@ -9,2 +4 @@\n+p\n--- w\n-lock", "@@ -3,1 +0,0 @@\n-token", "@@ -3 +1 @@\n-limit\r\n+a", "no hunk", "", None)
+    files = spark.createDataFrame(list(enumerate(patches)), "doc_id long, patch string")
+    hunks = diff.hunks(files)
+    made = classify.impact_signals_of(diff.with_changes(files))
+    assert "Exchange" not in plan_of(made)
+    key = lambda d: sorted(tuple(r) for r in d.collect())
+    assert key(made) == key(classify.impact_signals(classify.impacts(diff.lines(hunks)), diff.anchors(hunks, diff.lines(hunks)))) and made.count() >= 5
